@@ -20,7 +20,6 @@ from ..scale import salted_join
 from ..session import cut_lineage
 
 KEYS = ("method", "domain", "axiom_type")
-TRIM_ROUNDS = 8
 ALL_DOMAINS = "all"
 
 
@@ -78,7 +77,7 @@ def strongly_connected(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     keys = list(keys)
     live = cut_lineage(edges.select(*keys, "sub", "super").distinct(), "live")
     everything = cut_lineage(graph_nodes(live, keys), "nodes")
-    for _ in range(TRIM_ROUNDS):
+    while True:
         into, out = live.select(*keys, F.col("super").alias("node")), live.select(*keys, F.col("sub").alias("node"))
         core = into.distinct().join(out.distinct(), [*keys, "node"], "left_semi")
         inner = live.join(core.withColumnRenamed("node", "sub"), [*keys, "sub"], "left_semi").join(
