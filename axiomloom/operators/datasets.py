@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.axioms import render_axiom
 from ..functions.text import normalize_schema_uri, norm_predicate, strip
 from ..scale import dense_position, hash_int, hash_long, keep_first
+from ..session import cut_lineage
 from ..sources.readers import resolve_column
 
 AXIOM_KEY = ["axiom_type", "subject", "predicate", "object"]
@@ -65,15 +66,34 @@ def refine_subclass(generalizations: DataFrame, relations: DataFrame) -> DataFra
     return _retype(_ends_filter(generalizations, relations, "left_anti"), "subClassOf")
 
 
+def extract_all(triples: DataFrame, source: str = "NELL") -> DataFrame:
+    """Axioms of all three dump predicates from one scan and one distinct."""
+    predicate, kind = norm_predicate("predicate"), F.lit(None).cast("string")
+    for axiom_type, name in DUMP_PREDICATES.items():
+        kind = F.when(predicate == name, F.lit(axiom_type)).otherwise(kind)
+    rows = triples.select(
+        kind.alias("axiom_type"), strip("subject").alias("subject"), strip("object").alias("object")
+    ).filter(
+        F.col("axiom_type").isNotNull() & (F.col("subject") != "") & (F.col("object") != "")
+        & (F.col("subject") != F.col("object"))
+    ).distinct()
+    return rows.select(
+        "axiom_type", "subject", F.concat(F.lit("rdfs:"), "axiom_type").alias("predicate"), "object",
+        F.lit(1).alias("label"), F.lit(source).alias("source"), F.lit("").alias("negative_strategy"),
+    )
+
+
 def positives_from_triples(triples: DataFrame, source: str = "NELL") -> dict[str, DataFrame]:
-    domain, range_ = extract_axioms(triples, "domain", source), extract_axioms(triples, "range", source)
-    general = extract_axioms(triples, "subClassOf", source)
-    relations = relation_names(domain, range_)
+    """The four kinds of positive axioms. The extract is stored once, because
+    the relation names and all four results read it."""
+    axioms = cut_lineage(extract_all(triples, source), "axioms")
+    of = lambda kind: axioms.filter(F.col("axiom_type") == kind)
+    relations = relation_names(of("domain"), of("range"))
     return {
-        "subClassOf": refine_subclass(general, relations),
-        "subPropertyOf": subproperty_axioms(general, relations),
-        "domain": domain,
-        "range": range_,
+        "subClassOf": refine_subclass(of("subClassOf"), relations),
+        "subPropertyOf": subproperty_axioms(of("subClassOf"), relations),
+        "domain": of("domain"),
+        "range": of("range"),
     }
 
 
@@ -126,13 +146,15 @@ def replacement_negatives(positives: DataFrame, known: DataFrame | None = None,
     completely. Most rows settle within EARLY_TRIES; only the rest are expanded
     to MAX_TRIES candidates.
     """
+    positives = cut_lineage(positives, "positives")
     known = positives if known is None else known
     pool = positives.select("axiom_type", "object").distinct().withColumn(
         "_order", hash_long("object", seed="pool")
     )
-    pool = dense_position(pool, ["axiom_type"], "_order", "_slot", tie=["object"]).select(
+    pool = dense_position(cut_lineage(pool, "pool"), ["axiom_type"], "_order", "_slot", tie=["object"]).select(
         "axiom_type", F.col("object").alias("_candidate"), (F.col("_slot") - 1).alias("_slot")
     )
+    pool = cut_lineage(pool, "slots")
     sizes = pool.groupBy("axiom_type").agg(F.count(F.lit(1)).alias("_size"))
     rows = positives.join(sizes, "axiom_type").withColumn(
         "_start", hash_int("axiom_type", "subject", "object", seed=seed)
@@ -151,7 +173,7 @@ def replacement_negatives(positives: DataFrame, known: DataFrame | None = None,
             F.min_by("_candidate", "_try").alias("_candidate")
         )
 
-    early = probe(rows, 0, EARLY_TRIES - 1)
+    early = cut_lineage(probe(rows, 0, EARLY_TRIES - 1), "early")
     unsettled = rows.join(early.select(*AXIOM_KEY), AXIOM_KEY, "left_anti")
     late = probe(unsettled, EARLY_TRIES, MAX_TRIES - 1)
     return early.unionByName(late).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.axioms import merged_evidence, parse_functional
 from ..functions.text import as_col, not_blank, strip, strip_token
 from ..scale import keep_first, rank_by_value, salted_join
+from ..schemas import RESULT_ITEM
 
 # Service axiom types in display order.
 SERVICE_TYPES = ("class", "property", "subClassOf", "subPropertyOf", "domain", "range")
@@ -110,68 +111,63 @@ def annotation_rows(docs: DataFrame, domain_map: DataFrame, model: str, config:
     )
 
 
+def _payload_items(payloads: DataFrame) -> DataFrame:
+    """(method, domain, listed, item): every candidate record as JSON text.
+
+    ``listed`` names the list an item came from; rows of a list payload and a
+    single-row payload have none. Items stay text here, so one value that is
+    not an object does not spoil its neighbours.
+    """
+    given = lambda c: F.nullif(strip_token(c), F.lit(""))
+    lists = "struct<method:string,domain:string,subClassOf:array<string>,subPropertyOf:array<string>>"
+    base = payloads.withColumn("is_list", F.ltrim("payload").startswith("[")).select(
+        "method", "domain", "payload", "is_list",
+        F.when(F.col("is_list"), F.from_json("payload", "array<string>")).alias("rows"),
+        F.when(~F.col("is_list"), F.from_json("payload", lists)).alias("doc"))
+    tag = lambda items, kind: F.transform(items, lambda i: F.struct(F.lit(kind).alias("listed"), i.alias("item")))
+    none = F.array().cast("array<struct<listed:string,item:string>>")
+    of_list = F.concat(*[F.coalesce(tag(F.col(f"doc.{k}"), k), none) for k in ("subClassOf", "subPropertyOf")])
+    has_lists = F.col("doc.subClassOf").isNotNull() | F.col("doc.subPropertyOf").isNotNull()
+    plain = lambda items: F.transform(items, lambda i: F.struct(F.lit(None).cast("string").alias("listed"), i.alias("item")))
+    items = F.when(F.col("is_list"), plain(F.col("rows"))).when(has_lists, of_list).otherwise(plain(F.array("payload")))
+    return base.select(
+        F.coalesce(given("doc.method"), "method").alias("method"),
+        F.coalesce(given("doc.domain"), "domain").alias("domain"),
+        F.explode(items).alias("x"),
+    ).select("method", "domain", "x.listed", "x.item").filter(F.ltrim("item").startswith("{"))
+
+
 def heterogeneous_axioms(payloads: DataFrame) -> DataFrame:
     """Hierarchy pairs from JSON payloads in any of the known spellings.
 
     Input: (method, domain, payload). A payload is an object with lists, a list
-    of rows, or one row; ends come from four key pairs, else from the text.
+    of rows, or one row; ends come from four key pairs, else from the text. A
+    row outside a list may name its own method, domain and axiom type.
     """
-    from ..schemas import RESULT_ITEM, RESULT_PAYLOAD
-    from pyspark.sql import types as T
-
     given = lambda c: F.nullif(strip_token(c), F.lit(""))
     spellings = (("subject", "object"), ("sub", "super"), ("subjectTerm", "objectTerm"), ("child", "parent"))
-    text = F.coalesce(F.nullif(F.col("i.axiom_text"), F.lit("")), F.nullif(F.col("i.axiomText"), F.lit("")))
-
-    def keyed_pair() -> Column:
-        found = []
-        for left, right in spellings:
-            a, b = given(F.col(f"i.{left}")), given(F.col(f"i.{right}"))
-            found.append(F.when(a.isNotNull() & b.isNotNull() & (a != b),
-                                F.struct(a.alias("left"), b.alias("right"))))
-        return F.coalesce(*found)
-
-    is_list = F.ltrim("payload").startswith("[")
-    base = payloads.withColumns({
-        "doc": F.when(~is_list, F.from_json("payload", RESULT_PAYLOAD)),
-        "items": F.when(is_list, F.from_json("payload", T.ArrayType(RESULT_ITEM))),
-        "has_lists": F.get_json_object("payload", "$.subClassOf").isNotNull()
-        | F.get_json_object("payload", "$.subPropertyOf").isNotNull(),
-    }).withColumns({
-        "method": F.coalesce(given("doc.method"), "method"),
-        "domain": F.coalesce(given("doc.domain"), "domain"),
-    })
-    listed = None
-    for kind in ("subClassOf", "subPropertyOf"):
-        part = base.filter(~is_list & F.col("has_lists")).select(
-            "method", "domain", F.lit(kind).alias("axiom_type"), F.explode(f"doc.{kind}").alias("i")
-        ).filter(F.col("i").isNotNull())
-        part = part.withColumn("p", F.coalesce(keyed_pair(), parse_functional(text, F.lit(kind))))
-        listed = part if listed is None else listed.unionByName(part)
-    single = F.array(F.struct(*[F.col(f"doc.{f.name}") for f in RESULT_ITEM.fields]))
-    rows = base.filter(is_list | ~F.col("has_lists")).select(
-        "method", "domain", F.explode(F.when(is_list, F.col("items")).otherwise(single)).alias("i")
-    ).filter(F.col("i").isNotNull())
-    stated = F.coalesce(F.nullif(F.col("i.axiom_type"), F.lit("")), F.nullif(F.col("i.axiomType"), F.lit("")),
-                        F.nullif(F.col("i.type"), F.lit("")))
-    rows = rows.select(
-        F.coalesce(given("i.method"), "method").alias("method"),
-        F.coalesce(given("i.domain"), "domain").alias("domain"),
-        strip_token(stated).alias("stated"), "i",
+    first = lambda *names: F.coalesce(*[F.nullif(F.col(f"i.{n}"), F.lit("")) for n in names])
+    parsed = _payload_items(payloads).withColumn("i", F.from_json("item", RESULT_ITEM))
+    fields = parsed.select(
+        F.when(F.col("listed").isNull(), F.coalesce(given("i.method"), "method")).otherwise(F.col("method")).alias("method"),
+        F.when(F.col("listed").isNull(), F.coalesce(given("i.domain"), "domain")).otherwise(F.col("domain")).alias("domain"),
+        F.coalesce("listed", strip_token(first("axiom_type", "axiomType", "type"))).alias("stated"),
+        F.array(*[F.struct(strip_token(f"i.{a}").alias("left"), strip_token(f"i.{b}").alias("right")) for a, b in spellings]).alias("pairs"),
+        first("axiom_text", "axiomText").alias("text"),
     )
-    as_class = parse_functional(text, F.lit("subClassOf"))
-    as_property = parse_functional(text, F.lit("subPropertyOf"))
+    usable = lambda p: (p["left"] != "") & (p["right"] != "") & (p["left"] != p["right"])
+    ends = fields.select(
+        "method", "domain", "stated", F.get(F.filter("pairs", usable), F.lit(0)).alias("keyed"),
+        *[parse_functional("text", F.lit(k)).alias(k) for k in ("subClassOf", "subPropertyOf")])
     known = F.col("stated").isin("subClassOf", "subPropertyOf")
-    rows = rows.select(
+    from_text = F.when(F.col("stated") == "subClassOf", F.col("subClassOf")).otherwise(F.col("subPropertyOf"))
+    found = ends.select(
         "method", "domain",
-        F.when(known, F.col("stated")).when(as_class.isNotNull(), F.lit("subClassOf"))
-        .otherwise(F.lit("subPropertyOf")).alias("axiom_type"), "i",
-        F.when(known, F.coalesce(keyed_pair(), parse_functional(text, F.col("stated"))))
-        .otherwise(F.coalesce(as_class, as_property)).alias("p"),
-    )
-    return listed.unionByName(rows).filter(F.col("p").isNotNull()).select(
-        "method", "domain", "axiom_type", F.col("p.left").alias("sub"), F.col("p.right").alias("super")
-    )
+        F.when(known, F.col("stated")).when(F.col("subClassOf").isNotNull(), F.lit("subClassOf"))
+        .otherwise(F.lit("subPropertyOf")).alias("axiom_type"),
+        F.when(known, F.coalesce("keyed", from_text)).otherwise(F.coalesce("subClassOf", "subPropertyOf")).alias("p"))
+    return found.filter(F.col("p").isNotNull()).select(
+        "method", "domain", "axiom_type", F.col("p.left").alias("sub"), F.col("p.right").alias("super"))
 
 
 def union_merge(chunk_results: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.prompts import json_object_text, strip_code_fence
 from ..functions.text import not_blank, strip
 from ..scale import dense_position, keep_last, salted_join, top_n
 from ..schemas import LAYER1_DOC
+from ..session import cut_lineage
 
 SLOTS = ("subject", "relation", "object")
 TERM_STAGE = {"group_size": 25, "term_limit": 80}
@@ -62,7 +63,7 @@ def group_triples(terms: DataFrame, triples: DataFrame, group_size: int = 25, te
     the first term_limit + 3 * group_size vocabulary terms; no group ever
     meets the whole vocabulary.
     """
-    vocab = dense_position(dedupe_terms(terms), ["doc_id"], "first_pos", "vocab_no")
+    vocab = dense_position(cut_lineage(dedupe_terms(terms), "vocab"), ["doc_id"], "first_pos", "vocab_no")
     mentioned = _mentions(triples).withColumn(
         "group_index", (F.floor(F.col("pos") / group_size) + 1).cast("bigint"))
     mentioned = mentioned.groupBy("doc_id", "group_index", "term").agg(
@@ -91,11 +92,11 @@ def group_triples(terms: DataFrame, triples: DataFrame, group_size: int = 25, te
 def zip_chunks(terms: DataFrame, triples: DataFrame, term_chunk: int = TERM_CHUNK,
                triple_chunk: int = TRIPLE_CHUNK) -> tuple[DataFrame, DataFrame]:
     """(members, chunks): both deduplicated lists cut to chunks and paired by index."""
-    t = dense_position(dedupe_terms(terms), ["doc_id"], "first_pos", "_n").select(
+    t = dense_position(cut_lineage(dedupe_terms(terms), "vocab"), ["doc_id"], "first_pos", "_n").select(
         "doc_id", (F.floor((F.col("_n") - 1) / term_chunk) + 1).cast("bigint").alias("chunk_index"),
         F.lit("term").alias("kind"), F.col("_n").alias("place"), F.col("term").alias("item1"),
         F.lit("").alias("item2"), F.lit("").alias("item3"))
-    r = dense_position(dedupe_triples(triples), ["doc_id"], "first_pos", "_n").select(
+    r = dense_position(cut_lineage(dedupe_triples(triples), "triples"), ["doc_id"], "first_pos", "_n").select(
         "doc_id", (F.floor((F.col("_n") - 1) / triple_chunk) + 1).cast("bigint").alias("chunk_index"),
         F.lit("triple").alias("kind"), F.col("_n").alias("place"),
         F.col("subject").alias("item1"), F.col("relation").alias("item2"), F.col("object").alias("item3"))

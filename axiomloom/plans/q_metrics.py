@@ -98,8 +98,8 @@ def _(t):
 CORRECT = "run_status = 'success' and true_label = predict_label"
 D_EXPL = f"""(select task_id, cases as correct_case_count, annotated as annotated_count, good as explanation_correct_count, bad as hallucination_count,
  cast(good as double) / cases as explanation_accuracy, cast(bad as double) / cases as hallucination_rate from (
- select r.task_id, count(*) as cases, count_if(annotation_status = 'completed') as annotated, count_if(explanation_correct_label = 1) as good,
-  count_if(hallucination_label = 1) as bad from v_results r left join v_annotations a on a.result_id = r.id and a.task_id = r.task_id where {CORRECT} group by r.task_id))"""
+ select r.task_id, count(*) as cases, count_if(coalesce(annotation_status, '') = 'completed') as annotated, count_if(coalesce(explanation_correct_label, 0) = 1) as good,
+  count_if(coalesce(hallucination_label, 0) = 1) as bad from v_results r left join v_annotations a on a.result_id = r.id and a.task_id = r.task_id where {CORRECT} group by r.task_id))"""
 
 
 @query("A09_explanation_rates_correct", f"select * from {D_EXPL}")
@@ -271,7 +271,7 @@ select user_id, event_type, seq, explanation_correct_label, hallucination_label,
 from ({CHANGES.format('events')}) qualify row_number() over (partition by user_id, event_type order by seq desc) = 1""")
 def _(t):
     rows = t.spark.sql(CHANGES.format("{events}"), events=t.events)
-    base, changes = rows.filter("event_type = 'click' or user_id < 50"), rows.filter("not (event_type = 'click' or user_id < 50)")
+    base, changes = rows.filter("seq % 2 = 0"), rows.filter("seq % 2 <> 0")
     return rp.annotation_status(rp.upsert_latest(base, changes, ["user_id", "event_type"]))
 
 

@@ -46,11 +46,7 @@ LAYER3_CHUNK = _rows(
 )
 
 # One item of a results tree in any of its spellings.
-_ITEM_FIELDS = dict(
+RESULT_ITEM = _rows(
     method=S, domain=S, axiom_type=S, axiomType=S, type=S, subject=S, object=S, sub=S,
     super=S, subjectTerm=S, objectTerm=S, child=S, parent=S, axiom_text=S, axiomText=S,
 )
-RESULT_ITEM = _rows(**_ITEM_FIELDS)
-RESULT_PAYLOAD = _rows(
-    **_ITEM_FIELDS, subClassOf=T.ArrayType(RESULT_ITEM), subPropertyOf=T.ArrayType(RESULT_ITEM)
-)
