@@ -23,6 +23,12 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression to a name that ``body`` may use many times; it is
+    evaluated once per row instead of once per use or per array element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(value: Column | str) -> Column:
     """Trim every kind of white space from both ends; null becomes ''."""
     c = F.coalesce(as_col(value), F.lit(""))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, as_col, clean_title, collapse, rstrip, strip, title_id
+from ..functions.text import SPACE, as_col, clean_title, collapse, let, rstrip, strip, title_id
 from ..scale import dense_position
 
 MAX_CHUNK = 5000
@@ -163,54 +163,63 @@ def section_spans(headings: DataFrame, pages: DataFrame) -> DataFrame:
 
 def _before_first(lines: Column, hit) -> Column:
     """The lines before the first one for which hit(line, index) holds."""
-    flags = F.transform(lines, hit)
-    first = F.array_position(flags, True)
-    return F.when(first > 0, F.slice(lines, 1, (first - 1).cast("int"))).otherwise(lines)
+    first = F.array_position(F.transform(lines, hit), True)
+    return let(first, lambda at: F.when(at > 0, F.slice(lines, 1, (at - 1).cast("int"))).otherwise(lines))
 
 
 def strip_references(text: Column | str) -> Column:
     """Cut at a heading-like reference line or at the start of a citation list."""
-    lines = F.split(as_col(text), "\n")
-    cited = F.transform(lines, lambda l: strip(l).rlike(r"^\[(?U:\d+)\]"))
 
     def heading(line: Column) -> Column:
-        low, width = F.lower(strip(line)), F.length(strip(line))
-        letters = F.regexp_replace(low, r"[^\p{L}]", "")
-        hit = F.lit(False)
-        for w in REFERENCE_WORDS:
-            hit = hit | (low == w) | (low.startswith(w) & (width < 30)) | (
-                low.contains(w) & (width < 20)) | ((width < 30) & (letters == w))
-        return hit
+        def test(low: Column) -> Column:
+            width = F.length(low)
+            letters = F.regexp_replace(low, r"[^\p{L}]", "")
+            hit = F.lit(False)
+            for w in REFERENCE_WORDS:
+                hit = hit | (low.startswith(w) & (width < 30)) | (low.contains(w) & (width < 20)) | (
+                    (width < 30) & (letters == w))
+            return hit
 
-    def citations(i: Column) -> Column:
-        near = F.slice(cited, i + 1, F.lit(5))
-        return F.get(cited, i) & (F.size(F.filter(near, lambda c: c)) >= 2)
+        return let(F.lower(strip(line)), test)
 
-    return F.array_join(_before_first(lines, lambda l, i: heading(l) | citations(i)), "\n")
+    def cut(lines: Column) -> Column:
+        def with_citations(cited: Column) -> Column:
+            follows = lambda i: F.size(F.filter(F.slice(cited, i + 1, F.lit(5)), lambda c: c)) >= 2
+            return _before_first(lines, lambda l, i: heading(l) | (F.get(cited, i) & follows(i)))
+
+        return let(F.transform(lines, lambda l: strip(l).rlike(r"^\[(?U:\d+)\]")), with_citations)
+
+    return F.array_join(let(F.split(as_col(text), "\n"), cut), "\n")
 
 
 def section_text(text: Column | str, title: Column | str, next_title: Column | str | None = None) -> Column:
     """Text after the title line, up to the next title or a short reference line."""
-    lines = F.split(as_col(text), "\n")
-    name = F.lower(clean_title(title))
-    is_title = lambda l: (
-        (F.contains(F.lower(clean_title(l)), name) | F.contains(name, F.lower(clean_title(l))))
-        & (F.length(name) > 5) & (F.length(clean_title(l)) > 5))
-    found = F.array_position(F.transform(lines, is_title), True).cast("int")
-    body = F.when(found > 0, F.slice(lines, found + 1, F.size(lines))).otherwise(lines)
+
+    def after_title(lines: Column) -> Column:
+        def matches(line: Column, name: Column) -> Column:
+            return let(F.lower(clean_title(line)), lambda c: (F.contains(c, name) | F.contains(name, c)) & (
+                F.length(name) > 5) & (F.length(c) > 5))
+
+        found = let(F.lower(clean_title(title)), lambda name: F.array_position(
+            F.transform(lines, lambda l: matches(l, name)), True).cast("int"))
+        return let(found, lambda at: F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(lines))
+
+    body = let(F.split(as_col(text), "\n"), after_title)
     if next_title is None:
         return F.array_join(body, "\n")
-    after = F.lower(clean_title(next_title))
 
-    def ends(line: Column, _i: Column) -> Column:
-        low = F.lower(line)
-        short = F.length(strip(line)) < 50
-        mark = F.lit(False)
-        for w in REFERENCE_WORDS:
-            mark = mark | low.contains(w)
-        return F.contains(low, after) | (mark & short)
+    def ends(line: Column, after: Column) -> Column:
+        def test(low: Column) -> Column:
+            mark = F.lit(False)
+            for w in REFERENCE_WORDS:
+                mark = mark | low.contains(w)
+            return F.contains(low, after) | (mark & (F.length(strip(line)) < 50))
+
+        return let(F.lower(line), test)
 
-    return F.array_join(_before_first(body, ends), "\n")
+    until = let(F.lower(clean_title(next_title)), lambda after: let(
+        body, lambda lines: _before_first(lines, lambda l, _i: ends(l, after))))
+    return F.array_join(until, "\n")
 
 
 def clean_extracted_text(text: Column | str) -> Column:

@@ -14,7 +14,7 @@ from ..functions.axioms import complete
 from ..functions.prompts import json_object_text, strip_code_fence
 from ..functions.text import not_blank, strip
 from ..scale import dense_position, keep_last, salted_join, top_n
-from ..schemas import LAYER1_DOC
+from ..schemas import LAYER1_TRIPLE
 from ..session import cut_lineage
 
 SLOTS = ("subject", "relation", "object")
@@ -178,16 +178,24 @@ def parse_layer1(raw: DataFrame) -> DataFrame:
 
     Input: (doc_id, chunk_id, raw). A triple without a chunk takes the answer's.
     """
+    lists = "struct<terms:array<string>,triples:array<string>>"
     parsed = raw.withColumns({
         "_text": strip_code_fence("raw"), "_json": json_object_text("raw"),
-    }).withColumn("d", F.from_json("_json", LAYER1_DOC))
+    }).withColumn("d", F.from_json("_json", lists))
     terms = F.array_distinct(F.filter(F.transform("d.terms", strip), lambda t: t != ""))
 
     def clean(t: Column) -> Column:
         chunk = F.coalesce(F.nullif(strip(t["chunk"]), F.lit("")), F.col("chunk_id"))
         return F.struct(*[strip(t[c]).alias(c) for c in SLOTS], chunk.alias("chunk"), strip(t["context"]).alias("context"))
 
-    error = F.when(F.col("_text") == "", F.lit("empty response")).when(F.col("_json").isNull(), F.lit("not a JSON object"))
+    objects = F.filter("d.triples", lambda t: F.ltrim(t).startswith("{"))
+    triples = F.transform(F.transform(objects, lambda t: F.from_json(t, LAYER1_TRIPLE)), clean)
+    stated = lambda name: F.get_json_object("_json", f"$.{name}").isNotNull() & F.col(f"d.{name}").isNull()
+    error = (
+        F.when(F.col("_text") == "", F.lit("empty response"))
+        .when(F.col("_json").isNull(), F.lit("not a JSON object"))
+        .when(stated("terms"), F.lit("terms is not a list"))
+        .when(stated("triples"), F.lit("triples is not a list"))
+    )
     return parsed.select(
-        "doc_id", "chunk_id", terms.alias("terms"),
-        F.transform(F.filter("d.triples", lambda t: t.isNotNull()), clean).alias("triples"), error.alias("error"))
+        "doc_id", "chunk_id", terms.alias("terms"), triples.alias("triples"), error.alias("error"))

@@ -197,11 +197,11 @@ def _(t):
     return members
 
 
-VOTED = f"""(with vocab as (select doc_id, term, min(at) as at from (select doc_id, trim(term) as term, [0, pos, 0] as at from v_doc_terms union all select doc_id, term, [1, pos, slot] from ({MENTIONS})) where term <> '' group by 1, 2),
+VOTED = f"""(with vocab as (select doc_id, term, min(ord) as ord from (select doc_id, trim(term) as term, [0, pos, 0] as ord from v_doc_terms union all select doc_id, term, [1, pos, slot] from ({MENTIONS})) where term <> '' group by 1, 2),
 cl as (select doc_id, trim(original) as original, coalesce(nullif(trim(normalized), ''), trim(original)) as normalized, trim(type) as type from v_votes where trim(original) <> ''),
 nb as (select doc_id, original, normalized from (select doc_id, original, normalized, count(*) as n from cl group by 1, 2, 3) qualify row_number() over (partition by doc_id, original order by n desc, (normalized = original) desc, length(normalized) desc, normalized desc) = 1),
 tb as (select doc_id, original, type from (select doc_id, original, type, count(*) as n from cl where type <> '' group by 1, 2, 3) qualify row_number() over (partition by doc_id, original order by n desc, (type = original) desc, length(type) desc, type desc) = 1)
-select v.doc_id, v.term as original, coalesce(nb.normalized, v.term) as normalized, coalesce(tb.type, '') as type, v.at from vocab v left join nb on nb.doc_id = v.doc_id and nb.original = v.term left join tb on tb.doc_id = v.doc_id and tb.original = v.term)"""
+select v.doc_id, v.term as original, coalesce(nb.normalized, v.term) as normalized, coalesce(tb.type, '') as type, v.ord from vocab v left join nb on nb.doc_id = v.doc_id and nb.original = v.term left join tb on tb.doc_id = v.doc_id and tb.original = v.term)"""
 
 
 def voted(t):
@@ -215,7 +215,7 @@ def _(t):
 
 @query("L04_term_and_type_maps", f"""
 select doc_id, 'term' as map, original as key, normalized as value from {VOTED}
-union all select doc_id, 'type', normalized, type from (select * from {VOTED} where type <> '' qualify row_number() over (partition by doc_id, normalized order by at desc) = 1)""")
+union all select doc_id, 'type', normalized, type from (select * from {VOTED} where type <> '' qualify row_number() over (partition by doc_id, normalized order by ord desc) = 1)""")
 def _(t):
     v = cut_lineage(voted(t), "voted")
     terms = te.term_map(v).select("doc_id", F.lit("term").alias("map"), F.col("original").alias("key"), F.col("normalized").alias("value"))
@@ -547,9 +547,14 @@ def _(t):
 
 @query("S06_scan_layer_json", """
 select d.doc_id || '' as doc_id, d.domain, cast(count(distinct case when axiom_type = 'Class' then pos end) as int) as classes, cast(count(distinct case when axiom_type = 'range' then pos end) as int) as ranges, false as corrupt
-from v_domains d left join v_chunk_axioms a on a.doc_id = d.doc_id group by 1, 2""")
+from v_domains d left join v_chunk_axioms a on a.doc_id = d.doc_id group by 1, 2
+union all select null, null, null, null, true from v_domains""")
 def _(t):
     path = scratch_path(t.spark, "layer3")
-    document_form(t).write.option("maxRecordsPerFile", 1).json(path)
-    docs = readers.scan_layer_json(t.spark, path, schemas.LAYER3_DOC, ["classes", "range_axioms"])
-    return docs.select("doc_id", "domain", F.size("classes").alias("classes"), F.size("range_axioms").alias("ranges"), F.col("_corrupt").isNotNull().alias("corrupt"))
+    good = document_form(t).select(F.to_json(F.struct("*")).alias("value"))
+    cut = t.v_domains.select(F.concat(F.lit('{"doc_id": "d'), "doc_id", F.lit('", "classes": 5')).alias("value"))
+    good.union(cut).write.text(path)
+    docs = readers.scan_layer_json(t.spark, path, schemas.LAYER3_DOC, ["classes", "range_axioms"], per_file=False)
+    broken = F.col("_corrupt").isNotNull()
+    return docs.select(*[F.when(~broken, c).alias(n) for n, c in (
+        ("doc_id", F.col("doc_id")), ("domain", F.col("domain")), ("classes", F.size("classes")), ("ranges", F.size("range_axioms")))], broken.alias("corrupt"))

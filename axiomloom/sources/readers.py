@@ -90,11 +90,15 @@ def scan_doc_domain_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_layer_json(spark: SparkSession, path: str, schema: StructType,
-                    required: Sequence[str] = ()) -> DataFrame:
-    """One JSON object per file. Unreadable files, and files where a required
-    list is missing or is not a list, keep their raw text in ``_corrupt``."""
+                    required: Sequence[str] = (), per_file: bool = True) -> DataFrame:
+    """One JSON object per file, or per line for large collections. Unreadable
+    objects, and objects where a required list is missing or is not a list,
+    keep their raw text in ``_corrupt``."""
     full = StructType(list(schema.fields)).add("_corrupt", "string")
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    if per_file:
+        raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    else:
+        raw = spark.read.text(path, recursiveFileLookup=True)
     parsed = raw.select(
         F.col("_metadata.file_path").alias("path"), F.col("value"),
         F.from_json("value", full, {"columnNameOfCorruptRecord": "_corrupt"}).alias("d"),

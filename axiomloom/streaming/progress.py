@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.judgement import final_status
 from ..scale import keep_last
@@ -38,7 +38,7 @@ def _log_batches(stream: DataFrame, path: str, checkpoint: str, mode: str, keys:
 
 def _read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The batches of a log with their number in ``batch_id``."""
-    full = StructType(list(schema.fields)).add("batch_id", "bigint")
+    full = StructType([*schema.fields, StructField("batch_id", LongType())])
     return spark.read.schema(full).parquet(path)
 
 
