@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_token
-from ..scale import salted_join
-from ..session import cut_lineage
+from ..scale import find_hot_keys, salt_hot_keys, salted_join
+from ..session import cut_and_count, cut_lineage
 
 KEYS = ("method", "domain", "axiom_type")
 ALL_DOMAINS = "all"
@@ -47,81 +47,64 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _spread(start: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _spread(labels: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest label reaching each node along src -> dst.
 
-    ``start``: (keys, node, label). Only nodes whose label shrank send it on.
+    ``labels``: (keys, node, label). Only nodes whose label shrank send it on;
+    labels meeting at a node are reduced before the shuffle.
     """
-    keys = list(keys)
-    labels, changed = start, start
+    on = [*keys, "node"]
+    hot = find_hot_keys(edges, on)
+    changed = labels
     while True:
-        sent = changed.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node"), "label")
-        best = sent.groupBy(*keys, "node").agg(F.min("label").alias("_new"))
-        merged = cut_lineage(
-            labels.join(best, [*keys, "node"], "left").select(
-                *keys, "node", F.least("label", F.coalesce("_new", "label")).alias("label"),
-                (F.coalesce("_new", "label") < F.col("label")).alias("moved")), "label")
-        labels = merged.select(*keys, "node", "label")
-        changed = merged.filter("moved").select(*keys, "node", "label")
-        if changed.isEmpty():
+        sent = salt_hot_keys(edges, changed, on, hot).select(*keys, F.col("dst").alias("node"), "label")
+        best = sent.groupBy(*on).agg(F.min("label").alias("_new"))
+        smaller = F.coalesce(F.col("_new") < F.col("label"), F.lit(False))
+        merged, seen = cut_and_count(labels.join(best, on, "left").select(
+            *on, F.when(smaller, F.col("_new")).otherwise(F.col("label")).alias("label"), smaller.alias("moved"),
+        ), "label", moved=F.col("moved"))
+        labels = merged.select(*on, "label")
+        if not seen["moved"]:
             return labels
+        changed = merged.filter("moved").select(*on, "label")
 
 
 def strongly_connected(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, node, component, size); a component is named by its smallest node.
 
-    Nodes without incoming or without outgoing edges are peeled off first.
-    The rest is coloured by the smallest node that reaches it; the nodes that
-    reach that smallest node back form its component and leave the graph.
+    Each pass finds, for every node, the smallest node that reaches it and the
+    smallest it reaches (both directions spread in the same rounds). If the two
+    are one node, that node and this one reach each other: a component is
+    found. Nodes of one component always agree on both labels, so every edge
+    whose ends differ leaves the graph before the next pass. Members of a
+    component are never paired with each other.
     """
     keys = list(keys)
-    live = cut_lineage(edges.select(*keys, "sub", "super").distinct(), "live")
+    live, seen = cut_and_count(edges.select(*keys, "sub", "super").distinct(), "live")
     everything = cut_lineage(graph_nodes(live, keys), "nodes")
-    while True:
-        into, out = live.select(*keys, F.col("super").alias("node")), live.select(*keys, F.col("sub").alias("node"))
-        core = into.distinct().join(out.distinct(), [*keys, "node"], "left_semi")
-        inner = live.join(core.withColumnRenamed("node", "sub"), [*keys, "sub"], "left_semi").join(
-            core.withColumnRenamed("node", "super"), [*keys, "super"], "left_semi")
-        inner = cut_lineage(inner, "core")
-        if inner.count() == live.count():
-            break
-        live = inner
     found: list[DataFrame] = []
-    while not live.isEmpty():
-        nodes = graph_nodes(live, keys)
-        forward = live.select(*keys, F.col("sub").alias("node"), F.col("super").alias("dst"))
-        colour = _spread(nodes.withColumn("label", F.col("node")), forward, keys)
-        src = colour.select(*keys, F.col("node").alias("sub"), F.col("label").alias("_a"))
-        dst = colour.select(*keys, F.col("node").alias("super"), F.col("label").alias("_b"))
-        inside = live.join(src, [*keys, "sub"]).join(dst, [*keys, "super"]).filter("_a = _b").select(
-            *keys, F.col("_a").alias("colour"), F.col("super").alias("node"), F.col("sub").alias("dst"))
-        inside = cut_lineage(inside, "inside")
-        roots = colour.filter("node = label").select(*keys, F.col("label").alias("colour"), "node")
-        members = _reach(roots, inside, [*keys, "colour"])
-        found.append(members.select(*keys, "node", F.col("colour").alias("component")))
-        gone = members.select(*keys, "node")
-        rest = live.join(gone.withColumnRenamed("node", "sub"), [*keys, "sub"], "left_anti").join(
-            gone.withColumnRenamed("node", "super"), [*keys, "super"], "left_anti")
-        live = cut_lineage(rest, "live")
+    while seen["rows"]:
+        ways = [F.struct(F.lit(w).alias("way"), F.col(a).alias("node"), F.col(b).alias("dst"))
+                for w, a, b in (("from", "sub", "super"), ("to", "super", "sub"))]
+        arcs = cut_lineage(live.select(*keys, F.explode(F.array(*ways)).alias("a")).select(*keys, "a.*"), "arcs")
+        start = arcs.select(*keys, "way", F.explode(F.array("node", "dst")).alias("node")).distinct()
+        labels = _spread(start.withColumn("label", F.col("node")), arcs, [*keys, "way"])
+        both = cut_lineage(labels.groupBy(*keys, "node").agg(
+            F.max(F.when(F.col("way") == "from", F.col("label"))).alias("low"),
+            F.max(F.when(F.col("way") == "to", F.col("label"))).alias("high")), "both")
+        found.append(both.filter("low = high").select(*keys, "node", F.col("low").alias("component")))
+        open_ = both.filter("low <> high")
+        a = open_.select(*keys, F.col("node").alias("sub"), F.col("low").alias("_al"), F.col("high").alias("_ah"))
+        b = open_.select(*keys, F.col("node").alias("super"), F.col("low").alias("_bl"), F.col("high").alias("_bh"))
+        live, seen = cut_and_count(
+            live.join(a, [*keys, "sub"]).join(b, [*keys, "super"])
+            .filter("_al = _bl and _ah = _bh").select(*keys, "sub", "super"), "live")
     placed = _union(found) if found else everything.limit(0).withColumn("component", F.col("node"))
     named = everything.join(placed, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
     return cut_lineage(named.join(sizes, [*keys, "component"]).select(*keys, "node", "component", "size"), "scc")
 
 
-def _reach(seeds: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All (keys, node) reachable from the seeds along node -> dst."""
-    keys = list(keys)
-    frontier = cut_lineage(seeds.select(*keys, "node").distinct(), "reach")
-    seen = [frontier]
-    while True:
-        step = frontier.join(edges, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(_union(seen), [*keys, "node"], "left_anti"), "reach")
-        if frontier.isEmpty():
-            return _union(seen)
-        seen.append(frontier)
-
-
 def condensed_edges(edges: DataFrame, components: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Distinct edges between different components: an acyclic graph."""
     keys = list(keys)
@@ -143,13 +126,14 @@ def component_depths(components: DataFrame, dag: DataFrame, keys: Sequence[str]
     parts = components.select(*keys, "component", "size").distinct()
     tops = parts.join(dag.select(*keys, F.col("sub").alias("component")).distinct(), [*keys, "component"], "left_anti")
     down = dag.select(*keys, F.col("super").alias("component"), F.col("sub").alias("child"))
+    hot = find_hot_keys(down, [*keys, "component"])
     level = cut_lineage(tops.select(*keys, "component", F.lit(0).alias("depth")), "level")
     levels = [level]
     while True:
-        step = level.join(down, [*keys, "component"]).select(
+        step = salt_hot_keys(down, level, [*keys, "component"], hot).select(
             *keys, F.col("child").alias("component"), (F.col("depth") + 1).alias("depth")).distinct()
-        level = cut_lineage(step, "level")
-        if level.isEmpty():
+        level, seen = cut_and_count(step, "level")
+        if not seen["rows"]:
             break
         levels.append(level)
     depths = _union(levels).groupBy(*keys, "component").agg(F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
@@ -166,22 +150,34 @@ def depth_metrics(depths: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS)
 
 
 def closure_pairs(dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """All (sub, super) component pairs connected by a path.
-
-    Semi-naive: a round extends only the pairs found in the round before, and
-    drops those already known, so each pair is extended once.
+    """(keys, sub, super, steps): all connected component pairs of an acyclic
+    graph with their shortest distance.
+
+    Distances double per round. A pair more than n steps apart passes a node
+    exactly n steps from its start, so the pairs of exactly n steps joined with
+    the known pairs (at most n steps) give all pairs up to 2n steps; a pair is
+    derived only once per such middle node. Rounds grow with the logarithm of
+    the depth.
     """
     keys = list(keys)
-    frontier = cut_lineage(dag.select(*keys, "sub", "super").distinct(), "closure")
-    known = [frontier]
-    step = dag.select(*keys, F.col("sub").alias("super"), F.col("super").alias("_up"))
-    while True:
-        longer = salted_join(frontier, step, [*keys, "super"]).select(
-            *keys, "sub", F.col("_up").alias("super")).distinct()
-        frontier = cut_lineage(longer.join(_union(known), [*keys, "sub", "super"], "left_anti"), "closure")
-        if frontier.isEmpty():
-            return _union(known)
-        known.append(frontier)
+    n = 1
+    known, seen = cut_and_count(
+        dag.select(*keys, "sub", "super").distinct().withColumn("steps", F.lit(1)), "closure")
+    pieces, exact = [known], known
+    while seen["rows"]:
+        left = exact.select(*keys, "sub", F.col("super").alias("middle"))
+        right = _union(pieces).select(*keys, F.col("sub").alias("middle"), "super", F.col("steps").alias("_more"))
+        longer = salted_join(left, right, [*keys, "middle"]).groupBy(*keys, "sub", "super").agg(
+            (F.min("_more") + n).alias("steps"))
+        fresh = longer.join(_union(pieces).select(*keys, "sub", "super"), [*keys, "sub", "super"], "left_anti")
+        n *= 2
+        piece, seen = cut_and_count(fresh, "closure", exact=F.col("steps") == n)
+        if seen["rows"]:
+            pieces.append(piece)
+        if not seen["exact"]:
+            break
+        exact = piece.filter(F.col("steps") == n)
+    return _union(pieces)
 
 
 def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -194,7 +190,7 @@ def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str]
     sizes = components.select(*keys, "component", "size").distinct()
     a = sizes.select(*keys, F.col("component").alias("sub"), F.col("size").alias("_a"))
     b = sizes.select(*keys, F.col("component").alias("super"), F.col("size").alias("_b"))
-    across = salted_join(salted_join(closure_pairs(dag, keys), a, [*keys, "sub"]), b, [*keys, "super"])
+    across = salted_join(salted_join(closure_pairs(dag, keys).drop("steps"), a, [*keys, "sub"]), b, [*keys, "super"])
     counts = across.select(*keys, (F.col("_a") * F.col("_b")).alias("n")).unionByName(
         sizes.select(*keys, (F.col("size") * (F.col("size") - 1)).alias("n")))
     return counts.groupBy(*keys).agg(F.sum("n").alias("semantic_content"))

@@ -155,6 +155,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -
     )
 
 
+def find_hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """hot_keys as a fixed small frame, or None when no key is hot. For loops
+    that join the same table many times."""
+    hot = hot_keys(df, keys, min_rows)
+    rows = hot.collect()
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
                 min_rows: int = HOT_KEY_ROWS, salts: int = SALTS) -> DataFrame:
     """Equi join whose heaviest left keys are spread over ``salts`` tasks.
@@ -163,14 +171,18 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     Right rows of a hot key are repeated once per salt; all others once. ``how``
     may be inner, left, left_semi or left_anti.
     """
-    hot = F.broadcast(hot_keys(left, on, min_rows))
-    spread = F.when(
-        F.coalesce(F.col("_hot"), F.lit(False)),
-        _salt(left.columns, salts),
-    ).otherwise(F.lit(0)).cast("int")
+    return salt_hot_keys(left, right, on, hot_keys(left, on, min_rows), how, salts)
+
+
+def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None,
+                  how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """salted_join with the hot keys already known; None is a plain join."""
+    if hot is None:
+        return left.join(right, list(on), how)
+    hot = F.broadcast(hot)
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    spread = F.when(is_hot, _salt(left.columns, salts)).otherwise(F.lit(0)).cast("int")
     lhs = left.join(hot, list(on), "left").withColumn("_salt", spread).drop("_hot")
-    copies = F.when(
-        F.coalesce(F.col("_hot"), F.lit(False)), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     rhs = right.join(hot, list(on), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
