@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, as_col, clean_title, collapse, let, rstrip, strip, title_id
 from ..scale import dense_position
+from ..session import cut_lineage
 
 MAX_CHUNK = 5000
 MIN_HEADINGS, MAX_HEADINGS = 3, 10
@@ -104,7 +105,8 @@ def chunk_pages(pages: DataFrame, n: int = MAX_CHUNK) -> DataFrame:
         content.alias("text"),
         (F.col("page_no").cast("bigint") * (1 << 20) + part).alias("_order"),
     )
-    return dense_position(rows, ["doc_id"], "_order", "chunk_index").drop("_order")
+    chunks = cut_lineage(rows, "chunks")
+    return dense_position(chunks, ["doc_id"], "_order", "chunk_index").drop("_order")
 
 
 def valid_heading(title: Column | str) -> Column:

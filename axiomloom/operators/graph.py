@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_token
-from ..scale import find_hot_keys, salt_hot_keys, salted_join
+from ..scale import dense_position, find_hot_keys, hash_long, salt_hot_keys, salted_join
 from ..session import cut_and_count, cut_lineage
 
 KEYS = ("method", "domain", "axiom_type")
 ALL_DOMAINS = "all"
+# Rounds of label changes kept apart before they are merged into one table.
+MERGE_AFTER = 6
 
 
 def collect_edges(records: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -47,111 +49,128 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _spread(labels: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Smallest label reaching each node along src -> dst.
+def number_nodes(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes with a number ``id`` over all graphs, arcs as (src, dst) numbers).
 
-    ``labels``: (keys, node, label). Only nodes whose label shrank send it on;
-    labels meeting at a node are reduced before the shuffle.
+    The loops below then move two integers per row instead of graph keys and
+    names, and nodes of different graphs can never be confused.
     """
-    on = [*keys, "node"]
-    hot = find_hot_keys(edges, on)
-    changed = labels
+    keys = list(keys)
+    named = cut_lineage(graph_nodes(edges, keys).withColumn("_order", hash_long(*keys, "node")), "nodes")
+    nodes = cut_lineage(dense_position(named, [], "_order", "id", tie=[*keys, "node"]).drop("_order"), "numbered")
+    a = nodes.select(*keys, F.col("node").alias("sub"), F.col("id").alias("src"))
+    b = nodes.select(*keys, F.col("node").alias("super"), F.col("id").alias("dst"))
+    arcs = salted_join(salted_join(edges, a, [*keys, "sub"]), b, [*keys, "super"]).select("src", "dst")
+    return nodes, cut_lineage(arcs.distinct(), "arcs")
+
+
+def _smallest_reaching(arcs: DataFrame) -> DataFrame:
+    """(node, label): the smallest number from which each node can be reached.
+
+    Every node starts with itself. Only nodes whose label shrank send it on,
+    labels meeting at a node are reduced before the shuffle, and a round stores
+    just the labels it improved; the label of a node is its smallest entry.
+    """
+    hot = find_hot_keys(arcs.select(F.col("src").alias("node")), ["node"])
+    start = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    changed = cut_lineage(start.withColumn("label", F.col("node")), "labels")
+    pieces = [changed]
+    out = arcs.select(F.col("src").alias("node"), "dst")
     while True:
-        sent = salt_hot_keys(edges, changed, on, hot).select(*keys, F.col("dst").alias("node"), "label")
-        best = sent.groupBy(*on).agg(F.min("label").alias("_new"))
-        smaller = F.coalesce(F.col("_new") < F.col("label"), F.lit(False))
-        merged, seen = cut_and_count(labels.join(best, on, "left").select(
-            *on, F.when(smaller, F.col("_new")).otherwise(F.col("label")).alias("label"), smaller.alias("moved"),
-        ), "label", moved=F.col("moved"))
-        labels = merged.select(*on, "label")
-        if not seen["moved"]:
-            return labels
-        changed = merged.filter("moved").select(*on, "label")
+        sent = salt_hot_keys(out, changed, ["node"], hot).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_new"))
+        now = _union(pieces).join(sent, "node").groupBy("node").agg(F.min("label").alias("_now"), F.min("_new").alias("label"))
+        changed, seen = cut_and_count(now.filter("label < _now").select("node", "label"), "labels")
+        if not seen["rows"]:
+            return _union(pieces).groupBy("node").agg(F.min("label").alias("label"))
+        pieces.append(changed)
+        if len(pieces) > MERGE_AFTER:
+            pieces = [cut_lineage(_union(pieces).groupBy("node").agg(F.min("label").alias("label")), "labels")]
 
 
 def strongly_connected(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, node, component, size); a component is named by its smallest node.
-
-    Each pass finds, for every node, the smallest node that reaches it and the
-    smallest it reaches (both directions spread in the same rounds). If the two
-    are one node, that node and this one reach each other: a component is
-    found. Nodes of one component always agree on both labels, so every edge
-    whose ends differ leaves the graph before the next pass. Members of a
-    component are never paired with each other.
+    """(keys, node, component, size, component_id); a component is named by its
+    smallest node name.
+
+    Each pass finds, for every node, the smallest number that reaches it and
+    the smallest it reaches: both directions run in the same rounds as two
+    copies of the graph. If the two are one node, that node and this one reach
+    each other: a component is found. Nodes of one component always agree on
+    both labels, so every arc whose ends differ leaves before the next pass.
+    Members of a component are never paired with each other.
     """
     keys = list(keys)
-    live, seen = cut_and_count(edges.select(*keys, "sub", "super").distinct(), "live")
-    everything = cut_lineage(graph_nodes(live, keys), "nodes")
+    nodes, live = number_nodes(edges.select(*keys, "sub", "super").distinct(), keys)
+    left = 0 if live.isEmpty() else 1
     found: list[DataFrame] = []
-    while seen["rows"]:
-        ways = [F.struct(F.lit(w).alias("way"), F.col(a).alias("node"), F.col(b).alias("dst"))
-                for w, a, b in (("from", "sub", "super"), ("to", "super", "sub"))]
-        arcs = cut_lineage(live.select(*keys, F.explode(F.array(*ways)).alias("a")).select(*keys, "a.*"), "arcs")
-        start = arcs.select(*keys, "way", F.explode(F.array("node", "dst")).alias("node")).distinct()
-        labels = _spread(start.withColumn("label", F.col("node")), arcs, [*keys, "way"])
-        both = cut_lineage(labels.groupBy(*keys, "node").agg(
-            F.max(F.when(F.col("way") == "from", F.col("label"))).alias("low"),
-            F.max(F.when(F.col("way") == "to", F.col("label"))).alias("high")), "both")
-        found.append(both.filter("low = high").select(*keys, "node", F.col("low").alias("component")))
+    while left:
+        both_ways = F.array(
+            F.struct((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst")),
+            F.struct((F.col("dst") * 2 + 1).alias("src"), (F.col("src") * 2 + 1).alias("dst")))
+        doubled = cut_lineage(live.select(F.explode(both_ways).alias("a")).select("a.*"), "doubled")
+        labels = _smallest_reaching(doubled)
+        back, plain = F.col("node") % 2 == 1, lambda c: F.floor(F.col(c) / 2).cast("bigint")
+        both = cut_lineage(labels.groupBy(plain("node").alias("id")).agg(
+            F.max(F.when(~back, plain("label"))).alias("low"), F.max(F.when(back, plain("label"))).alias("high")), "both")
+        found.append(both.filter("low = high").select("id", F.col("low").alias("component_id")))
         open_ = both.filter("low <> high")
-        a = open_.select(*keys, F.col("node").alias("sub"), F.col("low").alias("_al"), F.col("high").alias("_ah"))
-        b = open_.select(*keys, F.col("node").alias("super"), F.col("low").alias("_bl"), F.col("high").alias("_bh"))
+        a = open_.select(F.col("id").alias("src"), F.col("low").alias("_al"), F.col("high").alias("_ah"))
+        b = open_.select(F.col("id").alias("dst"), F.col("low").alias("_bl"), F.col("high").alias("_bh"))
         live, seen = cut_and_count(
-            live.join(a, [*keys, "sub"]).join(b, [*keys, "super"])
-            .filter("_al = _bl and _ah = _bh").select(*keys, "sub", "super"), "live")
-    placed = _union(found) if found else everything.limit(0).withColumn("component", F.col("node"))
-    named = everything.join(placed, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
-    return cut_lineage(named.join(sizes, [*keys, "component"]).select(*keys, "node", "component", "size"), "scc")
+            live.join(a, "src").join(b, "dst").filter("_al = _bl and _ah = _bh").select("src", "dst"), "live")
+        left = seen["rows"]
+    placed = _union(found) if found else nodes.limit(0).select("id", F.col("id").alias("component_id"))
+    members = cut_lineage(nodes.join(placed, "id", "left").select(
+        *keys, "node", F.coalesce("component_id", "id").alias("component_id")), "members")
+    named = members.groupBy("component_id").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size"))
+    return cut_lineage(members.join(named, "component_id").select(*keys, "node", "component", "size", "component_id"), "scc")
 
 
 def condensed_edges(edges: DataFrame, components: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Distinct edges between different components: an acyclic graph."""
+    """Distinct edges between different components, (keys, sub, super) by
+    number: an acyclic graph."""
     keys = list(keys)
-    a = components.select(*keys, F.col("node").alias("sub"), F.col("component").alias("_a"))
-    b = components.select(*keys, F.col("node").alias("super"), F.col("component").alias("_b"))
+    a = components.select(*keys, F.col("node").alias("sub"), F.col("component_id").alias("_a"))
+    b = components.select(*keys, F.col("node").alias("super"), F.col("component_id").alias("_b"))
     joined = salted_join(salted_join(edges, a, [*keys, "sub"]), b, [*keys, "super"])
     return cut_lineage(joined.filter("_a <> _b").select(
         *keys, F.col("_a").alias("sub"), F.col("_b").alias("super")).distinct(), "dag")
 
 
 def component_depths(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, component, size, shortest, longest) below the top of the hierarchy.
+    """(keys, component, component_id, size, shortest, longest) below the top.
 
     Round i holds the components some path of exactly i steps leads to from a
     top component; the first and last rounds that hold a component are its
     shortest and longest depth. The graph is acyclic, so the rounds end.
     """
-    keys = list(keys)
-    parts = components.select(*keys, "component", "size").distinct()
-    tops = parts.join(dag.select(*keys, F.col("sub").alias("component")).distinct(), [*keys, "component"], "left_anti")
-    down = dag.select(*keys, F.col("super").alias("component"), F.col("sub").alias("child"))
-    hot = find_hot_keys(down, [*keys, "component"])
-    level = cut_lineage(tops.select(*keys, "component", F.lit(0).alias("depth")), "level")
-    levels = [level]
+    parts = cut_lineage(components.select(*keys, "component", "component_id", "size").distinct(), "parts")
+    down = cut_lineage(dag.select(F.col("super").alias("id"), F.col("sub").alias("child")), "down")
+    hot = find_hot_keys(down, ["id"])
+    level = cut_lineage(parts.select(F.col("component_id").alias("id")).join(
+        down.select(F.col("child").alias("id")).distinct(), "id", "left_anti"), "level")
+    levels = [level.withColumn("depth", F.lit(0))]
     while True:
-        step = salt_hot_keys(down, level, [*keys, "component"], hot).select(
-            *keys, F.col("child").alias("component"), (F.col("depth") + 1).alias("depth")).distinct()
+        step = salt_hot_keys(down, level, ["id"], hot).select(F.col("child").alias("id")).distinct()
         level, seen = cut_and_count(step, "level")
         if not seen["rows"]:
             break
-        levels.append(level)
-    depths = _union(levels).groupBy(*keys, "component").agg(F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
-    return parts.join(depths, [*keys, "component"])
+        levels.append(level.withColumn("depth", F.lit(len(levels))))
+    depths = _union(levels).groupBy(F.col("id").alias("component_id")).agg(
+        F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
+    return parts.join(depths, "component_id")
 
 
 def depth_metrics(depths: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Longest path to a leaf, and size-weighted mean of the shortest depth."""
-    keys = list(keys)
-    parents = dag.select(*keys, F.col("super").alias("component")).distinct().withColumn("_parent", F.lit(True))
-    return depths.join(parents, [*keys, "component"], "left").groupBy(*keys).agg(
+    parents = dag.select(F.col("super").alias("component_id")).distinct().withColumn("_parent", F.lit(True))
+    return depths.join(parents, "component_id", "left").groupBy(*keys).agg(
         F.max(F.when(F.col("_parent").isNull(), F.col("longest"))).alias("max_depth"),
         (F.sum(F.col("shortest") * F.col("size")).cast("double") / F.sum("size")).alias("avg_depth"))
 
 
-def closure_pairs(dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, sub, super, steps): all connected component pairs of an acyclic
-    graph with their shortest distance.
+def closure_pairs(dag: DataFrame) -> DataFrame:
+    """(sub, super, steps): all connected pairs of an acyclic graph of numbered
+    nodes, with their shortest distance.
 
     Distances double per round. A pair more than n steps apart passes a node
     exactly n steps from its start, so the pairs of exactly n steps joined with
@@ -159,17 +178,14 @@ def closure_pairs(dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     derived only once per such middle node. Rounds grow with the logarithm of
     the depth.
     """
-    keys = list(keys)
     n = 1
-    known, seen = cut_and_count(
-        dag.select(*keys, "sub", "super").distinct().withColumn("steps", F.lit(1)), "closure")
+    known, seen = cut_and_count(dag.select("sub", "super").distinct().withColumn("steps", F.lit(1)), "closure")
     pieces, exact = [known], known
     while seen["rows"]:
-        left = exact.select(*keys, "sub", F.col("super").alias("middle"))
-        right = _union(pieces).select(*keys, F.col("sub").alias("middle"), "super", F.col("steps").alias("_more"))
-        longer = salted_join(left, right, [*keys, "middle"]).groupBy(*keys, "sub", "super").agg(
-            (F.min("_more") + n).alias("steps"))
-        fresh = longer.join(_union(pieces).select(*keys, "sub", "super"), [*keys, "sub", "super"], "left_anti")
+        left = exact.select("sub", F.col("super").alias("middle"))
+        right = _union(pieces).select(F.col("sub").alias("middle"), "super", F.col("steps").alias("_more"))
+        longer = salted_join(left, right, ["middle"]).groupBy("sub", "super").agg((F.min("_more") + n).alias("steps"))
+        fresh = longer.join(_union(pieces).select("sub", "super"), ["sub", "super"], "left_anti")
         n *= 2
         piece, seen = cut_and_count(fresh, "closure", exact=F.col("steps") == n)
         if seen["rows"]:
@@ -187,11 +203,11 @@ def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str]
     size * (size - 1), so members are counted, not enumerated.
     """
     keys = list(keys)
-    sizes = components.select(*keys, "component", "size").distinct()
-    a = sizes.select(*keys, F.col("component").alias("sub"), F.col("size").alias("_a"))
-    b = sizes.select(*keys, F.col("component").alias("super"), F.col("size").alias("_b"))
-    across = salted_join(salted_join(closure_pairs(dag, keys).drop("steps"), a, [*keys, "sub"]), b, [*keys, "super"])
-    counts = across.select(*keys, (F.col("_a") * F.col("_b")).alias("n")).unionByName(
+    sizes = components.select(*keys, "component_id", "size").distinct()
+    a = sizes.select(*keys, F.col("component_id").alias("sub"), F.col("size").alias("_a"))
+    b = sizes.select(F.col("component_id").alias("super"), F.col("size").alias("_b"))
+    reached = closure_pairs(dag).join(b, "super").groupBy("sub").agg(F.sum("_b").alias("_b"))
+    counts = reached.join(a, "sub").select(*keys, (F.col("_a") * F.col("_b")).alias("n")).unionByName(
         sizes.select(*keys, (F.col("size") * (F.col("size") - 1)).alias("n")))
     return counts.groupBy(*keys).agg(F.sum("n").alias("semantic_content"))
 

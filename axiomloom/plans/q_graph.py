@@ -71,13 +71,13 @@ def scc(t):
 
 @query("G04_strongly_connected", f"with {REACH} select c.method, c.domain, c.axiom_type, c.node, c.component, s.size from c join s on {JOIN_K.format('c', 's')} and s.component = c.component")
 def _(t):
-    return scc(t)[1]
+    return scc(t)[1].drop("component_id")
 
 
 @query("G05_shortest_depth", f"with {REACH} select s.method, s.domain, s.axiom_type, s.component, s.size, cast(dep.shortest as int) as shortest from s join dep on {JOIN_K.format('s', 'dep')} and dep.component = s.component")
 def _(t):
     _e, components, dag = scc(t)
-    return gr.component_depths(components, dag).drop("longest")
+    return gr.component_depths(components, dag).drop("longest", "component_id")
 
 
 D_DEPTH = f"""(select s.method, s.domain, s.axiom_type, max(case when p.super is null then longest end) as max_depth, cast(sum(shortest * size) as double) / sum(size) as avg_depth

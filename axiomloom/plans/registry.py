@@ -8,7 +8,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .views import BASE_TABLES, VIEWS
+from ..sources.readers import spread_few_files
+from .views import BASE_TABLES, TEXT_TABLES, VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +30,8 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread_few_files(table) if name in TEXT_TABLES else table
         sql = VIEWS[name]["spark"]
         inputs = {used: getattr(self, used) for used in _names(sql)}
         return self.spark.sql(sql, **inputs)

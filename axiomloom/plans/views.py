@@ -10,6 +10,9 @@ BASE_TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# Tables whose rows are expensive to process (long text).
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 VIEWS: dict[str, dict[str, str]] = {}
 
 

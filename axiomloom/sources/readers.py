@@ -14,6 +14,13 @@ from ..functions.text import not_blank, strip
 DOMAINS = ("medical", "geography", "transportation")
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer files than cores, whose row groups cannot be
+    split further. A table of many files is returned as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def scan_axiom_csv(spark: SparkSession, path: str, schema: StructType = schemas.AXIOM_CSV) -> DataFrame:
     """Axiom table with a header row and quoted cells that may span lines."""
     return spark.read.csv(
