@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, as_col, strip
+from .text import SPACE, as_col, let, strip
 
 # Verdict words and line markers of the judgement format.
 RIGHT, WRONG = "正确", "错误"
@@ -34,13 +34,9 @@ def parse_judgement(text) -> Column:
 def parse_judgement_bilingual(text) -> Column:
     """struct(judgment, label, explanation); Chinese wording is tried first."""
     c = F.coalesce(as_col(text), F.lit(""))
-    chinese, english = F.regexp_extract(c, _CHINESE, 1), F.lower(F.regexp_extract(c, _ENGLISH, 1))
-    label = (
-        F.when(chinese == RIGHT, F.lit(1))
-        .when(chinese == WRONG, F.lit(0))
-        .when(english == "correct", F.lit(1))
-        .when(english == "incorrect", F.lit(0))
-    )
+    words = F.array(F.regexp_extract(c, _CHINESE, 1), F.lower(F.regexp_extract(c, _ENGLISH, 1)))
+    first = F.get(F.filter(words, lambda w: w != ""), F.lit(0))
+    label = let(first, lambda w: F.when(w.isNotNull(), w.isin(RIGHT, "correct").cast("int")))
     found = lambda p: F.when(F.regexp_like(c, F.lit(p)), strip(F.regexp_extract(c, p, 1)))
     return F.struct(
         F.when(label == 1, F.lit(RIGHT)).when(label == 0, F.lit(WRONG)).alias("judgment"),
@@ -49,17 +45,26 @@ def parse_judgement_bilingual(text) -> Column:
     )
 
 
-def normalize_binary_label(value) -> Column:
-    c = F.lower(strip(as_col(value).cast("string")))
-    number = F.expr("null").cast("double") if value is None else c.try_cast("double")
+def clean_label(value) -> Column:
+    return F.lower(strip(as_col(value).cast("string")))
+
+
+def binary_label(clean) -> Column:
+    """1, 0 or null from a label already trimmed and lower-cased. Common
+    spellings are compared as text; only the rest is cast to a number."""
+    c = as_col(clean)
+    number = c.try_cast("double")
     return (
-        F.when(number == 1.0, F.lit(1))
+        F.when(c.isin("1", "1.0", "correct", "true", "yes"), F.lit(1))
+        .when(c.isin("0", "0.0", "incorrect", "false", "no"), F.lit(0))
+        .when(number == 1.0, F.lit(1))
         .when(number == 0.0, F.lit(0))
-        .when(number.isNotNull(), F.lit(None).cast("int"))
-        .when(c.isin("correct", "true", "yes"), F.lit(1))
-        .when(c.isin("incorrect", "false", "no"), F.lit(0))
     )
 
 
+def normalize_binary_label(value) -> Column:
+    return binary_label(clean_label(value))
+
+
 def final_status(fail_count: Column) -> Column:
     return F.when(fail_count == 0, F.lit("success")).otherwise(F.lit("completed"))

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s"
 
+# The characters Unicode counts as white space.
+WHITE = (
+    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # RDF type URIs that mark properties and classes.
 PROPERTY_TYPES = (
     "http://www.w3.org/1999/02/22-rdf-syntax-ns#Property",
@@ -31,12 +38,11 @@ def let(value: Column, body) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Trim every kind of white space from both ends; null becomes ''."""
-    c = F.coalesce(as_col(value), F.lit(""))
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(F.coalesce(as_col(value), F.lit("")), F.lit(WHITE))
 
 
 def rstrip(value: Column | str) -> Column:
-    return F.regexp_replace(as_col(value), rf"{SPACE}+$", "")
+    return F.rtrim(as_col(value), F.lit(WHITE))
 
 
 def is_blank(value: Column | str) -> Column:

@@ -12,7 +12,7 @@ from ..functions.text import (
     classify_types, clip_text, infer_kind, infer_kind_by_namespace, norm_predicate, not_blank,
     short_name, short_uri, strip,
 )
-from ..scale import keep_first, keep_last, salted_join, top_n
+from ..scale import find_hot_keys, keep_first, keep_last, salt_hot_keys, top_n
 
 META_FIELDS = ("description", "humanformat", "generalizations", "domain", "range")
 EXTRA_FIELDS = ("generalizations", "domain", "range")
@@ -154,13 +154,14 @@ def attach_context(axioms: DataFrame, mapping: DataFrame, min_rows: int | None =
     mapping is broadcast by the planner after checking its size.
     """
     options = {} if min_rows is None else {"min_rows": min_rows}
+    hot = {side: find_hot_keys(axioms, [side], **options) for side in ("subject", "object")}
     out = axioms
     for side in ("subject", "object"):
         cards = mapping.select(
             F.col("uri").alias(side),
             context_card("name", "kind", ["abstract_en", "comment_en", "label_en", "name"]).alias(f"_{side}_card"),
         )
-        out = salted_join(out, cards, [side], "left", **options)
+        out = salt_hot_keys(out, cards, [side], hot[side], "left")
         miss = short_uri(side)
         fallback = context_card(miss, F.lit("Unknown"), [miss])
         out = out.withColumns({

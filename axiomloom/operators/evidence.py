@@ -16,6 +16,7 @@ from ..functions.axioms import (
 )
 from ..functions.text import contains_term, not_blank, page_range, shorten, strip
 from ..scale import salted_join, top_n
+from ..session import cut_lineage
 
 AXIOM = ["doc_id", "axiom_type", "item1", "item2"]
 
@@ -49,7 +50,7 @@ def baseline_evidence(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFr
     options = {} if min_rows is None else {"min_rows": min_rows}
     wanted = axioms.select(*AXIOM).distinct()
     stated = chunk_axioms.groupBy(*AXIOM, "chunk").agg(F.min("pos").alias("pos"))
-    hits = salted_join(stated, wanted, AXIOM, "inner", **options).filter(not_blank("chunk"))
+    hits = salted_join(cut_lineage(stated, "stated"), wanted, AXIOM, "inner", **options).filter(not_blank("chunk"))
     return _as_lists(_with_chunks(hits, chunks, use_text=True))
 
 
@@ -90,7 +91,8 @@ def layered_evidence(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
     """
     options = {} if min_rows is None else {"min_rows": min_rows}
     on = ["doc_id", "role", "key1", "key2"]
-    hits = salted_join(_triple_keys(evidence), _axiom_lookups(axioms), on, "inner", **options)
+    keyed = cut_lineage(_triple_keys(evidence), "triple-keys")
+    hits = salted_join(keyed, _axiom_lookups(axioms), on, "inner", **options)
     hits = hits.groupBy(*AXIOM, "chunk", "context").agg(F.min("pos").alias("pos"))
     return _as_lists(_with_chunks(hits, chunks, use_text=False))
 

@@ -49,6 +49,13 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _join_ends(edges: DataFrame, subs: DataFrame, supers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges joined with a table about each end; hub nodes are salted."""
+    hot = {end: find_hot_keys(edges, [*keys, end]) for end in ("sub", "super")}
+    out = salt_hot_keys(edges, subs, [*keys, "sub"], hot["sub"])
+    return salt_hot_keys(out, supers, [*keys, "super"], hot["super"])
+
+
 def number_nodes(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(nodes with a number ``id`` over all graphs, arcs as (src, dst) numbers).
 
@@ -60,7 +67,7 @@ def number_nodes(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     nodes = cut_lineage(dense_position(named, [], "_order", "id", tie=[*keys, "node"]).drop("_order"), "numbered")
     a = nodes.select(*keys, F.col("node").alias("sub"), F.col("id").alias("src"))
     b = nodes.select(*keys, F.col("node").alias("super"), F.col("id").alias("dst"))
-    arcs = salted_join(salted_join(edges, a, [*keys, "sub"]), b, [*keys, "super"]).select("src", "dst")
+    arcs = _join_ends(edges, a, b, keys).select("src", "dst")
     return nodes, cut_lineage(arcs.distinct(), "arcs")
 
 
@@ -131,7 +138,7 @@ def condensed_edges(edges: DataFrame, components: DataFrame, keys: Sequence[str]
     keys = list(keys)
     a = components.select(*keys, F.col("node").alias("sub"), F.col("component_id").alias("_a"))
     b = components.select(*keys, F.col("node").alias("super"), F.col("component_id").alias("_b"))
-    joined = salted_join(salted_join(edges, a, [*keys, "sub"]), b, [*keys, "super"])
+    joined = _join_ends(edges, a, b, keys)
     return cut_lineage(joined.filter("_a <> _b").select(
         *keys, F.col("_a").alias("sub"), F.col("_b").alias("super")).distinct(), "dag")
 

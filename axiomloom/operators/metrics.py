@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.judgement import normalize_binary_label
+from ..functions.judgement import binary_label, clean_label
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -20,9 +20,21 @@ def _rounded(c: Column, digits: int | None) -> Column:
     return c if digits is None else F.round(c, digits)
 
 
-def _confusion(label: Column, pred: Column) -> dict[str, Column]:
-    cell = lambda t, p: F.count_if((label == t) & (pred == p))
-    return {"tp": cell(1, 1), "fp": cell(0, 1), "tn": cell(0, 0), "fn": cell(1, 0)}
+def _cells(df: DataFrame, keys: Sequence[str], label: Column, pred: Column) -> DataFrame:
+    """Row counts per key, label and prediction: a handful of rows per key.
+
+    Grouping by the two values evaluates a parsed label once per row, however
+    many counters are derived from it afterwards.
+    """
+    return df.groupBy(*keys, label.alias("_y"), pred.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _confusion(cells: DataFrame, keys: Sequence[str], total: str, counted: Column) -> DataFrame:
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
+    cell = lambda t, p: count((F.col("_y") == t) & (F.col("_p") == p))
+    return cells.groupBy(*keys).agg(
+        count(counted).alias(total), cell(1, 1).alias("tp"), cell(0, 1).alias("fp"),
+        cell(0, 0).alias("tn"), cell(1, 0).alias("fn"))
 
 
 def _scores(total: Column, digits: int | None) -> list[Column]:
@@ -41,10 +53,10 @@ def binary_metrics(df: DataFrame, keys: Sequence[str] = (), label: str = "label"
 
     One pass with map-side partial sums: a task sends one row per key.
     """
-    y, p = F.col(label), F.col(pred)
-    counted = df.filter(y.isNotNull() & p.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), *[c.alias(n) for n, c in _confusion(y, p).items()]
-    )
+    both = F.col("_y").isNotNull() & F.col("_p").isNotNull()
+    counted = _confusion(_cells(df, keys, F.col(label), F.col(pred)), keys, "samples", both)
+    if keys:
+        counted = counted.filter("samples > 0")
     return counted.select(*keys, "samples", "tp", "fp", "tn", "fn", *_scores(F.col("samples"), digits))
 
 
@@ -66,11 +78,9 @@ def service_metrics(df: DataFrame, keys: Sequence[str] = (), label: str = "label
                     digits: int | None = None) -> DataFrame:
     """Scores over text labels. Values that are neither yes nor no still count
     in the total, so they lower the accuracy but not precision or recall."""
-    given = df.filter(F.col(label).isNotNull() & F.col(pred).isNotNull())
-    y, p = normalize_binary_label(label), normalize_binary_label(pred)
-    counted = given.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), *[c.alias(n) for n, c in _confusion(y, p).items()]
-    )
+    given = df.filter(F.col(label).isNotNull() & F.col(pred).isNotNull()).select(
+        *keys, clean_label(label).alias("_label"), clean_label(pred).alias("_pred"))
+    counted = _confusion(_cells(given, keys, binary_label("_label"), binary_label("_pred")), keys, "total", F.lit(True))
     return counted.select(*keys, "total", *_scores(F.col("total"), digits))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axioms import merged_evidence, parse_functional
 from ..functions.text import as_col, not_blank, strip, strip_token
-from ..scale import keep_first, rank_by_value, salted_join
+from ..scale import find_hot_keys, keep_first, rank_by_value, salt_hot_keys
 from ..schemas import RESULT_ITEM
 
 # Service axiom types in display order.
@@ -253,8 +253,9 @@ def degree_rank(axioms: DataFrame, min_rows: int | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("degree")
     )
     rows = axioms.withColumn("_key", F.coalesce(F.nullif("subject_term", F.lit("")), "object_term"))
-    rows = salted_join(rows, degree.select(F.col("term").alias("_key"), F.col("degree").alias("_s")), ["_key"], "left", **options)
-    rows = salted_join(rows, degree.select(F.col("term").alias("object_term"), F.col("degree").alias("_o")), ["object_term"], "left", **options)
+    hot = {c: find_hot_keys(rows, [c], **options) for c in ("_key", "object_term")}
+    rows = salt_hot_keys(rows, degree.select(F.col("term").alias("_key"), F.col("degree").alias("_s")), ["_key"], hot["_key"], "left")
+    rows = salt_hot_keys(rows, degree.select(F.col("term").alias("object_term"), F.col("degree").alias("_o")), ["object_term"], hot["object_term"], "left")
     alone = F.col("axiom_type").isin("class", "property")
     weight = F.coalesce("_s", F.lit(0)) + F.when(alone, F.lit(0)).otherwise(F.coalesce("_o", F.lit(0)))
     weighted = rows.withColumn("weight", weight.cast("bigint")).drop("_key", "_s", "_o")

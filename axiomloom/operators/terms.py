@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.axioms import complete
 from ..functions.prompts import json_object_text, strip_code_fence
 from ..functions.text import not_blank, strip
-from ..scale import dense_position, keep_last, salted_join, top_n
+from ..scale import dense_position, find_hot_keys, keep_last, salt_hot_keys, top_n
 from ..schemas import LAYER1_TRIPLE
 from ..session import cut_lineage
 
@@ -145,10 +145,12 @@ def rewrite_triples(triples: DataFrame, mapping: DataFrame, min_rows: int | None
     first position, so a triple stated everywhere is no single huge row.
     """
     options = {} if min_rows is None else {"min_rows": min_rows}
+    mapping = cut_lineage(mapping, "mapping")
     out = triples.select("doc_id", "pos", *[strip(c).alias(c) for c in (*SLOTS, "chunk", "context")])
+    hot = {slot: find_hot_keys(out, ["doc_id", slot], **options) for slot in SLOTS}
     for slot in SLOTS:
         names = mapping.select("doc_id", F.col("original").alias(slot), F.col("normalized").alias("_new"))
-        out = salted_join(out, names, ["doc_id", slot], "left", **options).withColumn(
+        out = salt_hot_keys(out, names, ["doc_id", slot], hot[slot], "left").withColumn(
             slot, F.coalesce("_new", slot)).drop("_new")
     merged = out.filter((F.col("subject") != "") & (F.col("relation") != "") & (F.col("object") != "")).groupBy(
         "doc_id", *SLOTS, "chunk", "context").agg(F.min("pos").alias("first_pos"))

@@ -167,16 +167,19 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
                 min_rows: int = HOT_KEY_ROWS, salts: int = SALTS) -> DataFrame:
     """Equi join whose heaviest left keys are spread over ``salts`` tasks.
 
-    The hot key list has at most HOT_KEY_LIMIT rows, so broadcasting it is safe.
-    Right rows of a hot key are repeated once per salt; all others once. ``how``
-    may be inner, left, left_semi or left_anti.
+    Keys are counted first, reading only the key columns; without a hot key
+    this is a plain join. Otherwise right rows of a hot key are repeated once
+    per salt, all others once. ``how`` may be inner, left, left_semi or
+    left_anti. When several joins share a left table, find their hot keys on
+    that table and use salt_hot_keys.
     """
-    return salt_hot_keys(left, right, on, hot_keys(left, on, min_rows), how, salts)
+    return salt_hot_keys(left, right, on, find_hot_keys(left, on, min_rows), how, salts)
 
 
 def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None,
                   how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """salted_join with the hot keys already known; None is a plain join."""
+    """salted_join with the hot keys already known; None is a plain join. The
+    list has at most HOT_KEY_LIMIT rows, so broadcasting it is safe."""
     if hot is None:
         return left.join(right, list(on), how)
     hot = F.broadcast(hot)

@@ -3,7 +3,7 @@ import sys, time
 from axiomloom import build_session
 from axiomloom.plans import catalog
 
-spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
 spark.sparkContext.setLogLevel("ERROR")
 for name in sys.argv[2:]:
     for _ in range(3):
