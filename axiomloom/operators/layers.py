@@ -99,18 +99,18 @@ def elapsed_seconds(docs: DataFrame, file_times: DataFrame) -> DataFrame:
 
 
 def doc_run_record(terms: DataFrame, triples: DataFrame, notes: DataFrame, chunks: DataFrame,
-                   fields: Sequence[str] = ("subject", "relation", "object", "chunk", "context")) -> DataFrame:
-    """One summary row per document from its long tables.
+                   fields: Sequence[str] = ("subject", "relation", "object", "chunk", "context"),
+                   ) -> tuple[DataFrame, DataFrame]:
+    """(one summary row per document, its notes) from its long tables.
 
-    Notes are joined in chunk order; a document has one note per failed chunk.
+    Notes stay one row per failed chunk; in chunk order they are the remark of
+    the record. The record carries their number.
     """
-    base = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    t = terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("term_count"))
-    r = triples.groupBy("doc_id").agg(
+    kept = notes.filter(not_blank("note"))
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    valid = triples.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("triple_count"), F.count_if(complete(*fields)).alias("valid_triple_count"))
-    n = notes.filter(not_blank("note")).groupBy("doc_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "note"))), lambda x: x["note"]), " | ").alias("note"))
-    out = base
-    for part in (t, r, n):
+    out = count(chunks, "chunk_count")
+    for part in (count(terms, "term_count"), valid, count(kept, "note_count")):
         out = out.join(part, "doc_id", "left")
-    return out.na.fill(0).na.fill("", ["note"])
+    return out.na.fill(0), kept.select("doc_id", "chunk_no", "note")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.axioms import complete
 from ..functions.prompts import json_object_text, strip_code_fence
 from ..functions.text import not_blank, strip
-from ..scale import dense_position, find_hot_keys, keep_last, salt_hot_keys, top_n
+from ..scale import dense_position, find_hot_keys, keep_last, salt_hot_keys, salted_join, top_n
 from ..schemas import LAYER1_TRIPLE
 from ..session import cut_lineage
 
@@ -75,7 +75,8 @@ def group_triples(terms: DataFrame, triples: DataFrame, group_size: int = 25, te
     sizes = mentioned.groupBy("doc_id", "group_index").agg(F.count(F.lit(1)).alias("_n"))
     groups = groups.join(sizes, ["doc_id", "group_index"], "left").na.fill(0, ["_n"])
     nearest = vocab.filter(F.col("vocab_no") <= term_limit + len(SLOTS) * group_size).select("doc_id", "term", "vocab_no")
-    candidates = groups.join(nearest, "doc_id").join(
+    groups = cut_lineage(groups, "groups")
+    candidates = salted_join(groups, nearest, ["doc_id"]).join(
         mentioned.select("doc_id", "group_index", "term"), ["doc_id", "group_index", "term"], "left_anti")
     fill = top_n(candidates, ["doc_id", "group_index"], [F.col("vocab_no")], term_limit, rank="_r").filter(
         F.col("_r") + F.col("_n") <= term_limit)

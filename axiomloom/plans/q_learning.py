@@ -539,8 +539,17 @@ def _(t):
 @query("A25_doc_run_record", f"""
 select l.doc_id, count(*) as chunk_count, (select count(*) from {DEDUP_TERMS} x where x.doc_id = l.doc_id) as term_count, count(*) as triple_count,
  count_if(split_part(line, ' ', 1) <> '' and split_part(line, ' ', 2) <> '' and split_part(line, ' ', 3) <> '' and pos % 9 <> 8 and {d_strip('line')} <> '') as valid_triple_count,
- coalesce(string_agg('chunk ' || pos || ': short', ' | ' order by pos) filter (where length(line) < 12), '') as note from v_lines l group by l.doc_id""")
+ count_if(length(line) < 12) as note_count from v_lines l group by l.doc_id""")
 def _(t):
+    return run_record(t)[0]
+
+
+@query("A25_doc_run_notes", "select doc_id, pos as chunk_no, 'chunk ' || pos || ': short' as note from v_lines where length(line) < 12")
+def _(t):
+    return run_record(t)[1]
+
+
+def run_record(t):
     notes = t.v_lines.select("doc_id", F.col("pos").alias("chunk_no"), F.when(F.length("line") < 12, F.concat(F.lit("chunk "), "pos", F.lit(": short"))).alias("note"))
     return la.doc_run_record(te.dedupe_terms(t.v_doc_terms), t.v_doc_triples, notes, t.v_lines)
 
