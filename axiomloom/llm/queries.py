@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, rules, sharding, simhash
+from . import sentencepiece as pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +92,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    model = pieces.read_model()
+    decoded = pieces.decode_documents(pieces.encode_documents(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids",
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
