@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, rules, sharding, simhash
+from . import decontam, langid, rules, secret_scan, sharding, simhash
 from . import sentencepiece as pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids",
         (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.learn(docs))
+    return found.select("doc_id", "n_candidates", secret_scan.span_count().alias("n_secrets"), "spans")
