@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, rules, secret_scan, sharding, simhash
+from . import decontam, langid, quality, rules, secret_scan, sharding, simhash
 from . import sentencepiece as pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, secret_scan.learn(docs))
     return found.select("doc_id", "n_candidates", secret_scan.span_count().alias("n_secrets"), "spans")
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), langid.held_out("doc_id", 5, 0)
+    weights = quality.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return quality.score(docs, weights, keep=("doc_id", held_out.alias("held_out")))
