@@ -12,6 +12,7 @@ text's code length is a sum.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,6 +34,16 @@ UNKNOWN = "und"
 
 
 class Model(NamedTuple):
+    """Counts of 4-byte windows per language, as trained; compiled where it is used."""
+
+    languages: list[str]
+    grams: list[np.ndarray]
+    counts: list[np.ndarray]
+
+
+class Trees(NamedTuple):
+    """A compiled model."""
+
     languages: list[str]
     node_of: np.ndarray   # 2**24 entries: the three bytes before -> node (deepest context known to any language)
     cost: np.ndarray      # (nodes, 256, languages): code length in bits
@@ -40,14 +51,14 @@ class Model(NamedTuple):
 
 def training_sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int) -> DataFrame:
     """(lang, text): at most ``per_language`` rows of each language."""
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("langid"))
-    ids = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("k"), F.col(lang).alias("lang"))
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    ids = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang")).distinct()
+    known = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     best = W.partitionBy("lang").orderBy(F.xxhash64(F.col("k").cast("string"), F.lit("langid")), "k")
-    ids = ids.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language)
-    picked = ids.select("k", "lang").distinct()
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("o"))
-    return rows.join(picked, ["k", "lang"]).dropDuplicates(["k", "lang"]).select("lang", "text")
+    ids = ids.filter(F.col("lang").isin(known)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language)
+    rows = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    picked = rows.join(F.broadcast(ids.select("k", "lang")), ["k", "lang"])  # at most LANGUAGES * per_language ids
+    return picked.dropDuplicates(["k", "lang"]).select("lang", "text")
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,32 +73,50 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def _chain(grams: np.ndarray, counts: np.ndarray) -> list[tuple[dict[int, int], np.ndarray]]:
-    """For orders 0..3: context -> row, and its counts of the next byte."""
+def _levels(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For orders 0..3: known contexts, and their counts of the next byte."""
     levels = []
     for k in range(ORDER + 1):
-        context = (grams >> 8) & ((1 << 8 * k) - 1)
-        known, row = np.unique(context, return_inverse=True)
-        table = np.zeros((len(known), 256), np.float64)
+        known, row = np.unique((grams >> 8) & ((1 << 8 * k) - 1), return_inverse=True)
+        table = np.zeros((len(known), 256), np.float32)
         np.add.at(table, (row, grams & 255), counts)
-        levels.append(({int(c): i for i, c in enumerate(known)}, table))
+        levels.append((known, table))
     return levels
 
 
-def _costs(levels: list[tuple[dict[int, int], np.ndarray]], context: int, depth: int) -> np.ndarray:
-    """Code length of each next byte after ``context`` (its last ``depth`` bytes)."""
-    bits = np.full(256, 8.0)
-    for k in range(depth + 1):
-        rows, table = levels[k]
-        at = rows.get(context & ((1 << 8 * k) - 1))
-        if at is None:
-            break
-        seen = table[at]
-        total, distinct = seen.sum(), (seen > 0).sum()
-        escape = -np.log2(distinct / (total + distinct))
-        with np.errstate(divide="ignore"):
-            bits = np.where(seen > 0, -np.log2(seen / (total + distinct)), escape + bits)
-    return bits
+def compile_model(model: Model) -> Trees:
+    """Unfold the trees into costs, from the empty context to the longest. A
+    context that a language does not know costs what its suffix costs."""
+    levels = [_levels(g, c) for g, c in zip(model.grams, model.counts, strict=True)]
+    node_of = np.zeros(1 << 24, np.int32)
+    shorter, below = np.zeros(1, np.int64), np.full((1, 256, len(levels)), 8.0, np.float32)
+    parts, size = [], 0
+    for k in range(ORDER + 1):
+        contexts = np.unique(np.concatenate([x[k][0] for x in levels])) if levels else np.zeros(1, np.int64)
+        cost = below[np.searchsorted(shorter, contexts & ((1 << 8 * max(k - 1, 0)) - 1))].copy()
+        for j, x in enumerate(levels):
+            known, seen = x[k]
+            at = np.searchsorted(contexts, known)
+            total, distinct = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
+            with np.errstate(divide="ignore"):
+                cost[at, :, j] = np.where(seen > 0, -np.log2(seen / (total + distinct)), cost[at, :, j] - np.log2(distinct / (total + distinct)))
+        node_of.reshape(1 << (24 - 8 * k), 1 << 8 * k)[:, contexts] = size + np.arange(len(contexts))
+        parts.append(cost)
+        size += len(contexts)
+        shorter, below = contexts, cost
+    return Trees(model.languages, node_of, np.concatenate(parts))
+
+
+_COMPILED: dict[str, Trees] = {}
+
+
+def _compiled(model: Model) -> Trees:
+    """The compiled model of this Python worker, which serves many tasks."""
+    mark = hashlib.sha256(repr(model.languages).encode() + b"".join(a.tobytes() for x in (model.grams, model.counts) for a in x)).hexdigest()
+    if mark not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[mark] = compile_model(model)
+    return _COMPILED[mark]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
@@ -96,31 +125,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     reaches the driver are byte statistics, not texts."""
     counts = training_sample(docs, text, lang, key, per_language).mapInPandas(
         _grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = counts.toPandas()
-    sizes = grams.groupby("lang")["n"].sum().sort_values(ascending=False) if len(grams) else pd.Series(dtype=float)
-    languages = sorted(sizes.index[:LANGUAGES])
-    trees = {}
-    for name in languages:
-        own = grams[grams["lang"] == name]
-        trees[name] = _chain(own["gram"].to_numpy(), own["n"].to_numpy())
-    # nodes: every context any language knows, from the empty one down
-    nodes = [(0, 0)]
-    node_of = np.zeros(1 << 24, np.int32)
-    for k in range(1, ORDER + 1):
-        known = sorted(set().union(*[trees[n][k][0] for n in languages])) if languages else []
-        at = {c: len(nodes) + i for i, c in enumerate(known)}
-        nodes += [(c, k) for c in known]
-        suffixes = node_of.reshape(1 << (24 - 8 * k), 1 << (8 * k))
-        for c, i in at.items():
-            suffixes[:, c] = i
-    cost = np.zeros((len(nodes), 256, max(1, len(languages))), np.float32)
-    for j, name in enumerate(languages):
-        for i, (context, depth) in enumerate(nodes):
-            cost[i, :, j] = _costs(trees[name], context, depth)
-    return Model(languages, node_of, cost)
-
-
-def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    grams = counts.toPandas().sort_values(["lang", "gram"])
+    by_lang = {name: own for name, own in grams.groupby("lang")}
+    return Model(list(by_lang), [x["gram"].to_numpy() for x in by_lang.values()], [x["n"].to_numpy() for x in by_lang.values()])
+
+
+def code_lengths(model: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, languages): bits that each text takes under each language."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
     for lo, hi, rows, starts in blocks(offsets, BYTES_AT_ONCE, ORDER):
@@ -149,11 +159,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     language under equal priors; ties go to the first in alphabetical order.
     Repeated rows get equal answers; only the named columns are read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 64 MB of contexts plus 1 KB per node and language, whatever the corpus
+    held = docs.sparkSession.sparkContext.broadcast(model)  # byte statistics of a bounded sample, a few MB
     rows = docs.select(F.col(key).alias("doc_id"), *keep, whole(text).alias("t"), whole(text).rlike(r"\p{L}").alias("letters"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = _compiled(held.value)
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in batches:
             n = batch.num_columns
