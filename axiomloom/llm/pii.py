@@ -245,8 +245,8 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> bilstm_cr
     """Train on a bounded sample of the corpus, labelled by the base patterns, and
     on generated texts made with its words."""
     ids = docs.filter(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]")).select(F.col(key).alias("k")).distinct().orderBy(
-        F.xxhash64(F.col("k").cast("string"), F.lit("pii"))).limit(SAMPLE_DOCS)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(ids, "k", "left_semi")
+        F.xxhash64(F.col("k").cast("string"), F.lit("pii"))).limit(SAMPLE_DOCS)  # a bounded broadcast
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(ids), "k", "left_semi")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Up to four stretches of 128 characters around digits and @ of each text."""
