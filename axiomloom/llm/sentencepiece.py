@@ -281,23 +281,24 @@ def read_model(path: str = MODEL_FILE) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text_sha256, ids): the ids of every row's whole text.
+def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str = "doc_id", chunk: int = CHUNK,
+                     carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``carry`` columns, text_sha256, ids): the ids of every row's whole text.
 
     Null and empty texts have no ids. Characters outside the vocabulary become
     byte pieces. Repeated rows and null keys are rows of their own; an empty
     table gives no rows; only the named columns are read. ``model`` (half a
     megabyte) travels with the tasks.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), whole(text).alias("t"))
-    sha = F.sha2(F.col("t"), 256).alias("text_sha256")
+    names = ["doc_id", *carry, "text_sha256"]
+    rows = docs.select(F.col(key).alias("doc_id"), *carry, F.sha2(whole(text), 256).alias("text_sha256"), whole(text).alias("_t"))
     margin = parse_model(model).longest
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)
         for b in batches:
-            ids = pa.array([p.encode(normalise(t)) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "text_sha256", "ids"])
+            ids = pa.array([p.encode(normalise(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*names, "ids"])
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -331,17 +332,16 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str
             yield pd.DataFrame({"row": b["row"], "no": b["no"], "part": [
                 trace(p, Chunk(x.behind, x.body, x.ahead), State(x.p0, x.r0), State(x.p1, x.r1)) for x in b.itertuples(index=False)]})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    small = rows.filter(F.length("t") < chunk).select("doc_id", sha, "t").mapInArrow(
-        short, f"doc_id {kind}, text_sha256 string, ids array<int>")
-    giant = cut_lineage(rows.filter(F.length("t") >= chunk).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", sha, "t"), "giant-texts")
+    shape = rows.select(*names, F.array().cast("array<int>").alias("ids")).schema
+    small = rows.filter(F.length("_t") < chunk).mapInArrow(short, shape)
+    giant = cut_lineage(rows.filter(F.length("_t") >= chunk).select(
+        F.monotonically_increasing_id().alias("row"), *names, F.col("_t").alias("t")), "giant-texts")
     table = cut_lineage(giant.select("row", "t").mapInPandas(chunks, "row bigint, no int, behind string, body string, ahead string"), "chunks")
     states = table.mapInPandas(matrices, _STATES).groupBy("row").applyInPandas(solve, _STATES)
     parts = table.join(states, ["row", "no"]).mapInPandas(traced, "row bigint, no int, part array<int>")
     whole_ids = parts.groupBy("row").agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("no", "part"))), lambda x: x["part"])).alias("ids"))
-    large = giant.select("row", "doc_id", "text_sha256").join(whole_ids, "row").select("doc_id", "text_sha256", "ids")
+    large = giant.select("row", *names).join(whole_ids, "row").select(*names, "ids")
     return small.unionByName(large)
 
 
