@@ -24,7 +24,6 @@ states that each entry state can lead to.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,17 +32,20 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .arrow import list_values
 from .text import whole
 
 MARK = "▁"
 CHUNK = 1 << 15
 LONG_WORD = 64          # longer words are not remembered
-REMEMBERED = 1 << 18    # words per Python worker
-PAIRS = 1 << 18         # compatibility answers per Python worker
+REMEMBERED = 100_000    # words, and phrases, of each of two generations per Python worker
+PAIRS = 1 << 17         # compatibility answers per Python worker
+DECODED_AT_ONCE = 1 << 19  # ids
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -58,13 +60,31 @@ FREE = State("", 0)
 Matrix = dict[State, list[State]]
 
 
+class Memory:
+    """Answers for short texts, kept for two generations."""
+
+    def __init__(self, answer):
+        self.answer, self.young, self.old = answer, {}, {}
+
+    def __getitem__(self, text: str) -> bytes:
+        found = self.old.get(text) or self.young.get(text) or self.answer(text)
+        if len(text) <= LONG_WORD:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[text] = found
+        return found
+
+
 class Pieces:
     """A vocabulary with its lattice, encoding and decoding."""
 
     def __init__(self, ids: dict[str, int], score: dict[str, float], byte_ids: list[int], unk: int):
         self.ids, self.score, self.byte_ids, self.unk = ids, score, byte_ids, unk
         self.longest = max((len(p) for p in ids), default=1)
-        self.raw = {i: p.replace(MARK, " ").encode() for p, i in ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        raw = {i: p.replace(MARK, " ").encode() for p, i in ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        by_id = [raw.get(i, b"") for i in range(max(raw, default=0) + 2)]  # the last one, empty, stands for unknown ids
+        self.piece_bytes = np.frombuffer(b"".join(by_id), np.uint8)
+        self.piece_ends = np.cumsum([0, *map(len, by_id)])
         self.joiners = set("".join(p for p in ids if len(p) > 1)) - {MARK}
         self.mark_resets = not any(MARK in p.lstrip(MARK) for p in ids)
         inside = "".join(map(re.escape, sorted(self.joiners)))
@@ -77,7 +97,7 @@ class Pieces:
                 at = at.setdefault(c, [None, {}])[1]
             at.setdefault(piece[-1], [None, {}])[0] = piece
         self.meets = lru_cache(PAIRS)(self._meets)
-        self.word = lru_cache(REMEMBERED)(self._word)
+        self.known_words, self.known_phrases = Memory(self._word), Memory(self._phrase)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: best score first, leftmost on ties."""
@@ -140,35 +160,96 @@ class Pieces:
                 node = onward.get(text[end])
         return live
 
-    def ids_between(self, live: list, begin: int, end: int) -> list[int]:
+    def ids_between(self, live: list, begin: int, end: int) -> bytes:
         """Trace the path back from ``end`` to ``begin``."""
         found: list[str] = []
         while end > begin:
             found.append(live[end])
             end -= len(live[end])
-        return [i for p in reversed(found) for i in self.numbers(p)]
+        return self.packed(found[::-1])
 
     def numbers(self, piece: str) -> list[int]:
         if piece in self.ids:
             return [self.ids[piece]]
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unk]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(self.ids_between(self.forward(word, FREE), 0, len(word)))
+    def path(self, text: str) -> list[str]:
+        """The live path over a whole stretch from the free state.
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a normalised stretch between two places where nothing merges across."""
-        out: list[int] = []
-        word = self.word
-        for w in self.words(text):
-            out += word(w) if len(w) <= LONG_WORD else self._word(w)
+        Depth first, longest piece first. A position is reached by one path at
+        most, so one that leads nowhere is never visited again.
+        """
+        n, meets, tree, reach, dead = len(text), self.meets, self.tree.get, self.longest, set()
+        found: list[str] = []
+        at, before = 0, ""
+        while at < n:
+            ways = [text[at]]
+            node = tree(text[at])
+            if node is not None:
+                onward = node[1]
+                for c in text[at + 1:at + reach]:
+                    node = onward.get(c)
+                    if node is None:
+                        break
+                    piece, onward = node
+                    if piece is not None:
+                        ways.append(piece)
+            for piece in reversed(ways):
+                if at + len(piece) not in dead and meets(before, piece):
+                    found.append(piece)
+                    at, before = at + len(piece), piece
+                    break
+            else:
+                dead.add(at)
+                at -= len(found.pop())
+                before = found[-1] if found else ""
+        return found
+
+    def packed(self, pieces: list[str]) -> bytes:
+        return np.array([i for p in pieces for i in self.numbers(p)], np.int32).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self.packed(self.path(word))
+
+    def _phrase(self, phrase: str) -> bytes:
+        words, known = self.words(MARK + phrase), self.known_words
+        return self._word(words[0]) if len(words) == 1 else b"".join([known.young.get(w) or known[w] for w in words])
+
+    def encode(self, text: str) -> bytes:
+        """Ids (int32) of a normalised stretch between two resets."""
+        known = self.known_words
+        return b"".join([known.young.get(w) or known[w] for w in self.words(text)])
+
+    def encode_text(self, text: str) -> bytes:
+        """Ids (int32) of a whole text. Without runs of spaces every phrase
+        between spaces, its mark in front, stands between resets."""
+        phrases = text.split(" ")
+        if not self.mark_resets or "" in phrases or MARK in text:
+            return self.encode(normalise(text))
+        known = self.known_phrases
+        return b"".join([known.young.get(w) or known[w] for w in phrases])
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of rows of ids: byte pieces are UTF-8, the dummy prefix goes,
+        unknown ids are empty, broken UTF-8 becomes replacement characters."""
+        ids = np.where((ids >= 0) & (ids < len(self.piece_ends) - 2), ids, len(self.piece_ends) - 2)
+        size = np.diff(self.piece_ends)[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.piece_bytes[np.repeat(self.piece_ends[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[offsets]
+        full = cuts[1:] > cuts[:-1]
+        begins = cuts[:-1][full]
+        keep = np.ones(len(data), bool)
+        keep[begins[data[begins] == 32]] = False
+        cuts = np.concatenate([[0], np.cumsum(keep)])[cuts]
+        out = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data[keep].tobytes()))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            whole_bytes = data[keep].tobytes()
+            out = pa.array([whole_bytes[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)], pa.large_string())
         return out
 
-    def decode(self, ids) -> str:
-        """Text of ids: byte pieces are UTF-8, the dummy prefix goes, unknown ids are empty."""
-        text = b"".join([self.raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
 
 class Chunk(NamedTuple):
     """A stretch of normalised text with up to ``longest`` characters on both sides."""
@@ -250,15 +331,15 @@ def boundary_states(matrices: list[Matrix]) -> list[State]:
     return states[::-1]
 
 
-def trace(p: Pieces, c: Chunk, entry: State, leave: State) -> list[int]:
+def trace(p: Pieces, c: Chunk, entry: State, leave: State) -> bytes:
     """Ids of the pieces that begin in the chunk, given the states at both ends."""
     n, ends = len(c.body), _ends(p, c)
     if ends is None:
-        return p.ids_between(p.forward(c.body + c.ahead, entry), entry.reach, n + leave.reach) if entry.reach < n else []
+        return p.ids_between(p.forward(c.body + c.ahead, entry), entry.reach, n + leave.reach) if entry.reach < n else b""
     first, last = ends
     out = p.ids_between(p.forward(c.body[:first], entry), entry.reach, first) + p.encode(c.body[first:last])
     tail = c.body[last:] + c.ahead
-    return out + (p.ids_between(p.forward(tail, FREE), 0, n - last + leave.reach) if last < n else [])
+    return out + (p.ids_between(p.forward(tail, FREE), 0, n - last + leave.reach) if last < n else b"")
 
 
 @lru_cache(2)
@@ -297,8 +378,8 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)
         for b in batches:
-            ids = pa.array([p.encode(normalise(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*names, "ids"])
+            ids = [p.encode_text(t.as_py()) if t.as_py() else b"" for t in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids)], names=[*names, "ids"])
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -330,7 +411,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str
         p = parse_model(model)
         for b in batches:
             yield pd.DataFrame({"row": b["row"], "no": b["no"], "part": [
-                trace(p, Chunk(x.behind, x.body, x.ahead), State(x.p0, x.r0), State(x.p1, x.r1)) for x in b.itertuples(index=False)]})
+                np.frombuffer(trace(p, Chunk(x.behind, x.body, x.ahead), State(x.p0, x.r0), State(x.p1, x.r1)), np.int32) for x in b.itertuples(index=False)]})
 
     shape = rows.select(*names, F.array().cast("array<int>").alias("ids")).schema
     small = rows.filter(F.length("_t") < chunk).mapInArrow(short, shape)
@@ -356,13 +437,22 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)
         for b in batches:
-            at = b.schema.get_field_index("ids")
-            texts = [None if x is None else p.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+            column = b.column(b.schema.get_field_index("ids"))
+            values, offsets = list_values(column)
+            texts = []
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + DECODED_AT_ONCE, side="right")) - 1)
+                texts.append(p.decode(values[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]))
+                lo = hi
+            decoded = pa.concat_arrays(texts) if texts else pa.array([], pa.large_string())
+            decoded = pc.if_else(column.is_valid(), decoded, pa.scalar(None, pa.large_string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, decoded], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
-def ids_digest(ids: np.ndarray) -> str:
-    """SHA-256 of ids as little-endian 4-byte numbers."""
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
+def _lists(rows: list[bytes]) -> pa.Array:
+    """Rows of packed ids as one list column."""
+    ends = np.cumsum([0, *[len(r) // 4 for r in rows]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
