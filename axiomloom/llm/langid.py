@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -53,9 +54,14 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: str, per_languag
     """(lang, text): at most ``per_language`` rows of each language."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     ids = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang")).distinct()
-    known = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    best = W.partitionBy("lang").orderBy(F.xxhash64(F.col("k").cast("string"), F.lit("langid")), "k")
-    ids = ids.filter(F.col("lang").isin(known)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language)
+    sizes = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    place = F.xxhash64(F.col("k").cast("string"), F.lit("langid"))
+    # a fifth more than wanted passes the hash, so that no task ranks a whole language
+    share = F.shiftrightunsigned(place, 11) / float(2**53)
+    low = [(F.col("lang") == r["lang"]) & (share <= 1.2 * per_language / r["count"]) for r in sizes]
+    near = reduce(lambda a, b: a | b, low, F.lit(False))
+    best = W.partitionBy("lang").orderBy(place, "k")
+    ids = ids.filter(near).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language)
     rows = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     picked = rows.join(F.broadcast(ids.select("k", "lang")), ["k", "lang"])  # at most LANGUAGES * per_language ids
     return picked.dropDuplicates(["k", "lang"]).select("lang", "text")
@@ -157,10 +163,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     ``und`` with score 0 where the text is null, empty or has no letter, or
     where the model knows no language. The score is the posterior of the best
     language under equal priors; ties go to the first in alphabetical order.
-    Repeated rows get equal answers; only the named columns are read.
+    Repeated rows get equal answers; only the named columns are read. Pack rows
+    whose columns may clash with the result's into one struct to keep them.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # byte statistics of a bounded sample, a few MB
-    rows = docs.select(F.col(key).alias("doc_id"), *keep, whole(text).alias("t"), whole(text).rlike(r"\p{L}").alias("letters"))
+    rows = docs.select(F.col(key).alias("doc_id"), *keep, whole(text).alias("_t"), whole(text).rlike(r"\p{L}").alias("_letters"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _compiled(held.value)
@@ -184,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
                 pa.array(np.where(letters, posterior, 0.0)), pa.array(least / size)],
                 names=[*batch.schema.names[:n - 2], "lang_pred", "score", "bits_per_byte"])
 
-    schema = rows.drop("t", "letters").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("bits_per_byte", F.lit(0.0)).schema
+    schema = rows.drop("_t", "_letters").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("bits_per_byte", F.lit(0.0)).schema
     return rows.mapInArrow(score, schema)
 
 

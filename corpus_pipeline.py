@@ -33,10 +33,9 @@ MASK = "[SECRET]"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
-    keep = tuple(F.col(c) for c in docs.columns if c != "doc_id")
-    marked = langid.predict(docs, model, keep=keep)
+    marked = langid.predict(docs, model, keep=(F.struct(*docs.columns).alias("row"),))
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)
-    return marked.filter(known).select(*docs.columns)
+    return marked.filter(known).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +58,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cleaned = secret_scan.scan(docs, secret_scan.learn(docs), keep=keep, redact=MASK)
-    return cleaned.withColumnsRenamed({"redacted": "text"}).withColumn(
-        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("row")
+    cleaned = secret_scan.scan(docs.select(rest, "text", "source"), secret_scan.learn(docs), keep=("row",), redact=MASK)
+    n_chars = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+    return cleaned.select("row.*", F.col("redacted").alias("text"), n_chars.alias("n_chars")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
