@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,11 +44,14 @@ class Model(NamedTuple):
 
 
 class Trees(NamedTuple):
-    """A compiled model."""
+    """A compiled model. The node of a place is its deepest context known to any
+    language; bytes that no language saw share one column of costs."""
 
     languages: list[str]
-    node_of: np.ndarray   # 2**24 entries: the three bytes before -> node (deepest context known to any language)
-    cost: np.ndarray      # (nodes, 256, languages): code length in bits
+    pair_row: np.ndarray  # the two bytes before -> row of ``node``
+    node: np.ndarray      # (rows, 256): with the third byte before -> node
+    column: np.ndarray    # byte -> column of ``cost``
+    cost: np.ndarray      # (nodes, columns, languages): code length in bits
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int) -> DataFrame:
@@ -94,23 +98,32 @@ def compile_model(model: Model) -> Trees:
     """Unfold the trees into costs, from the empty context to the longest. A
     context that a language does not know costs what its suffix costs."""
     levels = [_levels(g, c) for g, c in zip(model.grams, model.counts, strict=True)]
-    node_of = np.zeros(1 << 24, np.int32)
-    shorter, below = np.zeros(1, np.int64), np.full((1, 256, len(levels)), 8.0, np.float32)
-    parts, size = [], 0
+    used = np.unique(np.concatenate([g & 255 for g in model.grams])) if levels else np.zeros(0, np.int64)
+    column = np.full(256, len(used))
+    column[used] = np.arange(len(used))
+    shorter, below = np.zeros(1, np.int64), np.full((1, len(used) + 1, len(levels)), 8.0, np.float32)
+    parts, depth = [], []
     for k in range(ORDER + 1):
-        contexts = np.unique(np.concatenate([x[k][0] for x in levels])) if levels else np.zeros(1, np.int64)
+        contexts = np.unique(np.concatenate([x[k][0] for x in levels])) if levels else np.zeros(1 if k == 0 else 0, np.int64)
         cost = below[np.searchsorted(shorter, contexts & ((1 << 8 * max(k - 1, 0)) - 1))].copy()
         for j, x in enumerate(levels):
-            known, seen = x[k]
+            known, seen = x[k][0], np.concatenate([x[k][1][:, used], np.zeros((len(x[k][0]), 1), np.float32)], axis=1)
             at = np.searchsorted(contexts, known)
             total, distinct = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
             with np.errstate(divide="ignore"):
                 cost[at, :, j] = np.where(seen > 0, -np.log2(seen / (total + distinct)), cost[at, :, j] - np.log2(distinct / (total + distinct)))
-        node_of.reshape(1 << (24 - 8 * k), 1 << 8 * k)[:, contexts] = size + np.arange(len(contexts))
         parts.append(cost)
-        size += len(contexts)
+        depth.append((contexts, sum(map(len, parts[:-1])) + np.arange(len(contexts))))
         shorter, below = contexts, cost
-    return Trees(model.languages, node_of, np.concatenate(parts))
+    # rows: one for each pair of bytes known as a context, one for each last byte, known or not
+    (_, root), (ones, one_nodes), (twos, two_nodes), (threes, three_nodes) = depth
+    of_last = np.full(256, root[0])
+    of_last[ones] = one_nodes
+    node = np.concatenate([np.repeat(two_nodes[:, None], 256, 1), np.repeat(of_last[:, None], 256, 1)]).astype(np.int32)
+    node[np.searchsorted(twos, threes & 0xFFFF), threes >> 16] = three_nodes
+    pair_row = len(twos) + (np.arange(1 << 16) & 255)
+    pair_row[twos] = np.arange(len(twos))
+    return Trees(model.languages, pair_row.astype(np.int32), node, column, np.concatenate(parts))
 
 
 _COMPILED: dict[str, Trees] = {}
@@ -150,15 +163,16 @@ def code_lengths(model: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndar
                 first = starts[starts + k < len(b)] + k
                 first = first[np.searchsorted(starts, first, side="right") - 1 == np.searchsorted(starts, first - k, side="right") - 1]
                 context[first] &= (1 << 8 * k) - 1
-        bits = model.cost[model.node_of[context], b]
+        bits = model.cost[model.node[model.pair_row[context & 0xFFFF], context >> 16], model.column[b]]
         if carried:
             bits = bits[ORDER:]
         np.add.at(out, rows, sums_per_piece(bits, starts))
     return out
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, ..., lang_pred, score, bits_per_byte) of every row.
+def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[Column, ...] = (),
+            with_text: bool = False) -> DataFrame:
+    """(doc_id, ``keep`` columns, the text if asked for, lang_pred, score, bits_per_byte) of every row.
 
     ``und`` with score 0 where the text is null, empty or has no letter, or
     where the model knows no language. The score is the posterior of the best
@@ -167,14 +181,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     whose columns may clash with the result's into one struct to keep them.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # byte statistics of a bounded sample, a few MB
-    rows = docs.select(F.col(key).alias("doc_id"), *keep, whole(text).alias("_t"), whole(text).rlike(r"\p{L}").alias("_letters"))
+    rows = docs.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("text"), whole(text).rlike(r"\p{L}").alias("_letters"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _compiled(held.value)
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in batches:
             n = batch.num_columns
-            data, offsets = text_bytes(batch.column(n - 2))
+            passed = n - 1 if with_text else n - 2
+            data, offsets = text_bytes(pc.fill_null(batch.column(n - 2), ""))
             letters = batch.column(n - 1).to_numpy(zero_copy_only=False)
             size = np.maximum(np.diff(offsets), 1)
             if m.languages:
@@ -186,12 +201,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
                 best, least, posterior = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
                 letters = np.zeros(len(size), bool)
             yield pa.RecordBatch.from_arrays([
-                *[batch.column(i) for i in range(n - 2)],
+                *batch.columns[:passed],
                 pa.array(names[np.where(letters, best, len(m.languages))], pa.string()),
                 pa.array(np.where(letters, posterior, 0.0)), pa.array(least / size)],
-                names=[*batch.schema.names[:n - 2], "lang_pred", "score", "bits_per_byte"])
+                names=[*batch.schema.names[:passed], "lang_pred", "score", "bits_per_byte"])
 
-    schema = rows.drop("_t", "_letters").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("bits_per_byte", F.lit(0.0)).schema
+    schema = (rows if with_text else rows.drop("text")).drop("_letters").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("bits_per_byte", F.lit(0.0)).schema
     return rows.mapInArrow(score, schema)
 
 

@@ -43,7 +43,7 @@ from .text import whole
 MARK = "▁"
 CHUNK = 1 << 15
 LONG_WORD = 64          # longer words are not remembered
-REMEMBERED = 100_000    # words, and phrases, of each of two generations per Python worker
+REMEMBERED = 60_000    # words, and phrases, of each of two generations per Python worker
 PAIRS = 1 << 17         # compatibility answers per Python worker
 DECODED_AT_ONCE = 1 << 19  # ids
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"

@@ -33,9 +33,10 @@ MASK = "[SECRET]"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
-    marked = langid.predict(docs, model, keep=(F.struct(*docs.columns).alias("row"),))
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    marked = langid.predict(docs, model, keep=(rest,), with_text=True)
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)
-    return marked.filter(known).select("row.*")
+    return marked.filter(known).select("row.*", "text").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
