@@ -17,9 +17,10 @@ states that each entry state can lead to.
   from its own states, independently of the others.
 - Nothing merges across some places: before a space mark that follows another
   character (if no piece holds such a pair), and around characters that occur in
-  no longer piece. There the state is one and the same, so a matrix is the
-  product of its stretch up to the first such place and the one from the last.
-  Words between them are encoded once and remembered in the Python worker.
+  no longer piece. There the state is one and the same ("free"), so a matrix is
+  the product of its stretch up to the first such place and the one from the
+  last. What lies between the two has one entry and one exit, and its only path
+  is the plain encoding of that stretch: the sentencepiece library traces it.
 """
 
 from __future__ import annotations
@@ -42,9 +43,7 @@ from .text import whole
 
 MARK = "▁"
 CHUNK = 1 << 15
-LONG_WORD = 64          # longer words are not remembered
-REMEMBERED = 60_000    # words, and phrases, of each of two generations per Python worker
-PAIRS = 1 << 17         # compatibility answers per Python worker
+PAIRS = 1 << 16         # compatibility answers per Python worker
 DECODED_AT_ONCE = 1 << 19  # ids
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -60,25 +59,12 @@ FREE = State("", 0)
 Matrix = dict[State, list[State]]
 
 
-class Memory:
-    """Answers for short texts, kept for two generations."""
-
-    def __init__(self, answer):
-        self.answer, self.young, self.old = answer, {}, {}
-
-    def __getitem__(self, text: str) -> bytes:
-        found = self.old.get(text) or self.young.get(text) or self.answer(text)
-        if len(text) <= LONG_WORD:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[text] = found
-        return found
-
-
 class Pieces:
     """A vocabulary with its lattice, encoding and decoding."""
 
-    def __init__(self, ids: dict[str, int], score: dict[str, float], byte_ids: list[int], unk: int):
+    def __init__(self, ids: dict[str, int], score: dict[str, float], byte_ids: list[int], unk: int, plain=None):
+        """``plain``: text -> ids of the text with the dummy prefix, for free stretches."""
+        self.plain = plain
         self.ids, self.score, self.byte_ids, self.unk = ids, score, byte_ids, unk
         self.longest = max((len(p) for p in ids), default=1)
         raw = {i: p.replace(MARK, " ").encode() for p, i in ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
@@ -97,7 +83,6 @@ class Pieces:
                 at = at.setdefault(c, [None, {}])[1]
             at.setdefault(piece[-1], [None, {}])[0] = piece
         self.meets = lru_cache(PAIRS)(self._meets)
-        self.known_words, self.known_phrases = Memory(self._word), Memory(self._phrase)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: best score first, leftmost on ties."""
@@ -208,26 +193,13 @@ class Pieces:
     def packed(self, pieces: list[str]) -> bytes:
         return np.array([i for p in pieces for i in self.numbers(p)], np.int32).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return self.packed(self.path(word))
-
-    def _phrase(self, phrase: str) -> bytes:
-        words, known = self.words(MARK + phrase), self.known_words
-        return self._word(words[0]) if len(words) == 1 else b"".join([known.young.get(w) or known[w] for w in words])
-
     def encode(self, text: str) -> bytes:
-        """Ids (int32) of a normalised stretch between two resets."""
-        known = self.known_words
-        return b"".join([known.young.get(w) or known[w] for w in self.words(text)])
-
-    def encode_text(self, text: str) -> bytes:
-        """Ids (int32) of a whole text. Without runs of spaces every phrase
-        between spaces, its mark in front, stands between resets."""
-        phrases = text.split(" ")
-        if not self.mark_resets or "" in phrases or MARK in text:
-            return self.encode(normalise(text))
-        known = self.known_phrases
-        return b"".join([known.young.get(w) or known[w] for w in phrases])
+        """Ids (int32) of a normalised stretch between two free places."""
+        at = text.find(MARK) if self.plain and self.mark_resets else -1
+        if at < 0 or len(text) == at + 1:
+            return b"".join([self.packed(self.path(w)) for w in self.words(text)])
+        first = self.encode(text[:at]) if at else b""
+        return first + np.array(self.plain(text[at + 1:]), np.int32).tobytes()
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """Texts of rows of ids: byte pieces are UTF-8, the dummy prefix goes,
@@ -344,6 +316,7 @@ def trace(p: Pieces, c: Chunk, entry: State, leave: State) -> bytes:
 
 @lru_cache(2)
 def parse_model(raw: bytes) -> Pieces:
+    from sentencepiece import SentencePieceProcessor
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
@@ -354,7 +327,8 @@ def parse_model(raw: bytes) -> Pieces:
     normal = {p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type == kinds.NORMAL}
     by_byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == kinds.BYTE}
     return Pieces({p: i for p, (i, _) in normal.items()}, {p: s for p, (_, s) in normal.items()},
-                  [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], m.trainer_spec.unk_id)
+                  [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], m.trainer_spec.unk_id,
+                  SentencePieceProcessor(model_proto=raw).encode)
 
 
 def read_model(path: str = MODEL_FILE) -> bytes:
@@ -378,7 +352,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)
         for b in batches:
-            ids = [p.encode_text(t.as_py()) if t.as_py() else b"" for t in b.column(b.num_columns - 1)]
+            ids = [trace(p, Chunk("", normalise(t.as_py()), ""), FREE, FREE) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids)], names=[*names, "ids"])
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
