@@ -9,8 +9,8 @@ from .text import SPACE, as_col, not_blank, short_name, strip, strip_token
 
 EDGE_TYPES = ("subClassOf", "subPropertyOf", "domain", "range")
 
-CLASS_NAME = "^[A-Z][A-Za-z0-9]*$"
-PROPERTY_NAME = "^[a-z][A-Za-z0-9]*$"
+CLASS_NAME = r"^[A-Z][A-Za-z0-9]*\z"
+PROPERTY_NAME = r"^[a-z][A-Za-z0-9]*\z"
 
 # Annotation words of the published tables.
 YES, NO = "是", "否"

@@ -151,8 +151,9 @@ def split_identifier(value: Column | str) -> Column:
     return F.filter(F.split(F.lower(c), rf"{SPACE}+"), lambda t: t != "")
 
 
-def contains_term(text: Column | str, term: Column | str) -> Column:
-    """Whether a text mentions a name: its words joined, or its first three words."""
+def contains_term(text: Column | str, term: Column | str, leading: int | None = 3) -> Column:
+    """Whether a text mentions a name: its words joined, or each of its ``leading``
+    first words (None: all of them)."""
     hay = F.lower(collapse(text))
     words = split_identifier(term)
     return (
@@ -160,7 +161,7 @@ def contains_term(text: Column | str, term: Column | str) -> Column:
         & (F.size(words) > 0)
         & (
             F.contains(hay, F.array_join(words, " "))
-            | F.forall(F.slice(words, 1, 3), lambda w: F.contains(hay, w))
+            | F.forall(words if leading is None else F.slice(words, 1, leading), lambda w: F.contains(hay, w))
         )
     )
 
@@ -207,6 +208,13 @@ RETRY_MARKERS = (
 )
 
 
+#: The wider list of the concept stage's runs.
+CONCEPT_RETRY_MARKERS = (
+    "timeout", "timed out", "connection", "network", "temporarily unavailable", "server error", "server disconnected",
+    "remoteprotocolerror", "readerror", "rate limit", "empty response", "expecting value", "502", "503", "504",
+)
+
+
 def tag_retryable(error: Column | str, markers=RETRY_MARKERS) -> Column:
     low = F.lower(F.coalesce(as_col(error), F.lit("")))
     hit = F.lit(False)

@@ -14,7 +14,7 @@ from ..scale import dense_position
 from ..session import cut_lineage
 
 MAX_CHUNK = 5000
-MIN_HEADINGS, MAX_HEADINGS = 3, 10
+MIN_HEADINGS = 3
 
 # Words that open a reference list.
 REFERENCE_WORDS = ("references", "reference", "bibliography")
@@ -103,10 +103,9 @@ def chunk_pages(pages: DataFrame, n: int = MAX_CHUNK) -> DataFrame:
         F.format_string("page_%s_chunk_%s", F.col("page_no").cast("string"), part.cast("string")).alias("chunk_id"),
         F.format_string("Page %s", F.col("page_no").cast("string")).alias("section_title"),
         content.alias("text"),
-        (F.col("page_no").cast("bigint") * (1 << 20) + part).alias("_order"),
     )
     chunks = cut_lineage(rows, "chunks")
-    return dense_position(chunks, ["doc_id"], "_order", "chunk_index").drop("_order")
+    return dense_position(chunks, ["doc_id"], "page_no", "chunk_index", tie=["part"])
 
 
 def valid_heading(title: Column | str) -> Column:
@@ -128,18 +127,18 @@ def cut_at_references(headings: DataFrame) -> DataFrame:
     return headings.join(cut, "doc_id").filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))).drop("_cut")
 
 
-def section_spans(headings: DataFrame, pages: DataFrame) -> DataFrame:
+def section_spans(headings: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
     """Page span of each section: (doc_id, section_id, title, level, page_start, page_end).
 
     ``headings``: (doc_id, pos, title, level, page), pages 0-based; ``pages``:
     (doc_id, total_pages). A section ends before the next heading of the same
-    or a higher level. Fewer than 3 or more than 10 valid headings make the
-    document one section; only documents within that bound are gathered, so a
-    gathered list never exceeds MAX_HEADINGS entries.
+    or a higher level. Fewer than 3 valid headings, or more than ``most`` if it is
+    given, make the document one section. The headings of one document are
+    gathered, the texts are not.
     """
     valid = filter_headings(headings)
     counts = valid.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n").between(MIN_HEADINGS, MAX_HEADINGS)).select("doc_id")
+        (F.col("_n") >= MIN_HEADINGS) & (F.lit(True) if most is None else F.col("_n") <= most)).select("doc_id")
     outlined = cut_at_references(valid.join(counts, "doc_id", "left_semi"))
     lists = outlined.groupBy("doc_id").agg(F.sort_array(F.collect_list(
         F.struct("page", "pos", "level", "title"))).alias("h")).join(pages, "doc_id")

@@ -16,8 +16,6 @@ from ..scale import find_hot_keys, keep_first, keep_last, salt_hot_keys, top_n
 
 META_FIELDS = ("description", "humanformat", "generalizations", "domain", "range")
 EXTRA_FIELDS = ("generalizations", "domain", "range")
-EXTRA_SHOWN = 3
-MAX_BINDINGS = 20
 
 
 def distinct_uris(df: DataFrame, http_only: bool) -> DataFrame:
@@ -37,8 +35,9 @@ def metadata_index(triples: DataFrame) -> DataFrame:
     )
 
 
-def context_mapping(uris: DataFrame, index: DataFrame) -> DataFrame:
-    """One context row per URI: description > human format > template."""
+def context_mapping(uris: DataFrame, index: DataFrame, extra_shown: int = 3) -> DataFrame:
+    """One context row per URI: description > human format > template. ``extra_info``
+    is for display and shows the first ``extra_shown`` values of a field."""
     described = index.filter(F.col("field").isin("description", "humanformat")).withColumn(
         "text", clip_text("value")
     ).filter(F.col("text") != "")
@@ -50,7 +49,7 @@ def context_mapping(uris: DataFrame, index: DataFrame) -> DataFrame:
         ]
     )
     shown = top_n(index.filter(F.col("field").isin(*EXTRA_FIELDS)), ["subject", "field"],
-                  [F.col("pos")], EXTRA_SHOWN)
+                  [F.col("pos")], extra_shown)
     listed = shown.groupBy(F.col("subject").alias("uri")).agg(
         *[
             F.array_join(F.transform(
@@ -82,18 +81,26 @@ def context_mapping(uris: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def _one_each(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, as a lookup table has it: the last by ``pos`` where there
+    is such a column, else the greatest."""
+    order = ["pos"] if "pos" in df.columns else [c for c in df.columns if c != key]
+    return keep_last(df, [key], order)
+
+
 def description_chain(uris: DataFrame, structured: DataFrame, lookups: Sequence[DataFrame]) -> DataFrame:
     """Structured rows first, then each (name, description, source) lookup in
-    order, then a template; ``source`` and ``status`` record which one won."""
+    order, then a template; ``source`` and ``status`` record which one won.
+    A key that a lookup holds twice counts once."""
     rows = uris.select("uri", short_uri("uri").alias("name"), infer_kind_by_namespace("uri").alias("kind"))
-    known = structured.select(
+    known = _one_each(structured, "uri").select(
         "uri", F.col("label_en").alias("_label"), F.col("description").alias("_desc"),
         F.col("extra_info").alias("_extra"), F.lit(True).alias("_known"),
     )
     rows = rows.join(known, "uri", "left")
     text, origin = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, lookup in enumerate(lookups):
-        found = lookup.filter(not_blank("description")).select(
+        found = _one_each(lookup.filter(not_blank("description")), "name").select(
             "name", F.col("description").alias(f"_d{i}"), F.col("source").alias(f"_s{i}")
         )
         rows = rows.join(found, "name", "left")
@@ -118,9 +125,9 @@ def description_chain(uris: DataFrame, structured: DataFrame, lookups: Sequence[
     )
 
 
-def first_english_values(bindings: DataFrame) -> DataFrame:
-    """One row per URI from its first MAX_BINDINGS bindings."""
-    rows = top_n(bindings, ["uri"], [F.col("pos")], MAX_BINDINGS)
+def first_english_values(bindings: DataFrame, most: int | None = None) -> DataFrame:
+    """One row per URI from all its bindings, or from its ``most`` first ones."""
+    rows = bindings if most is None else top_n(bindings, ["uri"], [F.col("pos")], most)
 
     def first(column: str):
         given = not_blank(column)

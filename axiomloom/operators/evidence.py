@@ -104,11 +104,12 @@ def _first_values(lists: DataFrame, name: str, n: int, sep: str, value: Column,
         F.sort_array(F.collect_list(F.struct("first_pos", value.alias("v")))), lambda x: x["v"]), sep).alias(out))
 
 
-def axiom_quality(axioms: DataFrame, lists: DataFrame) -> DataFrame:
+def axiom_quality(axioms: DataFrame, lists: DataFrame, chunks_shown: int = 3, pages_shown: int = 2,
+                  contexts_shown: int = 2, context_length: int = 220) -> DataFrame:
     """Explicit, reasonable, naming and keep flags with short evidence and notes.
 
-    Flags are boolean aggregates over the contexts; only the first two or three
-    values per axiom are ever put next to each other.
+    Flags are boolean aggregates over all contexts; the ``*_shown`` first values
+    per axiom are put next to each other for display.
     """
     mentions = lambda item: contains_term("value", item)
     kind = F.col("axiom_type")
@@ -118,9 +119,9 @@ def axiom_quality(axioms: DataFrame, lists: DataFrame) -> DataFrame:
         F.bool_or(says).alias("explicit"), F.lit(True).alias("reasonable"))
     out = axioms.select(*AXIOM).distinct().join(flags, AXIOM, "left")
     for part in (
-        _first_values(lists, "chunk", 3, ", ", F.col("value"), "_chunks"),
-        _first_values(lists, "page", 2, " | ", F.col("value"), "pages"),
-        _first_values(lists, "context", 2, " || ", shorten("value"), "evidence_text"),
+        _first_values(lists, "chunk", chunks_shown, ", ", F.col("value"), "_chunks"),
+        _first_values(lists, "page", pages_shown, " | ", F.col("value"), "pages"),
+        _first_values(lists, "context", contexts_shown, " || ", shorten("value", context_length), "evidence_text"),
     ):
         out = out.join(part, AXIOM, "left")
     out = out.withColumns({

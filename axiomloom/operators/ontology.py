@@ -82,10 +82,11 @@ def service_axiom_rows(docs: DataFrame, execution_mode: str, source_layer: str)
         .when(kind == "property", F.concat(F.lit("Property("), s, F.lit(")")))
         .otherwise(F.concat(s, F.lit(" rdfs:"), kind, F.lit(" "), o))
     )
-    quoted = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    pair = lambda a, b: F.format_string(f'{{"{a}": "%s", "{b}": "%s"}}', quoted(s), quoted(o))
+    in_list = lambda c: F.to_json(F.array(c))  # a JSON text of its own, control characters included
+    quoted = lambda c: F.substr(in_list(c), F.lit(2), F.length(in_list(c)) - 2)
+    pair = lambda a, b: F.format_string(f'{{"{a}": %s, "{b}": %s}}', quoted(s), quoted(o))
     payload = (
-        F.when(kind.isin("class", "property"), F.format_string('"%s"', quoted(s)))
+        F.when(kind.isin("class", "property"), quoted(s))
         .when(kind.isin("subClassOf", "subPropertyOf"), pair("sub", "super"))
         .otherwise(pair("property", "class"))
     )

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..scale import dense_position, keep_last
 from .metrics import binary_metrics, explanation_rates_all, explanation_rates_correct, service_metrics
 
-PAGE_LIMIT = 100
-SHALLOW_ROWS = 10_000
 
 
 def correct_case() -> Column:
@@ -95,18 +93,23 @@ def method_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*columns).intersect(b.select(*columns))
 
 
-def page(df: DataFrame, number: int, size: int, order: str = "id") -> tuple[DataFrame, int]:
-    """(rows of one page, total). Early pages are a bounded top-k; deep pages
-    number the table by key ranges instead of sorting it to one task."""
-    number, size = max(number, 1), max(min(size, PAGE_LIMIT), 1)
-    first = (number - 1) * size
-    if first + size <= SHALLOW_ROWS:
-        rows = df.orderBy(order).limit(first + size).offset(first)
-    else:
-        rows = dense_position(df, [], order, "_n").filter(
-            (F.col("_n") > first) & (F.col("_n") <= first + size)
-        ).drop("_n")
-    return rows, df.count()
+def page(df: DataFrame, number: int, size: int, order: str = "id",
+         max_size: int | None = None) -> tuple[DataFrame, int]:
+    """(rows of one page, total), ties in ``order`` in any order.
+
+    Only the order column is numbered, by ranges; the page is then read by the
+    two values at its ends, which reach the scan as filters.
+    """
+    number, size = max(number, 1), max(size if max_size is None else min(size, max_size), 1)
+    first = (number - 1) * size + 1
+    ranked = dense_position(df.select(F.col(order).alias("_v")), [], "_v", "_n")
+    total = ranked.agg(F.max("_n").alias("n")).first()["n"] or 0
+    if first > total:
+        return df.limit(0), total
+    ends = ranked.filter(F.col("_n").isin(first, min(first + size - 1, total))).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    skipped = first - ranked.filter(F.col("_v") == ends["lo"]).agg(F.min("_n").alias("n")).first()["n"]
+    near = df.filter(F.col(order).between(ends["lo"], ends["hi"]))
+    return near.orderBy(order).limit(skipped + size).offset(skipped), total
 
 
 def preview(df: DataFrame, n: int = 20, order: str = "id") -> DataFrame:

@@ -88,8 +88,8 @@ def _wordings(templates: Mapping[str, Sequence[str]], left: Column, right: Colum
 def expand_templates(axioms: DataFrame) -> DataFrame:
     """Five rows per axiom: the original text and four typed paraphrases.
 
-    Rows whose text does not parse as their type are dropped here; ``parse_axiom``
-    finds them beforehand."""
+    Rows whose text does not parse as their type have none; ``template_rejects``
+    returns them."""
     ends = parse_axiom("axiom_text", "axiom_type")
     original = F.array(F.struct(F.lit(1).alias("template_id"), F.col("axiom_text").alias("text")))
     rows = axioms.withColumn("_ends", ends).filter(F.col("_ends").isNotNull())
@@ -105,6 +105,11 @@ def expand_templates(axioms: DataFrame) -> DataFrame:
     )
 
 
+def template_rejects(axioms: DataFrame) -> DataFrame:
+    """The rows that expand_templates cannot use, whole."""
+    return axioms.filter(parse_axiom("axiom_text", "axiom_type").isNull())
+
+
 def perturb_results(results: DataFrame) -> DataFrame:
     """Five service wordings for every successful result of the four types."""
     rows = results.filter((F.col("run_status") == "success") & F.col("axiom_type").isin(*EDGE_TYPES))

@@ -56,7 +56,8 @@ def group_triples(terms: DataFrame, triples: DataFrame, group_size: int = 25, te
 
     Triples are cut into groups of ``group_size``; the terms a group mentions
     come first and are never cut, then the document's vocabulary fills up to
-    ``term_limit``. Vocabulary left unused by all groups forms one more group.
+    ``term_limit``. Vocabulary left unused by all groups forms further groups of
+    ``term_limit`` terms, as many as it takes.
     With ``known_only`` mentions outside the vocabulary are ignored.
 
     A group mentions at most 3 * group_size terms, so the fill is always among
@@ -84,8 +85,10 @@ def group_triples(terms: DataFrame, triples: DataFrame, group_size: int = 25, te
         fill.select("doc_id", "group_index", "term", F.col("vocab_no").alias("place"), F.lit("fill").alias("source")))
     unused = vocab.join(grouped.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_anti")
     last = groups.groupBy("doc_id").agg(F.max("group_index").alias("_last"))
-    extra = top_n(unused, ["doc_id"], [F.col("vocab_no")], term_limit).join(last, "doc_id", "left").select(
-        "doc_id", (F.coalesce("_last", F.lit(0)) + 1).alias("group_index"), "term",
+    unused = dense_position(cut_lineage(unused, "unused"), ["doc_id"], "vocab_no", "_u")
+    more = F.floor((F.col("_u") - 1) / term_limit) + 1
+    extra = unused.join(last, "doc_id", "left").select(
+        "doc_id", (F.coalesce("_last", F.lit(0)) + more).cast("bigint").alias("group_index"), "term",
         F.col("vocab_no").alias("place"), F.lit("remaining").alias("source"))
     return grouped.unionByName(extra)
 

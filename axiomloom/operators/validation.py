@@ -17,7 +17,6 @@ OPTIONAL = ("negative_strategy", "subject_context", "object_context", "context_i
 BLANK_FIELD = "第 %s 行字段 %s 不能为空"
 BAD_LABEL = "第 %s 行字段 label 只能为 0 或 1"
 FIRST_DATA_ROW = 2
-SHOWN_ERRORS = 20
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -63,18 +62,18 @@ def validate_axioms(df: DataFrame, position: str) -> tuple[DataFrame, DataFrame]
     return valid, rejects
 
 
-def reject_report(rejects: DataFrame) -> DataFrame:
-    """The first errors in row order, each with the number of errors not shown."""
+def reject_report(rejects: DataFrame, shown: int = 20) -> DataFrame:
+    """The first ``shown`` errors in row order, each with the number of errors not shown."""
     total = rejects.agg(F.count(F.lit(1)).alias("total"))
-    shown = rejects.orderBy("row_number").limit(SHOWN_ERRORS)
-    hidden = total.select(F.greatest(F.col("total") - SHOWN_ERRORS, F.lit(0)).alias("more")).first()["more"]
-    return shown.withColumn("more", F.lit(hidden).cast("bigint"))
+    first = rejects.orderBy("row_number").limit(shown)
+    hidden = total.select(F.greatest(F.col("total") - shown, F.lit(0)).alias("more")).first()["more"]
+    return first.withColumn("more", F.lit(hidden).cast("bigint"))
 
 
-def load_axioms(df: DataFrame, position: str) -> DataFrame:
+def load_axioms(df: DataFrame, position: str, errors_shown: int = 20) -> DataFrame:
     """All-or-nothing: the valid rows, or an error naming the first rejects."""
     valid, rejects = validate_axioms(df, position)
-    shown = reject_report(rejects).collect()
+    shown = reject_report(rejects, errors_shown).collect()
     if shown:
         more = shown[0]["more"]
         tail = f" (and {more} more)" if more else ""

@@ -201,7 +201,7 @@ BIND = """select 'http://ex.org/onto#E' || (event_id % 700) as uri, event_id as
 
 
 @query("D12_first_english_values", f"""
-with b as (select * from ({BIND.format('events')}) qualify row_number() over (partition by uri order by pos) <= 20),
+with b as (select * from ({BIND.format('events')})),
 g as (select uri, coalesce(arg_min(trim(label), pos) filter (where trim(label) <> ''), '') as l, coalesce(arg_min(trim(abstract), pos) filter (where abstract <> ''), '') as a,
  coalesce(arg_min(comment, pos) filter (where comment is not null), '') as c, bool_or(type like '%ObjectProperty') as p, bool_or(type like '%Class') as k from b group by uri)
 select uri, substr(uri, 20) as name, case when p then 'Property' when k then 'Class' else 'Unknown' end as kind, l as label_en, replace(a, '  ', ' ') as abstract_en, c as comment_en,

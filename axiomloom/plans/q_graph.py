@@ -55,18 +55,11 @@ walk as (select {K}, component, 0 as depth from top union select w.method, w.dom
 dep as (select {K}, component, min(depth) as shortest, max(depth) as longest from walk group by 1, 2, 3, 4)"""
 
 
-_STORED: dict[tuple[str, str], tuple] = {}
-
-
 def scc(t):
-    """Edges, components and condensed edges as stored tables. They are input
-    to four queries, so one session computes them once per data folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _STORED:
-        e = cut_lineage(edges(t), "edges")
-        components = gr.strongly_connected(e)
-        _STORED[key] = (e, components, gr.condensed_edges(e, components))
-    return _STORED[key]
+    """Edges, components and condensed edges as stored tables."""
+    e = cut_lineage(edges(t), "edges")
+    components = gr.strongly_connected(e)
+    return e, components, gr.condensed_edges(e, components)
 
 
 @query("G04_strongly_connected", f"with {REACH} select c.method, c.domain, c.axiom_type, c.node, c.component, s.size from c join s on {JOIN_K.format('c', 's')} and s.component = c.component")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -77,7 +79,7 @@ def _(t):
 
 
 @query("C05_section_spans", f"""
-with v as (select * from v_headings where {D_VALID}), n as (select doc_id from v group by doc_id having count(*) between 3 and 10),
+with v as (select * from v_headings where {D_VALID}), n as (select doc_id from v group by doc_id having count(*) >= 3),
 c as (select * from (select v.*, max(case when {D_REF} then 1 else 0 end) over (partition by v.doc_id order by pos) as seen from v join n on n.doc_id = v.doc_id) where seen = 0),
 h as (select *, row_number() over (partition by doc_id order by page, pos) as i from c),
 x as (select a.doc_id, a.i, a.title, a.level, a.page, (select arg_min(b.page, b.i) from h b where b.doc_id = a.doc_id and b.i > a.i and b.level <= a.level) as nxt from h a)
@@ -163,7 +165,7 @@ cand as (select c.doc_id, c.g, c.n, v.term, v.no, row_number() over (partition b
 used as (select doc_id, g, term, place, 'mentioned' as source from mm union all select doc_id, g, term, no, 'fill' from cand where r + n <= {limit}),
 rest as (select v.doc_id, v.term, v.no, row_number() over (partition by v.doc_id order by v.no) as r from vocab v where not exists (select 1 from used u where u.doc_id = v.doc_id and u.term = v.term))
 select doc_id, g as group_index, term, source, place from used
-union all select r.doc_id, (select max(g) from grp where grp.doc_id = r.doc_id) + 1, term, 'remaining', no from rest r where r <= {limit}"""
+union all select r.doc_id, coalesce((select max(g) from grp where grp.doc_id = r.doc_id), 0) + (r - 1) // {limit} + 1, term, 'remaining', no from rest r"""
 
 
 @query("L01_group_triples", d_groups(4, 14, False))
@@ -449,11 +451,19 @@ def _(t):
 
 
 def method_quality(t):
-    methods = t.v_doc_axioms.select("doc_id", "method").distinct()
-    return quality(t).join(methods, "doc_id")
+    """Axioms of the chunk baseline by the chunks that state them, all others by
+    the triples of the layers."""
+    axioms = cut_lineage(t.v_doc_axioms, "axioms")
+    base, layered = axioms.filter(IS_BASE), axioms.filter(f"not ({IS_BASE})")
+    lists = ((base, ev.baseline_evidence(base, t.v_chunk_axioms, t.v_chunks)),
+             (layered, ev.layered_evidence(layered, t.v_doc_triples, t.v_chunks)))
+    judged = [ev.axiom_quality(a, cut_lineage(l, "lists")) for a, l in lists]
+    return judged[0].unionByName(judged[1]).join(axioms.select("doc_id", "method").distinct(), "doc_id")
 
 
-D_METHOD = f"(select q.*, m.method from {QUALITY} q join (select distinct doc_id, method from v_doc_axioms) m on m.doc_id = q.doc_id)"
+IS_BASE = "method <> 'three_layer'"
+D_METHOD = f"""(select q.*, m.method from {QUALITY} q join (select distinct doc_id, method from v_doc_axioms where not ({IS_BASE})) m on m.doc_id = q.doc_id
+ union all select q.*, m.method from {QUALITY.replace(LAYER_LISTS, BASE_LISTS)} q join (select distinct doc_id, method from v_doc_axioms where {IS_BASE}) m on m.doc_id = q.doc_id)"""
 
 
 def d_rates(flags: dict[str, str], keys: str) -> str:
@@ -466,6 +476,12 @@ def _(t):
     return ev.quality_rates(method_quality(t), ["method", "axiom_type"], None)
 
 
+@query("A19_quality_rates_rounded", re.sub(r"cast\((count_if\(\w+\)) as double\) / count\(\*\)", r"round(cast(\1 as double) / count(*), 2)",
+    d_rates({n: n for n in ("explicit", "reasonable", "naming", "keep")}, "method")))
+def _(t):
+    return ev.quality_rates(method_quality(t))
+
+
 @query("A20_quality_rates_fair", d_rates({"explicit": "explicit", "extension_keep": "not explicit and reasonable and keep", "acceptable": "explicit or (reasonable and keep)", "keep": "keep", "naming": "naming"}, "method"))
 def _(t):
     return ev.quality_rates_fair(method_quality(t), ["method"], None)

@@ -245,9 +245,9 @@ def _(t):
     return rows.withColumn("total", F.lit(total).cast("bigint"))
 
 
-@query("W01_deep_page", "select id, task_id, (select count(*) from v_results) as total from v_results order by id limit 100 offset 14000")
+@query("W01_deep_page", "select id, task_id, (select count(*) from v_results) as total from v_results order by id limit 500 offset 14000")
 def _(t):
-    rows, total = rp.page(t.v_results.select("id", "task_id"), 141, 500)
+    rows, total = rp.page(t.v_results.select("id", "task_id"), 29, 500)
     return rows.withColumn("total", F.lit(total).cast("bigint"))
 
 
@@ -308,6 +308,15 @@ def _(t):
     return st.expand_templates(t.v_axioms)
 
 
+@query("D14_rejects", """
+select id, axiom_type, axiom_text from (select id, case id % 3 when 0 then 'range' else axiom_type end as axiom_type, axiom_text from v_axioms)
+where not coalesce((axiom_type = 'subClassOf' and contains(axiom_text, '⊑')) or (axiom_type = 'subPropertyOf' and contains(axiom_text, '⊑p'))
+  or (axiom_type = 'domain' and starts_with(axiom_text, 'domain(')) or (axiom_type = 'range' and starts_with(axiom_text, 'range(')), false)""")
+def _(t):
+    mixed = t.v_axioms.withColumn("axiom_type", F.expr("case id % 3 when 0 then 'range' else axiom_type end"))
+    return st.template_rejects(mixed).select("id", "axiom_type", "axiom_text")
+
+
 @query("D15_perturb_results", """
 select id as original_id, axiom_type, predict_label as original_predict_label, template_id, id || '_tpl' || template_id as variant_id, perturbed_text from (
  select *, unnest([1, 2, 3, 4, 5]) as template_id, unnest(case axiom_type

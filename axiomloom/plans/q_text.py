@@ -37,10 +37,10 @@ def d_words(x: str) -> str:
     return f"list_filter(string_split_regex(lower({step}), '{WS}+'), lambda t: t <> '')"
 
 
-def d_contains_term(text: str, term: str) -> str:
+def d_contains_term(text: str, term: str, leading: str = ", 1, 3") -> str:
     hay, words = f"lower({d_collapse(text)})", d_words(term)
     return (f"({hay} <> '' and len({words}) > 0 and (contains({hay}, array_to_string({words}, ' ')) or "
-            f"len(list_filter(list_slice({words}, 1, 3), lambda w: not contains({hay}, w))) = 0))")
+            f"len(list_filter({f'list_slice({words}{leading})' if leading else words}, lambda w: not contains({hay}, w))) = 0))")
 
 
 def d_clip(x: str, n: int) -> str:
@@ -172,6 +172,12 @@ def _(t):
     return rows.select("doc_id", "axiom_type", "pos", tx.contains_term("context", "item1").alias("mentioned"))
 
 
+@query("T15_contains_all_words", f"select doc_id, axiom_type, pos, {d_contains_term('context', 'item1', '')} as mentioned from (select a.*, c.context from v_chunk_axioms a join v_doc_triples c on a.doc_id = c.doc_id and a.pos = c.pos)")
+def _(t):
+    rows = t.v_chunk_axioms.join(t.v_doc_triples.select("doc_id", "pos", "context"), ["doc_id", "pos"])
+    return rows.select("doc_id", "axiom_type", "pos", tx.contains_term("context", "item1", None).alias("mentioned"))
+
+
 D_ZH = rf"regexp_extract(x, '判断结果{WS}*[:：]{WS}*\[?{WS}*(正确|错误)', 1)"
 D_EN = rf"lower(regexp_extract(x, '(?i)Judgment Result{WS}*[:：]{WS}*\[?{WS}*(Correct|Incorrect)', 1))"
 
@@ -434,3 +440,9 @@ select file_name, case when contains(error, '没有找到书签结构') then 'no
 def _(t):
     _stats, skipped = va.batch_outcome_stats(t.spark.sql(FILES.format("{pages}"), pages=t.pages))
     return skipped
+
+
+@query("V13_tag_retryable_concepts", f"select event_type, case when regexp_matches(lower(e), '{'|'.join(tx.CONCEPT_RETRY_MARKERS)}') then true else false end as retry, count(*) as n from (select event_type, {ERROR_TEXT} as e from events) group by 1, 2")
+def _(t):
+    rows = t.events.select("event_type", tx.tag_retryable(F.expr(ERROR_TEXT), tx.CONCEPT_RETRY_MARKERS).alias("retry"))
+    return rows.groupBy("event_type", "retry").agg(F.count(F.lit(1)).alias("n"))

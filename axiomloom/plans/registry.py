@@ -13,6 +13,8 @@ from .views import BASE_TABLES, TEXT_TABLES, VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: For benches on one machine, whose text tables are single files.
+SPREAD_FILES = False
 
 
 class Tables:
@@ -31,7 +33,7 @@ class Tables:
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            return spread_few_files(table) if name in TEXT_TABLES else table
+            return spread_few_files(table) if SPREAD_FILES and name in TEXT_TABLES else table
         sql = VIEWS[name]["spark"]
         inputs = {used: getattr(self, used) for used in _names(sql)}
         return self.spark.sql(sql, **inputs)

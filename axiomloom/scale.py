@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANK_BUCKETS = 64
-HOT_KEY_LIMIT = 1024
+from .session import cut_lineage
+
+FEW_HOT_KEYS = 1024
 HOT_KEY_ROWS = 1_000_000
 SALTS = 64
 
@@ -86,35 +87,31 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
 
 
 def dense_position(df: DataFrame, keys: Sequence[str], order: str, out: str,
-                   tie: Sequence[str] = (), buckets: int = RANK_BUCKETS) -> DataFrame:
-    """1-based position of each row inside its key, by a numeric order column.
-
-    ``order`` (with ``tie``) must be unique inside a key. Quantiles of ``order`` over all rows
-    split every key into ranges holding at most about 1/buckets of the table;
-    rows are numbered inside a range and shifted by the counts of the ranges
-    before it. With no keys this numbers the whole table without one big sort.
+                   tie: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """1-based position of each row inside its key, by an order column.
+
+    ``order`` (with ``tie``) must be unique inside a key. Rows are dealt to
+    ranges of (keys, order, tie), as many as there are shuffle partitions unless
+    ``ranges`` says otherwise, and stored in that order with a running number;
+    a row's position is its number inside its range, shifted by the counts of
+    the ranges before. ``df`` is read once, and one key or the whole table is
+    split like anything else.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(order), steps, 1000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    if cuts:
-        edge = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.size(F.filter(edge, lambda e: e < F.col(order)))
-    else:
-        bucket = F.lit(0)
-    tagged = df.withColumn("_bucket", bucket)
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort = [*keys, order, *tie]
+    dealt = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    stored = cut_lineage(dealt.withColumn("_no", F.monotonically_increasing_id()), "positions")
+    tagged = stored.withColumn("_bucket", F.shiftright("_no", 33))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        tagged.groupBy(*keys, "_bucket").agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1)
+        .drop("_n", "_first")
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(order, *tie)
     on = [*keys, "_bucket"]
     joined = tagged.join(_null_safe(offsets, on), _match(tagged, on), "inner")
-    return joined.select(
-        *df.columns, (F.row_number().over(inside) + F.col("_offset")).cast("bigint").alias(out)
-    )
+    return joined.select(*df.columns, (F.col("_no") + F.col("_shift")).cast("bigint").alias(out))
 
 
 def _null_safe(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -145,12 +142,10 @@ def rank_by_value(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """The heaviest keys of ``df``: at most HOT_KEY_LIMIT rows by construction."""
+    """The keys of ``df`` with at least ``min_rows`` rows, all of them."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (
         counts.filter(F.col("_n") >= min_rows)
-        .orderBy(F.col("_n").desc())
-        .limit(HOT_KEY_LIMIT)
         .select(*keys, F.lit(True).alias("_hot"))
     )
 
@@ -159,7 +154,9 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_RO
     """hot_keys as a fixed small frame, or None when no key is hot. For loops
     that join the same table many times."""
     hot = hot_keys(df, keys, min_rows)
-    rows = hot.collect()
+    rows = hot.limit(FEW_HOT_KEYS + 1).collect()
+    if len(rows) > FEW_HOT_KEYS:  # too many for the driver: a table in the shared folder
+        return cut_lineage(hot, "hot-keys")
     return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
@@ -179,10 +176,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None,
                   how: str = "inner", salts: int = SALTS) -> DataFrame:
     """salted_join with the hot keys already known; None is a plain join. The
-    list has at most HOT_KEY_LIMIT rows, so broadcasting it is safe."""
+    planner chooses how to join the keys, by their size."""
     if hot is None:
         return left.join(right, list(on), how)
-    hot = F.broadcast(hot)
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     spread = F.when(is_hot, _salt(left.columns, salts)).otherwise(F.lit(0)).cast("int")
     lhs = left.join(hot, list(on), "left").withColumn("_salt", spread).drop("_hot")

@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from axiomloom import build_session  # noqa: E402
-from axiomloom.plans import catalog  # noqa: E402
+from axiomloom.plans import catalog, registry  # noqa: E402
 
 HEADLINE = [
     "A03_binary_metrics", "A04_metrics_by_type", "A07_service_metrics", "A10_hard_consistency",
@@ -39,6 +39,7 @@ def main() -> None:
     })
     spark.sparkContext.setLogLevel("ERROR")
     catalog.QUERIES["A01_stats_long"](spark, folder).count()  # start the JVM's code paths
+    registry.SPREAD_FILES = True
     seconds = {}
     for name in HEADLINE:
         began = time.perf_counter()
@@ -48,6 +49,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "axiom_analytics_total_seconds", "value": round(sum(seconds.values()), 3),
         "unit": "sec", "queries": seconds, "sf": Path(folder).name.removeprefix("sf"), "cpus": cpus,
+        "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }))
     spark.stop()
 
