@@ -15,10 +15,10 @@ from ..operators import ontology as on
 from ..operators import terms as te
 from ..session import cut_lineage, scratch_path
 from ..sources import readers
-from .q_datasets import document_form, layer3_docs, service_form
+from .q_datasets import document_form, layer3_docs, rest, service_form
 from .q_text import d_contains_term, d_naming
 from .registry import query
-from .views import WS, d_collapse, d_strip
+from .views import REST3, WS, d_collapse, d_strip
 
 # ---- chunking --------------------------------------------------------------
 LIMIT = 400
@@ -259,7 +259,7 @@ def layer2_docs(t):
     lines = F.split("text", "\n")
     kind = lambda i: F.element_at(F.array(*[F.lit(x) for x in ("Class", "Instance", "", "Property")]), (i % 4 + 1).cast("int"))
     terms = F.transform(lines, lambda l, i: F.struct(word(l, 1).alias("original"), F.lower(word(l, 1)).alias("normalized"), kind(i).alias("type")))
-    triples = F.transform(lines, lambda l, i: F.struct(word(l, 1).alias("subject"), word(l, 2).alias("relation"), word(l, 3).alias("object"), F.array(F.struct(
+    triples = F.transform(lines, lambda l, i: F.struct(word(l, 1).alias("subject"), word(l, 2).alias("relation"), rest(l, 3).alias("object"), F.array(F.struct(
         F.lit("c").alias("chunk"), l.alias("context"))).alias("evidence")))
     return t.documents.join(t.v_domains, "doc_id").select("doc_id", "domain", terms.alias("normalized_terms"), triples.alias("updated_triples"))
 
@@ -491,7 +491,7 @@ def _(t):
 def layer1_docs(t):
     lines = F.split("text", "\n")
     triples = F.transform(lines, lambda l, i: F.struct(word(l, 1).alias("subject"), F.when(i % 2 == 0, word(l, 2)).alias("relation"),
-                          F.when(i % 2 == 1, word(l, 2)).alias("predicate"), word(l, 3).alias("object")))
+                          F.when(i % 2 == 1, word(l, 2)).alias("predicate"), rest(l, 3).alias("object")))
     return t.documents.join(t.v_domains, "doc_id").select(
         "doc_id", "domain", F.size(lines).alias("chunk_count"), F.split("text", " ").alias("terms"), triples.alias("triples"))
 
@@ -554,7 +554,7 @@ def _(t):
 
 @query("A25_doc_run_record", f"""
 select l.doc_id, count(*) as chunk_count, (select count(*) from {DEDUP_TERMS} x where x.doc_id = l.doc_id) as term_count, count(*) as triple_count,
- count_if(split_part(line, ' ', 1) <> '' and split_part(line, ' ', 2) <> '' and split_part(line, ' ', 3) <> '' and pos % 9 <> 8 and {d_strip('line')} <> '') as valid_triple_count,
+ count_if(split_part(line, ' ', 1) <> '' and split_part(line, ' ', 2) <> '' and {REST3} <> '' and pos % 9 <> 8 and {d_strip('line')} <> '') as valid_triple_count,
  count_if(length(line) < 12) as note_count from v_lines l group by l.doc_id""")
 def _(t):
     return run_record(t)[0]

@@ -165,12 +165,12 @@ select o_orderkey as id, o_custkey as task_id, o_orderkey as record_id, {TYPE5.f
 from {{orders}}
 """)
 _view("v_annotations", """
-select id as result_id, task_id, id * 2 as seq,
+select case when axiom_type = 'range' then -id - 1 else id end as result_id, task_id, id * 2 as seq,
        case when id % 4 = 0 then null when id % 3 = 0 then 1 else 0 end as explanation_correct_label,
        case when id % 5 = 0 then null when id % 7 = 0 then 1 else 0 end as hallucination_label,
        case when id % 4 = 0 or id % 5 = 0 then 'pending' else 'completed' end as annotation_status,
        case id % 3 when 0 then 'correct' when 1 then 'wrong' else 'hallucination' end as explanation_label
-from {v_results} where axiom_type <> 'range'
+from {v_results}
 """)
 _view("v_stability_tasks", """
 select o_orderkey as id, o_custkey as base_task_id, o_orderdate as created_time,
@@ -186,16 +186,19 @@ _view(
     "select doc_id, unnest(range(len(a))) as pos, unnest(a) as line from "
     "(select doc_id, string_split(text, chr(10)) as a from {documents})",
 )
-_view("v_doc_triples", """
+# What follows the second and the third word of a line, whole.
+REST3 = "substr(line, length(split_part(line, ' ', 1)) + length(split_part(line, ' ', 2)) + 3)"
+REST4 = "substr(line, length(split_part(line, ' ', 1)) + length(split_part(line, ' ', 2)) + length(split_part(line, ' ', 3)) + 4)"
+_view("v_doc_triples", f"""
 select doc_id, pos, split_part(line, ' ', 1) as subject, split_part(line, ' ', 2) as relation,
-       split_part(line, ' ', 3) as object,
+       {REST3} as object,
        case when pos % 9 = 8 then '' else 'c' || cast(floor(pos / 4.0) as bigint) end as chunk,
        case when pos % 9 = 8 then ' ' else line end as context
-from {v_lines}
+from {{v_lines}}
 """)
-_view("v_doc_terms", """
-select doc_id, pos * 2 as pos, split_part(line, ' ', 4) as term from {v_lines}
-union all select doc_id, pos * 2 + 1, split_part(line, ' ', 1) || ' ' from {v_lines}
+_view("v_doc_terms", f"""
+select doc_id, pos * 2 as pos, {REST4} as term from {{v_lines}}
+union all select doc_id, pos * 2 + 1, split_part(line, ' ', 1) || ' ' from {{v_lines}}
 """)
 _view("v_votes", """
 select doc_id, subject as original, case pos % 3 when 0 then 'N' || subject when 1 then '' else lower(subject) end as normalized,
@@ -237,9 +240,9 @@ from {documents}
 _view("v_doc_pages", "select source as doc_id, doc_id as page_no, text from {documents}")
 _view("v_headings", """
 select doc_id, pos,
-       case pos % 5 when 0 then cast(pos + 1 as string) || '. ' || substr(line, 1, 25) when 1 then 'abstract ' || pos
-            when 2 then lower(substr(line, 1, 20)) when 3 then substr(line, 1, 30)
-            else case when doc_id % 4 = 0 and pos > 6 then 'References' else substr(line, 1, 12) end end as title,
+       case pos % 5 when 0 then cast(pos + 1 as string) || '. ' || line when 1 then 'abstract ' || pos
+            when 2 then lower(line) when 3 then line
+            else case when doc_id % 4 = 0 and pos > 6 then 'References' else line end end as title,
        cast(pos % 3 as int) + 1 as level, cast(floor(pos / 3.0) as bigint) as page
 from {v_lines}
 """)
