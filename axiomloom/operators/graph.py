@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_token
@@ -21,8 +21,6 @@ from ..session import cut_and_count, cut_lineage
 
 KEYS = ("method", "domain", "axiom_type")
 ALL_DOMAINS = "all"
-# Rounds of label changes kept apart before they are merged into one table.
-MERGE_AFTER = 6
 
 
 def collect_edges(records: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -74,24 +72,26 @@ def number_nodes(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
 def _smallest_reaching(arcs: DataFrame) -> DataFrame:
     """(node, label): the smallest number from which each node can be reached.
 
-    Every node starts with itself. Only nodes whose label shrank send it on,
-    labels meeting at a node are reduced before the shuffle, and a round stores
-    just the labels it improved; the label of a node is its smallest entry.
+    Every node starts with itself. A round hands labels over one arc, reduced
+    before the shuffle, and then jumps: a node takes the label of its label,
+    which also reaches it. Numbers follow a hash, so a label lies about halfway
+    down the stretch it is the smallest of, and the stretch grows by half per
+    round: rounds grow with the logarithm of the longest path.
     """
     hot = find_hot_keys(arcs.select(F.col("src").alias("node")), ["node"])
-    start = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    changed = cut_lineage(start.withColumn("label", F.col("node")), "labels")
-    pieces = [changed]
     out = arcs.select(F.col("src").alias("node"), "dst")
+    start = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    labels = cut_lineage(start.withColumn("label", F.col("node")), "labels")
     while True:
-        sent = salt_hot_keys(out, changed, ["node"], hot).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_new"))
-        now = _union(pieces).join(sent, "node").groupBy("node").agg(F.min("label").alias("_now"), F.min("_new").alias("label"))
-        changed, seen = cut_and_count(now.filter("label < _now").select("node", "label"), "labels")
-        if not seen["rows"]:
-            return _union(pieces).groupBy("node").agg(F.min("label").alias("label"))
-        pieces.append(changed)
-        if len(pieces) > MERGE_AFTER:
-            pieces = [cut_lineage(_union(pieces).groupBy("node").agg(F.min("label").alias("label")), "labels")]
+        sent = salt_hot_keys(out, labels, ["node"], hot).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_new"))
+        stepped = labels.join(sent, "node", "left").select(
+            "node", F.least("label", F.coalesce("_new", "label")).alias("_to"), F.col("label").alias("_was"))
+        beyond = labels.select(F.col("node").alias("_to"), F.col("label").alias("_far"))
+        jumped = stepped.join(beyond, "_to").select("node", F.least("_to", "_far").alias("label"), "_was")
+        labels, seen = cut_and_count(jumped, "labels", moved=F.col("label") < F.col("_was"))
+        labels = labels.select("node", "label")
+        if not seen["moved"]:
+            return labels
 
 
 def strongly_connected(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -143,28 +143,20 @@ def condensed_edges(edges: DataFrame, components: DataFrame, keys: Sequence[str]
         *keys, F.col("_a").alias("sub"), F.col("_b").alias("super")).distinct(), "dag")
 
 
-def component_depths(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def component_depths(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS,
+                     pairs: DataFrame | None = None) -> DataFrame:
     """(keys, component, component_id, size, shortest, longest) below the top.
 
-    Round i holds the components some path of exactly i steps leads to from a
-    top component; the first and last rounds that hold a component are its
-    shortest and longest depth. The graph is acyclic, so the rounds end.
+    Read from the closure (``pairs``, made here if not given): the longest path
+    from any ancestor begins at a top component, the shortest depth is the
+    nearest top one.
     """
     parts = cut_lineage(components.select(*keys, "component", "component_id", "size").distinct(), "parts")
-    down = cut_lineage(dag.select(F.col("super").alias("id"), F.col("sub").alias("child")), "down")
-    hot = find_hot_keys(down, ["id"])
-    level = cut_lineage(parts.select(F.col("component_id").alias("id")).join(
-        down.select(F.col("child").alias("id")).distinct(), "id", "left_anti"), "level")
-    levels = [level.withColumn("depth", F.lit(0))]
-    while True:
-        step = salt_hot_keys(down, level, ["id"], hot).select(F.col("child").alias("id")).distinct()
-        level, seen = cut_and_count(step, "level")
-        if not seen["rows"]:
-            break
-        levels.append(level.withColumn("depth", F.lit(len(levels))))
-    depths = _union(levels).groupBy(F.col("id").alias("component_id")).agg(
-        F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
-    return parts.join(depths, "component_id")
+    pairs = closure_pairs(dag) if pairs is None else pairs
+    below = dag.select(F.col("sub").alias("super")).distinct().withColumn("_below", F.lit(True))
+    depths = pairs.join(below, "super", "left").groupBy(F.col("sub").alias("component_id")).agg(
+        F.min(F.when(F.col("_below").isNull(), F.col("steps"))).alias("shortest"), F.max("longest").alias("longest"))
+    return parts.join(depths, "component_id", "left").na.fill(0, ["shortest", "longest"])
 
 
 def depth_metrics(depths: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -176,34 +168,37 @@ def depth_metrics(depths: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS)
 
 
 def closure_pairs(dag: DataFrame) -> DataFrame:
-    """(sub, super, steps): all connected pairs of an acyclic graph of numbered
-    nodes, with their shortest distance.
-
-    Distances double per round. A pair more than n steps apart passes a node
-    exactly n steps from its start, so the pairs of exactly n steps joined with
-    the known pairs (at most n steps) give all pairs up to 2n steps; a pair is
-    derived only once per such middle node. Rounds grow with the logarithm of
-    the depth.
+    """(sub, super, steps, longest): all connected pairs of an acyclic graph of
+    numbered nodes, with their shortest and longest distance.
+
+    Each round joins the pairs with themselves (min-plus and max-plus at once):
+    after k rounds all paths of up to 2**k arcs are in, so rounds grow with the
+    logarithm of the depth. Pairs only appear, shortest distances only shrink and
+    longest only grow, so equal counts and sums mean that nothing changed.
     """
-    n = 1
-    known, seen = cut_and_count(dag.select("sub", "super").distinct().withColumn("steps", F.lit(1)), "closure")
-    pieces, exact = [known], known
-    while seen["rows"]:
-        left = exact.select("sub", F.col("super").alias("middle"))
-        right = _union(pieces).select(F.col("sub").alias("middle"), "super", F.col("steps").alias("_more"))
-        longer = salted_join(left, right, ["middle"]).groupBy("sub", "super").agg((F.min("_more") + n).alias("steps"))
-        fresh = longer.join(_union(pieces).select("sub", "super"), ["sub", "super"], "left_anti")
-        n *= 2
-        piece, seen = cut_and_count(fresh, "closure", exact=F.col("steps") == n)
-        if seen["rows"]:
-            pieces.append(piece)
-        if not seen["exact"]:
-            break
-        exact = piece.filter(F.col("steps") == n)
-    return _union(pieces)
-
-
-def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    best = [F.min("steps").alias("steps"), F.max("longest").alias("longest")]
+    pairs = dag.select("sub", "super").distinct().withColumns({"steps": F.lit(1), "longest": F.lit(1)})
+    pairs, before = _measured(pairs)
+    while True:
+        left = pairs.select("sub", F.col("super").alias("middle"), F.col("steps").alias("_s"), F.col("longest").alias("_l"))
+        right = pairs.withColumnRenamed("sub", "middle")
+        longer = salted_join(left, right, ["middle"]).groupBy("sub", "super").agg(
+            F.min(F.col("_s") + F.col("steps")).alias("steps"), F.max(F.col("_l") + F.col("longest")).alias("longest"))
+        pairs, after = _measured(pairs.unionByName(longer).groupBy("sub", "super").agg(*best))
+        if after == before:
+            return pairs
+        before = after
+
+
+def _measured(pairs: DataFrame) -> tuple[DataFrame, dict]:
+    seen = Observation()
+    measures = [F.count(F.lit(1)).alias("n"), F.sum("steps").alias("steps"), F.sum("longest").alias("longest")]
+    table = cut_lineage(pairs.observe(seen, *measures), "closure")
+    return table, dict(seen.get)
+
+
+def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS,
+                     pairs: DataFrame | None = None) -> DataFrame:
     """Number of ordered node pairs joined by a path, source and target distinct.
 
     A component pair stands for size * size node pairs and a component for
@@ -213,7 +208,7 @@ def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str]
     sizes = components.select(*keys, "component_id", "size").distinct()
     a = sizes.select(*keys, F.col("component_id").alias("sub"), F.col("size").alias("_a"))
     b = sizes.select(F.col("component_id").alias("super"), F.col("size").alias("_b"))
-    reached = closure_pairs(dag).join(b, "super").groupBy("sub").agg(F.sum("_b").alias("_b"))
+    reached = (closure_pairs(dag) if pairs is None else pairs).join(b, "super").groupBy("sub").agg(F.sum("_b").alias("_b"))
     counts = reached.join(a, "sub").select(*keys, (F.col("_a") * F.col("_b")).alias("n")).unionByName(
         sizes.select(*keys, (F.col("size") * (F.col("size") - 1)).alias("n")))
     return counts.groupBy(*keys).agg(F.sum("n").alias("semantic_content"))
@@ -224,8 +219,9 @@ def hierarchy_metrics(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     edges = cut_lineage(edges, "edges")
     components = strongly_connected(edges, keys)
     dag = condensed_edges(edges, components, keys)
-    depth = depth_metrics(component_depths(components, dag, keys), dag, keys)
-    return node_edge_counts(edges, keys).join(depth, keys).join(semantic_content(components, dag, keys), keys)
+    pairs = closure_pairs(dag)
+    depth = depth_metrics(component_depths(components, dag, keys, pairs), dag, keys)
+    return node_edge_counts(edges, keys).join(depth, keys).join(semantic_content(components, dag, keys, pairs), keys)
 
 
 MEASURES = ("node_count", "direct_edge_count", "max_depth", "avg_depth", "semantic_content")
