@@ -6,6 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+
+ROWS_AT_ONCE = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: this session sends at most ROWS_AT_ONCE rows to Python at a time."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ROWS_AT_ONCE:
+        spark.conf.set(rows, ROWS_AT_ONCE)
 
 
 def list_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small_batches
 from .template import Template, TemplateError, unescape, unescape_line
 from .text import whole
 
@@ -38,6 +39,7 @@ def format_turns(turns: DataFrame, source: str = CHATML, conv: str = "conv_id",
     """
     if not Template(source).turn_by_turn:
         raise TemplateError("the template must be one loop over the messages that uses the message alone")
+    small_batches(turns.sparkSession)
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), whole(role).alias("r"), whole(text).alias("t"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

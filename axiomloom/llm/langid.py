@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import blocks, sums_per_piece, text_bytes
+from .arrow import blocks, small_batches, sums_per_piece, text_bytes
 from .text import whole
 
 ORDER = 3
@@ -142,6 +142,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
           per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model from labelled rows. The sample is bounded per language; what
     reaches the driver are byte statistics, not texts."""
+    small_batches(docs.sparkSession)
     counts = training_sample(docs, text, lang, key, per_language).mapInPandas(
         _grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = counts.toPandas().sort_values(["lang", "gram"])
@@ -180,6 +181,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     Repeated rows get equal answers; only the named columns are read. Pack rows
     whose columns may clash with the result's into one struct to keep them.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # byte statistics of a bounded sample, a few MB
     rows = docs.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("text"), whole(text).rlike(r"\p{L}").alias("_letters"))
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bilstm_crf
+from .arrow import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
@@ -244,6 +245,7 @@ def fit(labelled: list[tuple[str, list[tuple[int, int, int]]]]) -> bilstm_crf.Pa
 def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> bilstm_crf.Params:
     """Train on a bounded sample of the corpus, labelled by the base patterns, and
     on generated texts made with its words."""
+    small_batches(docs.sparkSession)
     ids = docs.filter(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]")).select(F.col(key).alias("k")).distinct().orderBy(
         F.xxhash64(F.col("k").cast("string"), F.lit("pii"))).limit(SAMPLE_DOCS)  # a bounded broadcast
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(ids), "k", "left_semi")
@@ -275,6 +277,7 @@ def find(docs: DataFrame, net: bilstm_crf.Params, text: str = "text", key: str =
     Repeated rows get equal answers; only the named columns are read. Texts
     without a digit and without @ cannot hold a span and are not sent to Python.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
     rows = docs.select(F.col(key).alias("doc_id"), F.when(F.col(text).rlike("[0-9@]"), F.col(text)).alias("t"))
     empty = hashlib.sha256(b"").hexdigest()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import text_bytes
+from .arrow import small_batches, text_bytes
 from .text import whole
 
 WORD_BITS, SHAPES = 17, 128
@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
           most: int = LABELLED_ROWS) -> Weights:
     """Weights from at most ``most`` labelled rows. Rows without a label or a text
     and repeated ids are not learned from; without both labels every score is the bias."""
+    small_batches(docs.sparkSession)
     picked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(
         F.min(F.col(label)).cast("int").alias("y"))
     picked = F.broadcast(picked.orderBy(F.xxhash64(F.col("k").cast("string"), F.lit("quality")), "k").limit(most))
@@ -171,6 +172,7 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", keep: tuple[Col
     Null, empty and blank texts have one feature of their own. Repeated rows get
     equal scores; only ``text`` and ``keep`` are read.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE numbers, whatever the corpus
     rows = docs.select(*keep, whole(text).alias("_t"))
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrow import list_values
+from .arrow import list_values, small_batches
 from .text import whole
 
 MARK = "▁"
@@ -345,6 +345,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str
     table gives no rows; only the named columns are read. ``model`` (half a
     megabyte) travels with the tasks.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", *carry, "text_sha256"]
     rows = docs.select(F.col(key).alias("doc_id"), *carry, F.sha2(whole(text), 256).alias("text_sha256"), whole(text).alias("_t"))
     margin = parse_model(model).longest
@@ -408,6 +409,8 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
     """``encoded`` (with ``ids``) and its column ``decoded``; null ids give a null text."""
     from pyspark.sql.types import StringType, StructField, StructType
 
+    small_batches(encoded.sparkSession)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)
         for b in batches:

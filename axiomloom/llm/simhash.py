@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrow import blocks, list_values, sums_per_piece
+from .arrow import blocks, list_values, small_batches, sums_per_piece
 from .components import components
 from .text import lower_ascii, space_words, whole
 
@@ -65,6 +65,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed 64-bit number. Null,
     empty and blank texts have fingerprint zero."""
+    small_batches(docs.sparkSession)
     hashed = docs.select(F.col(key).alias("doc_id"), shingle_hashes(whole(text)).alias("h"))
     return hashed.mapInArrow(_fingerprints, hashed.select("doc_id", F.lit(0).cast("bigint").alias("fp")).schema)
 
@@ -147,7 +148,8 @@ def link_forest(fps: DataFrame) -> DataFrame:
     fingerprints in column ``fp``."""
     index = fps.select("fp", _variants(F.col("fp")).alias("v")).select("fp", "v.*")
     exact = F.shiftrightunsigned("key", SEGMENT).bitwiseAND(F.lit(63)) == SEGMENT
-    keys = index.groupBy("key").agg(
+    # keys are mostly single: dealing them out first keeps the hash maps of the tasks small
+    keys = index.repartition("key").groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"),
         F.min("bit").alias("lo"), F.max("bit").alias("hi"),
     ).filter((F.col("n") > 1) & (exact | (F.col("lo") < F.col("hi"))))
@@ -172,7 +174,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     table gives no rows; other columns are not read.
     """
     marked = cut_lineage(fingerprints(docs, text, key), "fingerprints")
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).repartition(spread, "fp")  # 66 keys each follow
+    distinct = cut_lineage(distinct, "distinct-fps")
     roots = components(link_forest(distinct.select("fp")))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
