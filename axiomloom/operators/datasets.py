@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.axioms import render_axiom
@@ -18,7 +19,6 @@ AXIOM_COLUMNS = [*AXIOM_KEY, "label", "source", "negative_strategy"]
 
 # Predicate name in a dump -> axiom type, and RDFS predicate.
 DUMP_PREDICATES = {"subClassOf": "generalizations", "domain": "domain", "range": "range"}
-MAX_TRIES = 100
 EARLY_TRIES = 8
 
 
@@ -141,13 +141,16 @@ def replacement_negatives(positives: DataFrame, known: DataFrame | None = None,
     """One negative per axiom: another object of the same type's object pool
     that is not a known object of the subject.
 
-    Draws are a hashed start in the numbered pool followed by its neighbours,
-    so they are reproducible and a pool of up to MAX_TRIES objects is searched
-    completely. Most rows settle within EARLY_TRIES; only the rest are expanded
-    to MAX_TRIES candidates.
+    Draws are the first free place from a hashed start in the numbered pool,
+    around its end, so they are reproducible and every row whose subject leaves
+    an object free gets one. Most rows settle within EARLY_TRIES neighbours; for
+    the rest the runs of taken places are measured. ``known`` adds to the positives.
     """
     positives = cut_lineage(positives, "positives")
-    known = positives if known is None else known
+    pairs = positives.select("axiom_type", "subject", "object")
+    if known is not None:
+        pairs = pairs.unionByName(known.select("axiom_type", "subject", "object"))
+    pairs = pairs.distinct()
     pool = positives.select("axiom_type", "object").distinct().withColumn(
         "_order", hash_long("object", seed="pool")
     )
@@ -167,21 +170,39 @@ def replacement_negatives(positives: DataFrame, known: DataFrame | None = None,
             "_slot", F.pmod(F.col("_start") + F.col("_try"), F.col("_size"))
         )
         drawn = drawn.join(pool, ["axiom_type", "_slot"]).filter(F.col("_candidate") != F.col("object"))
-        pairs = known.select("axiom_type", "subject", F.col("object").alias("_candidate")).distinct()
-        open_ = drawn.join(pairs, ["axiom_type", "subject", "_candidate"], "left_anti")
+        taken = pairs.withColumnRenamed("object", "_candidate")
+        open_ = drawn.join(taken, ["axiom_type", "subject", "_candidate"], "left_anti")
         return open_.groupBy(*AXIOM_KEY, "source").agg(
             F.min_by("_candidate", "_try").alias("_candidate")
         )
 
     early = cut_lineage(probe(rows, 0, EARLY_TRIES - 1), "early")
-    unsettled = rows.join(early.select(*AXIOM_KEY), AXIOM_KEY, "left_anti")
-    late = probe(unsettled, EARLY_TRIES, MAX_TRIES - 1)
+    unsettled = cut_lineage(rows.join(early.select(*AXIOM_KEY), AXIOM_KEY, "left_anti"), "unsettled")
+    late = _first_free(unsettled, pairs, pool)
     return early.unionByName(late).select(
         "axiom_type", "subject", "predicate", F.col("_candidate").alias("object"),
         F.lit(0).alias("label"), "source", F.lit(strategy).alias("negative_strategy"),
     )
 
 
+def _first_free(rows: DataFrame, pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """The first free place from each row's start: taken places of a subject form
+    runs, and the place after the run that holds the start is free."""
+    of = ["axiom_type", "subject"]
+    slots = pool.select("axiom_type", F.col("_candidate").alias("object"), "_slot")
+    taken = pairs.join(rows.select(*of).distinct(), of, "left_semi").join(slots, ["axiom_type", "object"])
+    run = F.col("_slot") - F.row_number().over(W.partitionBy(*of).orderBy("_slot"))
+    runs = taken.withColumn("_run", run).groupBy(*of, "_run").agg(F.min("_slot").alias("_at"), F.max("_slot").alias("_hi"))
+    starts = rows.select(*AXIOM_KEY, "source", "_size", F.pmod("_start", "_size").alias("_at"), F.lit(1).alias("_kind"))
+    marks = starts.unionByName(runs.select(*of, "_at", "_hi", F.lit(0).alias("_kind")), allowMissingColumns=True)
+    before = W.partitionBy(*of).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    held, head = F.max("_hi").over(before), F.max(F.when((F.col("_at") == 0) & (F.col("_kind") == 0), F.col("_hi"))).over(W.partitionBy(*of))
+    ahead = F.when(held >= F.col("_at"), held + 1).otherwise(F.col("_at"))
+    placed = marks.withColumns({"_ahead": ahead, "_head": F.coalesce(head + 1, F.lit(0))}).filter("_kind = 1")
+    slot = F.when(F.col("_ahead") < F.col("_size"), F.col("_ahead")).otherwise(F.col("_head"))
+    return placed.withColumn("_slot", slot).join(pool, ["axiom_type", "_slot"]).select(*AXIOM_KEY, "source", "_candidate")
+
+
 def assemble_dataset(positives: Sequence[DataFrame], negatives: Sequence[DataFrame]) -> DataFrame:
     """Union of all parts; the first part holding a (key, label) wins."""
     out = None

@@ -98,14 +98,14 @@ def _(t):
 
 
 def d_replacements(base: str) -> str:
-    """Ordered pool per type; the first free slot from a hashed start, within 100 tries."""
+    """Ordered pool per type; the first free slot from a hashed start."""
     return f"""
 pool as (select axiom_type, object as cand, row_number() over (partition by axiom_type order by cast('0x' || substr(md5('pool|' || object), 1, 15) as bigint), object) - 1 as slot,
   count(*) over (partition by axiom_type) as size from (select distinct axiom_type, object from {base})),
 tries as (select b.axiom_type, b.subject, b.predicate, b.object, b.source, p.cand,
   (p.slot - cast('0x' || substr(md5('42|' || b.axiom_type || '|' || b.subject || '|' || b.object), 1, 8) as bigint) % p.size + p.size) % p.size as try
   from {base} b join pool p on p.axiom_type = b.axiom_type where p.cand <> b.object),
-free as (select * from tries t where try < 100 and not exists (select 1 from {base} k where k.axiom_type = t.axiom_type and k.subject = t.subject and k.object = t.cand)),
+free as (select * from tries t where not exists (select 1 from {base} k where k.axiom_type = t.axiom_type and k.subject = t.subject and k.object = t.cand)),
 negs as (select axiom_type, subject, predicate, arg_min(cand, try) as object, 0 as label, source, 'constraint_replacement' as negative_strategy
   from (select *, object as own from free) group by axiom_type, subject, predicate, own, source)"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from axiomloom import scale
 from axiomloom.functions import axioms as ax
 from axiomloom.functions import text as tx
-from axiomloom.operators import chunks, context, graph, reports, stability, terms
+from axiomloom.operators import chunks, context, datasets, graph, reports, stability, terms
 
 
 @pytest.fixture
@@ -117,3 +117,12 @@ def test_ranges_shrink_as_partitions_grow(spark, monkeypatch):
     for n in (2, 20):
         assert scale.dense_position(df, [], "id", "n", ranges=n).filter("n <> id + 1").isEmpty()
     assert seen[1] < seen[0] / 4
+
+
+def test_negatives_of_subjects_that_know_nearly_all(spark):
+    """One of 400 objects is free for each of three subjects; a fourth knows all."""
+    rows = [("domain", f"s{s}", "p", f"o{o}", 1, "x", "") for s in range(4) for o in range(400) if s == 3 or o != 100 * s + 7]
+    df = spark.createDataFrame(rows, "axiom_type string, subject string, predicate string, object string, label int, source string, negative_strategy string")
+    got = datasets.replacement_negatives(df)
+    assert got.count() == 3 * 399
+    assert {(r["subject"], r["object"]) for r in got.select("subject", "object").distinct().collect()} == {(f"s{s}", f"o{100 * s + 7}") for s in range(3)}
