@@ -122,20 +122,36 @@ def _(t):
     return ds.exclude_existing_pairs(ds.inverse_negatives(p), p)
 
 
-@query("D07_assemble_dataset", f"""
-with capped as (select * from {d_capped()}), base as (select * from capped where axiom_type in ('domain', 'range')), {d_replacements('base')},
+D07_SQL = """
+with capped as (select * from {positives}), base as (select * from capped where axiom_type in ('domain', 'range')), {replacements},
 inv as (select axiom_type, object as subject, predicate, subject as object, 0 as label, source, 'direction_inversion' as negative_strategy from capped where axiom_type not in ('domain', 'range')),
 u as (select distinct * from (select * from capped union all select * from inv union all select * from negs))
 select * exclude (s, o), case axiom_type when 'subClassOf' then s || ' ⊑ ' || o when 'subPropertyOf' then s || ' ⊑p ' || o else axiom_type || '(' || s || ') = ' || o end as axiom_text
- from (select *, {d_short_name('subject')} as s, {d_short_name('object')} as o from u)""")
-def _(t):
-    sample = cut_lineage(sa.cap_per_type(union(positives(t).values()), CAP, "7"), "capped")
-    capped = {k: sample.filter(F.col("axiom_type") == k) for k in ("subClassOf", "subPropertyOf", "domain", "range")}
+ from (select *, {s} as s, {o} as o from u)"""
+
+
+def d07_sql(positives: str) -> str:
+    return D07_SQL.format(positives=positives, replacements=d_replacements("base"), s=d_short_name("subject"), o=d_short_name("object"))
+
+
+def assembled(parts: dict[str, DataFrame]) -> DataFrame:
     negatives = [
-        ds.inverse_negatives(capped["subClassOf"]), ds.inverse_negatives(capped["subPropertyOf"]),
-        ds.replacement_negatives(sample.filter(F.col("axiom_type").isin("domain", "range"))),
+        ds.inverse_negatives(parts["subClassOf"]), ds.inverse_negatives(parts["subPropertyOf"]),
+        ds.replacement_negatives(parts["domain"].unionByName(parts["range"])),
     ]
-    return ds.assemble_dataset(list(capped.values()), negatives)
+    return ds.assemble_dataset(list(parts.values()), negatives)
+
+
+@query("D07_assemble_dataset", d07_sql(ALL_POSITIVES))
+def _(t):
+    rows = cut_lineage(union(positives(t).values()), "positives")
+    return assembled({k: rows.filter(F.col("axiom_type") == k) for k in ("subClassOf", "subPropertyOf", "domain", "range")})
+
+
+@query("D07_assemble_capped", d07_sql(d_capped()))
+def _(t):
+    sample = cut_lineage(sa.cap_per_type(union(positives(t).values()), CAP, "7"), "capped")
+    return assembled({k: sample.filter(F.col("axiom_type") == k) for k in ("subClassOf", "subPropertyOf", "domain", "range")})
 
 
 @query("D08_distinct_uris", "select distinct uri, kind from (select unnest([subject, object]) as uri, 'any' as kind from v_axioms union all select * from (select unnest([subject, object]) as uri, 'http' as kind from v_axioms) where starts_with(uri, 'http')) where trim(uri) <> ''")
