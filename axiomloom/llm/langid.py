@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +29,9 @@ from .text import whole
 
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 400    # whole training documents per language, by hash of their id
-LANGUAGES = 16               # the most frequent ones are learned; the cost table takes 1 KB per node and language
+LANGUAGES = 16               # in one cost table, which takes 1 KB per node and language; further ones have tables of their own
 BYTES_AT_ONCE = 1 << 20
+HELD_BYTES = 32 << 20        # of texts that wait for all tables when there are several
 UNKNOWN = "und"
 
 
@@ -55,19 +55,18 @@ class Trees(NamedTuple):
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int) -> DataFrame:
-    """(lang, text): at most ``per_language`` rows of each language."""
+    """(lang, text): at most ``per_language`` rows of each language, of every language."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     ids = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang")).distinct()
-    sizes = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     place = F.xxhash64(F.col("k").cast("string"), F.lit("langid"))
     # a fifth more than wanted passes the hash, so that no task ranks a whole language
     share = F.shiftrightunsigned(place, 11) / float(2**53)
-    low = [(F.col("lang") == r["lang"]) & (share <= 1.2 * per_language / r["count"]) for r in sizes]
-    near = reduce(lambda a, b: a | b, low, F.lit(False))
+    ids = ids.join(F.broadcast(sizes), "lang").filter(share <= 1.2 * per_language / F.col("size"))  # a row per language
     best = W.partitionBy("lang").orderBy(place, "k")
-    ids = ids.filter(near).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language)
+    ids = ids.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language)
     rows = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    picked = rows.join(F.broadcast(ids.select("k", "lang")), ["k", "lang"])  # at most LANGUAGES * per_language ids
+    picked = rows.join(F.broadcast(ids.select("k", "lang")), ["k", "lang"])  # at most per_language ids of each language
     return picked.dropDuplicates(["k", "lang"]).select("lang", "text")
 
 
@@ -150,6 +149,25 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return Model(list(by_lang), [x["gram"].to_numpy() for x in by_lang.values()], [x["n"].to_numpy() for x in by_lang.values()])
 
 
+def groups(model: Model) -> list[Model]:
+    """Parts of at most LANGUAGES languages, in order. What a text costs under a
+    language does not depend on the languages that share its table."""
+    return [Model(*(x[i:i + LANGUAGES] for x in model)) for i in range(0, len(model.languages), LANGUAGES)]
+
+
+def held_together(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches whose texts (of that column) take about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def code_lengths(model: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, languages): bits that each text takes under each language."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
@@ -185,28 +203,35 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     held = docs.sparkSession.sparkContext.broadcast(model)  # byte statistics of a bounded sample, a few MB
     rows = docs.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("text"), whole(text).rlike(r"\p{L}").alias("_letters"))
 
+    n = len(rows.columns)
+    passed = n - 1 if with_text else n - 2
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _compiled(held.value)
-        names = np.array([*m.languages, UNKNOWN], dtype=object)
-        for batch in batches:
-            n = batch.num_columns
-            passed = n - 1 if with_text else n - 2
-            data, offsets = text_bytes(pc.fill_null(batch.column(n - 2), ""))
-            letters = batch.column(n - 1).to_numpy(zero_copy_only=False)
-            size = np.maximum(np.diff(offsets), 1)
-            if m.languages:
-                bits = code_lengths(m, data, offsets)
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(len(bits)), best]
-                posterior = 1 / np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
-            else:
-                best, least, posterior = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
-                letters = np.zeros(len(size), bool)
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[:passed],
-                pa.array(names[np.where(letters, best, len(m.languages))], pa.string()),
-                pa.array(np.where(letters, posterior, 0.0)), pa.array(least / size)],
-                names=[*batch.schema.names[:passed], "lang_pred", "score", "bits_per_byte"])
+        model = held.value
+        names, parts = np.array([*model.languages, UNKNOWN], dtype=object), groups(model)
+        for some in held_together(batches, n - 2, HELD_BYTES if len(parts) > 1 else 0):
+            texts = [text_bytes(pc.fill_null(batch.column(n - 2), "")) for batch in some]
+            bits = [np.zeros((batch.num_rows, len(model.languages))) for batch in some]
+            for j, part in enumerate(parts):
+                m = _compiled(part)
+                for own, (data, offsets) in zip(bits, texts, strict=True):
+                    own[:, j * LANGUAGES:j * LANGUAGES + len(part.languages)] = code_lengths(m, data, offsets)
+                del m  # one table in memory at a time
+            for batch, own, (_, offsets) in zip(some, bits, texts, strict=True):
+                letters = batch.column(n - 1).to_numpy(zero_copy_only=False)
+                size = np.maximum(np.diff(offsets), 1)
+                if model.languages:
+                    best = own.argmin(axis=1)
+                    least = own[np.arange(len(own)), best]
+                    posterior = 1 / np.exp2(np.minimum(0, least[:, None] - own)).sum(axis=1)
+                else:
+                    best, least, posterior = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
+                    letters = np.zeros(len(size), bool)
+                yield pa.RecordBatch.from_arrays([
+                    *batch.columns[:passed],
+                    pa.array(names[np.where(letters, best, len(model.languages))], pa.string()),
+                    pa.array(np.where(letters, posterior, 0.0)), pa.array(least / size)],
+                    names=[*batch.schema.names[:passed], "lang_pred", "score", "bits_per_byte"])
 
     schema = (rows if with_text else rows.drop("text")).drop("_letters").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("bits_per_byte", F.lit(0.0)).schema
     return rows.mapInArrow(score, schema)
