@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, langid, pii, quality, rules, secret_scan, sharding, simhash
+from . import chat, conversation_repair, decontam, filter_audit, langid, licenses, pii, quality, rules, secret_scan, sharding, simhash
 from . import sentencepiece as pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,108 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.learn(docs))
 
 
+def _license_sql() -> str:
+    """Places of the base phrases by position, templates as regular expressions over the joined words."""
+    at = lambda label: " and ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(licenses.PHRASES[label].split()))
+    places = ", ".join(f"[i - 1 for i in range(1, len(ws) + 1) if {at(label)}] as p_{label}" for label in licenses.PHRASES)
+    trees = {label: licenses.parse(markup) for label, markup in (licenses.PHRASES | licenses.TEMPLATES).items()}
+    hits = {label: f"len(p_{label}) > 0" for label in licenses.PHRASES} | {
+        label: f"regexp_matches(line, ' {licenses.as_pattern(trees[label])}')" for label in licenses.TEMPLATES}
+    found = ", ".join(f"{{l: '{label}', b: {label in licenses.PHRASES}, w: {licenses.mandatory(trees[label])}, h: {hit}}}" for label, hit in hits.items())
+    return rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+p as (select doc_id, len(ws)::bigint as n_words, ' ' || array_to_string(ws, ' ') || ' ' as line, {places} from d),
+f as (select doc_id, n_words, {" || ".join(f"p_{label}" for label in licenses.PHRASES)} as starts, [x for x in [{found}] if x.h] as hits from p)
+select doc_id, n_words, len(starts)::bigint as n_base, list_min(starts)::bigint as first_word, list_max(starts)::bigint as last_word,
+    array_to_string(list_sort([x.l for x in hits if x.b]), ',') as base_labels, array_to_string(list_sort([x.l for x in hits]), ',') as labels,
+    coalesce(list_max([x.w for x in hits])::double / (list_max([x.w for x in hits]) + {licenses.DOUBT}), 0) as score from f
+"""
+
+
+@query("op11_license_scan", _license_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.license_scan(table(spark, sf_dir, "documents")))
+
+
+def _audit_sql() -> str:
+    """Every order is walked by itself; Shapley values are sums over the orders walked."""
+    steps = ", ".join(f"('{order}', {step}, {1 << f}, {state})" for state, f, order, step in filter_audit.order_steps(filter_audit.NAMES))
+    return rf"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, [x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> ''] as ws, min(doc_id) over (partition by t) as low from d),
+m as (select part,
+    (len(ws) < 50)::int + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::int + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > low, false)::int as mask,
+    coalesce(doc_id in (select doc_id from labels where quality = 1), false) as good, coalesce(doc_id in (select doc_id from labels where toxic = 1), false) as toxic from w),
+c as (select part, mask, count(*) as n, count_if(good) as good, count_if(toxic) as toxic from m group by all),
+s(filter_order, step, bit, state) as (values {steps}),
+r as (select part, filter_order, step, bit, coalesce(sum(n) filter (mask & (state | bit) = 0), 0) as kept,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & state = 0), 0) as removed, coalesce(sum(n) filter (mask & bit > 0 and mask & state > 0), 0) as redundant,
+    coalesce(sum(n) filter (mask = bit), 0) as unique_fails, coalesce(sum(good) filter (mask & bit > 0 and mask & state = 0), 0) as good_lost,
+    coalesce(sum(toxic) filter (mask & bit > 0 and mask & state = 0), 0) as toxic_lost from c, s group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+    good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from r
+"""
+
+
+@query("op12_filter_audit", _audit_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _repair_sql() -> str:
+    """The edits of one row at a time, each after up to three insertions; the best way into each state stays."""
+    moves, ends = [], []
+    for q in (conversation_repair.EMPTY, conversation_repair.S, conversation_repair.U, conversation_repair.A):
+        to, made = q, ""
+        for k in range(4):
+            if to in (conversation_repair.EMPTY, conversation_repair.A):
+                ends.append(f"({q}, '{'I' * k}', {2 * k}, '{made}')")
+            moves.append(f"({q}, '{'I' * k}D', {2 * k + 3}, '{made}', {to}, '', false)")
+            for initial, then in conversation_repair.MOVES[to].items():
+                moves.append(f"({q}, '{'I' * k}K', {2 * k}, '{made}', {then}, '{initial}', true)")
+            then = conversation_repair.OPEN[to]
+            role = conversation_repair.NAMED[then]
+            moves.append(f"({q}, '{'I' * k}R', {2 * k + 2}, '{made}', {then}, '{role}', true)")
+            to, made = then, f"{made}{role}:\n"
+    table_of = "list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))"
+    crc = "xor(list_reduce([4294967295] || [ascii(x) for x in string_split(key, '')], lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+    return rf"""
+with recursive crc as (select {table_of} as t),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (select conv_id, turn, role, text, ({crc} % 20)::int as kind from k, crc),
+r as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, unnest(case when kind = 3 then [1, 2] else [1] end) as copy,
+    case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text from h where kind <> 0),
+o as (select *, row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again,
+    left(lag(role) over w, 1) || left(role, 1) as pair, regexp_replace(text, '[ 	-
+]+$', '') as body from r
+    window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+f as (select *, case when body = '' then 'blank' when again then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from o),
+n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank,
+    count_if(fault = 'duplicate') as duplicate, count_if(fault = 'truncated') as truncated, count_if(pair not in ('su', 'ua', 'au')) as illegal from f group by 1),
+move(q, edits, cost, made, z, needs, stays) as (values {", ".join(moves)}),
+stop(q, edits, cost, made) as (values {", ".join(ends)}),
+b as (select conv_id, 0::bigint as i, 0 as q, {{c: 0, a: '', o: ''}} as best from n
+    union all select b.conv_id, f.i, z, min({{c: best.c + move.cost + case when stays and fault = 'truncated' then 1 else 0 end, a: best.a || edits,
+        o: best.o || made || case when not stays then '' when right(edits, 1) = 'R' then needs || ':' || text || chr(10) else role || ':' || text || chr(10) end}})
+    from b join f on f.conv_id is not distinct from b.conv_id and f.i = b.i + 1 join move on move.q = b.q
+        and (not stays or fault in ('', 'truncated') and (right(edits, 1) = 'R' or left(role, 1) = needs)) group by 1, 2, 3),
+e as (select n.conv_id, min({{c: best.c + stop.cost, a: best.a || edits, o: best.o || made}}) as best
+    from b join n on n.conv_id is not distinct from b.conv_id and n.n = b.i join stop on stop.q = b.q group by 1)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+    coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit,
+    sha256(coalesce(best.o[:length(best.o) - 1], '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join n on n.conv_id is not distinct from a.conv_id left join e on e.conv_id is not distinct from a.conv_id
+"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(turns, present=F.col("there")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

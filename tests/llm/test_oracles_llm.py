@@ -21,4 +21,4 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     numbers = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
