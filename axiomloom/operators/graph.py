@@ -2,9 +2,9 @@
 
 Edges: (graph keys..., sub, super). Every algorithm runs for all graphs at
 once in keyed frames. Loops cut their lineage with tables in the shared
-folder; each round is joins and distincts over the frontier only. Cycles are
-collapsed first, so a large component is one node and its members are never
-paired with each other.
+folder. Cycles are collapsed first, so a large component is one node and its
+members are never paired with each other; trees are measured by pointer jumping,
+and only nodes with several supers keep sets of what is above them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_token
-from ..scale import dense_position, find_hot_keys, hash_long, salt_hot_keys, salted_join
+from ..scale import find_hot_keys, salt_hot_keys, salted_join
 from ..session import cut_and_count, cut_lineage
 
 KEYS = ("method", "domain", "axiom_type")
@@ -58,15 +58,15 @@ def number_nodes(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     """(nodes with a number ``id`` over all graphs, arcs as (src, dst) numbers).
 
     The loops below then move two integers per row instead of graph keys and
-    names, and nodes of different graphs can never be confused.
+    names, and nodes of different graphs can never be confused. Numbers follow
+    the hash partitions that the distinct nodes were dealt to.
     """
     keys = list(keys)
-    named = cut_lineage(graph_nodes(edges, keys).withColumn("_order", hash_long(*keys, "node")), "nodes")
-    nodes = cut_lineage(dense_position(named, [], "_order", "id", tie=[*keys, "node"]).drop("_order"), "numbered")
+    nodes = cut_lineage(graph_nodes(edges, keys).withColumn("id", F.monotonically_increasing_id()), "nodes")
     a = nodes.select(*keys, F.col("node").alias("sub"), F.col("id").alias("src"))
     b = nodes.select(*keys, F.col("node").alias("super"), F.col("id").alias("dst"))
     arcs = _join_ends(edges, a, b, keys).select("src", "dst")
-    return nodes, cut_lineage(arcs.distinct(), "arcs")
+    return nodes, cut_lineage(arcs.filter("src <> dst").distinct(), "arcs")
 
 
 def _smallest_reaching(arcs: DataFrame) -> DataFrame:
@@ -94,44 +94,93 @@ def _smallest_reaching(arcs: DataFrame) -> DataFrame:
             return labels
 
 
+#: A round of peeling or merging is worth another while it removes this share of the arcs.
+WORTH = 1 / 8
+
+
+def _peeled(live: DataFrame) -> tuple[DataFrame, int]:
+    """Arcs that may lie on a cycle: another leads to where they begin, another on from where they end."""
+    onward = live.select(F.col("src").alias("dst")).distinct()
+    into = live.select(F.col("dst").alias("src")).distinct()
+    live, seen = cut_and_count(live.join(onward, "dst", "left_semi").join(into, "src", "left_semi").select("src", "dst"), "live")
+    return live, seen["rows"]
+
+
+def _merge_mutual(live: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(arcs between merged nodes, (node, label) of merged nodes), merging nodes that point at each other; None if none do."""
+    back = live.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    mutual, seen = cut_and_count(live.join(back, ["src", "dst"], "left_semi"), "mutual")
+    if not seen["rows"]:
+        return None
+    labels = cut_lineage(_smallest_reaching(mutual), "merged")
+    return _relabelled(live, labels), labels
+
+
+def _relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+    for end in ("src", "dst"):
+        names = labels.select(F.col("node").alias(end), F.col("label").alias("_to"))
+        live = live.join(names, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return cut_lineage(live.filter("src <> dst").distinct(), "live")
+
+
+def _label_pass(live: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(components found, arcs left, their number): the smallest number that reaches each node and the smallest
+    it reaches, in the same rounds, as two copies of the graph. If the two are one node, that node and this
+    one reach each other. Nodes of one component agree on both labels, so arcs whose ends differ leave.
+    """
+    both_ways = F.array(
+        F.struct((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst")),
+        F.struct((F.col("dst") * 2 + 1).alias("src"), (F.col("src") * 2 + 1).alias("dst")))
+    doubled = cut_lineage(live.select(F.explode(both_ways).alias("a")).select("a.*"), "doubled")
+    labels = _smallest_reaching(doubled)
+    back, plain = F.col("node") % 2 == 1, lambda c: F.floor(F.col(c) / 2).cast("bigint")
+    both = cut_lineage(labels.groupBy(plain("node").alias("id")).agg(
+        F.max(F.when(~back, plain("label"))).alias("low"), F.max(F.when(back, plain("label"))).alias("high")), "both")
+    open_ = both.filter("low <> high")
+    a = open_.select(F.col("id").alias("src"), F.col("low").alias("_al"), F.col("high").alias("_ah"))
+    b = open_.select(F.col("id").alias("dst"), F.col("low").alias("_bl"), F.col("high").alias("_bh"))
+    live, seen = cut_and_count(
+        live.join(a, "src").join(b, "dst").filter("_al = _bl and _ah = _bh").select("src", "dst"), "live")
+    return both.filter("low = high and id <> low").select(F.col("id").alias("node"), F.col("low").alias("label")), live, seen["rows"]
+
+
 def strongly_connected(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, node, component, size, component_id); a component is named by its
     smallest node name.
 
-    Each pass finds, for every node, the smallest number that reaches it and
-    the smallest it reaches: both directions run in the same rounds as two
-    copies of the graph. If the two are one node, that node and this one reach
-    each other: a component is found. Nodes of one component always agree on
-    both labels, so every arc whose ends differ leaves before the next pass.
-    Members of a component are never paired with each other.
+    Nodes that point at each other are merged and arcs that cannot lie on a cycle
+    peeled off, as long as a round removes its share of the arcs; a forest ends
+    there. What is left goes through label passes, whose rounds grow with the
+    logarithm of the longest path. Members of a component are never paired with
+    each other.
     """
     keys = list(keys)
-    nodes, live = number_nodes(edges.select(*keys, "sub", "super").distinct(), keys)
-    left = 0 if live.isEmpty() else 1
-    found: list[DataFrame] = []
-    while left:
-        both_ways = F.array(
-            F.struct((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst")),
-            F.struct((F.col("dst") * 2 + 1).alias("src"), (F.col("src") * 2 + 1).alias("dst")))
-        doubled = cut_lineage(live.select(F.explode(both_ways).alias("a")).select("a.*"), "doubled")
-        labels = _smallest_reaching(doubled)
-        back, plain = F.col("node") % 2 == 1, lambda c: F.floor(F.col(c) / 2).cast("bigint")
-        both = cut_lineage(labels.groupBy(plain("node").alias("id")).agg(
-            F.max(F.when(~back, plain("label"))).alias("low"), F.max(F.when(back, plain("label"))).alias("high")), "both")
-        found.append(both.filter("low = high").select("id", F.col("low").alias("component_id")))
-        open_ = both.filter("low <> high")
-        a = open_.select(F.col("id").alias("src"), F.col("low").alias("_al"), F.col("high").alias("_ah"))
-        b = open_.select(F.col("id").alias("dst"), F.col("low").alias("_bl"), F.col("high").alias("_bh"))
-        live, seen = cut_and_count(
-            live.join(a, "src").join(b, "dst").filter("_al = _bl and _ah = _bh").select("src", "dst"), "live")
-        left = seen["rows"]
-    placed = _union(found) if found else nodes.limit(0).select("id", F.col("id").alias("component_id"))
-    members = cut_lineage(nodes.join(placed, "id", "left").select(
-        *keys, "node", F.coalesce("component_id", "id").alias("component_id")), "members")
+    members = _with_components(*number_nodes(edges.select(*keys, "sub", "super").distinct(), keys))
     named = members.groupBy("component_id").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size"))
     return cut_lineage(members.join(named, "component_id").select(*keys, "node", "component", "size", "component_id"), "scc")
 
 
+def _with_components(nodes: DataFrame, live: DataFrame) -> DataFrame:
+    """The nodes with component_id, the number of one member of their component."""
+    left, merged, look = live.count(), [], True
+    while left:
+        before = left
+        if look and (mutual := _merge_mutual(live)) is not None:
+            live, labels = mutual
+            merged.append(labels)
+        else:
+            look = False  # peeling brings no new ones
+        live, left = _peeled(live)
+        if before - left < WORTH * before and left:
+            found, live, left = _label_pass(live)
+            merged.append(found)
+    members = nodes.withColumn("component_id", F.col("id"))
+    for labels in merged:
+        members = members.join(labels.select(F.col("node").alias("component_id"), F.col("label").alias("_to")), "component_id", "left").withColumn(
+            "component_id", F.coalesce("_to", "component_id")).drop("_to")
+    return cut_lineage(members, "members")
+
+
 def condensed_edges(edges: DataFrame, components: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Distinct edges between different components, (keys, sub, super) by
     number: an acyclic graph."""
@@ -143,20 +192,104 @@ def condensed_edges(edges: DataFrame, components: DataFrame, keys: Sequence[str]
         *keys, F.col("_a").alias("sub"), F.col("_b").alias("super")).distinct(), "dag")
 
 
+def _climb(steps: DataFrame, stops: DataFrame | None = None) -> list[DataFrame]:
+    """Pointer jumping. ``steps``: (node, at, steps, above) leads from each node to the one over it; without
+    ``stops`` to the top of its tree, else to the nearest node of ``stops`` (node) over it.
+
+    Returns the stored table of every round: the last leads all the way, the
+    k-th 2**k steps or to the end. Each has a row per node, and rounds grow with
+    the logarithm of the height.
+    """
+    ends = steps.select(F.col("at").alias("node")).distinct().join(steps.select("node"), "node", "left_anti")
+    if stops is not None:
+        ends = ends.unionByName(stops.select("node")).distinct()
+    ends = ends.select(F.col("node").alias("at"), F.lit(True).alias("done"))
+    done = F.coalesce("done", F.lit(False))
+    now, seen = cut_and_count(steps.join(ends, "at", "left").select("node", "at", "steps", "above", done.alias("done")), "climb", open=~done)
+    rounds = [now]
+    while seen["open"]:
+        beyond = now.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_s"), F.col("above").alias("_w"), F.col("done").alias("_d"))
+        jumped = now.filter("not done").join(beyond, "at").select(
+            "node", F.col("_at").alias("at"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("above") + F.col("_w")).alias("above"), F.col("_d").alias("done"))
+        now, seen = cut_and_count(now.filter("done").unionByName(jumped), "climb", open=~F.col("done"))
+        rounds.append(now)
+    return rounds
+
+
+def upward_measures(sizes: DataFrame, dag: DataFrame) -> DataFrame:
+    """(component_id, shortest, longest, above): steps to the nearest and along the longest way to a node
+    without supers, and the sizes of all nodes above added up.
+
+    ``sizes``: (component_id, size); ``dag``: (sub, super), distinct and acyclic. A
+    node with one super hangs in a tree whose top has none or several; inside its
+    tree, what is above a node is one path. Only tops with several supers
+    (joints) need sets: paths are cut where a joint enters them or two such ways
+    meet, and the closure of joints and these stretches is stored. A forest has none.
+    """
+    size = sizes.select(F.col("component_id").alias("super"), F.col("size").alias("above"))
+    arcs = cut_lineage(dag.select("sub", "super").join(size, "super"), "weighted")
+    single = arcs.groupBy("sub").agg(F.count(F.lit(1)).alias("_n"), F.min("super").alias("at"), F.min("above").alias("above"))
+    trees = single.filter("_n = 1").select(F.col("sub").alias("node"), "at", F.lit(1).alias("steps"), "above")
+    rounds = _climb(cut_lineage(trees, "trees"))
+    joints, seen = cut_and_count(single.filter("_n > 1").select(F.col("sub").alias("node")), "joints")
+    whole = sizes.join(rounds[-1].withColumnRenamed("node", "component_id"), "component_id", "left").select(
+        "component_id", "size", F.coalesce("at", "component_id").alias("top"), F.coalesce("steps", F.lit(0)).alias("steps"),
+        F.coalesce("above", F.lit(0)).cast("bigint").alias("above"))
+    if not seen["rows"]:
+        return whole.select("component_id", F.col("steps").alias("shortest"), F.col("steps").alias("longest"), "above")
+    whole = cut_lineage(whole, "in-trees")
+    of_joints = _joint_measures(whole, arcs.join(joints.withColumnRenamed("node", "sub"), "sub", "left_semi"), rounds, joints)
+    more = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return whole.join(of_joints, "top", "left").select(
+        "component_id", (F.col("steps") + more("_shortest")).alias("shortest"), (F.col("steps") + more("_longest")).alias("longest"),
+        (F.col("above") + more("_above")).alias("above"))
+
+
+def _joint_measures(whole: DataFrame, entries: DataFrame, rounds: list[DataFrame], joints: DataFrame) -> DataFrame:
+    """(top, _shortest, _longest, _above) of the joints; ``entries``: (sub, super), their arcs."""
+    entered = entries.select(F.col("super").alias("node")).distinct()
+    marked = entered
+    for hops in reversed(rounds):  # 2**k steps, k falling: every node over an entered one
+        up = hops.select("node", F.col("at").alias("_up"))
+        marked = marked.join(up, "node", "left").select(F.explode(F.array_compact(F.array("node", "_up"))).alias("node")).distinct()
+    marked = cut_lineage(marked, "marked")
+    # A marked node is the lower end of a stretch unless its only way in is from one marked node below.
+    below = marked.join(rounds[0], "node").groupBy(F.col("at").alias("node")).agg(F.count(F.lit(1)).alias("_below"))
+    ends = marked.join(entered.withColumn("_in", F.lit(True)), "node", "left").join(below, "node", "left").filter(
+        "_in or coalesce(_below, 0) <> 1").select("node")
+    ends = cut_lineage(ends, "ends")
+    over = _climb(cut_lineage(rounds[0].select("node", "at", "steps", "above").join(marked, "node", "left_semi"), "marked-steps"), ends)[-1]
+    path = (F.col("size") + F.col("above")).alias("path")
+    placed = whole.select(F.col("component_id").alias("node"), "top", "steps", path)
+    next_end = ends.join(placed.select("node", F.col("path").alias("_next_path")), "node").withColumnRenamed("node", "at")
+    stretches = cut_lineage(
+        ends.join(placed, "node").join(over.join(ends, "node", "left_semi").join(next_end, "at").select(
+            "node", F.col("at").alias("next"), F.col("steps").alias("hop"), "_next_path"), "node", "left").join(
+            joints.select(F.col("node").alias("top"), F.lit(True).alias("joint")), "top", "left").select(
+            "node", "top", "steps", "next", "hop", F.coalesce("joint", F.lit(False)).alias("joint"),
+            (F.col("path") - F.coalesce("_next_path", F.lit(0))).alias("weight")), "stretches")
+    step = lambda sub, over_, n: (sub.alias("sub"), over_.alias("super"), n.cast("int").alias("steps"))
+    enter = entries.select(F.col("sub").alias("top"), F.col("super").alias("_entry"))
+    ways = enter.select(*step(F.col("top"), F.col("_entry"), F.lit(1))).unionByName(
+        stretches.filter("next is not null").select(*step(F.col("node"), F.col("next"), F.col("hop")))).unionByName(
+        stretches.filter("next is null and joint").join(enter, "top").select(*step(F.col("node"), F.col("_entry"), F.col("steps") + 1)))
+    pairs = closure_pairs(cut_lineage(ways.distinct().withColumn("longest", F.col("steps")), "ways"))
+    reached = pairs.join(joints.withColumnRenamed("node", "sub"), "sub", "left_semi").join(
+        stretches.select(F.col("node").alias("super"), F.when(~F.col("joint"), F.col("steps")).alias("_rest"), "weight"), "super")
+    return reached.groupBy(F.col("sub").alias("top")).agg(
+        F.min(F.col("steps") + F.col("_rest")).alias("_shortest"), F.max(F.col("longest") + F.col("_rest")).alias("_longest"),
+        F.sum("weight").alias("_above"))
+
+
 def component_depths(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS,
-                     pairs: DataFrame | None = None) -> DataFrame:
+                     measures: DataFrame | None = None) -> DataFrame:
     """(keys, component, component_id, size, shortest, longest) below the top.
 
-    Read from the closure (``pairs``, made here if not given): the longest path
-    from any ancestor begins at a top component, the shortest depth is the
-    nearest top one.
+    ``measures`` are those of upward_measures, made here if not given.
     """
     parts = cut_lineage(components.select(*keys, "component", "component_id", "size").distinct(), "parts")
-    pairs = closure_pairs(dag) if pairs is None else pairs
-    below = dag.select(F.col("sub").alias("super")).distinct().withColumn("_below", F.lit(True))
-    depths = pairs.join(below, "super", "left").groupBy(F.col("sub").alias("component_id")).agg(
-        F.min(F.when(F.col("_below").isNull(), F.col("steps"))).alias("shortest"), F.max("longest").alias("longest"))
-    return parts.join(depths, "component_id", "left").na.fill(0, ["shortest", "longest"])
+    measures = upward_measures(parts.select("component_id", "size"), dag) if measures is None else measures
+    return parts.join(measures.select("component_id", "shortest", "longest"), "component_id")
 
 
 def depth_metrics(depths: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -169,7 +302,8 @@ def depth_metrics(depths: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS)
 
 def closure_pairs(dag: DataFrame) -> DataFrame:
     """(sub, super, steps, longest): all connected pairs of an acyclic graph of
-    numbered nodes, with their shortest and longest distance.
+    numbered nodes, with their shortest and longest distance. Arcs that stand for
+    several steps say so in ``steps`` and ``longest``.
 
     Each round joins the pairs with themselves (min-plus and max-plus at once):
     after k rounds all paths of up to 2**k arcs are in, so rounds grow with the
@@ -177,7 +311,8 @@ def closure_pairs(dag: DataFrame) -> DataFrame:
     longest only grow, so equal counts and sums mean that nothing changed.
     """
     best = [F.min("steps").alias("steps"), F.max("longest").alias("longest")]
-    pairs = dag.select("sub", "super").distinct().withColumns({"steps": F.lit(1), "longest": F.lit(1)})
+    measured = {c: F.col(c) if c in dag.columns else F.lit(1) for c in ("steps", "longest")}
+    pairs = dag.withColumns(measured).groupBy("sub", "super").agg(*best)
     pairs, before = _measured(pairs)
     while True:
         left = pairs.select("sub", F.col("super").alias("middle"), F.col("steps").alias("_s"), F.col("longest").alias("_l"))
@@ -198,30 +333,38 @@ def _measured(pairs: DataFrame) -> tuple[DataFrame, dict]:
 
 
 def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS,
-                     pairs: DataFrame | None = None) -> DataFrame:
+                     measures: DataFrame | None = None) -> DataFrame:
     """Number of ordered node pairs joined by a path, source and target distinct.
 
-    A component pair stands for size * size node pairs and a component for
-    size * (size - 1), so members are counted, not enumerated.
+    A component reaches what is above it and each of its members the others, so
+    members are counted, not enumerated.
     """
     keys = list(keys)
     sizes = components.select(*keys, "component_id", "size").distinct()
-    a = sizes.select(*keys, F.col("component_id").alias("sub"), F.col("size").alias("_a"))
-    b = sizes.select(F.col("component_id").alias("super"), F.col("size").alias("_b"))
-    reached = (closure_pairs(dag) if pairs is None else pairs).join(b, "super").groupBy("sub").agg(F.sum("_b").alias("_b"))
-    counts = reached.join(a, "sub").select(*keys, (F.col("_a") * F.col("_b")).alias("n")).unionByName(
-        sizes.select(*keys, (F.col("size") * (F.col("size") - 1)).alias("n")))
-    return counts.groupBy(*keys).agg(F.sum("n").alias("semantic_content"))
+    measures = upward_measures(sizes.select("component_id", "size"), dag) if measures is None else measures
+    reached = F.col("size") * (F.col("above") + F.col("size") - 1)
+    return sizes.join(measures, "component_id").groupBy(*keys).agg(F.sum(reached).alias("semantic_content"))
 
 
 def hierarchy_metrics(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Counts, depths and content of each graph, from one set of components and measures."""
     keys = list(keys)
-    edges = cut_lineage(edges, "edges")
-    components = strongly_connected(edges, keys)
-    dag = condensed_edges(edges, components, keys)
-    pairs = closure_pairs(dag)
-    depth = depth_metrics(component_depths(components, dag, keys, pairs), dag, keys)
-    return node_edge_counts(edges, keys).join(depth, keys).join(semantic_content(components, dag, keys, pairs), keys)
+    edges = cut_lineage(edges.select(*keys, "sub", "super").distinct(), "edges")
+    nodes, arcs = number_nodes(edges, keys)
+    members = _with_components(nodes, arcs)
+    dag = arcs
+    for end in ("src", "dst"):
+        dag = dag.join(members.select(F.col("id").alias(end), F.col("component_id").alias(f"_{end}")), end)
+    dag = cut_lineage(dag.filter("_src <> _dst").select(F.col("_src").alias("sub"), F.col("_dst").alias("super")).distinct(), "dag")
+    parts = cut_lineage(members.groupBy(*keys, "component_id").agg(F.count(F.lit(1)).alias("size")), "parts")
+    measured = parts.join(upward_measures(parts, dag), "component_id")
+    parents = dag.select(F.col("super").alias("component_id")).distinct().withColumn("_parent", F.lit(True))
+    whole = measured.join(parents, "component_id", "left").groupBy(*keys).agg(
+        F.sum("size").alias("node_count"), F.max(F.when(F.col("_parent").isNull(), F.col("longest"))).alias("max_depth"),
+        (F.sum(F.col("shortest") * F.col("size")).cast("double") / F.sum("size")).alias("avg_depth"),
+        F.sum(F.col("size") * (F.col("above") + F.col("size") - 1)).alias("semantic_content"))
+    links = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("direct_edge_count"))
+    return links.join(whole, keys).select(*keys, *MEASURES)
 
 
 MEASURES = ("node_count", "direct_edge_count", "max_depth", "avg_depth", "semantic_content")
