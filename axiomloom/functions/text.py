@@ -154,8 +154,11 @@ def split_identifier(value: Column | str) -> Column:
 def contains_term(text: Column | str, term: Column | str, leading: int | None = 3) -> Column:
     """Whether a text mentions a name: its words joined, or each of its ``leading``
     first words (None: all of them)."""
-    hay = F.lower(collapse(text))
-    words = split_identifier(term)
+    return mentions(F.lower(collapse(text)), split_identifier(term), leading)
+
+
+def mentions(hay: Column, words: Column, leading: int | None = 3) -> Column:
+    """contains_term of a lower-case text without runs of blanks and a name's words."""
     return (
         (hay != "")
         & (F.size(words) > 0)

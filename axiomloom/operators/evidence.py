@@ -1,12 +1,15 @@
 """Evidence lookup for axioms and the quality rates built on it.
 
 Evidence is kept long: one row per (axiom, list, value) with the position of
-its first appearance, never one unbounded list per axiom.
+its first appearance, never one unbounded list per axiom. Axioms, keys, chunks
+and contexts are matched and grouped by 128-bit numbers inside their document;
+their texts are attached at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,51 +17,79 @@ from pyspark.sql import functions as F
 from ..functions.axioms import (
     baseline_confidence, keep_axiom, layered_confidence, naming_ok, quality_notes,
 )
-from ..functions.text import contains_term, not_blank, page_range, shorten, strip
+from ..functions.text import collapse, mentions, not_blank, page_range, shorten, split_identifier, strip
 from ..scale import salted_join, top_n
 from ..session import cut_lineage
 
 AXIOM = ["doc_id", "axiom_type", "item1", "item2"]
 
 
-def _as_lists(rows: DataFrame) -> DataFrame:
-    """(axiom, list, value, first_pos) from rows with pos, chunk, context, page."""
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("list"), strip(name).alias("value")) for name in ("chunk", "context", "page")
-    ])
-    long = rows.select(*AXIOM, "pos", F.explode(entries).alias("e")).select(
-        *AXIOM, "e.list", "e.value", "pos").filter(F.col("value") != "")
-    return long.groupBy(*AXIOM, "list", "value").agg(F.min("pos").alias("first_pos"))
+NO = ["doc_id", "a1", "a2"]
 
 
-def _with_chunks(rows: DataFrame, chunks: DataFrame, use_text: bool) -> DataFrame:
-    info = chunks.select(
-        "doc_id", F.col("chunk_id").alias("chunk"), F.col("text").alias("_text"),
-        page_range("page_start", "page_end").alias("page"),
-    )
-    joined = rows.join(info, ["doc_id", "chunk"], "left")
-    context = F.col("_text") if use_text else F.col("context")
-    return joined.select(*AXIOM, "pos", "chunk", context.alias("context"), "page")
+def _numbers(a: str, b: str, *parts: Column | str) -> list[Column]:
+    """Two 64-bit hashes that stand for the parts; null if a part is."""
+    whole = reduce(lambda x, y: x & y, [(F.col(p) if isinstance(p, str) else p).isNotNull() for p in parts])
+    return [F.when(whole, F.xxhash64(*parts)).alias(a), F.when(whole, F.xxhash64(F.lit(1), *parts)).alias(b)]
+
+
+def _numbered_axioms(axioms: DataFrame) -> DataFrame:
+    """(doc_id, a1, a2, axiom): each distinct axiom once under its numbers; ``axiom`` holds its texts."""
+    rows = axioms.select("doc_id", *_numbers("a1", "a2", *AXIOM[1:]), F.struct(*AXIOM[1:]).alias("axiom"))
+    return rows.filter("a1 is not null").groupBy(*NO).agg(F.any_value("axiom").alias("axiom"))
+
+
+def _chunk_info(chunks: DataFrame, with_text: bool) -> DataFrame:
+    """Numbers of each chunk's name (g1, g2) and, with_text, of its trimmed text (t1, t2), with its pages."""
+    rows = chunks.select("doc_id", *_numbers("g1", "g2", "chunk_id"), "page_start", "page_end",
+                         *([strip("text").alias("text")] if with_text else []))
+    return rows.select("*", *_numbers("t1", "t2", "text")) if with_text else rows
+
+
+def _page_lists(hits: DataFrame, info: DataFrame) -> DataFrame:
+    """(numbers, list, value, first_pos) of the pages of the chunks hit; grouped by page numbers, written at last."""
+    pages = hits.join(info.select("doc_id", "g1", "g2", "page_start", "page_end").distinct(), ["doc_id", "g1", "g2"]).groupBy(
+        *NO, "page_start", "page_end").agg(F.min("pos").alias("first_pos"))
+    value = strip(page_range("page_start", "page_end"))
+    return pages.select(*NO, F.lit("page").alias("list"), value.alias("value"), "first_pos").filter("value <> ''")
+
+
+def _named(lists: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The lists with their axioms' texts."""
+    return lists.join(numbered, NO).select("doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], "list", "value", "first_pos")
 
 
 def baseline_evidence(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame,
                       min_rows: int | None = None) -> DataFrame:
-    """Chunks whose own output states the axiom, with their text and pages.
+    """(axiom, list, value, first_pos): chunks whose own output states the axiom, with their text and pages.
 
-    ``chunk_axioms``: (doc_id, axiom_type, item1, item2, chunk, pos).
+    ``chunk_axioms``: (doc_id, axiom_type, item1, item2, chunk, pos). Axioms, chunk
+    names and texts are matched and grouped by number; texts join the result.
     """
     options = {} if min_rows is None else {"min_rows": min_rows}
-    wanted = axioms.select(*AXIOM).distinct()
-    stated = chunk_axioms.groupBy(*AXIOM, "chunk").agg(F.min("pos").alias("pos"))
-    hits = salted_join(cut_lineage(stated, "stated"), wanted, AXIOM, "inner", **options).filter(not_blank("chunk"))
-    return _as_lists(_with_chunks(hits, chunks, use_text=True))
-
-
-def _axiom_lookups(axioms: DataFrame) -> DataFrame:
-    """The (role, key1, key2) under which each axiom is looked up in triples."""
-    kind, a, b = F.col("axiom_type"), F.col("item1"), F.col("item2")
-    none = F.lit("")
-    look = lambda role, k1, k2=none: F.struct(F.lit(role).alias("role"), k1.alias("key1"), k2.alias("key2"))
+    numbered = cut_lineage(_numbered_axioms(axioms), "axioms")
+    rows = chunk_axioms.filter(not_blank("chunk")).select(
+        "doc_id", *_numbers("a1", "a2", *AXIOM[1:]), *_numbers("g1", "g2", "chunk"), strip("chunk").alias("chunk"), "pos")
+    stated = rows.groupBy(*NO, "g1", "g2").agg(F.min("pos").alias("pos"), F.any_value("chunk").alias("chunk"))
+    hits = cut_lineage(salted_join(cut_lineage(stated, "stated"), numbered.select(*NO), NO, "left_semi", **options), "hits")
+    info = cut_lineage(_chunk_info(chunks, with_text=True), "chunks")
+    names = hits.select(*NO, *_numbers("c1", "c2", "chunk"), "chunk", "pos").groupBy(*NO, "c1", "c2").agg(
+        F.any_value("chunk").alias("value"), F.min("pos").alias("first_pos"))
+    places = hits.join(info.filter("text <> ''").select("doc_id", "g1", "g2", "t1", "t2").distinct(), ["doc_id", "g1", "g2"]).groupBy(
+        *NO, "t1", "t2").agg(F.min(F.struct("pos", "g1", "g2")).alias("at"))
+    texts = info.select("doc_id", "g1", "g2", "t1", "t2", "text").dropDuplicates(["doc_id", "g1", "g2", "t1", "t2"])
+    contexts = places.select(*NO, "t1", "t2", "at.g1", "at.g2", F.col("at.pos").alias("first_pos")).join(
+        texts, ["doc_id", "g1", "g2", "t1", "t2"])
+    lists = names.select(*NO, F.lit("chunk").alias("list"), "value", "first_pos").unionByName(
+        contexts.select(*NO, F.lit("context").alias("list"), F.col("text").alias("value"), "first_pos")).unionByName(
+        _page_lists(hits, info))
+    return _named(lists, numbered)
+
+
+def _axiom_lookups(numbered: DataFrame) -> DataFrame:
+    """The key numbers (k1, k2) under which each axiom is looked up in triples."""
+    kind, a, b = F.col("axiom.axiom_type"), F.col("axiom.item1"), F.col("axiom.item2")
+    look = lambda role, *keys: F.struct(*_numbers("k1", "k2", F.lit(role), *keys))
     lookups = (
         F.when(kind == "Class", F.array(look("end", a)))
         .when(kind == "Property", F.array(look("relation", a)))
@@ -67,34 +98,43 @@ def _axiom_lookups(axioms: DataFrame) -> DataFrame:
         .when(kind == "domain", F.array(look("relation+subject", a, b)))
         .when(kind == "range", F.array(look("relation+object", a, b)))
     )
-    return axioms.select(*AXIOM, F.explode(lookups).alias("l")).select(*AXIOM, "l.role", "l.key1", "l.key2").distinct()
-
-
-def _triple_keys(evidence: DataFrame) -> DataFrame:
-    """Distinct evidence per lookup key, reduced before any join."""
-    s, r, o, none = strip("subject"), strip("relation"), strip("object"), F.lit("")
-    key = lambda role, k1, k2=none: F.struct(F.lit(role).alias("role"), k1.alias("key1"), k2.alias("key2"))
-    keys = F.array(key("end", s), key("end", o), key("relation", r),
-                   key("relation+subject", r, s), key("relation+object", r, o))
-    rows = evidence.select("doc_id", "pos", strip("chunk").alias("chunk"), strip("context").alias("context"),
-                           F.explode(keys).alias("k"))
-    return rows.groupBy("doc_id", "k.role", "k.key1", "k.key2", "chunk", "context").agg(F.min("pos").alias("pos"))
+    return numbered.select(*NO, F.explode(lookups).alias("l")).select(*NO, "l.k1", "l.k2").distinct()
 
 
 def layered_evidence(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
                      min_rows: int | None = None) -> DataFrame:
-    """Evidence of the triples an axiom's ends occur in.
-
-    ``evidence``: (doc_id, pos, subject, relation, object, chunk, context). The
-    disjunctive match becomes one equi join on (document, role, keys): each
-    axiom and each triple lists the keys it can be found under.
+    """(axiom, list, value, first_pos): evidence of the triples an axiom's ends occur in.
+
+    ``evidence``: (doc_id, pos, subject, relation, object, chunk, context). An
+    inverted index: every triple is stored once with numbers for its keys, chunk
+    and context; a posting is (document, key number, row, position). Axioms list
+    the keys they can be found under, so the disjunctive match is one equi join of
+    integers, and first positions are minima over integers. Chunk names and
+    contexts are read from the stored rows that came first.
     """
     options = {} if min_rows is None else {"min_rows": min_rows}
-    on = ["doc_id", "role", "key1", "key2"]
-    keyed = cut_lineage(_triple_keys(evidence), "triple-keys")
-    hits = salted_join(keyed, _axiom_lookups(axioms), on, "inner", **options)
-    hits = hits.groupBy(*AXIOM, "chunk", "context").agg(F.min("pos").alias("pos"))
-    return _as_lists(_with_chunks(hits, chunks, use_text=False))
+    numbered = cut_lineage(_numbered_axioms(axioms), "axioms")
+    rows = evidence.select("doc_id", "pos", *[strip(c).alias(c) for c in ("subject", "relation", "object", "chunk", "context")])
+    key = lambda role, *keys: F.struct(*_numbers("k1", "k2", F.lit(role), *keys))
+    stored = cut_lineage(rows.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "pos", "chunk", "context", *_numbers("g1", "g2", "chunk"),
+        *_numbers("t1", "t2", "context"), F.array(
+            key("end", "subject"), key("end", "object"), key("relation", "relation"), key("relation+subject", "relation", "subject"),
+            key("relation+object", "relation", "object")).alias("keys")), "triples")
+    postings = stored.select("doc_id", F.explode(F.array_distinct("keys")).alias("k"), F.struct("pos", "row").alias("at"), "g1", "g2", "t1", "t2")
+    postings = postings.select("doc_id", "k.k1", "k.k2", "at", "g1", "g2", "t1", "t2")
+    found = salted_join(postings, _axiom_lookups(numbered), ["doc_id", "k1", "k2"], "inner", **options)
+    hits = cut_lineage(found.groupBy(*NO, "g1", "g2", "t1", "t2").agg(F.min("at").alias("at")), "hits")
+    entries = F.array(F.struct(F.lit("chunk").alias("list"), F.col("g1").alias("v1"), F.col("g2").alias("v2")),
+                      F.struct(F.lit("context").alias("list"), F.col("t1").alias("v1"), F.col("t2").alias("v2")))
+    firsts = hits.select(*NO, "at", F.explode(entries).alias("e")).select(*NO, "at", "e.*").filter("v1 is not null").groupBy(
+        *NO, "list", "v1", "v2").agg(F.min("at").alias("at"))
+    texts = firsts.select(*NO, "list", F.col("at.pos").alias("first_pos"), F.col("at.row").alias("row")).join(
+        stored.select("row", "chunk", "context"), "row")
+    value = F.when(F.col("list") == "chunk", F.col("chunk")).otherwise(F.col("context"))
+    lists = texts.select(*NO, "list", value.alias("value"), "first_pos").filter("value <> ''")
+    paged = hits.select(*NO, "g1", "g2", F.col("at.pos").alias("pos"))
+    return _named(lists.unionByName(_page_lists(paged, _chunk_info(chunks, with_text=False))), numbered)
 
 
 def _first_values(lists: DataFrame, name: str, n: int, sep: str, value: Column, out: str) -> DataFrame:
@@ -104,36 +144,38 @@ def _first_values(lists: DataFrame, name: str, n: int, sep: str, value: Column,
         F.sort_array(F.collect_list(F.struct("first_pos", value.alias("v")))), lambda x: x["v"]), sep).alias(out))
 
 
+def axiom_flags(axioms: DataFrame, lists: DataFrame) -> DataFrame:
+    """(axiom, explicit, reasonable, naming, keep): boolean aggregates over all contexts."""
+    kind, hay = F.col("axiom_type"), F.col("hay")
+    said_in = kind.isin("Class", "Property", "domain", "range")
+    both = kind.isin("domain", "range")
+    contexts = lists.filter(F.col("list") == "context").select(
+        "doc_id", *_numbers("a1", "a2", *AXIOM[1:]), "axiom_type", F.when(said_in, F.lower(collapse("value"))).alias("hay"),
+        F.when(said_in, split_identifier("item1")).alias("words1"), F.when(both, split_identifier("item2")).alias("words2"))
+    says = said_in & mentions(hay, F.col("words1")) & (~both | mentions(hay, F.col("words2")))
+    flags = contexts.select(*NO, F.coalesce(says, F.lit(False)).alias("says")).groupBy(*NO).agg(
+        F.bool_or("says").alias("explicit"), F.lit(True).alias("reasonable"))
+    out = _numbered_axioms(axioms).join(flags, NO, "left").select(
+        "doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], *[F.coalesce(c, F.lit(False)).alias(c) for c in ("explicit", "reasonable")])
+    out = out.withColumn("naming", naming_ok("axiom_type", "item1", "item2"))
+    return out.withColumn("keep", keep_axiom(F.col("explicit"), F.col("reasonable"), F.col("naming")))
+
+
 def axiom_quality(axioms: DataFrame, lists: DataFrame, chunks_shown: int = 3, pages_shown: int = 2,
                   contexts_shown: int = 2, context_length: int = 220) -> DataFrame:
-    """Explicit, reasonable, naming and keep flags with short evidence and notes.
-
-    Flags are boolean aggregates over all contexts; the ``*_shown`` first values
-    per axiom are put next to each other for display.
+    """axiom_flags with short evidence and notes: the ``*_shown`` first values per
+    axiom are put next to each other for display.
     """
-    mentions = lambda item: contains_term("value", item)
-    kind = F.col("axiom_type")
-    says = F.when(kind.isin("Class", "Property"), mentions("item1")).when(
-        kind.isin("domain", "range"), mentions("item1") & mentions("item2")).otherwise(F.lit(False))
-    flags = lists.filter(F.col("list") == "context").groupBy(*AXIOM).agg(
-        F.bool_or(says).alias("explicit"), F.lit(True).alias("reasonable"))
-    out = axioms.select(*AXIOM).distinct().join(flags, AXIOM, "left")
+    out = axiom_flags(axioms, lists)
     for part in (
         _first_values(lists, "chunk", chunks_shown, ", ", F.col("value"), "_chunks"),
         _first_values(lists, "page", pages_shown, " | ", F.col("value"), "pages"),
         _first_values(lists, "context", contexts_shown, " || ", shorten("value", context_length), "evidence_text"),
     ):
         out = out.join(part, AXIOM, "left")
-    out = out.withColumns({
-        "explicit": F.coalesce("explicit", F.lit(False)),
-        "reasonable": F.coalesce("reasonable", F.lit(False)),
-        "naming": naming_ok("axiom_type", "item1", "item2"),
-        "pages": F.coalesce("pages", F.lit("")), "evidence_text": F.coalesce("evidence_text", F.lit("")),
-    })
-    e, r, n = F.col("explicit"), F.col("reasonable"), F.col("naming")
+    notes = quality_notes(F.col("_chunks"), F.col("explicit"), F.col("reasonable"), F.col("naming"))
     return out.withColumns({
-        "keep": keep_axiom(e, r, n), "notes": quality_notes(F.col("_chunks"), e, r, n),
-    }).drop("_chunks")
+        "pages": F.coalesce("pages", F.lit("")), "evidence_text": F.coalesce("evidence_text", F.lit("")), "notes": notes}).drop("_chunks")
 
 
 def evidence_confidence(axioms: DataFrame, lists: DataFrame, method: str) -> DataFrame:

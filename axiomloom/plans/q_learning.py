@@ -457,7 +457,7 @@ def method_quality(t):
     base, layered = axioms.filter(IS_BASE), axioms.filter(f"not ({IS_BASE})")
     lists = ((base, ev.baseline_evidence(base, t.v_chunk_axioms, t.v_chunks)),
              (layered, ev.layered_evidence(layered, t.v_doc_triples, t.v_chunks)))
-    judged = [ev.axiom_quality(a, cut_lineage(l, "lists")) for a, l in lists]
+    judged = [ev.axiom_flags(a, l) for a, l in lists]
     return judged[0].unionByName(judged[1]).join(axioms.select("doc_id", "method").distinct(), "doc_id")
 
 
