@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.axioms import complete
 from ..functions.prompts import json_object_text, strip_code_fence
 from ..functions.text import not_blank, strip
-from ..scale import dense_position, find_hot_keys, keep_last, salt_hot_keys, salted_join, top_n
+from ..scale import dense_position, find_hot_keys, keep_last, salt_hot_keys, salted_join
 from ..schemas import LAYER1_TRIPLE
 from ..session import cut_lineage
 
@@ -61,34 +61,42 @@ def group_triples(terms: DataFrame, triples: DataFrame, group_size: int = 25, te
     With ``known_only`` mentions outside the vocabulary are ignored.
 
     A group mentions at most 3 * group_size terms, so the fill is always among
-    the first term_limit + 3 * group_size vocabulary terms; no group ever
-    meets the whole vocabulary.
+    the first term_limit + 3 * group_size vocabulary terms: a bounded list per
+    document, filtered and cut inside the row of each group. A term that no group
+    mentions is free in all of them and they fill in order, so the terms left are
+    those beyond the furthest place that any group of the document filled.
     """
-    vocab = dense_position(cut_lineage(dedupe_terms(terms), "vocab"), ["doc_id"], "first_pos", "vocab_no")
-    mentioned = _mentions(triples).withColumn(
-        "group_index", (F.floor(F.col("pos") / group_size) + 1).cast("bigint"))
-    mentioned = mentioned.groupBy("doc_id", "group_index", "term").agg(
-        F.min(F.col("pos") * len(SLOTS) + F.col("slot")).cast("bigint").alias("place"))
+    keys, reach = ["doc_id", "group_index"], term_limit + len(SLOTS) * group_size
+    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.nullif(strip(c), F.lit("")).alias("term")) for i, c in enumerate(SLOTS)])
+    parts = triples.select("doc_id", "pos", (F.floor(F.col("pos") / group_size) + 1).cast("bigint").alias("group_index"), F.explode(slots).alias("m"))
+    place = (F.col("pos") * len(SLOTS) + F.col("m.slot")).cast("bigint")
+    parts = parts.select(*keys, "m.term", place.alias("place")).groupBy(*keys, "term").agg(F.min("place").alias("place"))
+    parts = cut_lineage(parts, "mentions")  # a null term stands for the group itself
+    listed = terms.select("doc_id", strip("term").alias("term"), "pos", F.lit(False).alias("said")).filter(F.col("term") != "")
+    said = parts.filter("term is not null").select("doc_id", "term", F.lit(None).cast(listed.schema["pos"].dataType).alias("pos"), F.lit(True).alias("said"))
+    vocab = listed.unionByName(said).groupBy("doc_id", "term").agg(
+        F.min("pos").alias("first_pos"), F.bool_or("said").alias("said")).filter("first_pos is not null")
+    vocab = dense_position(cut_lineage(vocab, "vocab"), ["doc_id"], "first_pos", "vocab_no")
     if known_only:
-        mentioned = mentioned.join(vocab.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
-    groups = triples.select(
-        "doc_id", (F.floor(F.col("pos") / group_size) + 1).cast("bigint").alias("group_index")).distinct()
-    sizes = mentioned.groupBy("doc_id", "group_index").agg(F.count(F.lit(1)).alias("_n"))
-    groups = groups.join(sizes, ["doc_id", "group_index"], "left").na.fill(0, ["_n"])
-    nearest = vocab.filter(F.col("vocab_no") <= term_limit + len(SLOTS) * group_size).select("doc_id", "term", "vocab_no")
-    groups = cut_lineage(groups, "groups")
-    candidates = salted_join(groups, nearest, ["doc_id"]).join(
-        mentioned.select("doc_id", "group_index", "term"), ["doc_id", "group_index", "term"], "left_anti")
-    fill = top_n(candidates, ["doc_id", "group_index"], [F.col("vocab_no")], term_limit, rank="_r").filter(
-        F.col("_r") + F.col("_n") <= term_limit)
-    grouped = mentioned.withColumn("source", F.lit("mentioned")).unionByName(
-        fill.select("doc_id", "group_index", "term", F.col("vocab_no").alias("place"), F.lit("fill").alias("source")))
-    unused = vocab.join(grouped.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_anti")
-    last = groups.groupBy("doc_id").agg(F.max("group_index").alias("_last"))
+        known = parts.filter("term is not null").join(vocab.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
+        parts = cut_lineage(known.select(*parts.columns).unionByName(
+            parts.select(*keys).distinct().select(*keys, F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("place"))), "known")
+    nearest = vocab.filter(F.col("vocab_no") <= reach).groupBy("doc_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("vocab_no", "term"))), lambda x: x["term"]).alias("nearest"))
+    groups = parts.groupBy(*keys).agg(F.collect_list("term").alias("said"))  # at most 3 * group_size
+    free = F.slice(F.array_except("nearest", "said"), 1, F.greatest(F.lit(term_limit) - F.size("said"), F.lit(0)))
+    filled = salted_join(groups, nearest, ["doc_id"]).select(*keys, "nearest", F.explode(free).alias("term"))
+    filled = cut_lineage(filled.select(*keys, "term", F.array_position("nearest", F.col("term")).alias("place")), "filled")
+    grouped = parts.filter("term is not null").withColumn("source", F.lit("mentioned")).unionByName(
+        filled.withColumn("source", F.lit("fill")))
+    last = parts.groupBy("doc_id").agg(F.max("group_index").alias("_last"))
+    furthest = filled.groupBy("doc_id").agg(F.max("place").alias("_furthest"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    unused = vocab.filter("not said").join(furthest, "doc_id", "left").filter(F.col("vocab_no") > zero("_furthest")).select("doc_id", "term", "vocab_no")
     unused = dense_position(cut_lineage(unused, "unused"), ["doc_id"], "vocab_no", "_u")
     more = F.floor((F.col("_u") - 1) / term_limit) + 1
     extra = unused.join(last, "doc_id", "left").select(
-        "doc_id", (F.coalesce("_last", F.lit(0)) + more).cast("bigint").alias("group_index"), "term",
+        "doc_id", (zero("_last") + more).cast("bigint").alias("group_index"), "term",
         F.col("vocab_no").alias("place"), F.lit("remaining").alias("source"))
     return grouped.unionByName(extra)
 
