@@ -127,35 +127,42 @@ def cut_at_references(headings: DataFrame) -> DataFrame:
     return headings.join(cut, "doc_id").filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut"))).drop("_cut")
 
 
-def section_spans(headings: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
+def _next_at_or_above(headings: DataFrame) -> DataFrame:
+    """(doc_id, no, next_page): the page of the next heading of the same or a higher level.
+
+    ``headings``: (doc_id, no, level, page), numbered inside a document. For each
+    level of a document the headings at it or above form a sequence; a heading's
+    next one follows it in the sequence of its own level. Sequences are numbered by
+    stored ranges, so the work is the headings times the levels, in any document.
+    """
+    levels = headings.filter("level is not null").groupBy("doc_id").agg(F.collect_set("level").alias("levels"))
+    rows = headings.join(levels, "doc_id").select(
+        "doc_id", "no", "level", "page", F.explode(F.filter("levels", lambda t: t >= F.col("level"))).alias("upto"))
+    placed = cut_lineage(dense_position(cut_lineage(rows, "levels"), ["doc_id", "upto"], "no", "place"), "places")
+    later = placed.select("doc_id", "upto", (F.col("place") - 1).alias("place"), F.col("page").alias("next_page"))
+    return placed.filter("upto = level").join(later, ["doc_id", "upto", "place"]).select("doc_id", "no", "next_page")
+
+
+def section_spans(headings: DataFrame, pages: DataFrame, most: int | None = None, least: int = MIN_HEADINGS) -> DataFrame:
     """Page span of each section: (doc_id, section_id, title, level, page_start, page_end).
 
     ``headings``: (doc_id, pos, title, level, page), pages 0-based; ``pages``:
     (doc_id, total_pages). A section ends before the next heading of the same
-    or a higher level. Fewer than 3 valid headings, or more than ``most`` if it is
-    given, make the document one section. The headings of one document are
-    gathered, the texts are not.
+    or a higher level. Fewer than ``least`` valid headings, or more than ``most`` if it is
+    given, make the document one section.
     """
     valid = filter_headings(headings)
     counts = valid.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(
-        (F.col("_n") >= MIN_HEADINGS) & (F.lit(True) if most is None else F.col("_n") <= most)).select("doc_id")
-    outlined = cut_at_references(valid.join(counts, "doc_id", "left_semi"))
-    lists = outlined.groupBy("doc_id").agg(F.sort_array(F.collect_list(
-        F.struct("page", "pos", "level", "title"))).alias("h")).join(pages, "doc_id")
-    numbered = F.transform("h", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-
-    def end_of(entry: Column) -> Column:
-        later = F.filter("h", lambda y, j: (j > entry["i"]) & (y["level"] <= entry["x"]["level"]))
-        nxt = F.get(later, F.lit(0))
-        return F.when(nxt.isNull(), F.col("total_pages") - 1).when(
-            nxt["page"] == entry["x"]["page"], nxt["page"]).otherwise(nxt["page"] - 1)
-
-    spans = lists.select("doc_id", F.explode(F.transform(numbered, lambda e: F.struct(
-        e["i"].alias("i"), e["x"].alias("x"), end_of(e).alias("end")))).alias("s"))
-    sections = spans.select(
-        "doc_id", F.concat(F.lit("section_"), (F.col("s.i") + 1).cast("string")).alias("section_id"),
-        clean_title("s.x.title").alias("title"), F.col("s.x.level").alias("level"),
-        (F.col("s.x.page") + 1).cast("int").alias("page_start"), (F.col("s.end") + 1).cast("int").alias("page_end"))
+        (F.col("_n") >= least) & (F.lit(True) if most is None else F.col("_n") <= most)).select("doc_id")
+    counts = cut_lineage(counts, "outlined-docs")
+    outlined = cut_at_references(valid.join(counts, "doc_id", "left_semi")).select("doc_id", "pos", "level", "title", "page")
+    numbered = cut_lineage(dense_position(cut_lineage(outlined, "outline"), ["doc_id"], "page", "no", tie=["pos", "level", "title"]), "numbered")
+    nxt, page = F.col("next_page"), F.col("page")
+    end = F.when(nxt.isNull(), F.col("total_pages") - 1).when(nxt == page, nxt).otherwise(nxt - 1)
+    sections = numbered.join(_next_at_or_above(numbered), ["doc_id", "no"], "left").join(pages, "doc_id").select(
+        "doc_id", F.concat(F.lit("section_"), F.col("no").cast("string")).alias("section_id"),
+        clean_title("title").alias("title"), "level",
+        (page + 1).cast("int").alias("page_start"), (end + 1).cast("int").alias("page_end"))
     whole = pages.join(counts, "doc_id", "left_anti").select(
         "doc_id", F.lit("section_1").alias("section_id"), F.lit("Complete Document").alias("title"),
         F.lit(1).alias("level"), F.lit(1).alias("page_start"), F.col("total_pages").cast("int").alias("page_end"))

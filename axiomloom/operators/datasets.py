@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.axioms import render_axiom
 from ..functions.text import normalize_schema_uri, norm_predicate, strip
-from ..scale import dense_position, hash_int, hash_long, keep_first
-from ..session import cut_lineage
+from ..scale import dense_position, hash_int, hash_long, keep_first, salted_join
+from ..session import cut_and_count, cut_lineage
 from ..sources.readers import resolve_column
 
 AXIOM_KEY = ["axiom_type", "subject", "predicate", "object"]
@@ -177,29 +176,38 @@ def replacement_negatives(positives: DataFrame, known: DataFrame | None = None,
         )
 
     early = cut_lineage(probe(rows, 0, EARLY_TRIES - 1), "early")
-    unsettled = cut_lineage(rows.join(early.select(*AXIOM_KEY), AXIOM_KEY, "left_anti"), "unsettled")
-    late = _first_free(unsettled, pairs, pool)
-    return early.unionByName(late).select(
+    unsettled, seen = cut_and_count(rows.join(early.select(*AXIOM_KEY), AXIOM_KEY, "left_anti"), "unsettled")
+    found = early.unionByName(_first_free(unsettled, pairs, pool)) if seen["rows"] else early
+    return found.select(
         "axiom_type", "subject", "predicate", F.col("_candidate").alias("object"),
         F.lit(0).alias("label"), "source", F.lit(strategy).alias("negative_strategy"),
     )
 
 
-def _first_free(rows: DataFrame, pairs: DataFrame, pool: DataFrame) -> DataFrame:
+def _first_free(rows: DataFrame, pairs: DataFrame, pool: DataFrame, min_rows: int | None = None) -> DataFrame:
     """The first free place from each row's start: taken places of a subject form
-    runs, and the place after the run that holds the start is free."""
+    runs, and the place after the run that holds the start is free.
+
+    Taken places are numbered inside their subject by stored ranges; place minus
+    number is the same along a run, so runs are a grouped minimum and maximum. A
+    start that is taken finds its run, and the run its end, by equality. A subject
+    with any share of all pairs is split like other rows.
+    """
+    options = {} if min_rows is None else {"min_rows": min_rows}
     of = ["axiom_type", "subject"]
     slots = pool.select("axiom_type", F.col("_candidate").alias("object"), "_slot")
-    taken = pairs.join(rows.select(*of).distinct(), of, "left_semi").join(slots, ["axiom_type", "object"])
-    run = F.col("_slot") - F.row_number().over(W.partitionBy(*of).orderBy("_slot"))
-    runs = taken.withColumn("_run", run).groupBy(*of, "_run").agg(F.min("_slot").alias("_at"), F.max("_slot").alias("_hi"))
-    starts = rows.select(*AXIOM_KEY, "source", "_size", F.pmod("_start", "_size").alias("_at"), F.lit(1).alias("_kind"))
-    marks = starts.unionByName(runs.select(*of, "_at", "_hi", F.lit(0).alias("_kind")), allowMissingColumns=True)
-    before = W.partitionBy(*of).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    held, head = F.max("_hi").over(before), F.max(F.when((F.col("_at") == 0) & (F.col("_kind") == 0), F.col("_hi"))).over(W.partitionBy(*of))
-    ahead = F.when(held >= F.col("_at"), held + 1).otherwise(F.col("_at"))
-    placed = marks.withColumns({"_ahead": ahead, "_head": F.coalesce(head + 1, F.lit(0))}).filter("_kind = 1")
-    slot = F.when(F.col("_ahead") < F.col("_size"), F.col("_ahead")).otherwise(F.col("_head"))
+    taken = salted_join(pairs, rows.select(*of).distinct(), of, "left_semi", **options).join(slots, ["axiom_type", "object"])
+    numbered = dense_position(cut_lineage(taken.select(*of, "_slot"), "taken"), of, "_slot", "_no").select(
+        *of, "_slot", (F.col("_slot") - F.col("_no")).alias("_run"))
+    numbered = cut_lineage(numbered, "taken-runs")
+    runs = cut_lineage(numbered.groupBy(*of, "_run").agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi")), "runs")
+    starts = rows.select(*AXIOM_KEY, "source", "_size", F.pmod("_start", "_size").alias("_at"))
+    met = cut_lineage(starts.join(numbered.withColumnRenamed("_slot", "_at"), [*of, "_at"], "left"), "starts")
+    ended = salted_join(met, runs.select(*of, "_run", "_hi"), [*of, "_run"], "left", **options)
+    heads = runs.filter("_lo = 0").select(*of, (F.col("_hi") + 1).alias("_head"))
+    placed = salted_join(ended, heads, of, "left", **options)
+    ahead = F.coalesce(F.col("_hi") + 1, "_at")  # beyond the last place it goes on at the first
+    slot = F.when(ahead < F.col("_size"), ahead).otherwise(F.coalesce("_head", F.lit(0)))
     return placed.withColumn("_slot", slot).join(pool, ["axiom_type", "_slot"]).select(*AXIOM_KEY, "source", "_candidate")
 
 

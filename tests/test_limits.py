@@ -126,3 +126,38 @@ def test_negatives_of_subjects_that_know_nearly_all(spark):
     got = datasets.replacement_negatives(df)
     assert got.count() == 3 * 399
     assert {(r["subject"], r["object"]) for r in got.select("subject", "object").distinct().collect()} == {(f"s{s}", f"o{100 * s + 7}") for s in range(3)}
+
+
+def test_first_free_places_of_a_hot_subject(spark, rows):
+    """A subject with a third of all pairs, with and without salting, against a walk over the places."""
+    import random
+
+    rnd, size = random.Random(4), 600
+    taken = {("hot", s) for s in range(size) if s not in (7, 8, 300, 599)} | {(f"s{i % 40}", rnd.randrange(size)) for i in range(1200)}
+    taken |= {("full", s) for s in range(size)} | {("edge", s) for s in (0, 1, 2, 598, 599)}
+    starts = [(subject, slot, rnd.randrange(size)) for subject, slot in taken] + [("edge", 598, 597), ("edge", 599, 598), ("new", 0, 599)]
+    pool = spark.createDataFrame([("domain", f"o{s}", s) for s in range(size)], "axiom_type string, _candidate string, _slot bigint")
+    pairs = spark.createDataFrame([("domain", s, f"o{o}") for s, o in taken], "axiom_type string, subject string, object string")
+    df = spark.createDataFrame([("domain", s, f"p{i}", f"o{o}", "x", size, at) for i, (s, o, at) in enumerate(starts)],
+                               "axiom_type string, subject string, predicate string, object string, source string, _size bigint, _start bigint")
+    want = []
+    for i, (subject, _o, at) in enumerate(starts):
+        free = next((k % size for k in range(at, at + size) if (subject, k % size) not in taken), None)
+        want += [] if free is None else [(subject, f"p{i}", f"o{free}")]
+    for options in ({}, {"min_rows": 50}):
+        assert rows(datasets._first_free(df, pairs, pool, **options), "subject", "predicate", "_candidate") == sorted(want)
+
+
+def test_a_hundred_thousand_headings(spark):
+    """One document; ends against a stack."""
+    n, levels = 100_000, [1 + (i * 7919) % 5 for i in range(100_000)]
+    heads = spark.createDataFrame([(1, i, f"{i + 1}. Part", levels[i], i // 3) for i in range(n)], "doc_id int, pos int, title string, level int, page int")
+    pages = spark.createDataFrame([(1, n)], "doc_id int, total_pages int")
+    want, stack = [None] * n, []
+    for i in reversed(range(n)):
+        while stack and levels[stack[-1]] > levels[i]:
+            stack.pop()
+        want[i] = n if not stack else max(stack[-1] // 3, i // 3 + 1)
+        stack.append(i)
+    got = {r.section_id: r.page_end for r in chunks.section_spans(heads, pages).select("section_id", "page_end").collect()}
+    assert got == {f"section_{i + 1}": e for i, e in enumerate(want)}
