@@ -19,6 +19,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(rows, ROWS_AT_ONCE)
 
 
+BYTES_AT_ONCE = "4m"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """small_batches of at most about BYTES_AT_ONCE: for rows that hold stretches of text."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)
+
+
 def list_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, offsets) of a list column; a null list is an empty one."""
     offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -27,24 +27,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrow import list_values, small_batches
+from .arrow import list_values, short_batches
 from .text import whole
 
 MARK = "▁"
 CHUNK = 1 << 15
 PAIRS = 1 << 16         # compatibility answers per Python worker
 DECODED_AT_ONCE = 1 << 19  # ids
+FAN = 64                # neighbouring matrices combined at a time
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -290,15 +290,16 @@ def compose(a: Matrix, b: Matrix) -> Matrix:
     return {e: x for e, mids in a.items() if (x := list(dict.fromkeys(y for m in mids for y in b.get(m, []))))}
 
 
-def boundary_states(matrices: list[Matrix]) -> list[State]:
-    """The states before, between and after the stretches of a whole text."""
-    reached = [{FREE: [FREE]}]
+def boundary_states(matrices: list[Matrix], entry: State = FREE, leave: State | None = None) -> list[State]:
+    """The states before, between and after neighbouring stretches, given those at both
+    ends; without ``leave`` the last stretch ends the text."""
+    reached = [{entry: [entry]}]
     for m in matrices:
         reached.append(compose(reached[-1], m))
-    state = next(s for s in reached[-1][FREE] if s.reach == 0)
+    state = next(s for s in reached[-1][entry] if s.reach == 0) if leave is None else leave
     states = [state]
     for m, before in zip(reversed(matrices), reversed(reached[:-1]), strict=True):
-        state = next(s for s in before[FREE] if state in m.get(s, ()))
+        state = next(s for s in before[entry] if state in m.get(s, ()))
         states.append(state)
     return states[::-1]
 
@@ -337,7 +338,7 @@ def read_model(path: str = MODEL_FILE) -> bytes:
 
 
 def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str = "doc_id", chunk: int = CHUNK,
-                     carry: tuple[str, ...] = ()) -> DataFrame:
+                     carry: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
     """(doc_id, ``carry`` columns, text_sha256, ids): the ids of every row's whole text.
 
     Null and empty texts have no ids. Characters outside the vocabulary become
@@ -345,7 +346,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str
     table gives no rows; only the named columns are read. ``model`` (half a
     megabyte) travels with the tasks.
     """
-    small_batches(docs.sparkSession)
+    short_batches(docs.sparkSession)
     names = ["doc_id", *carry, "text_sha256"]
     rows = docs.select(F.col(key).alias("doc_id"), *carry, F.sha2(whole(text), 256).alias("text_sha256"), whole(text).alias("_t"))
     margin = parse_model(model).longest
@@ -356,60 +357,121 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", key: str
             ids = [trace(p, Chunk("", normalise(t.as_py()), ""), FREE, FREE) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids)], names=[*names, "ids"])
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, t in zip(b["row"], b["t"], strict=True):
+            for row, t in zip(b.column(0), b.column(1), strict=True):
                 held = []
-                for no, c in enumerate(cut(normalise(t), chunk, margin)):
-                    held.append((row, no, *c))
+                for no, c in enumerate(cut(normalise(t.as_py()), chunk, margin)):
+                    held.append((row.as_py(), no, *c))
                     if len(held) == 64:
-                        yield pd.DataFrame(held, columns=_CHUNK)
+                        yield _batch(held, _CHUNK)
                         held = []
-                yield pd.DataFrame(held, columns=_CHUNK)
+                yield _batch(held, _CHUNK)
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)
         for b in batches:
-            found = [(row, no, e.piece, e.reach, x.piece, x.reach) for row, no, *c in b.itertuples(index=False)
-                     for e, xs in transfer(p, Chunk(*c)).items() for x in xs]
-            yield pd.DataFrame(found, columns=["row", "no", "p0", "r0", "p1", "r1"])
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        chain: list[Matrix] = [{} for _ in range(int(group["no"].max()) + 1)]
-        for _, no, p0, r0, p1, r1 in group.itertuples(index=False):
-            chain[no].setdefault(State(p0, r0), []).append(State(p1, r1))
-        states = boundary_states(chain)
-        return pd.DataFrame([(group["row"].iloc[0], no, *a, *b) for no, (a, b) in enumerate(zip(states, states[1:], strict=False))],
-                            columns=["row", "no", "p0", "r0", "p1", "r1"])
-
-    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row, no, *c in _rows(b):
+                yield _batch(_matrix_rows(row, no, transfer(p, Chunk(*c))), _STATES)
+
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)
         for b in batches:
-            yield pd.DataFrame({"row": b["row"], "no": b["no"], "part": [
-                np.frombuffer(trace(p, Chunk(x.behind, x.body, x.ahead), State(x.p0, x.r0), State(x.p1, x.r1)), np.int32) for x in b.itertuples(index=False)]})
+            for row, no, behind, body, ahead, p0, r0, p1, r1 in _rows(b):
+                ids = trace(p, Chunk(behind, body, ahead), State(p0, r0), State(p1, r1))
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([no], pa.int32()), _lists([ids])], names=["row", "no", "part"])
 
     shape = rows.select(*names, F.array().cast("array<int>").alias("ids")).schema
     small = rows.filter(F.length("_t") < chunk).mapInArrow(short, shape)
     giant = cut_lineage(rows.filter(F.length("_t") >= chunk).select(
         F.monotonically_increasing_id().alias("row"), *names, F.col("_t").alias("t")), "giant-texts")
-    table = cut_lineage(giant.select("row", "t").mapInPandas(chunks, "row bigint, no int, behind string, body string, ahead string"), "chunks")
-    states = table.mapInPandas(matrices, _STATES).groupBy("row").applyInPandas(solve, _STATES)
-    parts = table.join(states, ["row", "no"]).mapInPandas(traced, "row bigint, no int, part array<int>")
+    table = cut_lineage(giant.select("row", "t").mapInArrow(chunks, _ddl(_CHUNK)), "chunks")
+    states = _scan(table.mapInArrow(matrices, _ddl(_STATES)), fan)
+    parts = table.join(states, ["row", "no"]).select(*_CHUNK, *list(_STATES)[2:]).mapInArrow(traced, "row bigint, no int, part array<int>")
     whole_ids = parts.groupBy("row").agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("no", "part"))), lambda x: x["part"])).alias("ids"))
     large = giant.select("row", *names).join(whole_ids, "row").select(*names, "ids")
     return small.unionByName(large)
 
 
-_CHUNK = ["row", "no", "behind", "body", "ahead"]
-_STATES = "row bigint, no int, p0 string, r0 int, p1 string, r1 int"
+_CHUNK = {"row": pa.int64(), "no": pa.int32(), "behind": pa.string(), "body": pa.string(), "ahead": pa.string()}
+_STATES = {"row": pa.int64(), "no": pa.int32(), "p0": pa.string(), "r0": pa.int32(), "p1": pa.string(), "r1": pa.int32()}
+_SQL = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}
+
+
+def _ddl(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {_SQL[kind]}" for name, kind in columns.items())
+
+
+def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    values = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(values, columns.values(), strict=True)], names=list(columns))
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    return zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def _matrix_rows(row: int, no: int, m: Matrix) -> list[tuple]:
+    return [(row, no, *e, *x) for e, xs in m.items() for x in xs]
+
+
+def _chain(table: pa.Table) -> tuple[int, dict[int, Matrix]]:
+    """The row and the matrices, by their number, of a group."""
+    row, chain = 0, {}
+    for row, no, p0, r0, p1, r1 in _rows(table.select(list(_STATES))):
+        chain.setdefault(no, {}).setdefault(State(p0, r0), []).append(State(p1, r1))
+    return row, dict(sorted(chain.items()))
+
+
+def _combined(table: pa.Table, fan: int) -> pa.Table:
+    """The matrix of ``fan`` neighbours."""
+    row, chain = _chain(table)
+    return pa.Table.from_batches([_batch(_matrix_rows(row, next(iter(chain)) // fan, reduce(compose, chain.values())), _STATES)])
+
+
+def _state_rows(row: int, chain: dict[int, Matrix], states: list[State]) -> pa.Table:
+    return pa.Table.from_batches([_batch([(row, no, *a, *b) for no, a, b in zip(chain, states, states[1:], strict=False)], _STATES)])
+
+
+def _solved(table: pa.Table) -> pa.Table:
+    """The states around each of the last matrices of a text."""
+    row, chain = _chain(table)
+    return _state_rows(row, chain, boundary_states(list(chain.values())))
+
+
+def _resolved(table: pa.Table, around: pa.Table) -> pa.Table:
+    """The states around each of some neighbours, given those around all of them."""
+    row, chain = _chain(table)
+    _row, _no, p0, r0, p1, r1 = next(_rows(around.select(list(_STATES))))
+    return _state_rows(row, chain, boundary_states(list(chain.values()), State(p0, r0), State(p1, r1)))
+
+
+def _scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """(row, no, p0, r0, p1, r1): the states before and after every chunk.
+
+    Matrices are combined ``fan`` at a time, level upon level, until ``fan`` or fewer are
+    left of any text; these fix the states between them, which are then handed down
+    level by level. A group holds ``fan`` matrices, whatever the length of a text.
+    """
+    n = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.floor(F.col("no") / fan).cast("int").alias("group")
+    dealt = lambda df, by: df.withColumn("group", by).repartition(n, "row", "group")
+    levels = [cut_lineage(matrices, "matrices")]
+    while (levels[-1].agg(F.max("no")).first()[0] or 0) >= fan:
+        levels.append(cut_lineage(dealt(levels[-1], group).groupBy("row", "group").applyInArrow(lambda t: _combined(t, fan), _ddl(_STATES)), "matrices"))
+    states = dealt(levels[-1], F.lit(0)).groupBy("row", "group").applyInArrow(_solved, _ddl(_STATES))
+    for level in reversed(levels[:-1]):
+        around = dealt(states, F.col("no")).groupBy("row", "group")
+        states = dealt(level, group).groupBy("row", "group").cogroup(around).applyInArrow(_resolved, _ddl(_STATES))
+    return states
 
 
 def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
     """``encoded`` (with ``ids``) and its column ``decoded``; null ids give a null text."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    small_batches(encoded.sparkSession)
+    short_batches(encoded.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parse_model(model)

@@ -164,6 +164,20 @@ def link_forest(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(grouped.mapInArrow(_edges, "a bigint, b bigint"))
 
 
+def linked(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row: near_duplicates with the fingerprint as a number, and
+    the fingerprint that its component is named by inside."""
+    marked = cut_lineage(fingerprints(docs, text, key), "fingerprints")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).repartition(spread, "fp")  # 66 keys each follow
+    distinct = cut_lineage(distinct, "distinct-fps")
+    roots = components(link_forest(distinct.select("fp")))
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
@@ -173,13 +187,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows of their own and never name a component that has another key. An empty
     table gives no rows; other columns are not read.
     """
-    marked = cut_lineage(fingerprints(docs, text, key), "fingerprints")
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).repartition(spread, "fp")  # 66 keys each follow
-    distinct = cut_lineage(distinct, "distinct-fps")
-    roots = components(link_forest(distinct.select("fp")))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return linked(docs, text, key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -112,3 +112,40 @@ def test_pipeline_stages_keep_columns(spark, docs, items, tmp_path):
     assert not {1, 2, 3, 4, 10, 11, 12} & set(kept)    # no language, copies, benchmark windows
     assert kept[9] == 'token = "[SECRET]" in it'
     assert {8, 9} <= set(kept)
+
+
+def test_unknown_languages_and_repeated_ids(spark):
+    """Random letters and a script that no language has are rejected; unlike texts with one id both stay."""
+    import random
+
+    rnd = random.Random(1)
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    noise = "".join(rnd.choice("bcdfghjklmnpqrstvwxzqjx") for _ in range(5_000))
+    greek = "αυτό είναι ένα κείμενο σε μια γλώσσα που δεν έχει μάθει κανείς εδώ " * 40
+    odd = spark.createDataFrame([(-1, noise, None, "s", 1), (-2, greek, None, "s", 1)], SCHEMA)
+    rows = plain.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, rows, "").select("doc_id").collect()}
+    assert not {-1, -2} & kept
+    lettered = plain.filter(F.col("text").rlike(r"\p{L}")).count()
+    assert len(kept) >= 0.97 * lettered
+
+    texts = ["one lone text about the sea and its many ships", "another text on mountains, snow and long winters", "a third one, of rivers"]
+    same = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (3, texts[2]), (7, texts[2]), (9, texts[0]), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in same], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(7, texts[0]), (7, texts[1]), (3, texts[2]), (None, texts[0])], key=repr)
+
+
+def test_tokens_of_long_texts_in_levels(spark):
+    """The last stage, and states handed through several levels of combined matrices."""
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_proto=pieces.read_model())
+    texts = ["hello world é😀 abc " * 400, "x" * 9_000, None, "", "le chat noir " * 900, "y"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+    want = {i: library.encode(t or "") for i, t in enumerate(texts)}
+    for options in ({"chunk": 300, "fan": 3}, {"chunk": 200, "fan": 64}, {"chunk": 1_000, "fan": 2}):
+        assert {r.doc_id: r.ids for r in pieces.encode_documents(docs, pieces.read_model(), **options).collect()} == want
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.columns == ["doc_id", "lang", "source", "n_chars", "ids", "n_ids"]
+    assert {r.doc_id: r.ids for r in last.collect()} == want
