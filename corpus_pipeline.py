@@ -3,10 +3,12 @@
 Language ID, near-duplicates, benchmark decontamination, secrets, token ids. A
 stage works on all rows that its predecessor kept and its decisions take effect:
 
-- ``language`` drops texts in no known language (``und``, or a best language
-  less likely than all others together);
-- ``near_dedup`` keeps the row with the smallest doc_id of each group of linked
-  fingerprints, and of repeated rows one; rows without a doc_id stay;
+- ``language`` drops texts in no known language: ``und``, a best language less
+  likely than all others together, or one that codes the text far worse than
+  held-out texts of about its size in the known languages;
+- ``near_dedup`` keeps one row, that of the smallest doc_id, of each group of linked
+  fingerprints; rows with one id and unlinked texts all stay, as do rows without a
+  doc_id;
 - ``decontaminate`` drops texts that hold a benchmark window (of rows without a
   doc_id, all if any does);
 - ``secrets`` replaces accepted findings inside the text and counts characters anew;
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axiomloom.llm import decontam, langid, secret_scan, simhash
@@ -28,26 +30,58 @@ from axiomloom.llm import sentencepiece as pieces
 from axiomloom.session import cut_lineage
 
 LEAST_POSTERIOR = 0.5
+KNOWN_SHARE, MARGIN = 0.98, 1.5
 MASK = "[SECRET]"
 
 
+def _trains() -> Column:
+    """The rows that the language model may learn; the others show what texts of known languages take."""
+    return langid.held_out("doc_id", 2, 0)
+
+
+def _most_bits(spark: SparkSession, docs: DataFrame, model: langid.Model) -> Column:
+    """Bits a byte that a text in a learned language takes at most, by its size.
+
+    From a bounded sample of labelled rows that the model was not trained on:
+    MARGIN times the KNOWN_SHARE quantile of texts of at least about half the size.
+    Without such rows there is no bound.
+    """
+    sample = langid.training_sample(docs.filter(~_trains()), "text", "lang", "doc_id", langid.SAMPLE_PER_LANGUAGE)
+    size = lambda c: F.floor(F.log2(F.greatest(F.octet_length(c), F.lit(1)))).cast("int")
+    known = langid.predict(sample.withColumn("doc_id", F.lit(None).cast("bigint")), model, keep=(size("text").alias("size"),))
+    found = known.filter(F.col("lang_pred") != langid.UNKNOWN).groupBy("size").agg(
+        F.percentile_approx("bits_per_byte", KNOWN_SHARE).alias("bits")).collect()  # a row per power of two
+    most = F.lit(float("inf"))
+    for r in sorted(found, reverse=True):
+        bits = MARGIN * max(x.bits for x in found if x.size >= r.size)
+        most = F.when(size("text") <= r.size + 1, bits).otherwise(most)
+    longest = max((r.size for r in found), default=0)
+    return F.when(size("text") > longest + 1, MARGIN * max(x.bits for x in found if x.size == longest)).otherwise(most) if found else most
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(docs)
+    model = langid.train(docs.filter(_trains()))
     rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
     marked = langid.predict(docs, model, keep=(rest,), with_text=True)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)
+    known = ((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)
+             & (F.col("bits_per_byte") <= _most_bits(spark, docs, model)))
     return marked.filter(known).select("row.*", "text").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    later = cut_lineage(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "later-copies")
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    groups = cut_lineage(simhash.linked(docs), "linked")
+    later = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     again = cut_lineage(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    kept = docs.join(cut_lineage(later, "later-copies"), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
     once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    # rows that share an id are told apart by their fingerprints: of each group, the smallest row of the id that names it
+    rows = docs.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "text")
+    own = groups.join(again, "doc_id", "left_semi").filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "fp", "root").distinct()
+    marked = simhash.fingerprints(rows, "text", "row").select(F.col("doc_id").alias("row"), "fp", F.col("doc_id.doc_id").alias("id"))
+    first = marked.join(own, ["id", "fp"]).groupBy("id", "root").agg(F.min("row").alias("row"))
+    return once.unionByName(first.select("row.*").select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
