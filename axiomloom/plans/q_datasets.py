@@ -299,6 +299,22 @@ def _(t):
     return sa.fair_per_paper_sample(rows, ["doc_id", "axiom_type", "item1", "item2"])
 
 
+@query("D17_fair_total_sample", """
+with a as (select *, md5('20260417|' || doc_id || '|' || axiom_type || '|' || item1 || '|' || item2) as h from (select distinct doc_id, axiom_type, item1, item2 from v_doc_axioms)),
+r as (select *, row_number() over (partition by doc_id, axiom_type order by h, axiom_type, item1, item2) as k from a),
+p as (select doc_id, count(*) as n, count_if(k <= 1) as c, md5('20260417|' || doc_id) as ph from r group by 1),
+s as (select sum(n) as n, sum(c) as c from p),
+g as (select doc_id, ph, case when s.c >= 5000 then 0 else p.c end as base, case when s.c >= 5000 then p.c else p.n - p.c end as room, least(5000, s.n) - case when s.c >= 5000 then 0 else s.c end as rest from p, s),
+l as (select max(level) as level from (select level, sum(least(room, level)) as used, any_value(rest) as rest from g, range(0, (select max(room)::bigint + 1 from g)) t(level) group by 1) where used <= rest),
+q as (select doc_id, base + least(room, level) + case when room > level and row_number() over (partition by room > level order by ph, doc_id)
+  <= rest - (select sum(least(room, level)) from g, l) then 1 else 0 end as quota from g, l),
+o as (select r.*, row_number() over (partition by r.doc_id order by (k > 1), k, h, axiom_type, item1, item2) as place from r)
+select o.doc_id, axiom_type, item1, item2 from o join q on q.doc_id = o.doc_id where place <= quota""")
+def _(t):
+    rows = t.v_doc_axioms.select("doc_id", "axiom_type", "item1", "item2").distinct()
+    return sa.fair_total_sample(rows, ["doc_id", "axiom_type", "item1", "item2"], 5000, type_cap=1)
+
+
 # ---- ontology documents ----------------------------------------------------
 KIND_NO = "case axiom_type when 'Class' then 0 when 'Property' then 1 when 'subClassOf' then 2 when 'subPropertyOf' then 3 when 'domain' then 4 else 5 end"
 
@@ -442,6 +458,22 @@ def _(t):
     return on.heterogeneous_axioms(tree).groupBy("method", "domain").agg(F.count(F.lit(1)).alias("axioms"))
 
 
+@query("S04_scan_results_csv", """
+select 'baseline' as method, case c_custkey % 2 when 0 then 'geography' else 'unknown' end as domain, case c_custkey % 3 when 0 then 'subPropertyOf' else 'subClassOf' end as axiom_type,
+ c_name || case when c_custkey % 5 = 0 then ', "x"' || chr(10) || 'y' else '' end as sub, 'Top' as super from customer where c_custkey % 2 = 0 or c_custkey % 3 > 0""")
+def _(t):
+    """Two spellings of the columns in one tree, cells with commas, quotes and line breaks."""
+    root = scratch_path(t.spark, "csv-tree")
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 5 == 0, F.lit(', "x"\ny')).otherwise(F.lit("")))
+    kind = F.when(F.col("c_custkey") % 3 == 0, F.lit("subPropertyOf")).otherwise(F.lit("subClassOf"))
+    options = {"header": True, "quoteAll": True, "escape": '"'}
+    t.customer.filter("c_custkey % 2 = 0").select(kind.alias("axiomType"), name.alias("child"), F.lit("Top").alias("parent")).write.csv(
+        f"{root}/Geography", **options)
+    t.customer.filter("c_custkey % 2 = 1 and c_custkey % 3 > 0").select(
+        "c_custkey", F.lit("Top").alias("object"), name.alias("subject"), F.lit("subClassOf").alias("type")).write.csv(f"{root}/other", **options)
+    return on.heterogeneous_axioms(readers.scan_results_tree(t.spark, {"baseline": root}).drop("path"))
+
+
 @query("S05_scan_doc_domain_map", "select distinct 'part-' || lang as prefix, lang as domain from documents")
 def _(t):
     root = scratch_path(t.spark, "doc-domains")

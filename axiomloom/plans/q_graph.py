@@ -153,3 +153,10 @@ def _(t):
 def _(t):
     stream = result_stream(t, ["task_id", "axiom_type", "id", "predict_label"])
     return sp.run_live_upsert(stream, scratch_path(t.spark, "live"), scratch_path(t.spark, "live-state"), ["task_id", "axiom_type"], "id")
+
+
+@query("X02_live_result_snapshots", "select task_id, axiom_type, id, predict_label from v_results qualify row_number() over (partition by task_id, axiom_type order by id desc) = 1")
+def _(t):
+    """The same stream, compacted into a snapshot after every second batch."""
+    stream = result_stream(t, ["task_id", "axiom_type", "id", "predict_label"])
+    return sp.run_live_upsert(stream, scratch_path(t.spark, "live"), scratch_path(t.spark, "live-state"), ["task_id", "axiom_type"], "id", compact_every=2)

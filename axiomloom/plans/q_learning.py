@@ -313,6 +313,20 @@ def _(t):
     return on.union_merge(chunk_results(t), ["task_id"], "chunk_no")
 
 
+@query("W07_task_merge", f"""
+select grp as task_id, kind, item1, item2, arg_min(chunk, [chunk, p]) as first_chunk, arg_min(p, [chunk, p]) as first_pos from {ITEMS}
+where chunk % 5 <> 0 and case when grp in ('en', 'fr') then chunk % 2 = 0 else chunk % 2 = 1 end group by 1, 2, 3, 4""")
+def _(t):
+    """Successes only, of the layer that each task's execution mode ends with."""
+    odd, failed = F.col("chunk_no") % 2 == 1, F.col("chunk_no") % 5 == 0
+    results = chunk_results(t).withColumns({
+        "id": F.col("chunk_no"), "layer_name": F.when(odd, F.lit("baseline")).otherwise(F.lit("concept_modeling")),
+        "run_status": F.when(failed, F.lit("failed")).otherwise(F.lit("success"))})
+    mode = F.when(F.col("lang").isin("en", "fr"), F.lit("layered")).otherwise(F.lit("direct"))
+    tasks = t.documents.select(F.col("lang").alias("task_id"), mode.alias("execution_mode")).distinct()
+    return on.merge_task_outputs(results, tasks)
+
+
 @query("L10_ontology_from_chunks", f"""
 select d.lang as doc_id, count(*) as chunk_count, count_if(n_chars < 100) as failed_chunks, {', '.join(f'(select count(distinct (item1, item2)) from {ITEMS} i where i.grp = d.lang and kind = {chr(39)}{k}{chr(39)}) as "{k}"' for k in on.SERVICE_TYPES)}
 from documents d group by d.lang""")

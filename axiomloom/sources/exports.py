@@ -108,6 +108,17 @@ def export_axiom_json(axioms: DataFrame) -> DataFrame:
     )
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Range-sorted text parts: reading the parts in name order gives the document."""
-    lines.orderBy("seq").select("line").write.text(path)
+def write_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """A document in ordered text parts: reading the parts in name order gives it.
+
+    Lines are dealt to ranges of ``seq``, as many as there are shuffle partitions
+    unless ``parts`` says otherwise. ``path``/manifest lists each part with its
+    place, lines and bytes, written once all parts are there.
+    """
+    spark = lines.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, "seq").sortWithinPartitions("seq").select("line").write.text(f"{path}/parts")
+    written = spark.read.text(f"{path}/parts").groupBy(F.col("_metadata.file_name").alias("part")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    place = F.regexp_extract("part", r"^part-(\d+)", 1).cast("int")
+    written.select(place.alias("place"), "part", "lines", "bytes").coalesce(1).sortWithinPartitions("place").write.json(f"{path}/manifest")

@@ -67,18 +67,40 @@ def domain_of_path(path) -> F.Column:
     )
 
 
+def scan_rows_csv(spark: SparkSession, path: str, width: int = 256) -> DataFrame:
+    """(path, payload): every row of the CSV files below a folder as a JSON object named by its file's header.
+
+    Files may differ in their columns. Cells may hold line breaks, so a file is
+    parsed as a stream in one task, a row at a time; a byte order mark is dropped,
+    of equal column names the last counts, and cells beyond the header are left
+    out. A file of ``width`` columns or more is refused.
+    """
+    cells = [f"c{i}" for i in range(width)]
+    files = spark.read.csv(
+        path, schema=", ".join(f"{c} string" for c in cells), header=False, multiLine=True, quote='"', escape='"',
+        encoding="UTF-8", recursiveFileLookup=True, pathGlobFilter="*.{csv,CSV}")
+    wide = F.col(cells[-1]).isNotNull()
+    rows = files.select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("no"),
+        F.when(wide, F.raise_error(F.lit(f"a CSV file has {width} columns or more"))).otherwise(F.array(*cells)).alias("cells"))
+    header = rows.groupBy("path").agg(F.min("no").alias("first"), F.min_by("cells", "no").alias("names"))
+    names = F.transform("names", lambda n, i: F.when(i == 0, F.regexp_replace(n, "^\ufeff", "")).otherwise(n))
+    named = rows.join(header.withColumn("names", names), "path").filter("no <> first")
+    again = lambda x, i: F.coalesce(F.array_contains(F.slice("names", (i + 2).cast("int"), width), x["names"]), F.lit(False))
+    pairs = F.filter(F.arrays_zip("names", "cells"), lambda x, i: x["names"].isNotNull() & ~again(x, i))
+    return named.select("path", F.to_json(F.map_from_entries(pairs)).alias("payload"))
+
+
 def scan_results_tree(spark: SparkSession, sources: Mapping[str, str]) -> DataFrame:
-    """Whole JSON files below each method's folder: method, path, domain, payload."""
+    """Results below each method's folder: method, path, domain, payload. A JSON file is
+    one payload, a row of a CSV file is one."""
     frames = []
     for method, path in sources.items():
         files = spark.read.text(
             path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
-        )
-        file_path = F.col("_metadata.file_path")
-        frames.append(files.select(
-            F.lit(method).alias("method"), file_path.alias("path"),
-            domain_of_path(file_path).alias("domain"), F.col("value").alias("payload"),
-        ))
+        ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+        frames += [f.select(F.lit(method).alias("method"), "path", domain_of_path(F.col("path")).alias("domain"), "payload")
+                   for f in (files, scan_rows_csv(spark, path))]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
