@@ -4,8 +4,11 @@ The network reads windows of characters around every digit and ``@`` (each kind
 holds one, so a window without any cannot hold a span). Windows overlap by half.
 Each is decoded to tag posteriors; where windows overlap these are averaged with
 more weight to a window's middle, and one Viterbi pass over each covered stretch
-of the text settles all its windows together. What the network adds must be
-confident, must not touch a base span and must pass an exact check of its kind.
+of the text settles all its windows together; very long ones are decoded in
+sections that read some windows of their neighbours. What the network adds must
+be as sure as held-out labelled texts ask for, must not touch a base span and must
+pass an exact check of its kind. Stretches of the corpus whose numbers the base
+patterns may mislabel are no training data.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +33,9 @@ WINDOW, STRIDE = 64, 32
 HIDDEN, EPOCHS = 16, 6
 SAMPLE_DOCS = 1_500      # documents with a digit or @ that the network learns from
 TRAIN_WINDOWS = 4_000
-SURE = 0.9
+SURE = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)  # bounds tried on held-out texts; the last is taken if none is free of wrong spans
 WINDOWS_AT_ONCE = 512
+SECTION, MARGIN = 2_048, 8  # windows of one text decoded together, and those read on both sides besides
 SEED = 11
 
 _IS_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -100,7 +105,7 @@ def _plausible(kind: int, value: str) -> bool:
 #: Classes of characters: 0 pads a window, each mark below has its own.
 _MARKS = "@.+-_()/:;=,%&#\"'\n "
 CLASSES = 6 + len(_MARKS)
-_CLASS = np.full(128, 1, np.int64)
+_CLASS = np.full(128, 1, np.uint8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 2, 3, 4
 _CLASS[[ord(c) for c in _MARKS]] = np.arange(len(_MARKS)) + 6
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, then begin and inside of each kind
@@ -115,21 +120,27 @@ _FIRST_LOG = np.where(np.arange(TAGS) % 2 == 1, 0.0, np.where(np.arange(TAGS) ==
 
 def char_classes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.where(codes < 128, _CLASS[np.minimum(codes, 127)], 5)
+    return np.where(codes < 128, _CLASS[np.minimum(codes, 127)], np.uint8(5))
 
 
-def window_starts(text: str) -> np.ndarray:
+def window_starts(classes: np.ndarray) -> np.ndarray:
     """Starts of the windows that hold a digit or @, on a grid of STRIDE."""
-    at = np.array([m.start() for m in _ANCHOR.finditer(text)], dtype=np.int64)
-    if not len(at):
-        return at
-    last = at // STRIDE
-    return np.unique(np.maximum(np.concatenate([last, last - 1]), 0)) * STRIDE
+    held = (classes == _CLASS[ord("0")]) | (classes == _CLASS[ord("@")])
+    held = np.concatenate([held, np.zeros(-len(held) % STRIDE, bool)]).reshape(-1, STRIDE).any(axis=1)
+    return np.flatnonzero(held | np.append(held[1:], False)) * STRIDE if len(held) else np.zeros(0, np.int64)
 
 
 def _windows(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([classes, np.zeros(WINDOW, np.int64)])
-    return padded[starts[:, None] + np.arange(WINDOW)]
+    at = starts[:, None] + np.arange(WINDOW)
+    return np.where(at < len(classes), classes[np.minimum(at, len(classes) - 1)], 0).astype(np.int64)
+
+
+def sections(starts: np.ndarray) -> Iterator[tuple[np.ndarray, float, float]]:
+    """(windows, from, to): parts of a text's windows and where the spans begin that a part decides."""
+    for i in range(0, len(starts), SECTION):
+        end = i + SECTION
+        yield (starts[max(0, i - MARGIN):end + MARGIN], float(starts[i]) if i else -np.inf,
+               float(starts[end]) if end < len(starts) else np.inf)
 
 
 def _tags(spans: list[tuple[int, int, int]], n: int) -> np.ndarray:
@@ -172,21 +183,28 @@ def reconcile(starts: np.ndarray, posterior: np.ndarray) -> Iterator[tuple[int,
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], net: bilstm_crf.Params) -> list[tuple[int, int, int]]:
-    starts = window_starts(text)
-    if not len(starts):
-        return []
-    windows = _windows(char_classes(text), starts)
-    posterior = np.concatenate([bilstm_crf.marginals(net, windows[i:i + WINDOWS_AT_ONCE]) for i in range(0, len(windows), WINDOWS_AT_ONCE)])
-    return _accept(text, base, starts, posterior)
+    classes, out = char_classes(text), []
+    for starts, lo, hi in sections(window_starts(classes)):
+        windows = _windows(classes, starts)
+        posterior = np.concatenate([bilstm_crf.marginals(net, windows[i:i + WINDOWS_AT_ONCE]) for i in range(0, len(windows), WINDOWS_AT_ONCE)])
+        out += _accept(text, base, starts, posterior, float(net["sure"]), lo, hi)
+    return out
+
+
+def _accept(text: str, base: list[tuple[int, int, int]], starts: np.ndarray, posterior: np.ndarray, least: float,
+            lo: float = -np.inf, hi: float = np.inf) -> list[tuple[int, int, int]]:
+    return [span for span, sure in _proposed(text, base, starts, posterior) if sure >= least and lo <= span[1] < hi]
 
 
-def _accept(text: str, base: list[tuple[int, int, int]], starts: np.ndarray, posterior: np.ndarray) -> list[tuple[int, int, int]]:
-    held = sorted((s, e) for _, s, e in base)
+def _proposed(text: str, base: list[tuple[int, int, int]], starts: np.ndarray, posterior: np.ndarray) -> list[tuple[tuple[int, int, int], float]]:
+    """Plausible spans that touch no base span, and how sure the network is."""
+    begins, ends = sorted(s for _, s, _ in base), np.maximum.accumulate([0, *[e for _, _, e in sorted(base, key=lambda x: x[1])]])
     out = []
     for kind, s, e, sure in reconcile(starts, posterior):
         e = min(e, len(text))
-        if sure >= SURE and _plausible(kind, text[s:e]) and all(e <= a or s >= b for a, b in held):
-            out.append((kind, s, e))
+        at = bisect_left(begins, e)  # base spans that begin before the end
+        if _plausible(kind, text[s:e]) and ends[at] <= s:
+            out.append(((kind, s, e), sure))
     return out
 
 
@@ -229,17 +247,41 @@ def generated(words: list[str], n: int, seed: int = SEED) -> list[tuple[str, lis
     return out
 
 
-def fit(labelled: list[tuple[str, list[tuple[int, int, int]]]]) -> bilstm_crf.Params:
-    """The network, from at most TRAIN_WINDOWS windows of labelled texts."""
+def fit(labelled: list[tuple[str, list[tuple[int, int, int]]]], held_out: list[tuple[str, list[tuple[int, int, int]]]] | None = None) -> bilstm_crf.Params:
+    """The network, from at most TRAIN_WINDOWS windows of labelled texts, with the least bound ("sure") of
+    SURE that lets no wrong span pass on held-out labelled texts (the last without any)."""
     ids, tags = [], []
     for text, spans in labelled:
-        starts = window_starts(text)
+        classes = char_classes(text)
+        starts = window_starts(classes)
         if len(starts):
-            ids.append(_windows(char_classes(text), starts))
+            ids.append(_windows(classes, starts))
             tags.append(_tags(spans, len(text))[starts[:, None] + np.arange(WINDOW)])
     ids, tags = np.concatenate(ids), np.concatenate(tags)
     pick = np.random.default_rng(SEED).permutation(len(ids))[:TRAIN_WINDOWS]
-    return bilstm_crf.fit(ids[pick], tags[pick], CLASSES, TAGS, HIDDEN, EPOCHS)
+    net = dict(bilstm_crf.fit(ids[pick], tags[pick], CLASSES, TAGS, HIDDEN, EPOCHS))
+    wrong = 1.0
+    if held_out:
+        wrong = 0.0
+        for text, spans in held_out:
+            classes, base = char_classes(text), base_spans(text)
+            starts = window_starts(classes)
+            if len(starts):
+                for span, sure in _proposed(text, base, starts, bilstm_crf.marginals(net, _windows(classes, starts))):
+                    wrong = max(wrong, sure if span not in spans else 0.0)
+    net["sure"] = np.float64(next((s for s in SURE if s > wrong), SURE[-1]))
+    return net
+
+
+_NUMBERS = re.compile(r"[+(0-9][0-9 ().+/-]{6,}[0-9]")
+
+
+def labels_known(piece: str) -> bool:
+    """Whether the base patterns can be trusted to label a stretch: not if it holds numbers that may be a
+    phone or a card in a form they do not know."""
+    base = base_spans(piece)
+    return not any(all(m.end() <= s or m.start() >= e for _, s, e in base) and any(_plausible(k, m.group()) for k in (2, 3))
+                   for m in _NUMBERS.finditer(piece))
 
 
 def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> bilstm_crf.Params:
@@ -255,7 +297,7 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> bilstm_cr
         for b in batches:
             out = []
             for k, t in zip(b["k"], b["t"], strict=True):
-                starts = window_starts(t or "")
+                starts = window_starts(char_classes(t or ""))
                 for s in starts[:: max(1, len(starts) // 4)][:4]:
                     lo = max(0, int(s) - 32)
                     out.append((k, t[lo:lo + 128]))
@@ -263,7 +305,7 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> bilstm_cr
 
     pieces = [r["t"] for r in rows.mapInPandas(near, rows.schema).orderBy("k", "t").collect()]  # at most 4 * SAMPLE_DOCS of 128 characters
     words = [w for w in dict.fromkeys(w for p in pieces for w in re.findall(r"\b[A-Za-z]{2,12}\b", p))][:2_000]
-    return fit([(p, base_spans(p)) for p in pieces] + generated(words, 1_500))
+    return fit([(p, base_spans(p)) for p in pieces if labels_known(p)] + generated(words, 1_500), generated(words, 500, SEED + 1))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -288,8 +330,9 @@ def find(docs: DataFrame, net: bilstm_crf.Params, text: str = "text", key: str =
             counts = np.zeros((b.num_rows, len(KINDS)), np.int64)
             sha, spans = [empty] * b.num_rows, [""] * b.num_rows
             texts = b.column(1)
-            waiting: list[tuple[int, str, list, np.ndarray]] = []
+            waiting: list[tuple] = []
             queue: list[np.ndarray] = []
+            all_spans: dict[int, list] = {}
 
             def settle() -> None:
                 if not waiting:
@@ -297,8 +340,8 @@ def find(docs: DataFrame, net: bilstm_crf.Params, text: str = "text", key: str =
                 windows = np.concatenate(queue)
                 posterior = np.concatenate([bilstm_crf.marginals(net, windows[i:i + WINDOWS_AT_ONCE]) for i in range(0, len(windows), WINDOWS_AT_ONCE)])
                 lo = 0
-                for i, t, base, starts in waiting:
-                    spans[i] = _joined(base + _accept(t, base, starts, posterior[lo:lo + len(starts)]))
+                for i, t, base, starts, first, last in waiting:
+                    all_spans[i] += _accept(t, base, starts, posterior[lo:lo + len(starts)], float(net["sure"]), first, last)
                     lo += len(starts)
                 waiting.clear()
                 queue.clear()
@@ -309,12 +352,16 @@ def find(docs: DataFrame, net: bilstm_crf.Params, text: str = "text", key: str =
                 for kind, _, _ in base:
                     counts[i, kind] += 1
                 sha[i] = hashlib.sha256(_joined(base).encode()).hexdigest()
-                starts = window_starts(t)
-                waiting.append((int(i), t, base, starts))
-                queue.append(_windows(char_classes(t), starts))
-                if sum(map(len, queue)) >= 4 * WINDOWS_AT_ONCE:
-                    settle()
+                all_spans[int(i)] = list(base)
+                classes = char_classes(t)
+                for starts, first, last in sections(window_starts(classes)):
+                    waiting.append((int(i), t, base, starts, first, last))
+                    queue.append(_windows(classes, starts))
+                    if sum(map(len, queue)) >= 4 * WINDOWS_AT_ONCE:
+                        settle()
             settle()
+            for i, found in all_spans.items():
+                spans[i] = _joined(found)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array(counts[:, k]) for k in range(len(KINDS))], pa.array(sha, pa.string()), pa.array(spans, pa.string())],
                 names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])

@@ -175,18 +175,34 @@ def test_crf_gradients():
     assert np.allclose(bilstm_crf.marginals(p, ids).sum(axis=2), 1, atol=1e-5)
 
 
-def test_network_adds_forms_the_patterns_miss():
+def test_network_adds_forms_the_patterns_miss(spark):
+    """A planted table: of held-out labelled spans that the base misses 0.9 are found, and nothing else."""
     words = "the of and account holder called from number write at server near".split()
-    net = pii.fit(pii.generated(words, 1_200))
-    text = "please call (030) 555-1234 or write to the server"
-    assert pii.base_spans(text) == []
-    assert [text[s:e] for k, s, e in pii.added_spans(text, [], net) if k == 3] in ([], ["(030) 555-1234"])
-    long = "plain words " * 30 + "call (089) 555-9876 now. " + "more words " * 30
-    found = [long[s:e] for _, s, e in pii.added_spans(long, [], net)]
-    assert all(x == "(089) 555-9876" for x in found)
+    net = pii.fit(pii.generated(words, 1_500), pii.generated(words, 300, 77))
+    planted = pii.generated("a talk with new people about plain things in town".split(), 400, 99)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id int, text string")
+    missed = hit = 0
+    for r in pii.find(docs, net).collect():
+        text, spans = planted[r["doc_id"]]
+        base = pii.base_spans(text)
+        got = [(pii.KINDS.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
+        added, want = set(got) - set(base), {s for s in spans if s not in base and all(s[2] <= a or s[1] >= b for _, a, b in base)}
+        assert added <= set(spans), text
+        missed, hit = missed + len(want), hit + len(added & want)
+    assert missed > 100 and hit >= 0.9 * missed, (hit, missed)
     assert pii.added_spans("version 2.0 of 12.11.2024", [], net) == []
 
 
+def test_sections_of_a_long_text_agree(monkeypatch):
+    words = "the of and account holder called from number write at server near".split()
+    net = pii.fit(pii.generated(words, 600), pii.generated(words, 100, 77))
+    text = " ".join(t for t, _ in pii.generated(words, 400, 5))
+    whole = pii.added_spans(text, pii.base_spans(text), net)
+    monkeypatch.setattr(pii, "SECTION", 40)
+    assert pii.added_spans(text, pii.base_spans(text), net) == whole and len(whole) > 20
+    assert pii.labels_known("call +49 170 555 1234 now") and not pii.labels_known("call (030) 555-1234 now")
+
+
 def test_forest_keeps_secrets_and_drops_lookalikes():
     words = [(w, 50) for w in "the of and server account ordinary password method value index".split()]
     scanner = secret_scan.fit(secret_scan.generated_findings([w for w, _ in words]), secret_scan.language(words))
