@@ -8,6 +8,7 @@ from ..operators import graph as gr
 from ..operators import scoring as sc
 from ..session import cut_lineage, scratch_path
 from ..streaming import progress as sp
+from ..streaming import status as st
 from .registry import query
 
 K = "method, domain, axiom_type"
@@ -149,6 +150,20 @@ def _(t):
     return sp.run_task_counters(stream, scratch_path(t.spark, "counters"), scratch_path(t.spark, "counters-state"))
 
 
+@query("X01_task_status", """
+with e as (select task_id, case when id % 97 = 0 then 'stopping' when id % 101 = 0 then 'load_failed' else run_status end as s from v_results),
+ c as (select task_id, count_if(s = 'success') as ok, count_if(s = 'failed') as bad, count_if(s = 'stopping') as stops, count_if(s = 'load_failed') as breaks from e group by task_id)
+select c.task_id, ok as success_count, case when breaks > 0 then t.total_count * 3 else bad end as fail_count, t.total_count * 3 as total_count,
+ case when breaks > 0 then 'failed' when stops > 0 then 'stopped' when ok + bad < t.total_count * 3 then 'running' when bad = 0 then 'success' else 'completed' end as task_status
+from c join v_tasks t on t.id = c.task_id""")
+def _(t):
+    """Results and messages arriving in four batches, against the totals of the tasks."""
+    said = F.when(F.col("id") % 97 == 0, "stopping").when(F.col("id") % 101 == 0, "load_failed").otherwise(F.col("run_status"))
+    stream = result_stream(t, ["task_id", said.alias("run_status")])
+    totals = t.v_tasks.select(F.col("id").alias("task_id"), (F.col("total_count") * 3).alias("total_count"))
+    return st.run_task_status(stream, totals, scratch_path(t.spark, "status"), scratch_path(t.spark, "status-state"))
+
+
 @query("X02_live_result_upsert", "select task_id, axiom_type, id, predict_label from v_results qualify row_number() over (partition by task_id, axiom_type order by id desc) = 1")
 def _(t):
     stream = result_stream(t, ["task_id", "axiom_type", "id", "predict_label"])

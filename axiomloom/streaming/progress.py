@@ -24,20 +24,21 @@ def task_counters(results: DataFrame) -> DataFrame:
     ).withColumn("task_status", final_status(F.col("fail_count")))
 
 
-def _log_batches(stream: DataFrame, path: str, checkpoint: str, mode: str):
+def log_batches(stream: DataFrame, path: str, checkpoint: str, mode: str, **trigger):
     """Store each micro-batch under its own batch id. A replayed batch
-    overwrites its own folder, so restarts neither lose nor repeat rows."""
+    overwrites its own folder, so restarts neither lose nor repeat rows.
+    Without a trigger the stream ends when it has read what has arrived."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.writeStream.outputMode(mode).foreachBatch(store)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def _read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The batches of a log with their number in ``batch_id``."""
     full = StructType([*schema.fields, StructField("batch_id", LongType())])
     return spark.read.schema(full).parquet(path)
@@ -47,8 +48,8 @@ def run_task_counters(stream: DataFrame, path: str, checkpoint: str) -> DataFram
     """Keep running counters; state holds one row per task. Every batch logs
     only the tasks it changed, and the newest entry of a task is its counter."""
     counters = task_counters(stream)
-    _log_batches(counters, path, checkpoint, "update").awaitTermination()
-    log = _read_log(stream.sparkSession, path, counters.schema)
+    log_batches(counters, path, checkpoint, "update").awaitTermination()
+    log = read_log(stream.sparkSession, path, counters.schema)
     return keep_last(log, ["task_id"], ["batch_id"]).drop("batch_id")
 
 
