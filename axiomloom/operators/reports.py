@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scale import dense_position, keep_last
+from ..session import scratch_path
 from .metrics import binary_metrics, explanation_rates_all, explanation_rates_correct, service_metrics
 
 
@@ -112,6 +116,67 @@ def page(df: DataFrame, number: int, size: int, order: str = "id",
     return near.orderBy(order).limit(skipped + size).offset(skipped), total
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """A table stored in ranges of an order column, for many page calls.
+
+    ``ranges`` holds (number, first position, rows), one entry per range; ties in
+    the order column keep one fixed order, so the pages of an index share no row.
+    """
+
+    spark: SparkSession
+    path: str
+    order: str
+    schema: StructType
+    ranges: tuple[tuple[int, int, int], ...]
+
+    @property
+    def total(self) -> int:
+        return self.ranges[-1][1] + self.ranges[-1][2] - 1 if self.ranges else 0
+
+    def page(self, number: int, size: int, max_size: int | None = None) -> DataFrame:
+        """The rows of one page in order. Only the ranges it touches are read,
+        one of them unless the page crosses an edge; beyond the end it is empty."""
+        number, size = max(number, 1), max(size if max_size is None else min(size, max_size), 1)
+        first = (number - 1) * size + 1
+        near = [r for r in self.ranges if r[1] < first + size and first < r[1] + r[2]]
+        skipped = first - near[0][1] if near else 0
+        chosen = F.col("_range").isin(*[r[0] for r in near]) if near else F.lit(False)
+        stored = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows").filter(chosen)
+        rows = stored.orderBy(F.col(self.order).asc_nulls_first(), "_tie").offset(skipped).limit(size)
+        return rows.drop("_tie", "_range")
+
+
+def build_page_index(df: DataFrame, order: str = "id", rows_per_range: int = 1_000_000,
+                     path: str | None = None) -> PageIndex:
+    """Store ``df`` in about ``rows / rows_per_range`` ranges of ``order`` and
+    count them, nulls first. Equal values are told apart by a hash of the row and
+    where it was read, so a value with a third of all rows is split as well.
+    ``df`` may not have columns named ``_tie`` or ``_range``.
+    """
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, "pages")
+    ranges = max(1, -(-df.count() // rows_per_range))
+    tied = df.withColumn("_tie", F.struct(F.xxhash64(*df.columns).alias("h"), F.monotonically_increasing_id().alias("at")))
+    dealt = tied.repartitionByRange(ranges, F.col(order).asc_nulls_first(), "_tie").withColumn("_range", F.spark_partition_id())
+    dealt.sortWithinPartitions("_range", F.col(order).asc_nulls_first(), "_tie").write.partitionBy("_range").parquet(f"{path}/rows")
+    stored = spark.read.schema(dealt.schema).parquet(f"{path}/rows")
+    counts = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
+    counts.coalesce(1).write.parquet(f"{path}/ranges")
+    info = spark.createDataFrame([(order, dealt.schema.json())], "order string, schema string")
+    info.coalesce(1).write.parquet(f"{path}/info")
+    return open_page_index(spark, path)
+
+
+def open_page_index(spark: SparkSession, path: str) -> PageIndex:
+    """An index that some session stored; only its small tables are read."""
+    info = spark.read.schema("order string, schema string").parquet(f"{path}/info").first()
+    ranges, at = [], 1
+    for number, rows in spark.read.schema("_range int, rows long").parquet(f"{path}/ranges").orderBy("_range").collect():
+        ranges.append((number, at, rows))
+        at += rows
+    return PageIndex(spark, path, info["order"], StructType.fromJson(json.loads(info["schema"])), tuple(ranges))
+
+
 def preview(df: DataFrame, n: int = 20, order: str = "id") -> DataFrame:
     return df.orderBy(order).limit(n)
 

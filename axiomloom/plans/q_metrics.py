@@ -251,6 +251,17 @@ def _(t):
     return rows.withColumn("total", F.lit(total).cast("bigint"))
 
 
+@query("W01_indexed_pages", """
+select id, task_id, true_label, predict_label, cast((row_number() over (order by id) - 1) // 700 + 1 as bigint) as page, count(*) over () as total
+from v_results qualify page in (1, 2, 21)""")
+def _(t):
+    """Three pages of one stored index, each reading its own ranges."""
+    index = rp.build_page_index(t.v_results.select("id", "task_id", "true_label", "predict_label"), rows_per_range=10_000)
+    pages = [index.page(n, 700).withColumn("page", F.lit(n).cast("bigint")) for n in (1, 2, 21)]
+    whole = pages[0].unionByName(pages[1]).unionByName(pages[2])
+    return whole.withColumn("total", F.lit(index.total).cast("bigint"))
+
+
 @query("W02_preview", "select id, axiom_type, source from v_axioms order by id limit 20")
 def _(t):
     return rp.preview(t.v_axioms.select("id", "axiom_type", "source"))
