@@ -45,7 +45,7 @@ def positives(t) -> dict[str, DataFrame]:
 @query("D01_extract_axioms", f"select * from {GEN} union all select * from {DOM} union all select * from {RAN}")
 def _(t):
     triples = readers.clean_triples(t.v_triples)
-    return union([ds.extract_axioms(triples, k) for k in ("subClassOf", "domain", "range")])
+    return ds.extract_all(triples)
 
 
 D_URI = """(case when {0} = '' then '' when starts_with({0}, 'https://schema.org/') then replace({0}, 'https://schema.org/', 'http://schema.org/')
@@ -253,15 +253,24 @@ ATTACHED = f"""(select a.id, ms.uri is not null as subject_hit, mo.uri is not nu
  from v_axioms a left join ({MAPPING.format('customer')}) ms on ms.uri = a.subject left join ({MAPPING.format('customer')}) mo on mo.uri = a.object)"""
 
 
-def attached(t) -> DataFrame:
-    return cx.attach_context(t.v_axioms.drop("context_info"), t.spark.sql(MAPPING.format("{customer}"), customer=t.customer))
+def attached(t, **options) -> DataFrame:
+    return cx.attach_context(t.v_axioms.drop("context_info"), t.spark.sql(MAPPING.format("{customer}"), customer=t.customer), **options)
 
 
-@query("J01_attach_context", f"select *, '背景知识：' || chr(10) || '条目1：' || chr(10) || subject_context || chr(10) || chr(10) || '条目2：' || chr(10) || object_context as context_info from {ATTACHED}")
+ATTACHED_CARDS = f"select *, '背景知识：' || chr(10) || '条目1：' || chr(10) || subject_context || chr(10) || chr(10) || '条目2：' || chr(10) || object_context as context_info from {ATTACHED}"
+
+
+@query("J01_attach_context", ATTACHED_CARDS)
 def _(t):
     return attached(t).select("id", "subject_hit", "object_hit", "subject_context", "object_context", "context_info")
 
 
+@query("J01_attach_context_salted", ATTACHED_CARDS)
+def _(t):
+    """The same join with every end of 20 rows and more salted.""".replace("20", "20")
+    return attached(t, min_rows=20).select("id", "subject_hit", "object_hit", "subject_context", "object_context", "context_info")
+
+
 @query("J01_context_hits", f"select count(*) as total, count_if(subject_hit) as subject_hits, count_if(object_hit) as object_hits from {ATTACHED}")
 def _(t):
     return cx.context_hits(attached(t))

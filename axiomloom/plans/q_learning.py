@@ -231,12 +231,22 @@ from v_doc_triples t left join m a on a.doc_id = t.doc_id and a.original = trim(
 where trim(t.subject) <> '' and trim(t.relation) <> '' and trim(t.object) <> '' group by 1, 2, 3, 4, 5, 6)"""
 
 
-@query("L05_rewrite_triples", f"select doc_id, subject, relation, object, min(first_pos) as first_pos, count_if(chunk <> '' or context <> '') as evidence_count from {REWRITTEN} group by 1, 2, 3, 4")
+REWRITTEN_TRIPLES = f"select doc_id, subject, relation, object, min(first_pos) as first_pos, count_if(chunk <> '' or context <> '') as evidence_count from {REWRITTEN} group by 1, 2, 3, 4"
+
+
+@query("L05_rewrite_triples", REWRITTEN_TRIPLES)
 def _(t):
     rewritten, _evidence = te.rewrite_triples(t.v_doc_triples, te.term_map(voted(t)))
     return rewritten
 
 
+@query("L05_rewrite_salted", REWRITTEN_TRIPLES)
+def _(t):
+    """The same rewriting with every term that fills 3 slots of a document and more salted."""
+    rewritten, _evidence = te.rewrite_triples(t.v_doc_triples, te.term_map(voted(t)), min_rows=3)
+    return rewritten
+
+
 @query("L05_rewrite_evidence", f"select * from {REWRITTEN} where chunk <> '' or context <> ''")
 def _(t):
     _rewritten, evidence = te.rewrite_triples(t.v_doc_triples, te.term_map(voted(t)))
@@ -365,16 +375,25 @@ def _(t):
     return on.chunk_run_stats(tasks, t.v_results, t.v_service_axioms.withColumnRenamed("axiom_type", "kind"))
 
 
-@query("W10_degree_rank", """
+DEGREE_RANK = """
 with e as (select * from v_service_axioms where axiom_type not in ('class', 'property') and subject_term <> '' and object_term <> ''),
 d as (select term, count(*) as degree from (select subject_term as term from e union all select object_term from e) group by 1),
 w as (select a.id, a.axiom_type, coalesce(s.degree, 0) + case when axiom_type in ('class', 'property') then 0 else coalesce(o.degree, 0) end as weight
  from v_service_axioms a left join d s on s.term = coalesce(nullif(a.subject_term, ''), a.object_term) left join d o on o.term = a.object_term)
-select *, rank() over (partition by axiom_type order by weight desc) as rank from w""")
+select *, rank() over (partition by axiom_type order by weight desc) as rank from w"""
+
+
+@query("W10_degree_rank", DEGREE_RANK)
 def _(t):
     return on.degree_rank(t.v_service_axioms).select("id", "axiom_type", "weight", "rank")
 
 
+@query("W10_degree_rank_salted", DEGREE_RANK)
+def _(t):
+    """The same ranks with every term of 20 axioms and more salted."""
+    return on.degree_rank(t.v_service_axioms, min_rows=20).select("id", "axiom_type", "weight", "rank")
+
+
 NODE_ROWS = """(select task_id, id * 2 as o, subject_term as node, case when axiom_type in ('property', 'subPropertyOf', 'domain', 'range') then 'property' else 'class' end as type from v_service_axioms where subject_term <> ''
  union all select task_id, id * 2 + 1, object_term, case when axiom_type = 'subPropertyOf' then 'property' else 'class' end from v_service_axioms where axiom_type not in ('class', 'property') and subject_term <> '')"""
 

@@ -17,7 +17,7 @@ from .session import cut_lineage
 
 FEW_HOT_KEYS = 1024
 HOT_KEY_ROWS = 1_000_000
-SALTS = 64
+LEAST_SLICES = 64
 
 
 def hash_int(*parts: Column | str, seed: str = "") -> Column:
@@ -40,10 +40,10 @@ def hash_key(*parts: Column | str, seed: str = "") -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *cols))
 
 
-def _salt(columns: Sequence[str], salts: int) -> Column:
+def _salt(columns: Sequence[str], salts: Column) -> Column:
     """A slice number. The partition id also spreads rows that are exact copies;
     it depends only on where a row was read or shuffled to, so retries agree."""
-    return F.pmod(F.xxhash64(*columns) + F.spark_partition_id(), F.lit(salts))
+    return F.pmod(F.xxhash64(*columns) + F.spark_partition_id(), salts)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -72,9 +72,11 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     """At most ``n`` rows per key, exactly, without one task owning a key.
 
     A first ranking runs inside salted slices of each key, so at most
-    ``SALTS * n`` rows per key reach the second ranking.
+    ``n`` rows per key and slice reach the second ranking. There are as many
+    slices as shuffle partitions, at least ``LEAST_SLICES``.
     """
-    salt = _salt(df.columns, SALTS)
+    slices = max(LEAST_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = _salt(df.columns, F.lit(slices))
     sliced = W.partitionBy(*keys, "_salt").orderBy(*order)
     whole = W.partitionBy(*keys).orderBy(*order)
     pre = (
@@ -142,12 +144,11 @@ def rank_by_value(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """The keys of ``df`` with at least ``min_rows`` rows, all of them."""
+    """The keys of ``df`` with at least ``min_rows`` rows, all of them, and in
+    ``_salts`` how many slices of about ``min_rows`` rows each is cut into."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        counts.filter(F.col("_n") >= min_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    slices = F.greatest(F.ceil(F.col("_n") / min_rows), F.lit(2)).cast("int")
+    return counts.filter(F.col("_n") >= min_rows).select(*keys, slices.alias("_salts"))
 
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
@@ -161,27 +162,28 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_RO
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-                min_rows: int = HOT_KEY_ROWS, salts: int = SALTS) -> DataFrame:
-    """Equi join whose heaviest left keys are spread over ``salts`` tasks.
+                min_rows: int = HOT_KEY_ROWS, salts: int | None = None) -> DataFrame:
+    """Equi join whose heaviest left keys are spread over tasks of about
+    ``min_rows`` left rows each, however large a key is.
 
     Keys are counted first, reading only the key columns; without a hot key
     this is a plain join. Otherwise right rows of a hot key are repeated once
-    per salt, all others once. ``how`` may be inner, left, left_semi or
-    left_anti. When several joins share a left table, find their hot keys on
-    that table and use salt_hot_keys.
+    per salt of that key, all others once; ``salts`` sets one number for all.
+    ``how`` may be inner, left, left_semi or left_anti. When several joins share
+    a left table, find their hot keys on that table and use salt_hot_keys.
     """
     return salt_hot_keys(left, right, on, find_hot_keys(left, on, min_rows), how, salts)
 
 
 def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None,
-                  how: str = "inner", salts: int = SALTS) -> DataFrame:
+                  how: str = "inner", salts: int | None = None) -> DataFrame:
     """salted_join with the hot keys already known; None is a plain join. The
     planner chooses how to join the keys, by their size."""
     if hot is None:
         return left.join(right, list(on), how)
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    spread = F.when(is_hot, _salt(left.columns, salts)).otherwise(F.lit(0)).cast("int")
-    lhs = left.join(hot, list(on), "left").withColumn("_salt", spread).drop("_hot")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    rhs = right.join(hot, list(on), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    if salts:
+        hot = hot.withColumn("_salts", F.lit(salts))
+    slices = F.coalesce("_salts", F.lit(1))
+    lhs = left.join(hot, list(on), "left").withColumn("_salt", _salt(left.columns, slices).cast("int")).drop("_salts")
+    rhs = right.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_salts")
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")

@@ -67,6 +67,18 @@ def test_salted_join_equals_plain_join(spark, rows):
         assert got.count() == want.count()
 
 
+def test_salts_grow_with_the_rows_of_a_key(spark, rows):
+    left = skewed(spark)
+    left = left.unionByName(left.filter("key = 'hot' and id % 2 = 0"))
+    counts = {r["key"]: r["count"] for r in left.groupBy("key").count().collect()}
+    hot = {r["key"]: r["_salts"] for r in scale.find_hot_keys(left, ["key"], 100).collect()}
+    assert hot == {k: max(2, -(-n // 100)) for k, n in counts.items() if n >= 100} and hot["hot"] > hot["copies"]
+    right = left.select("key").distinct().withColumn("w", F.length("key"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = left.join(right, ["key"], how)
+        assert rows(scale.salted_join(left, right, ["key"], how, min_rows=100), *want.columns) == rows(want, *want.columns)
+
+
 def test_find_hot_keys(spark):
     df = skewed(spark)
     assert sorted(r["key"] for r in scale.find_hot_keys(df, ["key"], 500).collect()) == ["copies", "hot"]
