@@ -454,7 +454,10 @@ def _(t):
     return props.withColumn("resolved", F.lit(readers.resolve_column(props, "rangeincludes")))
 
 
-@query("S04_scan_results_tree", "select 'baseline' as method, case c_custkey % 4 when 0 then 'medical' when 1 then 'geography' when 2 then 'transportation' else 'unknown' end as domain, count(*) as axioms from customer group by 1, 2")
+TREE_COUNTS = "select 'baseline' as method, case c_custkey % 4 when 0 then 'medical' when 1 then 'geography' when 2 then 'transportation' else 'unknown' end as domain, count(*) as axioms from customer group by 1, 2"
+
+
+@query("S04_scan_results_tree", TREE_COUNTS)
 def _(t):
     root = scratch_path(t.spark, "tree")
     folder = F.when(F.col("c_custkey") % 4 == 0, F.lit("Medical")).when(F.col("c_custkey") % 4 == 1, F.lit("geography")).when(
@@ -467,6 +470,21 @@ def _(t):
     return on.heterogeneous_axioms(tree).groupBy("method", "domain").agg(F.count(F.lit(1)).alias("axioms"))
 
 
+@query("S04_scan_results_items", TREE_COUNTS)
+def _(t):
+    """The same tree as indented files, read an element a row."""
+    root = scratch_path(t.spark, "items")
+    row = F.format_string('    {\n      "sub": "%s",\n      "super": "Top"\n    }', "c_name")
+    pages = t.customer.groupBy((F.col("c_custkey") % 4).alias("kind"), F.floor(F.col("c_custkey") / 512).alias("file")).agg(
+        F.array_join(F.collect_list(row), ",\n").alias("rows"))
+    files = pages.select("kind", F.concat(F.lit('{\n  "subClassOf": [\n'), "rows", F.lit("\n  ]\n}")).alias("value"))
+    for kind, name in enumerate(("Medical", "geography", "transportation", "other")):
+        files.filter(F.col("kind") == kind).select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/{name}")
+    items = readers.scan_json_items(t.spark, root, "*.txt").select(
+        F.lit("baseline").alias("method"), readers.domain_of_path(F.col("path")).alias("domain"), "payload")
+    return on.heterogeneous_axioms(items).groupBy("method", "domain").agg(F.count(F.lit(1)).alias("axioms"))
+
+
 @query("S04_scan_results_csv", """
 select 'baseline' as method, case c_custkey % 2 when 0 then 'geography' else 'unknown' end as domain, case c_custkey % 3 when 0 then 'subPropertyOf' else 'subClassOf' end as axiom_type,
  c_name || case when c_custkey % 5 = 0 then ', "x"' || chr(10) || 'y' else '' end as sub, 'Top' as super from customer where c_custkey % 2 = 0 or c_custkey % 3 > 0""")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.text import not_blank, strip
+from ..session import cut_lineage
 
 DOMAINS = ("medical", "geography", "transportation")
 
@@ -91,12 +93,80 @@ def scan_rows_csv(spark: SparkSession, path: str, width: int = 256) -> DataFrame
     return named.select("path", F.to_json(F.map_from_entries(pairs)).alias("payload"))
 
 
-def scan_results_tree(spark: SparkSession, sources: Mapping[str, str]) -> DataFrame:
+def _in_file_order(lines: DataFrame, made: str, over: F.Column, merged: F.Column) -> DataFrame:
+    """Adds ``made``: a running value over the lines before each line of its file. ``over``
+    runs inside a split (its lines are one task's anyway), ``merged`` over the splits before."""
+    inside = W.partitionBy("path", "split").orderBy("no").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    splits = lines.groupBy("path", "split").agg(merged.alias("_all"))
+    lines = cut_lineage(lines, "json-lines")
+    last = made == "event"
+    carried = F.last("_all", ignorenulls=True) if last else F.sum("_all")
+    splits = splits.withColumn("_before", carried.over(before)).drop("_all")
+    here = over.over(inside)
+    value = F.coalesce(here, F.col("_before")) if last else F.coalesce(here, F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return lines.join(splits, ["path", "split"]).withColumn(made, value).drop("_before")
+
+
+def scan_json_items(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(path, no, payload): JSON files below a folder, one list element or root entry a row.
+
+    For indented files. They are read by lines, so a large file is split over tasks; a
+    JSON string never holds a line break, so the bracket depth of a line follows from the
+    counts of the lines before, added up inside splits and then over splits. A payload is
+    JSON of the file's own shape with that one part: ``[element]``, ``{"list":[element]}``
+    or ``{"name": value}``; parts that share a line stay together. A file of another layout
+    (a single line, brackets that leave a list inside a line, open strings) is one payload,
+    its whole text. Blank files give no row.
+    """
+    text = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=names).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("no"), text.alias("value"), F.trim(F.translate(text, "\t\r", "  ")).alias("t"),
+    ).filter("t <> ''")
+    bare = F.regexp_replace(F.regexp_replace("t", r"\\.", ""), '"[^"]*"', "")
+    step = lambda acc, c: F.struct((acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.least(
+        acc["low"], acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("low"))
+    marks = F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda c: c != "")
+    texts = cut_lineage(lines.withColumns({
+        "move": F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), step), "open": F.contains(bare, F.lit('"')),
+        "opens": F.nullif(F.regexp_extract("t", r'^("[^"\\]*")\s*:\s*\[$', 1), F.lit("")),
+        "mark": F.when(F.length("t") <= 2, F.col("t")).otherwise(F.lit(""))}), "json-text")
+    lines = texts.drop("value", "t")
+    lines = _in_file_order(lines, "b", F.sum("move.d"), F.sum("move.d")).withColumn("a", F.col("b") + F.col("move.d"))
+    roots = lines.groupBy("path").agg(F.min_by("mark", F.struct("split", "no")).alias("root"))
+    lines = lines.join(roots, "path")
+    name = F.when((F.col("root") == "{") & (F.col("b") == 1) & (F.col("a") == 2), F.col("opens"))
+    closes = (F.col("root") == "{") & (F.col("b") == 2) & (F.col("a") == 1) & F.col("mark").isin("]", "],")
+    lines = lines.withColumn("says", F.when(name.isNotNull(), name).when(closes, F.lit("")))
+    last = F.max_by("says", F.when(F.col("says").isNotNull(), F.col("no")))
+    lines = _in_file_order(lines, "event", F.last("says", ignorenulls=True), last)
+    listed = F.coalesce(F.col("event") != "", F.lit(False))
+    frame = (F.col("b") == 0) | ((F.col("b") == 1) & (F.col("a") == 0) & F.col("mark").isin("]", "}")) | F.coalesce(
+        (F.col("says") != "") | (listed & (F.col("says") == "")), F.lit(False))
+    floor = F.when(listed, 2).otherwise(1)
+    odd = F.col("open") | ~F.col("root").isin("[", "{") | ((F.col("b") == 0) & ((F.col("mark") != F.col("root")) | (F.col("a") != 1))) | (
+        ~frame & (F.col("b") + F.col("move.low") < floor))
+    lines = lines.withColumns({"listed": listed, "frame": frame, "odd": odd, "ends": (~frame & (F.col("a") == floor)).cast("int")})
+    lines = _in_file_order(lines, "unit", F.sum("ends"), F.sum("ends"))
+    whole = lines.groupBy("path").agg((F.max("odd") | (F.sum("move.d") != 0) | (F.count_if(F.col("b") == 0) != 1)).alias("whole"))
+    chosen = lines.join(whole, "path").filter("whole or not frame").join(texts.select("no", "value"), "no")
+    parts = chosen.groupBy(
+        "path", "whole", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("unit")).cast("bigint").alias("no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "no", "value"))), lambda x: x["value"]), "\n").alias("text"),
+        F.first("root").alias("root"), F.first("event").alias("event"), F.first("listed").alias("listed"))
+    part = F.regexp_replace("text", r",\s*$", "")
+    return parts.select("path", "no", F.when(F.col("whole"), F.col("text")).when(F.col("root") == "[", F.concat(F.lit("["), part, F.lit("]")))
+                        .when(F.col("listed"), F.concat(F.lit("{"), "event", F.lit(":["), part, F.lit("]}")))
+                        .otherwise(F.concat(F.lit("{"), part, F.lit("}"))).alias("payload"))
+
+
+def scan_results_tree(spark: SparkSession, sources: Mapping[str, str], items: bool = False) -> DataFrame:
     """Results below each method's folder: method, path, domain, payload. A JSON file is
-    one payload, a row of a CSV file is one."""
+    one payload, or with ``items`` an element of an indented file is; a row of a CSV file is one."""
     frames = []
     for method, path in sources.items():
-        files = spark.read.text(
+        files = scan_json_items(spark, path).select("path", "payload") if items else spark.read.text(
             path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
         ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
         frames += [f.select(F.lit(method).alias("method"), "path", domain_of_path(F.col("path")).alias("domain"), "payload")
