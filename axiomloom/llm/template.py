@@ -3,9 +3,12 @@
 Text with ``{{ expression }}``, ``{# remark #}`` and the blocks ``for x in xs``,
 ``if``/``elif``/``else``, ``set x = expression`` and ``generation``. Expressions
 know literals, names, fields (``a.b``, ``a['b']``), ``not and or``, comparisons,
-``in``, ``+``, ``~`` (joins as text) and filters after ``|``. Nothing else of
-Python is reachable: names come from the scope, fields only from mappings, and
-filters from a fixed table.
+``in``, ``not in``, ``+``, ``~`` (joins as text) and filters after ``|``. A tag that
+begins with ``{%-`` or ``{{-`` takes the blanks before it away, one that ends with
+``-%}`` or ``-}}`` those after it. Nothing else of Python is reachable: names come
+from the scope, fields only from mappings, and filters from a fixed table. Values
+that do not fit an operator, a filter or a loop raise ``TemplateError`` with its
+name, when the template is compiled if they are constants.
 """
 
 from __future__ import annotations
@@ -102,12 +105,26 @@ def _text(v: Any) -> str:
 
 OPERATORS: dict[str, Callable] = {
     "not": lambda a: not a, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
-    "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "+": lambda a, b: a + b, "~": lambda a, b: _text(a) + _text(b),
+    "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "not in": lambda a, b: a not in b, "+": lambda a, b: a + b, "~": lambda a, b: _text(a) + _text(b),
 }
 FILTERS: dict[str, Callable] = {
     "escape": lambda a: escape(_text(a)), "escape_line": lambda a: escape_line(_text(a)), "trim": lambda a: _text(a).strip(),
     "upper": lambda a: _text(a).upper(), "lower": lambda a: _text(a).lower(), "length": len,
 }
+
+
+def _call(op: str) -> Callable:
+    """The operator or filter; arguments it does not take are an error of the template."""
+    fn = FILTERS[op[1:]] if op.startswith("|") else OPERATORS[op]
+
+    def call(*args):
+        try:
+            return fn(*args)
+        except TypeError as e:
+            raise TemplateError(f"{op.lstrip('|')!r} does not take {', '.join(type(a).__name__ for a in args)}") from e
+    return call
+
+
 _TAG = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.DOTALL)
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+~|.\[\]()]))")
 _STRING = {"n": "\n", "t": "\t"}
@@ -160,7 +177,10 @@ class _Expression:
 
     def compared(self):
         out = self.joined()
-        while op := self.take("==", "!=", "<=", ">=", "<", ">", "in"):
+        while op := self.take("==", "!=", "<=", ">=", "<", ">", "in", "not"):
+            if op == "not":
+                self.need("in")
+                op = "not in"
             out = Apply(op, (out, self.joined()))
         return out
 
@@ -215,9 +235,28 @@ def _allowed(name: str) -> str:
     return name
 
 
+def _trimmed(parts: list[str]) -> list[str]:
+    """Texts without the blanks that a neighbouring tag takes away, tags without that mark."""
+    out, strip = [], False
+    for i, part in enumerate(parts):
+        tag = _TAG.fullmatch(part)
+        if not tag:
+            after = parts[i + 1][2:3] == "-" if i + 1 < len(parts) else False
+            part = part.lstrip() if strip else part
+            part = part.rstrip() if after else part
+            strip = False
+        else:
+            inner = part[2:-2]
+            lead, strip = inner.startswith("-"), len(inner) > 1 and inner.endswith("-")
+            part = part[:2] + inner[lead:len(inner) - strip] + part[-2:]
+        if part:
+            out.append(part)
+    return out
+
+
 def parse(source: str) -> tuple:
     """The syntax tree: a tuple of nodes."""
-    parts = [p for p in _TAG.split(source) if p]
+    parts = _trimmed([p for p in _TAG.split(source) if p])
     at = 0
 
     def nodes(*ends: str) -> tuple[tuple, str]:
@@ -296,8 +335,7 @@ def fold(node):
         if node.op in ("and", "or") and isinstance(args[0], Const):
             return args[1] if bool(args[0].value) == (node.op == "and") else args[0]
         if node.op not in ("and", "or") and all(isinstance(a, Const) for a in args):
-            fn = FILTERS[node.op[1:]] if node.op.startswith("|") else OPERATORS[node.op]
-            return Const(fn(*[a.value for a in args]))
+            return Const(_call(node.op)(*[a.value for a in args]))
         return Apply(node.op, args)
     if isinstance(node, If):
         test = fold(node.test)
@@ -341,7 +379,7 @@ def _value(node) -> Callable[[Mapping], Any]:
             if isinstance(owner, Mapping):
                 return owner.get(k)
             if isinstance(owner, (list, tuple, str)) and isinstance(k, int):
-                return owner[k]
+                return owner[k] if -len(owner) <= k < len(owner) else None
             return None
         return field
     args = [_value(a) for a in node.args]
@@ -349,7 +387,7 @@ def _value(node) -> Callable[[Mapping], Any]:
         return lambda scope: args[0](scope) and args[1](scope)
     if node.op == "or":
         return lambda scope: args[0](scope) or args[1](scope)
-    fn = FILTERS[node.op[1:]] if node.op.startswith("|") else OPERATORS[node.op]
+    fn = _call(node.op)
     if len(args) == 1:
         return lambda scope, a=args[0]: fn(a(scope))
     return lambda scope, a=args[0], b=args[1]: fn(a(scope), b(scope))
@@ -393,7 +431,10 @@ def _step(node) -> Callable[[dict, Output], None]:
     over, body = _value(node.over), compile_nodes(node.body)
 
     def loop(scope, out):
-        items = list(over(scope) or ())
+        items = over(scope)
+        if items is not None and not isinstance(items, (list, tuple, Mapping)):
+            raise TemplateError(f"cannot loop over {type(items).__name__}")
+        items = list(items or ())
         for i, item in enumerate(items):
             body({**scope, node.name: item, "loop": {"index0": i, "first": i == 0, "last": i == len(items) - 1}}, out)
     return loop

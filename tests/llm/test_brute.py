@@ -251,3 +251,23 @@ def test_template_language():
     for bad in ("{{ m.__class__ }}", "{{ _x }}", "{{ a | system }}", "{% for x in %}{% endfor %}", "{% if a %}", "{{ 1 + }}", "{% import os %}", "{{ f(1) }}"):
         with pytest.raises(TemplateError):
             Template(bad)
+
+
+def test_template_values_that_do_not_fit():
+    for bad in ("{{ 1 + 'a' }}", "{{ 1 | length }}", "{{ 'a' in 1 }}", "{{ none < 1 }}", "{{ 'a' not 'b' }}"):
+        with pytest.raises(TemplateError):
+            Template(bad)
+    for late in ("{{ m.text + 1 }}", "{% for x in n %}{% endfor %}", "{{ n | length }}", "{{ n > 'a' }}"):
+        t = Template("{% for m in messages %}" + late + "{% endfor %}")
+        with pytest.raises(TemplateError):
+            t.render([{"text": "x"}], n=3)
+    assert Template("{{ xs[5] }}|{{ xs['a'] }}|{{ nothing.at.all }}").render([], xs=[1]).text == "||"
+
+
+def test_template_blanks_and_not_in():
+    assert Template("a \n {{- 'b' -}} \n c {%- if 'x' not in 'abc' -%} d {%- endif -%} e{#- gone -#} f").render([]).text == "abcdef"
+    assert Template("{{ 1 not in xs }}{{ not 1 in xs }}{{ '-' }}").render([], xs=[1]).text == "FalseFalse-"
+    assert Template("a {% set x = 1 -%}  b {{ x -}}\n").render([]).text == "a b 1"
+    for m in ("system", "user"):
+        t = Template("{%- for m in messages -%}\n  {%- if m.role not in ['x'] -%}\n {{ m.text }}\n{%- endif -%}{%- endfor -%}".replace("['x']", "'system'"))
+        assert t.render([{"role": m, "text": " hi "}]).text == ("" if m == "system" else " hi ")
