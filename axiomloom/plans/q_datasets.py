@@ -523,6 +523,21 @@ def _(t):
     return union(out)
 
 
+@query("S07_one_document", "select 'csv' as fmt, cast(doc_id as varchar) as doc_id, lang, nullif(text, '') as text from documents union all select 'json', cast(doc_id as varchar), lang, text from documents")
+def _(t):
+    rows = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("name"), "lang", "text")
+    schema = "name string, lang string, text string"
+    as_csv, as_json = scratch_path(t.spark, "csv-document"), scratch_path(t.spark, "json-document")
+    exports.write_lines(exports.csv_document(rows, "doc_id"), as_csv)
+    exports.write_lines(exports.json_document(rows, "doc_id"), as_json)
+    back = t.spark.read.csv(f"{as_csv}/parts", schema=schema, multiLine=True, quote='"', escape='"').filter(
+        "name not in ('name', '\ufeffname')")
+    records = t.spark.read.text(f"{as_json}/parts", lineSep="\n  }").select(
+        F.from_json(F.concat(F.regexp_extract("value", r"(?s)\{.*", 0), F.lit("}")), schema).alias("r")).filter("r.name is not null")
+    return union([d.select(F.lit(fmt).alias("fmt"), F.col("name").alias("doc_id"), "lang", "text")
+                  for fmt, d in (("csv", back), ("json", records.select("r.*")))])
+
+
 @query("S08_append_run_record", "select cast(doc_id as varchar) as doc_id, lang, note from (select doc_id, lang, 'first' as note from documents union all select doc_id, source, 'second, \"quoted\"' from documents)")
 def _(t):
     path = scratch_path(t.spark, "runlog")

@@ -1,11 +1,16 @@
-"""Ontology exports. Each returns (seq, line); ``write_lines`` stores them in order."""
+"""Exports as ordered documents. Each returns (seq, line); ``write_lines`` stores them in order."""
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_term
+from .writers import KEEP_SPACE
 
 # The formats' opening and closing lines and namespaces.
 TURTLE_HEAD = (
@@ -71,13 +76,16 @@ def _line(patterns: dict[str, str]) -> Column:
 
 def _export(axioms: DataFrame, patterns, head=(), tail=()) -> DataFrame:
     body = axioms.select(F.col("id").cast("bigint").alias("seq"), _line(patterns).alias("line"))
-    body = body.filter(F.col("line").isNotNull())
-    spark = axioms.sparkSession
+    return _framed(body.filter(F.col("line").isNotNull()), head, tail)
+
+
+def _framed(body: DataFrame, head=(), tail=(), before: int = 0) -> DataFrame:
+    """The lines between fixed ones; ``before`` is at most every ``seq`` of the body."""
     last = 2**62
-    fixed = [(i - len(head), t) for i, t in enumerate(head)] + [(last + i, t) for i, t in enumerate(tail)]
+    fixed = [(before + i - len(head), t) for i, t in enumerate(head)] + [(last + i, t) for i, t in enumerate(tail)]
     if not fixed:
         return body
-    return body.unionByName(spark.createDataFrame(fixed, "seq bigint, line string"))
+    return body.unionByName(body.sparkSession.createDataFrame(fixed, "seq bigint, line string"))
 
 
 def export_turtle(axioms: DataFrame) -> DataFrame:
@@ -108,6 +116,40 @@ def export_axiom_json(axioms: DataFrame) -> DataFrame:
     )
 
 
+def csv_document(df: DataFrame, seq: str, bom: bool = True) -> DataFrame:
+    """One CSV document: a header, then the rows by ``seq``, which is not written itself.
+
+    Cells are quoted where they must be, quotes are doubled, nulls are empty. With
+    ``bom`` the document starts with a byte order mark, as spreadsheets want it. A
+    table without rows is its header.
+    """
+    names = [c for c in df.columns if c != seq]
+    header = io.StringIO()
+    csv.writer(header, lineterminator="").writerow(names)
+    how = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", **{k: str(v).lower() for k, v in KEEP_SPACE.items()}}
+    body = df.select(F.col(seq).cast("bigint").alias("seq"), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names]), how).alias("line"))
+    return _framed(body, (("\ufeff" if bom else "") + header.getvalue(),), before=-(2**62))
+
+
+def json_document(df: DataFrame, seq: str) -> DataFrame:
+    """One indented JSON list of the rows by ``seq``, which is not written itself.
+
+    A field is a line; nulls are written, nested values stay on their line. The
+    last row is found by one maximum, so no row waits for another.
+    """
+    names = [c for c in df.columns if c != seq]
+
+    def value(c: str) -> Column:
+        told = F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"})
+        return F.substring(told, F.lit(6), F.length(told) - 6)
+
+    fields = [F.concat(F.lit(f"    {json.dumps(c, ensure_ascii=False)}: "), value(c)) for c in names]
+    last = df.agg(F.max(seq).alias("last")).scalar()
+    body = df.select(F.col(seq).cast("bigint").alias("seq"), F.concat(
+        F.lit("  {\n"), F.concat_ws(",\n", *fields), F.lit("\n  }"), F.when(F.col(seq) < last, ",").otherwise("")).alias("line"))
+    return _framed(body, ("[",), ("]",), before=-(2**62))
+
+
 def write_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
     """A document in ordered text parts: reading the parts in name order gives it.
 

@@ -1,4 +1,4 @@
-"""Table and run-log writers (plain UTF-8, no byte order mark)."""
+"""Table and run-log writers (plain UTF-8). ``exports`` has one-document CSV and JSON."""
 
 from __future__ import annotations
 
