@@ -211,7 +211,7 @@ RETRY_MARKERS = (
 )
 
 
-#: The wider list of the concept stage's runs.
+# The wider list of the concept stage's runs.
 CONCEPT_RETRY_MARKERS = (
     "timeout", "timed out", "connection", "network", "temporarily unavailable", "server error", "server disconnected",
     "remoteprotocolerror", "readerror", "rate limit", "empty response", "expecting value", "502", "503", "504",
