@@ -69,21 +69,23 @@ def domain_of_path(path) -> F.Column:
     )
 
 
-def scan_rows_csv(spark: SparkSession, path: str, width: int = 256) -> DataFrame:
+def scan_rows_csv(spark: SparkSession, path: str, width: int = 256, breaks: bool = True) -> DataFrame:
     """(path, payload): every row of the CSV files below a folder as a JSON object named by its file's header.
 
-    Files may differ in their columns. Cells may hold line breaks, so a file is
-    parsed as a stream in one task, a row at a time; a byte order mark is dropped,
-    of equal column names the last counts, and cells beyond the header are left
-    out. A file of ``width`` columns or more is refused.
+    Files may differ in their columns. Where cells hold line ``breaks``, a file is
+    parsed as a stream in one task, a row at a time; without them large files are
+    split over tasks. A byte order mark is dropped, of equal column names the last
+    counts, and cells beyond the header are left out. A file of ``width`` columns or
+    more is refused.
     """
     cells = [f"c{i}" for i in range(width)]
     files = spark.read.csv(
-        path, schema=", ".join(f"{c} string" for c in cells), header=False, multiLine=True, quote='"', escape='"',
+        path, schema=", ".join(f"{c} string" for c in cells), header=False, multiLine=breaks, quote='"', escape='"',
         encoding="UTF-8", recursiveFileLookup=True, pathGlobFilter="*.{csv,CSV}")
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
     wide = F.col(cells[-1]).isNotNull()
     rows = files.select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("no"),
+        F.col("_metadata.file_path").alias("path"), place.alias("no"),
         F.when(wide, F.raise_error(F.lit(f"a CSV file has {width} columns or more"))).otherwise(F.array(*cells)).alias("cells"))
     header = rows.groupBy("path").agg(F.min("no").alias("first"), F.min_by("cells", "no").alias("names"))
     names = F.transform("names", lambda n, i: F.when(i == 0, F.regexp_replace(n, "^\ufeff", "")).otherwise(n))
@@ -161,16 +163,17 @@ def scan_json_items(spark: SparkSession, path: str, names: str = "*.json") -> Da
                         .otherwise(F.concat(F.lit("{"), part, F.lit("}"))).alias("payload"))
 
 
-def scan_results_tree(spark: SparkSession, sources: Mapping[str, str], items: bool = False) -> DataFrame:
+def scan_results_tree(spark: SparkSession, sources: Mapping[str, str], items: bool = False, breaks: bool = True) -> DataFrame:
     """Results below each method's folder: method, path, domain, payload. A JSON file is
-    one payload, or with ``items`` an element of an indented file is; a row of a CSV file is one."""
+    one payload, or with ``items`` an element of an indented file is; a row of a CSV file is one,
+    whose cells may hold line ``breaks``."""
     frames = []
     for method, path in sources.items():
         files = scan_json_items(spark, path).select("path", "payload") if items else spark.read.text(
             path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
         ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
         frames += [f.select(F.lit(method).alias("method"), "path", domain_of_path(F.col("path")).alias("domain"), "payload")
-                   for f in (files, scan_rows_csv(spark, path))]
+                   for f in (files, scan_rows_csv(spark, path, breaks=breaks))]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
