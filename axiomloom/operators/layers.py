@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axioms import complete
 from ..functions.text import not_blank, strip
-from ..scale import keep_first, keep_last
+from ..scale import keep_first
 
 
 def layer1_stats(docs: DataFrame) -> DataFrame:
@@ -35,13 +35,12 @@ def layer2_stats(docs: DataFrame) -> DataFrame:
     In the map the last value of a name counts, in the list the first.
     """
     has_map = F.coalesce(F.size("type_map"), F.lit(0)) > 0
-    mapped = docs.filter(has_map).select("doc_id", F.posexplode(F.map_entries("type_map")).alias("pos", "e")).select(
-        "doc_id", "pos", strip("e.key").alias("name"), strip("e.value").alias("type"))
-    listed = docs.filter(~has_map).select("doc_id", F.posexplode("normalized_terms").alias("pos", "e")).select(
-        "doc_id", "pos", strip("e.normalized").alias("name"), strip("e.type").alias("type"))
-    usable = (F.col("name") != "") & (F.col("type") != "")
-    chosen = keep_last(mapped.filter(usable), ["doc_id", "name"], ["pos"]).unionByName(
-        keep_first(listed.filter(usable), ["doc_id", "name"], ["pos"]))
+    form = lambda name, kind, order: F.struct(strip(name).alias("name"), strip(kind).alias("type"), order.alias("order"))
+    mapped = F.transform(F.map_entries("type_map"), lambda e, i: form(e["key"], e["value"], -i))
+    listed = F.transform("normalized_terms", lambda e, i: form(e["normalized"], e["type"], i))
+    # one frame for both kinds of document: a union of two frames with the same keys may fail
+    terms = docs.select("doc_id", F.explode(F.when(has_map, mapped).otherwise(listed)).alias("e")).select("doc_id", "e.*")
+    chosen = keep_first(terms.filter((F.col("name") != "") & (F.col("type") != "")), ["doc_id", "name"], ["order"])
     counts = chosen.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("refined_term_count"),
         *[F.count_if(F.col("type") == k).alias(f"{k.lower()}_count") for k in ("Class", "Property", "Instance")],
