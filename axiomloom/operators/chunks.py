@@ -200,19 +200,22 @@ def strip_references(text: Column | str) -> Column:
     return F.array_join(let(F.split(as_col(text), "\n"), cut), "\n")
 
 
-def section_text(text: Column | str, title: Column | str, next_title: Column | str | None = None) -> Column:
-    """Text after the title line, up to the next title or a short reference line."""
+def section_text(text: Column | str, title: Column | str, next_title: Column | str | None = None,
+                 numbered: bool = True) -> Column:
+    """Text after the title line, up to the next title or a short reference line;
+    '' without a text. Titles that are not ``numbered`` keep digits and dots in front."""
+    name_of = clean_title if numbered else collapse
 
     def after_title(lines: Column) -> Column:
         def matches(line: Column, name: Column) -> Column:
             return let(F.lower(clean_title(line)), lambda c: (F.contains(c, name) | F.contains(name, c)) & (
                 F.length(name) > 5) & (F.length(c) > 5))
 
-        found = let(F.lower(clean_title(title)), lambda name: F.array_position(
+        found = let(F.lower(name_of(title)), lambda name: F.array_position(
             F.transform(lines, lambda l: matches(l, name)), True).cast("int"))
         return let(found, lambda at: F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(lines))
 
-    body = let(F.split(as_col(text), "\n"), after_title)
+    body = let(F.split(F.coalesce(as_col(text), F.lit("")), "\n"), after_title)
     if next_title is None:
         return F.array_join(body, "\n")
 
@@ -225,7 +228,7 @@ def section_text(text: Column | str, title: Column | str, next_title: Column | s
 
         return let(F.lower(line), test)
 
-    until = let(F.lower(clean_title(next_title)), lambda after: let(
+    until = let(F.lower(name_of(next_title)), lambda after: let(
         body, lambda lines: _before_first(lines, lambda l, _i: ends(l, after))))
     return F.array_join(until, "\n")
 
