@@ -143,6 +143,13 @@ def rank_by_value(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return df.join(ranks, [*keys, value], "inner")
 
 
+def shuffled_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join that is never broadcast. Stored rows of few distinct texts take
+    little space in files and much in memory, so that the planner, which compares
+    file sizes, may send a whole large table through the driver."""
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """The keys of ``df`` with at least ``min_rows`` rows, all of them, and in
     ``_salts`` how many slices of about ``min_rows`` rows each is cut into."""

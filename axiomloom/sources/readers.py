@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.text import not_blank, strip
+from ..scale import shuffled_join
 from ..session import cut_lineage
 
 DOMAINS = ("medical", "geography", "transportation")
@@ -89,7 +90,7 @@ def scan_rows_csv(spark: SparkSession, path: str, width: int = 256, breaks: bool
         F.when(wide, F.raise_error(F.lit(f"a CSV file has {width} columns or more"))).otherwise(F.array(*cells)).alias("cells"))
     header = rows.groupBy("path").agg(F.min("no").alias("first"), F.min_by("cells", "no").alias("names"))
     names = F.transform("names", lambda n, i: F.when(i == 0, F.regexp_replace(n, "^\ufeff", "")).otherwise(n))
-    named = rows.join(header.withColumn("names", names), "path").filter("no <> first")
+    named = shuffled_join(rows, header.withColumn("names", names), ["path"]).filter("no <> first")
     again = lambda x, i: F.coalesce(F.array_contains(F.slice("names", (i + 2).cast("int"), width), x["names"]), F.lit(False))
     pairs = F.filter(F.arrays_zip("names", "cells"), lambda x, i: x["names"].isNotNull() & ~again(x, i))
     return named.select("path", F.to_json(F.map_from_entries(pairs)).alias("payload"))
@@ -107,7 +108,7 @@ def _in_file_order(lines: DataFrame, made: str, over: F.Column, merged: F.Column
     splits = splits.withColumn("_before", carried.over(before)).drop("_all")
     here = over.over(inside)
     value = F.coalesce(here, F.col("_before")) if last else F.coalesce(here, F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return lines.join(splits, ["path", "split"]).withColumn(made, value).drop("_before")
+    return shuffled_join(lines, splits, ["path", "split"]).withColumn(made, value).drop("_before")
 
 
 def scan_json_items(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
@@ -137,7 +138,7 @@ def scan_json_items(spark: SparkSession, path: str, names: str = "*.json") -> Da
     lines = texts.drop("value", "t")
     lines = _in_file_order(lines, "b", F.sum("move.d"), F.sum("move.d")).withColumn("a", F.col("b") + F.col("move.d"))
     roots = lines.groupBy("path").agg(F.min_by("mark", F.struct("split", "no")).alias("root"))
-    lines = lines.join(roots, "path")
+    lines = shuffled_join(lines, roots, ["path"])
     name = F.when((F.col("root") == "{") & (F.col("b") == 1) & (F.col("a") == 2), F.col("opens"))
     closes = (F.col("root") == "{") & (F.col("b") == 2) & (F.col("a") == 1) & F.col("mark").isin("]", "],")
     lines = lines.withColumn("says", F.when(name.isNotNull(), name).when(closes, F.lit("")))
@@ -152,7 +153,7 @@ def scan_json_items(spark: SparkSession, path: str, names: str = "*.json") -> Da
     lines = lines.withColumns({"listed": listed, "frame": frame, "odd": odd, "ends": (~frame & (F.col("a") == floor)).cast("int")})
     lines = _in_file_order(lines, "unit", F.sum("ends"), F.sum("ends"))
     whole = lines.groupBy("path").agg((F.max("odd") | (F.sum("move.d") != 0) | (F.count_if(F.col("b") == 0) != 1)).alias("whole"))
-    chosen = lines.join(whole, "path").filter("whole or not frame").join(texts.select("no", "value"), "no")
+    chosen = shuffled_join(shuffled_join(lines, whole, ["path"]).filter("whole or not frame"), texts.select("no", "value"), ["no"])
     parts = chosen.groupBy(
         "path", "whole", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("unit")).cast("bigint").alias("no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "no", "value"))), lambda x: x["value"]), "\n").alias("text"),

@@ -91,3 +91,20 @@ def test_tree_by_items_equals_tree_by_files(spark, rows, tmp_path):
     whole, items = (ontology.heterogeneous_axioms(readers.scan_results_tree(spark, {"m": str(tmp_path)}, items=k).drop("path"))
                     for k in (False, True))
     assert rows(items, *items.columns) == rows(whole, *whole.columns) and items.count() >= 33
+
+
+def test_no_join_of_lines_is_broadcast(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text(json.dumps([ROW, ROW], indent=1))
+    plans = []
+    cut = readers.cut_lineage
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, tag)
+
+    monkeypatch.setattr(readers, "cut_lineage", seen)
+    out = readers.scan_json_items(spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 5
+    assert not [p for p in plans if "Broadcast" in p]
+    assert out.count() == 2
