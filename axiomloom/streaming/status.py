@@ -74,7 +74,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from named.to_batches()
 
 
-def _advance(idle_ms: int | None):
+def _advance(idle_ms: int):
     """The step of a task's state. ``idle`` is set when the timer ends a silent task."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -87,7 +87,7 @@ def _advance(idle_ms: int | None):
                 total = max(int(known.max()), total or 0)
         open_ = total is None or sums[0] + sums[1] < total
         state.update((*sums, total))
-        if idle_ms and open_ and not idle and not sums[2] and not sums[3]:
+        if open_ and not idle and not sums[2] and not sums[3]:
             state.setTimeoutDuration(idle_ms)
         row = dict(zip(COUNTS, sums), total_count=total, idle=bool(idle))
         task = None if pd.isna(key[0]) else key[0]
@@ -99,19 +99,21 @@ def _advance(idle_ms: int | None):
 def stream_task_status(stream: DataFrame, tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """A stream of status rows, one per batch for every task the batch touched.
 
-    State is five numbers a task, whatever its number of results. With ``idle_ms``
-    a timer marks a running task ``stopped`` that had no message for so long;
-    the next message sets it running again, so no result is lost.
+    State is five numbers a task, whatever its number of results: a streaming
+    aggregation inside the JVM. With ``idle_ms`` a timer, which needs a Python call
+    per touched task, marks a running task ``stopped`` that had no message for so
+    long; the next message sets it running again, so no result is lost.
     """
     marked = _marked(stream)
     schema = StructType([StructField("task_id", marked.schema["task_id"].dataType),
                          *[StructField(c, LongType()) for c in COUNTS]])
     sums = marked.mapInArrow(_tally, schema)
     known = sums.join(_renamed(_totals(tasks)), F.col("task_id").eqNullSafe(F.col("_task")), "left").drop("_task")
+    if not idle_ms:
+        return _judged(known.groupBy("task_id").agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("total_count").alias("total_count")))
     out = StructType([*schema.fields, StructField("total_count", LongType()), StructField("idle", BooleanType())])
-    timer = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     moved = known.groupBy("task_id").applyInPandasWithState(
-        _advance(idle_ms), out, _STATE, "update", timer)
+        _advance(idle_ms), out, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
     silent = moved.withColumn("stops", F.when(F.col("idle"), F.greatest("stops", F.lit(1))).otherwise(F.col("stops")))
     return _judged(silent)
 

@@ -79,3 +79,13 @@ def test_timer_stops_a_silent_task_and_a_result_wakes_it(spark, rows, tmp_path):
         assert until([(1, 2, 0, 2, "success"), (2, 1, 1, 5, "stopped")])
     finally:
         query.stop()
+
+
+def test_without_a_timer_no_python_is_called_per_task(spark, tmp_path):
+    source, out, state = folders(tmp_path)
+    spark.range(5).selectExpr("id as task_id", "'success' as run_status").write.parquet(source)
+    stream = read_results(spark, source, spark.read.parquet(source).schema, 1)
+    tasks = spark.createDataFrame([(1, 1)], "task_id long, total_count long")
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "WithState" not in plan(st.stream_task_status(stream, tasks))
+    assert "WithState" in plan(st.stream_task_status(stream, tasks, 300))
