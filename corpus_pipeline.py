@@ -42,13 +42,13 @@ def _trains() -> Column:
 def _most_bits(spark: SparkSession, docs: DataFrame, model: langid.Model) -> Column:
     """Bits a byte that a text in a learned language takes at most, by its size.
 
-    From a bounded sample of labelled rows that the model was not trained on:
-    MARGIN times the KNOWN_SHARE quantile of texts of at least about half the size.
-    Without such rows there is no bound.
+    From all labelled rows that the model was not trained on: MARGIN times the
+    KNOWN_SHARE quantile of texts of at least about half the size. Without such
+    rows there is no bound.
     """
-    sample = langid.training_sample(docs.filter(~_trains()), "text", "lang", "doc_id", langid.SAMPLE_PER_LANGUAGE)
+    others = docs.filter(~_trains() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     size = lambda c: F.floor(F.log2(F.greatest(F.octet_length(c), F.lit(1)))).cast("int")
-    known = langid.predict(sample.withColumn("doc_id", F.lit(None).cast("bigint")), model, keep=(size("text").alias("size"),))
+    known = langid.predict(others, model, keep=(size("text").alias("size"),))
     found = known.filter(F.col("lang_pred") != langid.UNKNOWN).groupBy("size").agg(
         F.percentile_approx("bits_per_byte", KNOWN_SHARE).alias("bits")).collect()  # a row per power of two
     most = F.lit(float("inf"))
