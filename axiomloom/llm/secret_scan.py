@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .arrow import small_batches
 from .text import SPACES, whole
 
-SAMPLE_DOCS = 2_000      # documents that the dictionary and the prose around findings are learned from
 DICTIONARY = 4_000       # most frequent words kept
 GENERATED = 3_000        # labelled findings made from known formats
 LABELLED = 4_000         # labelled findings kept for training
@@ -94,11 +94,18 @@ def _classes(value: str) -> np.ndarray:
     return np.where(codes > 127, 36, out)
 
 
-def language(words: list[tuple[str, int]]) -> Language:
-    counts = np.ones((38, 38))
+def transition_counts(words: list[tuple[str, int]]) -> np.ndarray:
+    """How often a class of characters follows another inside words that occur n times."""
+    counts = np.zeros((38, 38))
     for w, n in words:
         c = _classes(w)
         np.add.at(counts, (c[:-1], c[1:]), n)
+    return counts
+
+
+def language(words: list[tuple[str, int]], counts: np.ndarray | None = None) -> Language:
+    """Of a dictionary and the transitions of all words (default: of the dictionary's)."""
+    counts = 1 + (transition_counts(words) if counts is None else counts)
     kept = frozenset(w for w, _ in words if len(w) >= 3)
     return Language(kept, np.log(counts / counts.sum(axis=1, keepdims=True)), max(map(len, kept), default=0))
 
@@ -248,17 +255,27 @@ def fit(labelled: list[tuple[str, str, int]], lang: Language) -> Scanner:
     return Scanner(lang, grow_forest(np.array(x), np.array(y, float)))
 
 
-def learn(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> Scanner:
-    """A scanner for this corpus. The words of a bounded sample of documents give
-    the dictionary, the transitions and the prose around generated findings."""
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("secrets"))
-    ids = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct().orderBy(
-        F.xxhash64(F.col("k").cast("string"), F.lit("secrets"))).limit(SAMPLE_DOCS)  # a bounded broadcast
-    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), order.alias("o")).join(F.broadcast(ids), "k", "left_semi")
-    words = picked.select(F.explode(F.split(F.lower(whole("t")), SPACES)).alias("w")).filter(
+def _count_transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((38, 38))
+    for b in batches:
+        counts += transition_counts(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at].astype(np.int64))], names=["at", "n"])
+
+
+def learn(docs: DataFrame, text: str = "text") -> Scanner:
+    """A scanner for this corpus. The words of all documents give the dictionary
+    (the most frequent ones), the transitions (all of them) and the prose around
+    generated findings."""
+    small_batches(docs.sparkSession)
+    words = docs.select(F.explode(F.split(F.lower(whole(text)), SPACES)).alias("w")).filter(
         F.col("w").rlike(r"^\p{L}{2,24}$")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = cut_lineage(words, "secret-words")
     top = [(r["w"], r["n"]) for r in words.orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()]
-    return fit(generated_findings([w for w, _ in top]), language(top))
+    counts = np.zeros(38 * 38)
+    for r in words.mapInArrow(_count_transitions, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 38 * 38 rows
+        counts[r["at"]] = r["n"]
+    return fit(generated_findings([w for w, _ in top]), language(top, counts.reshape(38, 38)))
 
 
 def scan(docs: DataFrame, scanner: Scanner, text: str = "text", path: str | None = "source", keep: tuple[str, ...] = ("doc_id",),
