@@ -8,6 +8,7 @@ split by ranges of an order key, or salted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +19,7 @@ from .session import cut_lineage
 FEW_HOT_KEYS = 1024
 HOT_KEY_ROWS = 1_000_000
 LEAST_SLICES = 64
+GATHERED_ROWS = 50_000
 
 
 def hash_int(*parts: Column | str, seed: str = "") -> Column:
@@ -194,3 +196,20 @@ def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: Dat
     lhs = left.join(hot, list(on), "left").withColumn("_salt", _salt(left.columns, slices).cast("int")).drop("_salts")
     rhs = right.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_salts")
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
+
+
+def split_hot(key: str, *tables: DataFrame, min_rows: int = HOT_KEY_ROWS) -> tuple[tuple, tuple | None, int]:
+    """(tables with the keys of fewer than ``min_rows`` rows in all, the tables of the others or None, tasks).
+
+    The rows of a key that is not hot may be gathered in one task: one
+    ``repartition(tasks, key)`` serves every grouping and window that starts with the
+    key. There are as many tasks as keep each at about ``GATHERED_ROWS`` rows.
+    """
+    counts = reduce(DataFrame.unionAll, [t.select(key) for t in tables]).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max(F.when(F.col(key).isNotNull(), F.col("_n")))).first()
+    tasks = max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // GATHERED_ROWS)
+    if (most or 0) < min_rows:
+        return tables, None, tasks
+    hot = cut_lineage(counts.filter((F.col("_n") >= min_rows) & F.col(key).isNotNull()).select(key), "hot-keys")
+    part = lambda how: tuple(t.join(hot, key, how) for t in tables)
+    return part("left_anti"), part("left_semi"), tasks
