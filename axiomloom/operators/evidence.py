@@ -61,7 +61,13 @@ def _named(lists: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def baseline_evidence(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame,
                       min_rows: int | None = None) -> DataFrame:
-    """(axiom, list, value, first_pos): chunks whose own output states the axiom, with their text and pages.
+    """(axiom, list, value, first_pos): ``numbered_baseline`` with the axioms' texts."""
+    return _named(*numbered_baseline(axioms, chunk_axioms, chunks, min_rows))
+
+
+def numbered_baseline(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame,
+                      min_rows: int | None = None, values: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((numbers, list, value, first_pos), numbered axioms): chunks whose own output states the axiom, with their text and pages.
 
     ``chunk_axioms``: (doc_id, axiom_type, item1, item2, chunk, pos). Axioms, chunk
     names and texts are matched and grouped by number; texts join the result.
@@ -72,6 +78,8 @@ def baseline_evidence(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFr
         "doc_id", *_numbers("a1", "a2", *AXIOM[1:]), *_numbers("g1", "g2", "chunk"), strip("chunk").alias("chunk"), "pos")
     stated = rows.groupBy(*NO, "g1", "g2").agg(F.min("pos").alias("pos"), F.any_value("chunk").alias("chunk"))
     hits = cut_lineage(salted_join(cut_lineage(stated, "stated"), numbered.select(*NO), NO, "left_semi", **options), "hits")
+    if not values:  # which axioms have chunks; no text is moved
+        return hits.select(*NO, F.lit("chunk").alias("list")), numbered
     info = cut_lineage(_chunk_info(chunks, with_text=True), "chunks")
     names = hits.select(*NO, *_numbers("c1", "c2", "chunk"), "chunk", "pos").groupBy(*NO, "c1", "c2").agg(
         F.any_value("chunk").alias("value"), F.min("pos").alias("first_pos"))
@@ -83,7 +91,7 @@ def baseline_evidence(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFr
     lists = names.select(*NO, F.lit("chunk").alias("list"), "value", "first_pos").unionByName(
         contexts.select(*NO, F.lit("context").alias("list"), F.col("text").alias("value"), "first_pos")).unionByName(
         _page_lists(hits, info))
-    return _named(lists, numbered)
+    return lists, numbered
 
 
 def _axiom_lookups(numbered: DataFrame) -> DataFrame:
@@ -103,7 +111,13 @@ def _axiom_lookups(numbered: DataFrame) -> DataFrame:
 
 def layered_evidence(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
                      min_rows: int | None = None) -> DataFrame:
-    """(axiom, list, value, first_pos): evidence of the triples an axiom's ends occur in.
+    """(axiom, list, value, first_pos): ``numbered_layered`` with the axioms' texts."""
+    return _named(*numbered_layered(axioms, evidence, chunks, min_rows))
+
+
+def numbered_layered(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
+                     min_rows: int | None = None, values: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((numbers, list, value, first_pos), numbered axioms): evidence of the triples an axiom's ends occur in.
 
     ``evidence``: (doc_id, pos, subject, relation, object, chunk, context). An
     inverted index: every triple is stored once with numbers for its keys, chunk
@@ -118,13 +132,15 @@ def layered_evidence(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
     key = lambda role, *keys: F.struct(*_numbers("k1", "k2", F.lit(role), *keys))
     stored = cut_lineage(rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "pos", "chunk", "context", *_numbers("g1", "g2", "chunk"),
-        *_numbers("t1", "t2", "context"), F.array(
+        *_numbers("t1", "t2", F.nullif("context", F.lit(""))), F.array(
             key("end", "subject"), key("end", "object"), key("relation", "relation"), key("relation+subject", "relation", "subject"),
             key("relation+object", "relation", "object")).alias("keys")), "triples")
     postings = stored.select("doc_id", F.explode(F.array_distinct("keys")).alias("k"), F.struct("pos", "row").alias("at"), "g1", "g2", "t1", "t2")
     postings = postings.select("doc_id", "k.k1", "k.k2", "at", "g1", "g2", "t1", "t2")
     found = salted_join(postings, _axiom_lookups(numbered), ["doc_id", "k1", "k2"], "inner", **options)
     hits = cut_lineage(found.groupBy(*NO, "g1", "g2", "t1", "t2").agg(F.min("at").alias("at")), "hits")
+    if not values:  # which axioms have contexts
+        return hits.filter("t1 is not null").select(*NO, F.lit("context").alias("list")), numbered
     entries = F.array(F.struct(F.lit("chunk").alias("list"), F.col("g1").alias("v1"), F.col("g2").alias("v2")),
                       F.struct(F.lit("context").alias("list"), F.col("t1").alias("v1"), F.col("t2").alias("v2")))
     firsts = hits.select(*NO, "at", F.explode(entries).alias("e")).select(*NO, "at", "e.*").filter("v1 is not null").groupBy(
@@ -134,48 +150,65 @@ def layered_evidence(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
     value = F.when(F.col("list") == "chunk", F.col("chunk")).otherwise(F.col("context"))
     lists = texts.select(*NO, "list", value.alias("value"), "first_pos").filter("value <> ''")
     paged = hits.select(*NO, "g1", "g2", F.col("at.pos").alias("pos"))
-    return _named(lists.unionByName(_page_lists(paged, _chunk_info(chunks, with_text=False))), numbered)
+    return lists.unionByName(_page_lists(paged, _chunk_info(chunks, with_text=False))), numbered
 
 
 def _first_values(lists: DataFrame, name: str, n: int, sep: str, value: Column, out: str) -> DataFrame:
     rows = lists.filter(F.col("list") == name)
-    kept = top_n(rows, AXIOM, [F.col("first_pos"), F.col("value")], n)
-    return kept.groupBy(*AXIOM).agg(F.array_join(F.transform(
+    kept = top_n(rows, NO, [F.col("first_pos"), F.col("value")], n)
+    return kept.groupBy(*NO).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("first_pos", value.alias("v")))), lambda x: x["v"]), sep).alias(out))
 
 
+def _by_number(lists: DataFrame) -> DataFrame:
+    return lists.select("doc_id", *_numbers("a1", "a2", *AXIOM[1:]), "list", "value", "first_pos")
+
+
+def _texts(numbered: DataFrame, *more: str) -> DataFrame:
+    return numbered.select("doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], *more)
+
+
 def axiom_flags(axioms: DataFrame, lists: DataFrame) -> DataFrame:
     """(axiom, explicit, reasonable, naming, keep): boolean aggregates over all contexts."""
-    kind, hay = F.col("axiom_type"), F.col("hay")
-    said_in = kind.isin("Class", "Property", "domain", "range")
+    return _texts(numbered_flags(_by_number(lists), _numbered_axioms(axioms)), "explicit", "reasonable", "naming", "keep")
+
+
+def numbered_flags(lists: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(numbers, axiom, explicit, reasonable, naming, keep): contexts are read where their axiom's texts lie."""
+    kind, hay = F.col("axiom.axiom_type"), F.lower(collapse("value"))
     both = kind.isin("domain", "range")
-    contexts = lists.filter(F.col("list") == "context").select(
-        "doc_id", *_numbers("a1", "a2", *AXIOM[1:]), "axiom_type", F.when(said_in, F.lower(collapse("value"))).alias("hay"),
-        F.when(said_in, split_identifier("item1")).alias("words1"), F.when(both, split_identifier("item2")).alias("words2"))
-    says = said_in & mentions(hay, F.col("words1")) & (~both | mentions(hay, F.col("words2")))
-    flags = contexts.select(*NO, F.coalesce(says, F.lit(False)).alias("says")).groupBy(*NO).agg(
+    says = F.when(kind.isin("Class", "Property") | both, mentions(hay, split_identifier("axiom.item1")) & (
+        ~both | mentions(hay, split_identifier("axiom.item2"))))
+    flags = lists.filter(F.col("list") == "context").select(*NO, "value").join(numbered, NO).select(
+        *NO, F.coalesce(says, F.lit(False)).alias("says")).groupBy(*NO).agg(
         F.bool_or("says").alias("explicit"), F.lit(True).alias("reasonable"))
-    out = _numbered_axioms(axioms).join(flags, NO, "left").select(
-        "doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], *[F.coalesce(c, F.lit(False)).alias(c) for c in ("explicit", "reasonable")])
-    out = out.withColumn("naming", naming_ok("axiom_type", "item1", "item2"))
+    out = numbered.join(flags, NO, "left").select(
+        *NO, "axiom", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("explicit", "reasonable")])
+    out = out.withColumn("naming", naming_ok("axiom.axiom_type", "axiom.item1", "axiom.item2"))
     return out.withColumn("keep", keep_axiom(F.col("explicit"), F.col("reasonable"), F.col("naming")))
 
 
-def axiom_quality(axioms: DataFrame, lists: DataFrame, chunks_shown: int = 3, pages_shown: int = 2,
-                  contexts_shown: int = 2, context_length: int = 220) -> DataFrame:
-    """axiom_flags with short evidence and notes: the ``*_shown`` first values per
+def axiom_quality(axioms: DataFrame, lists: DataFrame, **shown: int) -> DataFrame:
+    """axiom_flags with short evidence and notes, see ``numbered_quality``."""
+    return numbered_quality(_by_number(lists), _numbered_axioms(axioms), **shown)
+
+
+def numbered_quality(lists: DataFrame, numbered: DataFrame, chunks_shown: int = 3, pages_shown: int = 2,
+                     contexts_shown: int = 2, context_length: int = 220) -> DataFrame:
+    """(axiom, flags, short evidence, notes): the ``*_shown`` first values per
     axiom are put next to each other for display.
     """
-    out = axiom_flags(axioms, lists)
+    out = numbered_flags(lists, numbered)
     for part in (
         _first_values(lists, "chunk", chunks_shown, ", ", F.col("value"), "_chunks"),
         _first_values(lists, "page", pages_shown, " | ", F.col("value"), "pages"),
         _first_values(lists, "context", contexts_shown, " || ", shorten("value", context_length), "evidence_text"),
     ):
-        out = out.join(part, AXIOM, "left")
+        out = out.join(part, NO, "left")
     notes = quality_notes(F.col("_chunks"), F.col("explicit"), F.col("reasonable"), F.col("naming"))
-    return out.withColumns({
-        "pages": F.coalesce("pages", F.lit("")), "evidence_text": F.coalesce("evidence_text", F.lit("")), "notes": notes}).drop("_chunks")
+    shown = out.withColumns({
+        "pages": F.coalesce("pages", F.lit("")), "evidence_text": F.coalesce("evidence_text", F.lit("")), "notes": notes})
+    return _texts(shown, "explicit", "reasonable", "naming", "keep", "pages", "evidence_text", "notes")
 
 
 def evidence_confidence(axioms: DataFrame, lists: DataFrame, method: str) -> DataFrame:
@@ -189,6 +222,15 @@ def evidence_confidence(axioms: DataFrame, lists: DataFrame, method: str) -> Dat
     return axioms.select(*AXIOM).distinct().join(have, AXIOM, "left").select(*AXIOM, label.alias("confidence"))
 
 
+def numbered_confidence(lists: DataFrame, numbered: DataFrame, method: str) -> DataFrame:
+    """evidence_confidence by number; only the list that the method asks for is read."""
+    needed = "chunk" if method == "baseline" else "context"
+    have = lists.filter(F.col("list") == needed).select(*NO).distinct().withColumn("_has", F.lit(True))
+    has = F.coalesce("_has", F.lit(False))
+    label = baseline_confidence(has) if method == "baseline" else layered_confidence("axiom.axiom_type", has)
+    return _texts(numbered.join(have, NO, "left").withColumn("confidence", label), "confidence")
+
+
 def _rates(df: DataFrame, keys: Sequence[str], flags: dict[str, Column], digits: int | None) -> DataFrame:
     counted = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(f"{n}_count") for n, c in flags.items()])

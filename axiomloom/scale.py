@@ -20,6 +20,7 @@ FEW_HOT_KEYS = 1024
 HOT_KEY_ROWS = 1_000_000
 LEAST_SLICES = 64
 GATHERED_ROWS = 50_000
+MAP_SIDE_ROWS = 100
 
 
 def hash_int(*parts: Column | str, seed: str = "") -> Column:
@@ -73,14 +74,17 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
           rank: str = "_rank") -> DataFrame:
     """At most ``n`` rows per key, exactly, without one task owning a key.
 
-    A first ranking runs inside salted slices of each key, so at most
-    ``n`` rows per key and slice reach the second ranking. There are as many
-    slices as shuffle partitions, at least ``LEAST_SLICES``.
+    Up to ``MAP_SIDE_ROWS`` rows Spark limits each key on the map side, so a task
+    sends ``n`` rows of a key at most. For more, a first ranking runs inside salted
+    slices of each key, so at most ``n`` rows per key and slice reach the second
+    ranking. There are as many slices as shuffle partitions, at least ``LEAST_SLICES``.
     """
+    whole = W.partitionBy(*keys).orderBy(*order)
+    if n <= MAP_SIDE_ROWS:
+        return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n)
     slices = max(LEAST_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = _salt(df.columns, F.lit(slices))
     sliced = W.partitionBy(*keys, "_salt").orderBy(*order)
-    whole = W.partitionBy(*keys).orderBy(*order)
     pre = (
         df.withColumn("_salt", salt)
         .withColumn("_pre", F.row_number().over(sliced))
