@@ -21,6 +21,7 @@ HOT_KEY_ROWS = 1_000_000
 LEAST_SLICES = 64
 GATHERED_ROWS = 50_000
 MAP_SIDE_ROWS = 100
+SLICE_ROWS = 4096
 
 
 def hash_int(*parts: Column | str, seed: str = "") -> Column:
@@ -202,16 +203,19 @@ def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: Dat
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
 
 
-def split_hot(key: str, *tables: DataFrame, min_rows: int = HOT_KEY_ROWS) -> tuple[tuple, tuple | None, int]:
+def split_hot(key: str, *tables: DataFrame, min_rows: int = HOT_KEY_ROWS,
+              beside: Sequence[DataFrame] = ()) -> tuple[tuple, tuple | None, int]:
     """(tables with the keys of fewer than ``min_rows`` rows in all, the tables of the others or None, tasks).
 
     The rows of a key that is not hot may be gathered in one task: one
     ``repartition(tasks, key)`` serves every grouping and window that starts with the
-    key. There are as many tasks as keep each at about ``GATHERED_ROWS`` rows.
+    key. There are as many tasks as keep each at about ``GATHERED_ROWS`` rows. Tables
+    ``beside`` follow the others and are split alike, their rows are not counted.
     """
     counts = reduce(DataFrame.unionAll, [t.select(key) for t in tables]).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total, most = counts.agg(F.sum("_n"), F.max(F.when(F.col(key).isNotNull(), F.col("_n")))).first()
     tasks = max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // GATHERED_ROWS)
+    tables = (*tables, *beside)
     if (most or 0) < min_rows:
         return tables, None, tasks
     hot = cut_lineage(counts.filter((F.col("_n") >= min_rows) & F.col(key).isNotNull()).select(key), "hot-keys")
