@@ -70,6 +70,19 @@ def domain_of_path(path) -> F.Column:
     )
 
 
+def _most_columns(spark: SparkSession, path: str, width: int) -> int:
+    """At least the columns of the widest header below a folder, at most ``width``. A first line that is not
+    plainly a whole header (blank, a quote left open or inside a cell) counts as ``width``."""
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.{csv,CSV}").select(
+        F.col("_metadata.file_path").alias("path"), F.struct(
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("no"), "value")
+    first = lines.groupBy("path").agg(F.regexp_replace(F.min_by("value", "no"), "^\ufeff", "").alias("line"))
+    cell = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+    plain = (F.trim("line") != "") & F.col("line").rlike(f"^{cell}(?:,{cell})*+$")
+    commas = F.length("line") - F.length(F.replace("line", F.lit(",")))
+    return first.agg(F.max(F.when(plain, F.least(commas + 1, F.lit(width))).otherwise(width))).first()[0] or 1
+
+
 def scan_rows_csv(spark: SparkSession, path: str, width: int = 256, breaks: bool = True) -> DataFrame:
     """(path, payload): every row of the CSV files below a folder as a JSON object named by its file's header.
 
@@ -77,22 +90,27 @@ def scan_rows_csv(spark: SparkSession, path: str, width: int = 256, breaks: bool
     parsed as a stream in one task, a row at a time; without them large files are
     split over tasks. A byte order mark is dropped, of equal column names the last
     counts, and cells beyond the header are left out. A file of ``width`` columns or
-    more is refused.
+    more is refused. Rows are parsed with as many columns as the headers may have: Spark
+    handles an error for every column that a row lacks.
     """
-    cells = [f"c{i}" for i in range(width)]
+    columns = _most_columns(spark, path, width)
+    cells = [f"c{i}" for i in range(columns)]
     files = spark.read.csv(
         path, schema=", ".join(f"{c} string" for c in cells), header=False, multiLine=breaks, quote='"', escape='"',
         encoding="UTF-8", recursiveFileLookup=True, pathGlobFilter="*.{csv,CSV}")
     place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
-    wide = F.col(cells[-1]).isNotNull()
+    wide = F.col(cells[-1]).isNotNull() & F.lit(columns == width)
     rows = files.select(
         F.col("_metadata.file_path").alias("path"), place.alias("no"),
         F.when(wide, F.raise_error(F.lit(f"a CSV file has {width} columns or more"))).otherwise(F.array(*cells)).alias("cells"))
     header = rows.groupBy("path").agg(F.min("no").alias("first"), F.min_by("cells", "no").alias("names"))
     names = F.transform("names", lambda n, i: F.when(i == 0, F.regexp_replace(n, "^\ufeff", "")).otherwise(n))
-    named = shuffled_join(rows, header.withColumn("names", names), ["path"]).filter("no <> first")
-    again = lambda x, i: F.coalesce(F.array_contains(F.slice("names", (i + 2).cast("int"), width), x["names"]), F.lit(False))
-    pairs = F.filter(F.arrays_zip("names", "cells"), lambda x, i: x["names"].isNotNull() & ~again(x, i))
+    # What a file's rows are named by, found once a file: its last column of each name, with its place.
+    placed = F.filter(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("at"))), lambda x: x["name"].isNotNull())
+    last = header.select("path", "first", F.posexplode(placed).alias("_i", "x")).groupBy("path", "first", "x.name").agg(F.max("x.at").alias("at"))
+    kept = last.groupBy("path", "first").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("kept"))  # at most width
+    named = shuffled_join(rows, kept, ["path"]).filter("no <> first")
+    pairs = F.transform("kept", lambda k: F.struct(k["name"], F.get("cells", k["at"])))
     return named.select("path", F.to_json(F.map_from_entries(pairs)).alias("payload"))
 
 

@@ -31,3 +31,15 @@ def test_split_files_give_the_rows_of_whole_ones(spark, tmp_path):
     assert sorted(json.dumps(r) for r in found["big.csv"]) == sorted(json.dumps({k: v or None for k, v in r.items()}) for r in rows)
     assert found["other.csv"] == [{"k": "1", "v": "2"}] and "header.csv" not in found
     assert sorted(r.payload for r in tree) == whole and {r.domain for r in tree} == {"medical"}
+
+
+def test_rows_are_parsed_with_the_columns_of_the_headers(spark, tmp_path):
+    write = lambda name, text: (tmp_path / name).write_text(text)
+    write("a.csv", '﻿id,"a, b",id,,note\n1,2,3,4,"x\ny",6,7\n8\n')
+    write("b.csv", "k\nv\n")
+    assert readers._most_columns(spark, str(tmp_path), 256) == 6
+    got = {r.payload for r in readers.scan_rows_csv(spark, str(tmp_path)).collect()}
+    assert got == {'{"a, b":"2","id":"3","note":"x\\ny"}', '{"a, b":null,"id":null,"note":null}', '{"k":"v"}'}
+    write("c.csv", '"open\nname",z\n1,2\n')
+    assert readers._most_columns(spark, str(tmp_path), 256) == 256
+    assert '{"open\\nname":"1","z":"2"}' in {r.payload for r in readers.scan_rows_csv(spark, str(tmp_path)).collect()}
