@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.axioms import render_axiom
 from ..functions.text import normalize_schema_uri, norm_predicate, strip
-from ..scale import dense_position, hash_int, hash_long, keep_first, salted_join
+from ..scale import dense_position, gathering_tasks, hash_int, hash_long, keep_first, salted_join, shuffled_join
 from ..session import cut_and_count, cut_lineage
 from ..sources.readers import resolve_column
 
@@ -142,10 +143,11 @@ def replacement_negatives(positives: DataFrame, known: DataFrame | None = None,
 
     Draws are the first free place from a hashed start in the numbered pool,
     around its end, so they are reproducible and every row whose subject leaves
-    an object free gets one. Most rows settle within EARLY_TRIES neighbours; for
-    the rest the runs of taken places are measured. ``known`` adds to the positives.
+    an object free gets one. Most rows settle within EARLY_TRIES neighbours, whose
+    draws are dealt to as many tasks as their number asks for; for the rest the runs of taken places are measured. ``known`` adds to the positives.
     """
-    positives = cut_lineage(positives, "positives")
+    positives, stored = cut_and_count(positives, "positives")
+    tasks = gathering_tasks(positives.sparkSession, stored["rows"] * EARLY_TRIES)
     pairs = positives.select("axiom_type", "subject", "object")
     if known is not None:
         pairs = pairs.unionByName(known.select("axiom_type", "subject", "object"))
@@ -165,18 +167,19 @@ def replacement_negatives(positives: DataFrame, known: DataFrame | None = None,
     def probe(df: DataFrame, first: int, last: int) -> DataFrame:
         tries = F.sequence(F.lit(first), F.least(F.lit(last), F.col("_size").cast("int") - 1))
         tries = F.when(F.col("_size") > first, tries)
-        drawn = df.withColumn("_try", F.explode(tries)).withColumn(
+        drawn = df.repartition(tasks, *AXIOM_KEY).withColumn("_try", F.explode(tries)).withColumn(
             "_slot", F.pmod(F.col("_start") + F.col("_try"), F.col("_size"))
         )
         drawn = drawn.join(pool, ["axiom_type", "_slot"]).filter(F.col("_candidate") != F.col("object"))
-        taken = pairs.withColumnRenamed("object", "_candidate")
-        open_ = drawn.join(taken, ["axiom_type", "subject", "_candidate"], "left_anti")
-        return open_.groupBy(*AXIOM_KEY, "source").agg(
+        on = ["axiom_type", "subject", "_candidate"]
+        taken = pairs.withColumnRenamed("object", "_candidate").repartition(tasks, *on)
+        open_ = shuffled_join(drawn.repartition(tasks, *on), taken, on, "left_anti")
+        return open_.repartition(tasks, *AXIOM_KEY, "source").groupBy(*AXIOM_KEY, "source").agg(
             F.min_by("_candidate", "_try").alias("_candidate")
         )
 
     early = cut_lineage(probe(rows, 0, EARLY_TRIES - 1), "early")
-    unsettled, seen = cut_and_count(rows.join(early.select(*AXIOM_KEY), AXIOM_KEY, "left_anti"), "unsettled")
+    unsettled, seen = cut_and_count(shuffled_join(rows, early.select(*AXIOM_KEY), AXIOM_KEY, "left_anti"), "unsettled")
     found = early.unionByName(_first_free(unsettled, pairs, pool)) if seen["rows"] else early
     return found.select(
         "axiom_type", "subject", "predicate", F.col("_candidate").alias("object"),
@@ -212,12 +215,14 @@ def _first_free(rows: DataFrame, pairs: DataFrame, pool: DataFrame, min_rows: in
 
 
 def assemble_dataset(positives: Sequence[DataFrame], negatives: Sequence[DataFrame]) -> DataFrame:
-    """Union of all parts; the first part holding a (key, label) wins."""
-    out = None
+    """Union of all parts; the first part holding a (key, label) wins. A positive has about one negative:
+    rows are dealt to tasks by that number before a winner is chosen."""
+    out, rows = None, reduce(DataFrame.unionAll, [p.select(F.lit(1)) for p in positives]).count() * 2
     for order, part in enumerate([*positives, *negatives]):
         part = part.select(*AXIOM_COLUMNS, F.lit(order).alias("_part"))
         out = part if out is None else out.unionByName(part)
-    out = keep_first(out, [*AXIOM_KEY, "label"], ["_part", "source", "negative_strategy"]).drop("_part")
+    key = [*AXIOM_KEY, "label"]
+    out = keep_first(out.repartition(gathering_tasks(out.sparkSession, rows), *key), key, ["_part", "source", "negative_strategy"]).drop("_part")
     return out.withColumn("axiom_text", render_axiom("axiom_type", "subject", "predicate", "object"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -203,6 +203,12 @@ def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: Dat
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
 
 
+def gathering_tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks keep each at about ``GATHERED_ROWS`` of these rows. Exchanges of this fixed number
+    are not merged by their compressed size, which says little about rows of few distinct texts."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // GATHERED_ROWS)
+
+
 def split_hot(key: str, *tables: DataFrame, min_rows: int = HOT_KEY_ROWS,
               beside: Sequence[DataFrame] = ()) -> tuple[tuple, tuple | None, int]:
     """(tables with the keys of fewer than ``min_rows`` rows in all, the tables of the others or None, tasks).
@@ -214,7 +220,7 @@ def split_hot(key: str, *tables: DataFrame, min_rows: int = HOT_KEY_ROWS,
     """
     counts = reduce(DataFrame.unionAll, [t.select(key) for t in tables]).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total, most = counts.agg(F.sum("_n"), F.max(F.when(F.col(key).isNotNull(), F.col("_n")))).first()
-    tasks = max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // GATHERED_ROWS)
+    tasks = gathering_tasks(tables[0].sparkSession, total or 0)
     tables = (*tables, *beside)
     if (most or 0) < min_rows:
         return tables, None, tasks

@@ -135,3 +135,18 @@ def test_files_per_document(spark, tmp_path, rows):
     assert rows(flat, "axiom_no", "axiom_type", "axiom_text") == [(1, "Class", "X declare_class"), (2, "subClassOf", "X subClassOf Y")]
     with pytest.raises(ValueError):
         writers.write_table(docs, str(tmp_path / "z"), "xml")
+
+
+def test_tasks_of_a_dataset_follow_its_rows(spark, rows, monkeypatch):
+    """Winners and draws lie in as many tasks as their number asks for, whatever their compressed size."""
+    from axiomloom import scale
+
+    positives = spark.range(120).select(
+        F.lit("domain").alias("axiom_type"), F.concat(F.lit("s"), (F.col("id") % 40).cast("string")).alias("subject"), F.lit("rdfs:domain").alias("predicate"),
+        F.concat(F.lit("o"), (F.col("id") % 7).cast("string")).alias("object"), F.lit(1).alias("label"), F.lit("x").alias("source"), F.lit("").alias("negative_strategy")).distinct()
+    assembled = lambda: ds.assemble_dataset([positives], [ds.replacement_negatives(positives)])
+    want = assembled()
+    monkeypatch.setattr(scale, "GATHERED_ROWS", 4)
+    got = assembled()
+    assert rows(got, *want.columns) == rows(want, *want.columns)
+    assert got.rdd.getNumPartitions() == positives.count() * 2 // 4
