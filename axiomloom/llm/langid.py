@@ -30,7 +30,7 @@ from .text import whole
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 400    # whole training documents per language, by hash of their id
 LANGUAGES = 16               # in one cost table, which takes 1 KB per node and language; further ones have tables of their own
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 17      # scored at once, which takes some 40 times that in each Python worker
 HELD_BYTES = 32 << 20        # of texts that wait for all tables when there are several
 UNKNOWN = "und"
 
@@ -82,31 +82,28 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def _levels(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 0..3: known contexts, and their counts of the next byte."""
-    levels = []
-    for k in range(ORDER + 1):
-        known, row = np.unique((grams >> 8) & ((1 << 8 * k) - 1), return_inverse=True)
-        table = np.zeros((len(known), 256), np.float32)
-        np.add.at(table, (row, grams & 255), counts)
-        levels.append((known, table))
-    return levels
+def _level(grams: np.ndarray, counts: np.ndarray, k: int, column: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """For one order: known contexts, and their counts of the next byte's column."""
+    known, row = np.unique((grams >> 8) & ((1 << 8 * k) - 1), return_inverse=True)
+    table = np.zeros((len(known), columns), np.float32)
+    np.add.at(table, (row, column[grams & 255]), counts)
+    return known, table
 
 
 def compile_model(model: Model) -> Trees:
     """Unfold the trees into costs, from the empty context to the longest. A
     context that a language does not know costs what its suffix costs."""
-    levels = [_levels(g, c) for g, c in zip(model.grams, model.counts, strict=True)]
-    used = np.unique(np.concatenate([g & 255 for g in model.grams])) if levels else np.zeros(0, np.int64)
+    n = len(model.languages)
+    used = np.unique(np.concatenate([g & 255 for g in model.grams])) if n else np.zeros(0, np.int64)
     column = np.full(256, len(used))
     column[used] = np.arange(len(used))
-    shorter, below = np.zeros(1, np.int64), np.full((1, len(used) + 1, len(levels)), 8.0, np.float32)
+    shorter, below = np.zeros(1, np.int64), np.full((1, len(used) + 1, n), 8.0, np.float32)
     parts, depth = [], []
     for k in range(ORDER + 1):
-        contexts = np.unique(np.concatenate([x[k][0] for x in levels])) if levels else np.zeros(1 if k == 0 else 0, np.int64)
-        cost = below[np.searchsorted(shorter, contexts & ((1 << 8 * max(k - 1, 0)) - 1))].copy()
-        for j, x in enumerate(levels):
-            known, seen = x[k][0], np.concatenate([x[k][1][:, used], np.zeros((len(x[k][0]), 1), np.float32)], axis=1)
+        level = [_level(g, c, k, column, len(used) + 1) for g, c in zip(model.grams, model.counts, strict=True)]
+        contexts = np.unique(np.concatenate([known for known, _ in level])) if n else np.zeros(1 if k == 0 else 0, np.int64)
+        cost = below[np.searchsorted(shorter, contexts & ((1 << 8 * max(k - 1, 0)) - 1))]
+        for j, (known, seen) in enumerate(level):
             at = np.searchsorted(contexts, known)
             total, distinct = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
             with np.errstate(divide="ignore"):

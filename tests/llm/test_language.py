@@ -1,6 +1,7 @@
 """The compiled trees against a plain PPM coder, and held-out accuracy."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,3 +65,20 @@ def test_held_out_languages(spark):
     r = q.QUERIES["op10_language_id"](spark, folder).join(docs, "doc_id").filter("held_out")
     right, n = r.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert n > 200 and right >= 0.98
+
+
+def test_memory_of_scoring_and_compiling():
+    """What a worker takes beside the tables follows neither the text at hand nor all tables at once."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 1 << 21).astype(np.uint8)
+    grams = np.unique(rng.integers(97, 123, (20_000, 4)) @ np.array([1 << 24, 1 << 16, 1 << 8, 1]))
+    model = langid.Model(["aa", "bb", "cc", "dd"], [grams] * 4, [np.ones(len(grams), np.int64)] * 4)
+    tracemalloc.start()
+    trees = langid.compile_model(model)
+    held, compiling = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    langid.code_lengths(trees, data, np.arange(0, len(data) + 1, 1 << 13))
+    scoring = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert scoring < 10e6
+    assert compiling < 4 * held
