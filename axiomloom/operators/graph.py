@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_token
-from ..scale import find_hot_keys, salt_hot_keys, salted_join
+from ..scale import find_hot_keys, salt_hot_keys
 from ..session import cut_and_count, cut_lineage
 
 KEYS = ("method", "domain", "axiom_type")
@@ -181,6 +181,22 @@ def _with_components(nodes: DataFrame, live: DataFrame) -> DataFrame:
     return cut_lineage(members, "members")
 
 
+def numbered_components(edges: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """(nodes with component_id, arcs (sub, super) between different components): as strongly_connected
+    and condensed_edges have them, without names and without another pass over the edges."""
+    nodes, arcs = number_nodes(edges, list(keys))
+    members = _with_components(nodes, arcs)
+    dag = arcs
+    for end in ("src", "dst"):
+        dag = dag.join(members.select(F.col("id").alias(end), F.col("component_id").alias(f"_{end}")), end)
+    return members, cut_lineage(dag.filter("_src <> _dst").select(F.col("_src").alias("sub"), F.col("_dst").alias("super")).distinct(), "dag")
+
+
+def named_parts(members: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, component_id, component, size) of numbered_components' nodes; a component is named by its smallest node name."""
+    return cut_lineage(members.groupBy(*keys, "component_id").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")), "parts")
+
+
 def condensed_edges(edges: DataFrame, components: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Distinct edges between different components, (keys, sub, super) by
     number: an acyclic graph."""
@@ -305,31 +321,29 @@ def closure_pairs(dag: DataFrame) -> DataFrame:
     numbered nodes, with their shortest and longest distance. Arcs that stand for
     several steps say so in ``steps`` and ``longest``.
 
-    Each round joins the pairs with themselves (min-plus and max-plus at once):
-    after k rounds all paths of up to 2**k arcs are in, so rounds grow with the
-    logarithm of the depth. Pairs only appear, shortest distances only shrink and
-    longest only grow, so equal counts and sums mean that nothing changed.
+    Round k knows the pairs of up to 2**k arcs and the leaps, pairs of exactly
+    2**k; a longer path is a leap and what is left of it (min-plus and max-plus at
+    once). Only leaps are joined, of which a node has as many as the graph is wide
+    there, and rounds grow with the logarithm of the depth.
     """
     best = [F.min("steps").alias("steps"), F.max("longest").alias("longest")]
     measured = {c: F.col(c) if c in dag.columns else F.lit(1) for c in ("steps", "longest")}
-    pairs = dag.withColumns(measured).groupBy("sub", "super").agg(*best)
-    pairs, before = _measured(pairs)
-    while True:
-        left = pairs.select("sub", F.col("super").alias("middle"), F.col("steps").alias("_s"), F.col("longest").alias("_l"))
-        right = pairs.withColumnRenamed("sub", "middle")
-        longer = salted_join(left, right, ["middle"]).groupBy("sub", "super").agg(
-            F.min(F.col("_s") + F.col("steps")).alias("steps"), F.max(F.col("_l") + F.col("longest")).alias("longest"))
-        pairs, after = _measured(pairs.unionByName(longer).groupBy("sub", "super").agg(*best))
-        if after == before:
-            return pairs
-        before = after
+    leaps, left_over = _measured(dag.withColumns(measured).groupBy("sub", "super").agg(*best))
+    pairs = leaps
+    while left_over:
+        left = leaps.select("sub", F.col("super").alias("middle"), F.col("steps").alias("_s"), F.col("longest").alias("_l"))
+        hot = find_hot_keys(left, ["middle"])
+        onward = lambda rest: salt_hot_keys(left, rest.withColumnRenamed("sub", "middle"), ["middle"], hot).select(
+            "sub", "super", (F.col("_s") + F.col("steps")).alias("steps"), (F.col("_l") + F.col("longest")).alias("longest"))
+        longer = pairs.select("sub", "super", "steps", "longest").unionByName(onward(pairs))
+        leaps, left_over = _measured(onward(leaps).groupBy("sub", "super").agg(*best))
+        pairs = cut_lineage(longer.groupBy("sub", "super").agg(*best), "closure")
+    return pairs
 
 
-def _measured(pairs: DataFrame) -> tuple[DataFrame, dict]:
-    seen = Observation()
-    measures = [F.count(F.lit(1)).alias("n"), F.sum("steps").alias("steps"), F.sum("longest").alias("longest")]
-    table = cut_lineage(pairs.observe(seen, *measures), "closure")
-    return table, dict(seen.get)
+def _measured(leaps: DataFrame) -> tuple[DataFrame, int]:
+    table, seen = cut_and_count(leaps, "leaps")
+    return table, seen["rows"]
 
 
 def semantic_content(components: DataFrame, dag: DataFrame, keys: Sequence[str] = KEYS,
@@ -350,12 +364,7 @@ def hierarchy_metrics(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     """Counts, depths and content of each graph, from one set of components and measures."""
     keys = list(keys)
     edges = cut_lineage(edges.select(*keys, "sub", "super").distinct(), "edges")
-    nodes, arcs = number_nodes(edges, keys)
-    members = _with_components(nodes, arcs)
-    dag = arcs
-    for end in ("src", "dst"):
-        dag = dag.join(members.select(F.col("id").alias(end), F.col("component_id").alias(f"_{end}")), end)
-    dag = cut_lineage(dag.filter("_src <> _dst").select(F.col("_src").alias("sub"), F.col("_dst").alias("super")).distinct(), "dag")
+    members, dag = numbered_components(edges, keys)
     parts = cut_lineage(members.groupBy(*keys, "component_id").agg(F.count(F.lit(1)).alias("size")), "parts")
     measured = parts.join(upward_measures(parts, dag), "component_id")
     parents = dag.select(F.col("super").alias("component_id")).distinct().withColumn("_parent", F.lit(True))

@@ -56,21 +56,20 @@ walk as (select {K}, component, 0 as depth from top union select w.method, w.dom
 dep as (select {K}, component, min(depth) as shortest, max(depth) as longest from walk group by 1, 2, 3, 4)"""
 
 
-def scc(t):
-    """Edges, components and condensed edges as stored tables."""
-    e = cut_lineage(edges(t), "edges")
-    components = gr.strongly_connected(e)
-    return e, components, gr.condensed_edges(e, components)
+def parts(t):
+    """Named components with their sizes and the arcs between them, as stored tables."""
+    members, dag = gr.numbered_components(cut_lineage(edges(t), "edges"))
+    return gr.named_parts(members), dag
 
 
 @query("G04_strongly_connected", f"with {REACH} select c.method, c.domain, c.axiom_type, c.node, c.component, s.size from c join s on {JOIN_K.format('c', 's')} and s.component = c.component")
 def _(t):
-    return scc(t)[1].drop("component_id")
+    return gr.strongly_connected(cut_lineage(edges(t), "edges")).drop("component_id")
 
 
 @query("G05_shortest_depth", f"with {REACH} select s.method, s.domain, s.axiom_type, s.component, s.size, cast(dep.shortest as int) as shortest from s join dep on {JOIN_K.format('s', 'dep')} and dep.component = s.component")
 def _(t):
-    _e, components, dag = scc(t)
+    components, dag = parts(t)
     return gr.component_depths(components, dag).drop("longest", "component_id")
 
 
@@ -80,13 +79,13 @@ D_DEPTH = f"""(select s.method, s.domain, s.axiom_type, max(case when p.super is
 
 @query("G06_depth_metrics", f"with {REACH} select method, domain, axiom_type, cast(max_depth as int) as max_depth, avg_depth from {D_DEPTH}")
 def _(t):
-    _e, components, dag = scc(t)
+    components, dag = parts(t)
     return gr.depth_metrics(gr.component_depths(components, dag), dag)
 
 
 @query("G07_semantic_content", f"with {REACH} select {K}, count_if(sub <> super) as semantic_content from r group by 1, 2, 3")
 def _(t):
-    _e, components, dag = scc(t)
+    components, dag = parts(t)
     return gr.semantic_content(components, dag)
 
 

@@ -6,6 +6,7 @@ from functools import cache
 import pytest
 from pyspark.sql import functions as F
 
+from axiomloom import scale
 from axiomloom.operators import graph as gr
 
 
@@ -96,3 +97,21 @@ def test_a_hub_under_many_shared_nodes(spark):
     df = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in arcs], "sub string, super string").withColumn("g", F.lit(1))
     r = gr.hierarchy_metrics(df, ["g"]).first()
     assert (r.semantic_content, r.max_depth) == (400 * 399 // 2 + 300 * 400, 400)
+
+
+def test_closure_joins_a_pair_with_few_others(spark, monkeypatch):
+    """A chain of n arcs has n * n / 2 pairs; joining pairs with pairs would look at n ** 3 / 6 ways."""
+    n, joined, plain = 64, [], scale.salt_hot_keys
+
+    def watched(*args, **options):
+        out = plain(*args, **options)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(scale, "salt_hot_keys", watched)
+    monkeypatch.setattr(gr, "salt_hot_keys", watched)
+    pairs = gr.closure_pairs(spark.range(n).select(F.col("id").alias("sub"), (F.col("id") + 1).alias("super")))
+    got = pairs.agg(F.count("*"), F.sum("steps"), F.sum("longest")).first()
+    whole = sum(k * (n + 1 - k) for k in range(1, n + 1))
+    assert tuple(got) == (n * (n + 1) // 2, whole, whole)
+    assert 0 < sum(joined) < 2 * n * n
