@@ -18,13 +18,14 @@ from ..functions.axioms import (
     baseline_confidence, keep_axiom, layered_confidence, naming_ok, quality_notes,
 )
 from ..functions.text import collapse, mentions, not_blank, page_range, shorten, split_identifier, strip
-from ..scale import salted_join, top_n
+from ..scale import attach_within, salted_join, top_n
 from ..session import cut_lineage
 
 AXIOM = ["doc_id", "axiom_type", "item1", "item2"]
 
 
 NO = ["doc_id", "a1", "a2"]
+AT = ["g1", "g2", "t1", "t2"]
 
 
 def _numbers(a: str, b: str, *parts: Column | str) -> list[Column]:
@@ -36,7 +37,8 @@ def _numbers(a: str, b: str, *parts: Column | str) -> list[Column]:
 def _numbered_axioms(axioms: DataFrame) -> DataFrame:
     """(doc_id, a1, a2, axiom): each distinct axiom once under its numbers; ``axiom`` holds its texts."""
     rows = axioms.select("doc_id", *_numbers("a1", "a2", *AXIOM[1:]), F.struct(*AXIOM[1:]).alias("axiom"))
-    return rows.filter("a1 is not null").groupBy(*NO).agg(F.any_value("axiom").alias("axiom"))
+    whole = F.when(F.col("a1").isNotNull(), F.col("axiom"))  # a filter on a1 would compute the axioms' texts twice
+    return rows.groupBy(*NO).agg(F.any_value(whole).alias("axiom")).filter("axiom is not null")
 
 
 def _chunk_info(chunks: DataFrame, with_text: bool) -> DataFrame:
@@ -54,44 +56,83 @@ def _page_lists(hits: DataFrame, info: DataFrame) -> DataFrame:
     return pages.select(*NO, F.lit("page").alias("list"), value.alias("value"), "first_pos").filter("value <> ''")
 
 
-def _named(lists: DataFrame, numbered: DataFrame) -> DataFrame:
+def _named(lists: DataFrame, numbered: DataFrame, gathered: bool = False, *more: str) -> DataFrame:
     """The lists with their axioms' texts."""
-    return lists.join(numbered, NO).select("doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], "list", "value", "first_pos")
+    named = attach_within(lists, numbered, NO, "axiom").filter("axiom is not null") if gathered else lists.join(numbered, NO)
+    return named.select("doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], "list", "value", "first_pos", *more)
 
 
 def baseline_evidence(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame,
-                      min_rows: int | None = None) -> DataFrame:
-    """(axiom, list, value, first_pos): ``numbered_baseline`` with the axioms' texts."""
-    return _named(*numbered_baseline(axioms, chunk_axioms, chunks, min_rows))
+                      min_rows: int | None = None, gathered: bool = False) -> DataFrame:
+    """(axiom, list, value, first_pos): ``numbered_baseline`` with the axioms' texts. They join
+    the numbers before the longer texts of the chunks do."""
+    found, texts, numbered = _baseline(axioms, chunk_axioms, chunks, min_rows, gathered)
+    return _with_texts(_named(found, numbered, gathered, *AT), texts, gathered)
 
 
-def numbered_baseline(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame,
-                      min_rows: int | None = None, values: bool = True) -> tuple[DataFrame, DataFrame]:
+def numbered_baseline(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame, min_rows: int | None = None,
+                      values: bool = True, gathered: bool = False) -> tuple[DataFrame, DataFrame]:
     """((numbers, list, value, first_pos), numbered axioms): chunks whose own output states the axiom, with their text and pages.
 
     ``chunk_axioms``: (doc_id, axiom_type, item1, item2, chunk, pos). Axioms, chunk
     names and texts are matched and grouped by number; texts join the result.
+    ``gathered``: the rows of a document lie in one task in all three tables. Then
+    nothing is stored or moved, and the lists may hold axioms that are not asked for.
     """
+    if not values:  # which axioms have chunks; no text is moved
+        hits, numbered = _stated(axioms, chunk_axioms, min_rows, gathered)
+        return hits.select(*NO, F.lit("chunk").alias("list")), numbered
+    found, texts, numbered = _baseline(axioms, chunk_axioms, chunks, min_rows, gathered)
+    return _with_texts(found, texts, gathered), numbered
+
+
+def _stated(axioms: DataFrame, chunk_axioms: DataFrame, min_rows: int | None, gathered: bool) -> tuple[DataFrame, DataFrame]:
+    """((numbers, g1, g2, pos, chunk), numbered axioms): the chunks that state an axiom."""
     options = {} if min_rows is None else {"min_rows": min_rows}
-    numbered = cut_lineage(_numbered_axioms(axioms), "axioms")
+    numbered = _numbered_axioms(axioms)
     rows = chunk_axioms.filter(not_blank("chunk")).select(
         "doc_id", *_numbers("a1", "a2", *AXIOM[1:]), *_numbers("g1", "g2", "chunk"), strip("chunk").alias("chunk"), "pos")
     stated = rows.groupBy(*NO, "g1", "g2").agg(F.min("pos").alias("pos"), F.any_value("chunk").alias("chunk"))
-    hits = cut_lineage(salted_join(cut_lineage(stated, "stated"), numbered.select(*NO), NO, "left_semi", **options), "hits")
-    if not values:  # which axioms have chunks; no text is moved
-        return hits.select(*NO, F.lit("chunk").alias("list")), numbered
-    info = cut_lineage(_chunk_info(chunks, with_text=True), "chunks")
-    names = hits.select(*NO, *_numbers("c1", "c2", "chunk"), "chunk", "pos").groupBy(*NO, "c1", "c2").agg(
-        F.any_value("chunk").alias("value"), F.min("pos").alias("first_pos"))
-    places = hits.join(info.filter("text <> ''").select("doc_id", "g1", "g2", "t1", "t2").distinct(), ["doc_id", "g1", "g2"]).groupBy(
-        *NO, "t1", "t2").agg(F.min(F.struct("pos", "g1", "g2")).alias("at"))
-    texts = info.select("doc_id", "g1", "g2", "t1", "t2", "text").dropDuplicates(["doc_id", "g1", "g2", "t1", "t2"])
-    contexts = places.select(*NO, "t1", "t2", "at.g1", "at.g2", F.col("at.pos").alias("first_pos")).join(
-        texts, ["doc_id", "g1", "g2", "t1", "t2"])
-    lists = names.select(*NO, F.lit("chunk").alias("list"), "value", "first_pos").unionByName(
-        contexts.select(*NO, F.lit("context").alias("list"), F.col("text").alias("value"), "first_pos")).unionByName(
-        _page_lists(hits, info))
-    return lists, numbered
+    if gathered:
+        return stated, numbered
+    numbered = cut_lineage(numbered, "axioms")
+    return cut_lineage(salted_join(cut_lineage(stated, "stated"), numbered.select(*NO), NO, "left_semi", **options), "hits"), numbered
+
+
+def _baseline(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame, min_rows: int | None,
+              gathered: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((numbers, list, value, first_pos, ``AT``), chunk texts, numbered axioms). Chunk names and pages are
+    values already; a context is found by the numbers ``AT`` of its text and of the first chunk that has it.
+    """
+    hits, numbered = _stated(axioms, chunk_axioms, min_rows, gathered)
+    info = _chunk_info(chunks, with_text=True)
+    info = info if gathered else cut_lineage(info, "chunks")
+    of_chunk, parts = ["doc_id", "g1", "g2"], ["t1", "t2", "page_start", "page_end"]
+    told = info.select(*of_chunk, *[F.when(F.col("text") != "", F.col(c)).alias(c) for c in parts[:2]], *parts[2:])
+    if gathered:
+        same = told.groupBy(*of_chunk).agg(F.collect_set(F.struct(*parts)).alias("told"))
+        places = attach_within(hits, same, of_chunk, "told").select(*hits.columns, F.explode_outer("told").alias("told"))
+        places = places.select(*hits.columns, "told.*")
+    else:
+        places = hits.join(told.distinct(), of_chunk, "left")
+    none = F.lit(None)
+    entry = lambda name, value, t1, t2: F.struct(
+        F.lit(name).alias("list"), value.cast("string").alias("value"), t1.cast("bigint").alias("t1"), t2.cast("bigint").alias("t2"))
+    entries = F.array(entry("chunk", F.col("chunk"), none, none), entry("context", none, F.col("t1"), F.col("t2")),
+                      entry("page", strip(page_range("page_start", "page_end")), none, none))
+    rows = places.select(*NO, "g1", "g2", "pos", F.explode(entries).alias("e")).select(*NO, "g1", "g2", "pos", "e.*")
+    found = rows.filter("value <> '' or t1 is not null").groupBy(*NO, "list", "value", "t1", "t2").agg(
+        F.min(F.struct("pos", "g1", "g2")).alias("at"))
+    found = found.select(*NO, "list", "value", F.col("at.pos").alias("first_pos"), "at.g1", "at.g2", "t1", "t2")
+    texts = info.filter("text <> ''").groupBy("doc_id", *AT).agg(F.any_value("text").alias("text"))
+    return found, texts, numbered
+
+
+def _with_texts(found: DataFrame, texts: DataFrame, gathered: bool) -> DataFrame:
+    """The lists with the texts of contexts. The rows of a chunk come out next to each other, where files pack them best."""
+    on = ["doc_id", *AT]
+    out = attach_within(found, texts, on, "text") if gathered else found.join(texts, on, "left")
+    return out.select(*[F.coalesce("value", "text").alias(c) if c == "value" else c for c in found.columns if c not in AT])
 
 
 def _axiom_lookups(numbered: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scale import gather_texts
 from ..sources.readers import spread_few_files
 from .views import BASE_TABLES, TEXT_TABLES, VIEWS
 
@@ -30,6 +31,17 @@ class Tables:
             self._loaded[name] = self._load(name)
         return self._loaded[name]
 
+    def by_document(self, min_bytes: int | None = None) -> list[tuple[Tables, bool]]:
+        """(tables, gathered): the views over documents dealt to tasks by their id, and, if there
+        are documents of ``min_bytes`` and more, the same views over these as they lie."""
+        parts = []
+        for documents, gathered in zip(gather_texts(self.documents, "doc_id", "text", min_bytes), (True, False)):
+            if documents is not None:
+                part = Tables(self.spark, self.folder)
+                part._loaded["documents"] = documents
+                parts.append((part, gathered))
+        return parts
+
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -20,6 +20,8 @@ FEW_HOT_KEYS = 1024
 HOT_KEY_ROWS = 1_000_000
 LEAST_SLICES = 64
 GATHERED_ROWS = 50_000
+GATHERED_BYTES = 16 << 20
+HOT_KEY_BYTES = 256 << 20
 MAP_SIDE_ROWS = 100
 SLICE_ROWS = 4096
 
@@ -203,12 +205,44 @@ def salt_hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot: Dat
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
 
 
+def attach_within(left: DataFrame, right: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+    """``left`` with the ``value`` that ``right`` has for its keys, null without one; ``right`` has a row a key.
+
+    A left join for tables that are dealt to the same tasks by one of the keys already:
+    a join would deal both again by all of its keys, a window over both leaves them in place.
+    """
+    keys = {c: f"_on_{c}" for c in on}  # a union keeps its inputs' partitioning for columns named anew only
+    both = left.withColumn("_left", F.lit(True)).withColumnsRenamed(keys).unionByName(
+        right.select(*on, value).withColumnsRenamed(keys), allowMissingColumns=True)
+    found = F.when(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys.values()]),
+                   F.first(value, ignorenulls=True).over(W.partitionBy(*keys.values())))
+    out = both.withColumn(value, found).filter("_left").drop("_left")
+    return out.withColumnsRenamed({k: c for c, k in keys.items()})
+
+
 def gathering_tasks(spark: SparkSession, rows: int) -> int:
     """How many tasks keep each at about ``GATHERED_ROWS`` of these rows. Exchanges of this fixed number
     are not merged by their compressed size, which says little about rows of few distinct texts."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // GATHERED_ROWS)
 
 
+def gather_texts(df: DataFrame, key: str, text: str, min_bytes: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows of keys with less than ``min_bytes`` of text, dealt to tasks by key; the rows of the others as they are, or None).
+
+    What is made of the dealt rows and grouped or joined by the key and further columns
+    needs no exchange of its own. There are as many tasks as keep each at about
+    ``GATHERED_BYTES`` of text.
+    """
+    min_bytes = HOT_KEY_BYTES if min_bytes is None else min_bytes
+    sizes = df.groupBy(key).agg(F.sum(F.octet_length(text)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max(F.when(F.col(key).isNotNull(), F.col("_n")))).first()
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // GATHERED_BYTES)
+    if (most or 0) < min_bytes:
+        return df.repartition(tasks, key), None
+    hot = cut_lineage(sizes.filter((F.col("_n") >= min_bytes) & F.col(key).isNotNull()).select(key), "hot-keys")
+    return df.join(hot, key, "left_anti").repartition(tasks, key), df.join(hot, key, "left_semi")
+
+
 def split_hot(key: str, *tables: DataFrame, min_rows: int = HOT_KEY_ROWS,
               beside: Sequence[DataFrame] = ()) -> tuple[tuple, tuple | None, int]:
     """(tables with the keys of fewer than ``min_rows`` rows in all, the tables of the others or None, tasks).

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from axiomloom import scale
 from axiomloom.operators import evidence as ev
+from axiomloom.plans import catalog
+from axiomloom.plans.registry import Tables
 
 
 def test_first_rows_need_one_exchange(spark):
@@ -33,3 +35,61 @@ def test_confidence_and_flags_by_number(spark, rows, monkeypatch):
     assert rows(got, *want.columns) == rows(want, *want.columns)
     assert rows(got, "axiom_type", "item1", "explicit", "reasonable") == [
         ("Class", "Hub", True, True), ("Class", "x", False, False), ("Property", "uses", True, True), ("domain", "uses", True, True)]
+
+
+AXIOMS = "doc_id long, axiom_type string, item1 string, item2 string"
+
+
+def moved_by(df):
+    return re.findall(r"\bExchange (?:hash|range)partitioning\(([^)]*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_baseline_moves_documents_once(spark, rows, tmp_path, monkeypatch):
+    """J04: whole documents are dealt once and nothing is stored, however its rows are grouped and joined after."""
+    from compare import check, connect
+    folder = "/root/testdata/sf0.001"
+    for module in (ev, scale):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, tag: (_ for _ in ()).throw(AssertionError(tag)))
+    monkeypatch.setattr(scale, "GATHERED_BYTES", 20_000)
+    df = catalog.QUERIES["J04_baseline_evidence"](spark, folder)
+    assert {re.sub(r"#\d+L?", "", keys) for keys in moved_by(df)} == {"doc_id"}
+    df.write.parquet(str(tmp_path / "out"))
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    parts = documents.agg(F.sum(F.octet_length("text"))).first()[0] // 20_000
+    assert parts > 8 and set(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())) == {str(parts)}
+    assert check(spark, connect(folder), "J04_baseline_evidence", folder)[0] == ""
+
+
+def test_large_documents_are_left_as_they_lie(spark, rows):
+    """Documents of many bytes take the salted joins; both parts give the rows of the whole."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    parts = t.by_document(3000)
+    ids = [{r[0] for r in d.documents.select("doc_id").collect()} for d, _ in parts]
+    assert [g for _, g in parts] == [True, False] and not ids[0] & ids[1] and len(ids[0] | ids[1]) == t.documents.count() and ids[1]
+    got = [ev.baseline_evidence(d.v_doc_axioms, d.v_chunk_axioms, d.v_chunks, min_rows=3, gathered=g) for d, g in parts]
+    want = ev.baseline_evidence(t.v_doc_axioms, t.v_chunk_axioms, t.v_chunks)
+    assert rows(got[0].unionByName(got[1]), *want.columns) == rows(want, *want.columns)
+    none = spark.createDataFrame([(None, "a" * 99), (None, "b"), (1, None), (2, "xy")], "doc_id int, text string")
+    small, large = scale.gather_texts(none, "doc_id", "text", 3)
+    assert large is None and small.count() == 4
+    assert [x.count() for x in scale.gather_texts(none, "doc_id", "text", 2)] == [3, 1]
+
+
+def test_gathered_evidence_of_odd_rows(spark, rows):
+    """No id, no name, a name twice, blank names and texts, one text in two chunks, an axiom nobody states."""
+    axioms = spark.createDataFrame([(1, "Class", "A", ""), (1, "Class", "A", ""), (1, "Class", "B", ""), (1, "Class", None, ""), (None, "Class", "A", ""),
+                                    (2, "Class", "A", ""), (1, "Class", "never", "")], AXIOMS)
+    stated = spark.createDataFrame(
+        [(1, "Class", "A", "", "c0", 7), (1, "Class", "A", "", " c0 ", 5), (1, "Class", "A", "", "c1", 3), (1, "Class", "A", "", "gone", 9), (1, "Class", "B", "", " ", 1),
+         (1, "Class", "B", "", None, 1), (1, "Class", None, "", "c0", 1), (None, "Class", "A", "", "c0", 1), (1, "Class", "extra", "", "c0", 1), (2, "Class", "A", "", "c0", 4)],
+        AXIOMS + ", chunk string, pos long")
+    chunks = spark.createDataFrame([(1, "c0", " same ", 1, 1), (1, "c0", "other", 1, 2), (1, "c1", "same", 2, 2), (2, "c0", " ", None, None), (2, "c0", None, 4, 4), (1, None, "x", 1, 1),
+                                    (None, "c0", "y", 1, 1)], "doc_id long, chunk_id string, text string, page_start int, page_end int")
+    want = [(1, "chunk", "c0", 5), (1, "chunk", "c1", 3), (1, "chunk", "gone", 9), (1, "context", "other", 7), (1, "context", "same", 3),
+            (1, "page", "1", 7), (1, "page", "1-2", 7), (1, "page", "2", 3), (2, "chunk", "c0", 4), (2, "page", "4", 4)]
+    dealt = [df.repartition(5, "doc_id") for df in (axioms, stated, chunks)]
+    for got in (ev.baseline_evidence(axioms, stated, chunks), ev.baseline_evidence(axioms, stated, chunks, min_rows=1), ev.baseline_evidence(*dealt, gathered=True)):
+        assert rows(got.filter("axiom_type = 'Class' and item1 = 'A' and item2 = ''"), "doc_id", "list", "value", "first_pos") == want and got.count() == len(want)
+    lists, numbered = ev.numbered_baseline(*dealt, gathered=True)
+    flags = ev.numbered_flags(lists, numbered).filter("doc_id is not null")
+    assert rows(flags, "doc_id", "axiom.item1", "reasonable") == [(1, "A", True), (1, "B", False), (1, "never", False), (2, "A", False)]
