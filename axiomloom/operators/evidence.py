@@ -48,9 +48,19 @@ def _chunk_info(chunks: DataFrame, with_text: bool) -> DataFrame:
     return rows.select("*", *_numbers("t1", "t2", "text")) if with_text else rows
 
 
-def _page_lists(hits: DataFrame, info: DataFrame) -> DataFrame:
+def _of_chunks(hits: DataFrame, info: DataFrame, parts: Sequence[str], gathered: bool, how: str = "left") -> DataFrame:
+    """``hits`` with the ``parts`` of each row that ``info`` has for their chunk."""
+    on = ["doc_id", "g1", "g2"]
+    if not gathered:
+        return hits.join(info.select(*on, *parts).distinct(), on, how)
+    told = info.groupBy(*on).agg(F.collect_set(F.struct(*parts)).alias("_told"))
+    rows = attach_within(hits, told, on, "_told").select(*hits.columns, F.explode_outer("_told").alias("_told"))
+    return rows.select(*hits.columns, *[F.col(f"_told.{c}").alias(c) for c in parts])
+
+
+def _page_lists(hits: DataFrame, info: DataFrame, gathered: bool = False) -> DataFrame:
     """(numbers, list, value, first_pos) of the pages of the chunks hit; grouped by page numbers, written at last."""
-    pages = hits.join(info.select("doc_id", "g1", "g2", "page_start", "page_end").distinct(), ["doc_id", "g1", "g2"]).groupBy(
+    pages = _of_chunks(hits, info, ["page_start", "page_end"], gathered, "inner").groupBy(
         *NO, "page_start", "page_end").agg(F.min("pos").alias("first_pos"))
     value = strip(page_range("page_start", "page_end"))
     return pages.select(*NO, F.lit("page").alias("list"), value.alias("value"), "first_pos").filter("value <> ''")
@@ -107,14 +117,8 @@ def _baseline(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame, min
     hits, numbered = _stated(axioms, chunk_axioms, min_rows, gathered)
     info = _chunk_info(chunks, with_text=True)
     info = info if gathered else cut_lineage(info, "chunks")
-    of_chunk, parts = ["doc_id", "g1", "g2"], ["t1", "t2", "page_start", "page_end"]
-    told = info.select(*of_chunk, *[F.when(F.col("text") != "", F.col(c)).alias(c) for c in parts[:2]], *parts[2:])
-    if gathered:
-        same = told.groupBy(*of_chunk).agg(F.collect_set(F.struct(*parts)).alias("told"))
-        places = attach_within(hits, same, of_chunk, "told").select(*hits.columns, F.explode_outer("told").alias("told"))
-        places = places.select(*hits.columns, "told.*")
-    else:
-        places = hits.join(told.distinct(), of_chunk, "left")
+    told = info.withColumns({c: F.when(F.col("text") != "", F.col(c)) for c in ("t1", "t2")})
+    places = _of_chunks(hits, told, ["t1", "t2", "page_start", "page_end"], gathered)
     none = F.lit(None)
     entry = lambda name, value, t1, t2: F.struct(
         F.lit(name).alias("list"), value.cast("string").alias("value"), t1.cast("bigint").alias("t1"), t2.cast("bigint").alias("t2"))
@@ -151,13 +155,65 @@ def _axiom_lookups(numbered: DataFrame) -> DataFrame:
 
 
 def layered_evidence(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
-                     min_rows: int | None = None) -> DataFrame:
+                     min_rows: int | None = None, gathered: bool = False) -> DataFrame:
     """(axiom, list, value, first_pos): ``numbered_layered`` with the axioms' texts."""
-    return _named(*numbered_layered(axioms, evidence, chunks, min_rows))
+    if not gathered:
+        return _named(*numbered_layered(axioms, evidence, chunks, min_rows))
+    found, texts = _layered_within(axioms, evidence, chunks)
+    return _with_values(_named(found, _numbered_axioms(axioms), True, "v1", "v2"), texts)
+
+
+def _keyed(evidence: DataFrame) -> DataFrame:
+    """Triples with their chunk and context, the numbers of these and of the keys they are found under."""
+    rows = evidence.select("doc_id", "pos", *[strip(c).alias(c) for c in ("subject", "relation", "object", "chunk", "context")])
+    key = lambda role, *keys: F.struct(*_numbers("k1", "k2", F.lit(role), *keys))
+    return rows.select(
+        "doc_id", "pos", "chunk", "context", *_numbers("g1", "g2", "chunk"),
+        *_numbers("t1", "t2", F.nullif("context", F.lit(""))), F.array(
+            key("end", "subject"), key("end", "object"), key("relation", "relation"), key("relation+subject", "relation", "subject"),
+            key("relation+object", "relation", "object")).alias("keys"))
 
 
-def numbered_layered(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
-                     min_rows: int | None = None, values: bool = True) -> tuple[DataFrame, DataFrame]:
+def _entries() -> Column:
+    """The chunk and the context of a hit by their numbers."""
+    return F.array(F.struct(F.lit("chunk").alias("list"), F.col("g1").alias("v1"), F.col("g2").alias("v2")),
+                   F.struct(F.lit("context").alias("list"), F.col("t1").alias("v1"), F.col("t2").alias("v2")))
+
+
+def _layered_within(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame, values: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((numbers, list, value, first_pos, v1, v2), (doc_id, v1, v2, text)) of documents that lie in one task each:
+    chunks and contexts by number, pages as values. A posting meets all the axioms that look for its key.
+    """
+    keyed = _keyed(evidence)
+    asked = _axiom_lookups(axioms.select("doc_id", *_numbers("a1", "a2", *AXIOM[1:]), F.struct(*AXIOM[1:]).alias("axiom")))
+    asked = asked.groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("a1", "a2")).alias("axioms"))
+    postings = keyed.select("doc_id", F.explode(F.array_distinct("keys")).alias("k"), "pos", "g1", "g2", "t1", "t2").select(
+        "doc_id", "k.k1", "k.k2", "pos", "g1", "g2", "t1", "t2")
+    found = attach_within(postings, asked, ["doc_id", "k1", "k2"], "axioms").select(
+        "doc_id", F.explode("axioms").alias("a"), "pos", "g1", "g2", "t1", "t2")
+    hits = found.groupBy("doc_id", F.col("a.a1").alias("a1"), F.col("a.a2").alias("a2"), "g1", "g2", "t1", "t2").agg(F.min("pos").alias("pos"))
+    if not values:  # which axioms have contexts
+        return hits.filter("t1 is not null").select(*NO, F.lit("context").alias("list")), None
+    pages = _of_chunks(hits, _chunk_info(chunks, with_text=False), ["page_start", "page_end"], True)
+    page = F.struct(F.lit("page").alias("list"), F.lit(None).cast("bigint").alias("v1"), F.lit(None).cast("bigint").alias("v2"))
+    rows = pages.select(*NO, "pos", strip(page_range("page_start", "page_end")).alias("page"), F.explode(F.concat(_entries(), F.array(page))).alias("e"))
+    rows = rows.select(*NO, "pos", "e.*", F.when(F.col("e.list") == "page", F.col("page")).alias("value"))
+    found = rows.filter("value <> '' or v1 is not null").groupBy(*NO, "list", "value", "v1", "v2").agg(F.min("pos").alias("first_pos"))
+    names = F.array(F.struct(F.col("g1").alias("v1"), F.col("g2").alias("v2"), F.col("chunk").alias("text")),
+                    F.struct(F.col("t1").alias("v1"), F.col("t2").alias("v2"), F.col("context").alias("text")))
+    texts = keyed.select("doc_id", F.explode(names).alias("n")).select("doc_id", "n.*").groupBy("doc_id", "v1", "v2").agg(
+        F.any_value("text").alias("text"))
+    return found.select(*NO, "list", "value", "first_pos", "v1", "v2"), texts
+
+
+def _with_values(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """The lists of ``_layered_within`` with the texts of chunks and contexts."""
+    out = attach_within(found, texts, ["doc_id", "v1", "v2"], "text").withColumn("value", F.coalesce("value", "text"))
+    return out.filter("value <> ''").drop("v1", "v2", "text")
+
+
+def numbered_layered(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame, min_rows: int | None = None,
+                     values: bool = True, gathered: bool = False) -> tuple[DataFrame, DataFrame]:
     """((numbers, list, value, first_pos), numbered axioms): evidence of the triples an axiom's ends occur in.
 
     ``evidence``: (doc_id, pos, subject, relation, object, chunk, context). An
@@ -165,26 +221,22 @@ def numbered_layered(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
     and context; a posting is (document, key number, row, position). Axioms list
     the keys they can be found under, so the disjunctive match is one equi join of
     integers, and first positions are minima over integers. Chunk names and
-    contexts are read from the stored rows that came first.
+    contexts are read from the stored rows that came first. ``gathered``: the rows of a
+    document lie in one task in all three tables; then nothing is stored or moved.
     """
+    if gathered:
+        found, texts = _layered_within(axioms, evidence, chunks, values)
+        return (_with_values(found, texts) if values else found), _numbered_axioms(axioms)
     options = {} if min_rows is None else {"min_rows": min_rows}
     numbered = cut_lineage(_numbered_axioms(axioms), "axioms")
-    rows = evidence.select("doc_id", "pos", *[strip(c).alias(c) for c in ("subject", "relation", "object", "chunk", "context")])
-    key = lambda role, *keys: F.struct(*_numbers("k1", "k2", F.lit(role), *keys))
-    stored = cut_lineage(rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "pos", "chunk", "context", *_numbers("g1", "g2", "chunk"),
-        *_numbers("t1", "t2", F.nullif("context", F.lit(""))), F.array(
-            key("end", "subject"), key("end", "object"), key("relation", "relation"), key("relation+subject", "relation", "subject"),
-            key("relation+object", "relation", "object")).alias("keys")), "triples")
+    stored = cut_lineage(_keyed(evidence).withColumn("row", F.monotonically_increasing_id()), "triples")
     postings = stored.select("doc_id", F.explode(F.array_distinct("keys")).alias("k"), F.struct("pos", "row").alias("at"), "g1", "g2", "t1", "t2")
     postings = postings.select("doc_id", "k.k1", "k.k2", "at", "g1", "g2", "t1", "t2")
     found = salted_join(postings, _axiom_lookups(numbered), ["doc_id", "k1", "k2"], "inner", **options)
     hits = cut_lineage(found.groupBy(*NO, "g1", "g2", "t1", "t2").agg(F.min("at").alias("at")), "hits")
     if not values:  # which axioms have contexts
         return hits.filter("t1 is not null").select(*NO, F.lit("context").alias("list")), numbered
-    entries = F.array(F.struct(F.lit("chunk").alias("list"), F.col("g1").alias("v1"), F.col("g2").alias("v2")),
-                      F.struct(F.lit("context").alias("list"), F.col("t1").alias("v1"), F.col("t2").alias("v2")))
-    firsts = hits.select(*NO, "at", F.explode(entries).alias("e")).select(*NO, "at", "e.*").filter("v1 is not null").groupBy(
+    firsts = hits.select(*NO, "at", F.explode(_entries()).alias("e")).select(*NO, "at", "e.*").filter("v1 is not null").groupBy(
         *NO, "list", "v1", "v2").agg(F.min("at").alias("at"))
     texts = firsts.select(*NO, "list", F.col("at.pos").alias("first_pos"), F.col("at.row").alias("row")).join(
         stored.select("row", "chunk", "context"), "row")

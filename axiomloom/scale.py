@@ -20,7 +20,7 @@ FEW_HOT_KEYS = 1024
 HOT_KEY_ROWS = 1_000_000
 LEAST_SLICES = 64
 GATHERED_ROWS = 50_000
-GATHERED_BYTES = 16 << 20
+GATHERED_BYTES = 8 << 20
 HOT_KEY_BYTES = 256 << 20
 MAP_SIDE_ROWS = 100
 SLICE_ROWS = 4096

@@ -93,3 +93,35 @@ def test_gathered_evidence_of_odd_rows(spark, rows):
     lists, numbered = ev.numbered_baseline(*dealt, gathered=True)
     flags = ev.numbered_flags(lists, numbered).filter("doc_id is not null")
     assert rows(flags, "doc_id", "axiom.item1", "reasonable") == [(1, "A", True), (1, "B", False), (1, "never", False), (2, "A", False)]
+
+
+def test_layers_move_documents_once(spark, rows, monkeypatch):
+    """J05: the same for triples, of which each is found under five keys."""
+    from compare import check, connect
+    folder = "/root/testdata/sf0.001"
+    for module in (ev, scale):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, tag: (_ for _ in ()).throw(AssertionError(tag)))
+    df = catalog.QUERIES["J05_layered_evidence"](spark, folder)
+    assert {re.sub(r"#\d+L?", "", keys) for keys in moved_by(df)} == {"doc_id"}
+    assert check(spark, connect(folder), "J05_layered_evidence", folder)[0] == ""
+
+
+def test_gathered_layers_of_odd_rows(spark, rows):
+    """A key of many axioms, ends that are one word, no id, no item, blank chunks and contexts, a chunk named like a context."""
+    kinds = ["Class", "Property", "subClassOf", "subPropertyOf", "domain", "range"]
+    axioms = spark.createDataFrame([(d, k, a, b) for d in (1, 2, None) for k in kinds for a in ("A", "uses", None) for b in ("B", "A", "uses", "")], AXIOMS)
+    triples = spark.createDataFrame(
+        [(1, 4, "A", "uses", "A", "c0", " said "), (1, 2, "A", " uses", "B", " c0", "said"), (1, 3, "B", "uses", "A", "c1", " "), (1, 9, "x", "uses", "A", " ", "c1"),
+         (1, 9, "A", "is", "B", None, None), (2, 0, "B", "A", "uses", "c0", "said"), (2, 0, "B", "A", "uses", "c0", "twice"), (None, 0, "A", "uses", "B", "c0", "said"), (1, 1, None, "uses", "B", "c9", "z")],
+        "doc_id long, pos long, subject string, relation string, object string, chunk string, context string")
+    chunks = spark.createDataFrame([(1, "c0", "t", 1, 1), (1, "c0", "t", 1, 2), (1, "c1", "t", 2, 2), (2, "c0", "t", None, None), (None, "c0", "t", 5, 5)],
+                                   "doc_id long, chunk_id string, text string, page_start int, page_end int")
+    dealt = [df.repartition(5, "doc_id") for df in (axioms, triples, chunks)]
+    want = ev.layered_evidence(axioms, triples, chunks)
+    assert want.count() > 60 and {r[0] for r in want.select("list").distinct().collect()} == {"chunk", "context", "page"}
+    for got in (ev.layered_evidence(*dealt, gathered=True), ev.layered_evidence(axioms, triples, chunks, min_rows=2)):
+        assert rows(got, *want.columns) == rows(want, *want.columns)
+    lists, numbered = ev.numbered_layered(*dealt, gathered=True)
+    whole = ev.numbered_flags(*ev.numbered_layered(axioms, triples, chunks))
+    out = ["doc_id", "axiom.axiom_type", "axiom.item1", "axiom.item2", "explicit", "reasonable", "naming", "keep"]
+    assert rows(ev.numbered_flags(lists, numbered).filter("doc_id > 0"), *out) == rows(whole.filter("doc_id > 0"), *out)
