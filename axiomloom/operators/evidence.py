@@ -26,6 +26,7 @@ AXIOM = ["doc_id", "axiom_type", "item1", "item2"]
 
 NO = ["doc_id", "a1", "a2"]
 AT = ["g1", "g2", "t1", "t2"]
+LISTS = ("chunk", "context", "page")
 
 
 def _numbers(a: str, b: str, *parts: Column | str) -> list[Column]:
@@ -66,38 +67,40 @@ def _page_lists(hits: DataFrame, info: DataFrame, gathered: bool = False) -> Dat
     return pages.select(*NO, F.lit("page").alias("list"), value.alias("value"), "first_pos").filter("value <> ''")
 
 
-def _named(lists: DataFrame, numbered: DataFrame, gathered: bool = False, *more: str) -> DataFrame:
-    """The lists with their axioms' texts."""
-    named = attach_within(lists, numbered, NO, "axiom").filter("axiom is not null") if gathered else lists.join(numbered, NO)
-    return named.select("doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], "list", "value", "first_pos", *more)
+def _with_axioms(lists: DataFrame, numbered: DataFrame, gathered: bool) -> DataFrame:
+    """The lists of the numbered axioms with the texts of these."""
+    return attach_within(lists, numbered, NO, "axiom").filter("axiom is not null") if gathered else lists.join(numbered, NO)
+
+
+def _shown(lists: DataFrame) -> DataFrame:
+    return lists.select("doc_id", *[F.col(f"axiom.{c}").alias(c) for c in AXIOM[1:]], "list", "value", "first_pos")
 
 
 def baseline_evidence(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame,
                       min_rows: int | None = None, gathered: bool = False) -> DataFrame:
-    """(axiom, list, value, first_pos): ``numbered_baseline`` with the axioms' texts. They join
-    the numbers before the longer texts of the chunks do."""
-    found, texts, numbered = _baseline(axioms, chunk_axioms, chunks, min_rows, gathered)
-    return _with_texts(_named(found, numbered, gathered, *AT), texts, gathered)
+    """(axiom, list, value, first_pos): ``numbered_baseline`` with the axioms' texts."""
+    return _shown(numbered_baseline(axioms, chunk_axioms, chunks, min_rows, gathered=gathered)[0])
 
 
 def numbered_baseline(axioms: DataFrame, chunk_axioms: DataFrame, chunks: DataFrame, min_rows: int | None = None,
-                      values: bool = True, gathered: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((numbers, list, value, first_pos), numbered axioms): chunks whose own output states the axiom, with their text and pages.
+                      values: bool = True, gathered: bool = False, kept: Sequence[str] = LISTS) -> tuple[DataFrame, DataFrame]:
+    """((numbers, axiom, list, value, first_pos), numbered axioms): chunks whose own output states the axiom, with their text and pages.
 
     ``chunk_axioms``: (doc_id, axiom_type, item1, item2, chunk, pos). Axioms, chunk
-    names and texts are matched and grouped by number; texts join the result.
-    ``gathered``: the rows of a document lie in one task in all three tables. Then
-    nothing is stored or moved, and the lists may hold axioms that are not asked for.
+    names and texts are matched and grouped by number; texts join the result, those of
+    axioms before the longer ones of chunks. ``gathered``: the rows of a document lie in
+    one task in all three tables; then nothing is stored or moved. ``kept``: the lists wanted.
     """
     if not values:  # which axioms have chunks; no text is moved
         hits, numbered = _stated(axioms, chunk_axioms, min_rows, gathered)
         return hits.select(*NO, F.lit("chunk").alias("list")), numbered
     found, texts, numbered = _baseline(axioms, chunk_axioms, chunks, min_rows, gathered)
-    return _with_texts(found, texts, gathered), numbered
+    found = found.filter(F.col("list").isin(*kept))
+    return _with_texts(_with_axioms(found, numbered, gathered), texts, gathered), numbered
 
 
 def _stated(axioms: DataFrame, chunk_axioms: DataFrame, min_rows: int | None, gathered: bool) -> tuple[DataFrame, DataFrame]:
-    """((numbers, g1, g2, pos, chunk), numbered axioms): the chunks that state an axiom."""
+    """((numbers, g1, g2, pos, chunk), numbered axioms): the chunks that state an axiom; if ``gathered``, one asked for or not."""
     options = {} if min_rows is None else {"min_rows": min_rows}
     numbered = _numbered_axioms(axioms)
     rows = chunk_axioms.filter(not_blank("chunk")).select(
@@ -157,10 +160,8 @@ def _axiom_lookups(numbered: DataFrame) -> DataFrame:
 def layered_evidence(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
                      min_rows: int | None = None, gathered: bool = False) -> DataFrame:
     """(axiom, list, value, first_pos): ``numbered_layered`` with the axioms' texts."""
-    if not gathered:
-        return _named(*numbered_layered(axioms, evidence, chunks, min_rows))
-    found, texts = _layered_within(axioms, evidence, chunks)
-    return _with_values(_named(found, _numbered_axioms(axioms), True, "v1", "v2"), texts)
+    lists, numbered = numbered_layered(axioms, evidence, chunks, min_rows, gathered=gathered)
+    return _shown(lists if gathered else _with_axioms(lists, numbered, gathered))
 
 
 def _keyed(evidence: DataFrame) -> DataFrame:
@@ -180,7 +181,8 @@ def _entries() -> Column:
                    F.struct(F.lit("context").alias("list"), F.col("t1").alias("v1"), F.col("t2").alias("v2")))
 
 
-def _layered_within(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame, values: bool = True) -> tuple[DataFrame, DataFrame]:
+def _layered_within(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame, values: bool = True,
+                    kept: Sequence[str] = LISTS) -> tuple[DataFrame, DataFrame]:
     """((numbers, list, value, first_pos, v1, v2), (doc_id, v1, v2, text)) of documents that lie in one task each:
     chunks and contexts by number, pages as values. A posting meets all the axioms that look for its key.
     """
@@ -194,11 +196,15 @@ def _layered_within(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame, v
     hits = found.groupBy("doc_id", F.col("a.a1").alias("a1"), F.col("a.a2").alias("a2"), "g1", "g2", "t1", "t2").agg(F.min("pos").alias("pos"))
     if not values:  # which axioms have contexts
         return hits.filter("t1 is not null").select(*NO, F.lit("context").alias("list")), None
-    pages = _of_chunks(hits, _chunk_info(chunks, with_text=False), ["page_start", "page_end"], True)
-    page = F.struct(F.lit("page").alias("list"), F.lit(None).cast("bigint").alias("v1"), F.lit(None).cast("bigint").alias("v2"))
-    rows = pages.select(*NO, "pos", strip(page_range("page_start", "page_end")).alias("page"), F.explode(F.concat(_entries(), F.array(page))).alias("e"))
+    entries, page = _entries(), F.lit(None).cast("string")
+    if "page" in kept:
+        hits = _of_chunks(hits, _chunk_info(chunks, with_text=False), ["page_start", "page_end"], True)
+        none = F.lit(None).cast("bigint")
+        entries, page = F.concat(entries, F.array(F.struct(F.lit("page").alias("list"), none.alias("v1"), none.alias("v2")))), strip(page_range("page_start", "page_end"))
+    rows = hits.select(*NO, "pos", page.alias("page"), F.explode(entries).alias("e"))
     rows = rows.select(*NO, "pos", "e.*", F.when(F.col("e.list") == "page", F.col("page")).alias("value"))
-    found = rows.filter("value <> '' or v1 is not null").groupBy(*NO, "list", "value", "v1", "v2").agg(F.min("pos").alias("first_pos"))
+    rows = rows.filter(F.col("list").isin(*kept) & ((F.col("value") != "") | F.col("v1").isNotNull()))
+    found = rows.groupBy(*NO, "list", "value", "v1", "v2").agg(F.min("pos").alias("first_pos"))
     names = F.array(F.struct(F.col("g1").alias("v1"), F.col("g2").alias("v2"), F.col("chunk").alias("text")),
                     F.struct(F.col("t1").alias("v1"), F.col("t2").alias("v2"), F.col("context").alias("text")))
     texts = keyed.select("doc_id", F.explode(names).alias("n")).select("doc_id", "n.*").groupBy("doc_id", "v1", "v2").agg(
@@ -213,7 +219,7 @@ def _with_values(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def numbered_layered(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame, min_rows: int | None = None,
-                     values: bool = True, gathered: bool = False) -> tuple[DataFrame, DataFrame]:
+                     values: bool = True, gathered: bool = False, kept: Sequence[str] = LISTS) -> tuple[DataFrame, DataFrame]:
     """((numbers, list, value, first_pos), numbered axioms): evidence of the triples an axiom's ends occur in.
 
     ``evidence``: (doc_id, pos, subject, relation, object, chunk, context). An
@@ -222,11 +228,13 @@ def numbered_layered(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
     the keys they can be found under, so the disjunctive match is one equi join of
     integers, and first positions are minima over integers. Chunk names and
     contexts are read from the stored rows that came first. ``gathered``: the rows of a
-    document lie in one task in all three tables; then nothing is stored or moved.
+    document lie in one task in all three tables; then nothing is stored or moved, and
+    the lists have the axioms' texts too (``axiom``). ``kept``: the lists wanted.
     """
     if gathered:
-        found, texts = _layered_within(axioms, evidence, chunks, values)
-        return (_with_values(found, texts) if values else found), _numbered_axioms(axioms)
+        numbered = _numbered_axioms(axioms)
+        found, texts = _layered_within(axioms, evidence, chunks, values, kept)
+        return (_with_values(_with_axioms(found, numbered, True), texts) if values else found), numbered
     options = {} if min_rows is None else {"min_rows": min_rows}
     numbered = cut_lineage(_numbered_axioms(axioms), "axioms")
     stored = cut_lineage(_keyed(evidence).withColumn("row", F.monotonically_increasing_id()), "triples")
@@ -236,12 +244,15 @@ def numbered_layered(axioms: DataFrame, evidence: DataFrame, chunks: DataFrame,
     hits = cut_lineage(found.groupBy(*NO, "g1", "g2", "t1", "t2").agg(F.min("at").alias("at")), "hits")
     if not values:  # which axioms have contexts
         return hits.filter("t1 is not null").select(*NO, F.lit("context").alias("list")), numbered
-    firsts = hits.select(*NO, "at", F.explode(_entries()).alias("e")).select(*NO, "at", "e.*").filter("v1 is not null").groupBy(
+    firsts = hits.select(*NO, "at", F.explode(_entries()).alias("e")).select(*NO, "at", "e.*").filter(
+        F.col("v1").isNotNull() & F.col("list").isin(*kept)).groupBy(
         *NO, "list", "v1", "v2").agg(F.min("at").alias("at"))
     texts = firsts.select(*NO, "list", F.col("at.pos").alias("first_pos"), F.col("at.row").alias("row")).join(
         stored.select("row", "chunk", "context"), "row")
     value = F.when(F.col("list") == "chunk", F.col("chunk")).otherwise(F.col("context"))
     lists = texts.select(*NO, "list", value.alias("value"), "first_pos").filter("value <> ''")
+    if "page" not in kept:
+        return lists, numbered
     paged = hits.select(*NO, "g1", "g2", F.col("at.pos").alias("pos"))
     return lists.unionByName(_page_lists(paged, _chunk_info(chunks, with_text=False))), numbered
 
@@ -266,17 +277,18 @@ def axiom_flags(axioms: DataFrame, lists: DataFrame) -> DataFrame:
     return _texts(numbered_flags(_by_number(lists), _numbered_axioms(axioms)), "explicit", "reasonable", "naming", "keep")
 
 
-def numbered_flags(lists: DataFrame, numbered: DataFrame) -> DataFrame:
+def numbered_flags(lists: DataFrame, numbered: DataFrame, gathered: bool = False) -> DataFrame:
     """(numbers, axiom, explicit, reasonable, naming, keep): contexts are read where their axiom's texts lie."""
     kind, hay = F.col("axiom.axiom_type"), F.lower(collapse("value"))
     both = kind.isin("domain", "range")
     says = F.when(kind.isin("Class", "Property") | both, mentions(hay, split_identifier("axiom.item1")) & (
         ~both | mentions(hay, split_identifier("axiom.item2"))))
-    flags = lists.filter(F.col("list") == "context").select(*NO, "value").join(numbered, NO).select(
-        *NO, F.coalesce(says, F.lit(False)).alias("says")).groupBy(*NO).agg(
-        F.bool_or("says").alias("explicit"), F.lit(True).alias("reasonable"))
-    out = numbered.join(flags, NO, "left").select(
-        *NO, "axiom", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("explicit", "reasonable")])
+    contexts = lists.filter(F.col("list") == "context")
+    contexts = contexts if "axiom" in contexts.columns else contexts.select(*NO, "value").join(numbered, NO)
+    flags = contexts.select(*NO, F.coalesce(says, F.lit(False)).alias("says")).groupBy(*NO).agg(
+        F.struct(F.bool_or("says").alias("explicit"), F.lit(True).alias("reasonable")).alias("_flags"))
+    out = attach_within(numbered, flags, NO, "_flags") if gathered else numbered.join(flags, NO, "left")
+    out = out.select(*NO, "axiom", *[F.coalesce(F.col(f"_flags.{c}"), F.lit(False)).alias(c) for c in ("explicit", "reasonable")])
     out = out.withColumn("naming", naming_ok("axiom.axiom_type", "axiom.item1", "axiom.item2"))
     return out.withColumn("keep", keep_axiom(F.col("explicit"), F.col("reasonable"), F.col("naming")))
 
@@ -315,13 +327,14 @@ def evidence_confidence(axioms: DataFrame, lists: DataFrame, method: str) -> Dat
     return axioms.select(*AXIOM).distinct().join(have, AXIOM, "left").select(*AXIOM, label.alias("confidence"))
 
 
-def numbered_confidence(lists: DataFrame, numbered: DataFrame, method: str) -> DataFrame:
+def numbered_confidence(lists: DataFrame, numbered: DataFrame, method: str, gathered: bool = False) -> DataFrame:
     """evidence_confidence by number; only the list that the method asks for is read."""
     needed = "chunk" if method == "baseline" else "context"
     have = lists.filter(F.col("list") == needed).select(*NO).distinct().withColumn("_has", F.lit(True))
+    out = attach_within(numbered, have, NO, "_has") if gathered else numbered.join(have, NO, "left")
     has = F.coalesce("_has", F.lit(False))
     label = baseline_confidence(has) if method == "baseline" else layered_confidence("axiom.axiom_type", has)
-    return _texts(numbered.join(have, NO, "left").withColumn("confidence", label), "confidence")
+    return _texts(out.withColumn("confidence", label), "confidence")
 
 
 def _rates(df: DataFrame, keys: Sequence[str], flags: dict[str, Column], digits: int | None) -> DataFrame:

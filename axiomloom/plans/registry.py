@@ -31,16 +31,17 @@ class Tables:
             self._loaded[name] = self._load(name)
         return self._loaded[name]
 
+    def over(self, documents: DataFrame) -> Tables:
+        """The tables and views with other ``documents``."""
+        other = Tables(self.spark, self.folder)
+        other._loaded["documents"] = documents
+        return other
+
     def by_document(self, min_bytes: int | None = None) -> list[tuple[Tables, bool]]:
         """(tables, gathered): the views over documents dealt to tasks by their id, and, if there
         are documents of ``min_bytes`` and more, the same views over these as they lie."""
-        parts = []
-        for documents, gathered in zip(gather_texts(self.documents, "doc_id", "text", min_bytes), (True, False)):
-            if documents is not None:
-                part = Tables(self.spark, self.folder)
-                part._loaded["documents"] = documents
-                parts.append((part, gathered))
-        return parts
+        small, large = gather_texts(self.documents, "doc_id", "text", min_bytes)
+        return [(self.over(small), True)] + ([] if large is None else [(self.over(large), False)])
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:

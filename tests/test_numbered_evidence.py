@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from axiomloom import scale
 from axiomloom.operators import evidence as ev
-from axiomloom.plans import catalog
+from axiomloom.plans import catalog, q_learning
 from axiomloom.plans.registry import Tables
 
 
@@ -125,3 +125,30 @@ def test_gathered_layers_of_odd_rows(spark, rows):
     whole = ev.numbered_flags(*ev.numbered_layered(axioms, triples, chunks))
     out = ["doc_id", "axiom.axiom_type", "axiom.item1", "axiom.item2", "explicit", "reasonable", "naming", "keep"]
     assert rows(ev.numbered_flags(lists, numbered).filter("doc_id > 0"), *out) == rows(whole.filter("doc_id > 0"), *out)
+
+
+def test_labels_and_rates_store_no_texts(spark, monkeypatch):
+    """T17, A19: nothing is stored but the methods of documents, and no step moves texts but the one that deals documents."""
+    stored, plain = {}, ev.cut_lineage
+
+    def store(df, tag):
+        stored[tag] = df.columns
+        return plain(df, tag)
+    for module in (ev, scale, q_learning):
+        monkeypatch.setattr(module, "cut_lineage", store)
+    for name, keys in (("T17_evidence_confidence", {"doc_id"}), ("A19_quality_rates", {"doc_id", "method, axiom_type"})):
+        df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert {re.sub(r"#\d+L?", "", k) for k in moved_by(df)} <= keys
+    assert stored == {"methods": ["doc_id", "method"]}
+
+
+def test_only_the_lists_wanted(spark, rows):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    (d, _), = t.by_document()
+    for found, name in ((ev.numbered_baseline, "v_chunk_axioms"), (ev.numbered_layered, "v_doc_triples")):
+        whole = found(t.v_doc_axioms, getattr(t, name), t.v_chunks)[0].filter("list = 'context'")
+        want = rows(whole, "doc_id", "a1", "a2", "list", "value", "first_pos")
+        assert want
+        for x, gathered in ((t, False), (d, True)):
+            got = found(x.v_doc_axioms, getattr(x, name), x.v_chunks, gathered=gathered, kept=["context"])[0]
+            assert rows(got, "doc_id", "a1", "a2", "list", "value", "first_pos") == want
